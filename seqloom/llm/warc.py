@@ -21,6 +21,7 @@ DATE = "2024-01-01T00:00:00Z"
 #: Bytes from which equal payloads are stored once.
 REVISIT_BYTES = 100
 _LINE = "\r\n"
+_CUT = VERSION + _LINE
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -72,28 +73,39 @@ def write(pages: DataFrame, folder: str) -> None:
     p.select(record(p).alias("value")).write.option("lineSep", 2 * _LINE).text(folder)
 
 
-def candidates(spark: SparkSession, folder: str) -> DataFrame:
-    """(file, offset, bytes, next, body): the text from each version line to the next one, and where its record would end.
+def cuts(spark: SparkSession, folder: str) -> DataFrame:
+    """(file, block, row, bytes, head, length, body): the text from each version line to the next one, saved.
 
-    next is null where the text is no record's start: an unreadable header, or none at all. body is the
-    text after the version line. Offsets count bytes. Files may be split among tasks anywhere.
+    body is the text after the version line, head its part up to the first blank line (null without one),
+    length what the header says. Files may be split among tasks anywhere; the rows of a file are ordered by row.
     """
-    cut = VERSION + _LINE
-    raw = spark.read.option("lineSep", cut).text(folder)
-    raw = raw.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
-    # The text before a file's first version line is a row too, and so has the least row; every other row follows a version line.
-    size = raw.select("file", "block", "row", F.octet_length("value").cast("long").alias("bytes"))
+    raw = spark.read.option("lineSep", _CUT).text(folder)
+    raw = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), F.col("value").alias("body"))
+    end = F.locate(2 * _LINE, F.col("body"))
+    raw = raw.withColumn("head", F.when(end > 0, F.expr(f"substr(body, 1, locate('\\r\\n\\r\\n', body) + {2 * len(_LINE) - 1})")))
+    length = F.regexp_extract("head", r"(?i)(?:\A|\n)Content-Length:[ \t]*(\d+)[ \t]*\r\n", 1).try_cast("long")
+    raw = raw.withColumn("length", length).withColumn("bytes", F.octet_length("body").cast("long")).withColumn("head_bytes", F.octet_length("head").cast("long"))
+    # Packed tighter than usual: these are the archive's own bytes once more.
+    path = shared_folder(spark, "cuts")
+    raw.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(raw.schema).parquet(path)
+
+
+def candidates(cut: DataFrame) -> DataFrame:
+    """(file, row, offset, next) of cuts: where each version line stands and where its record would end.
+
+    next is null where the text is no record's start: no blank line after it, or no length. Offsets count bytes.
+    """
+    # The text before a file's first version line is a row too, and the file's first; every other row follows a version line.
+    size = cut.select("file", "block", "row", "bytes", "head_bytes", "length")
     inside = Window.partitionBy("file", "block").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
-    per_block = size.groupBy("file", "block").agg((F.sum("bytes") + len(cut) * F.count("*")).alias("all"))
-    before = per_block.select("file", "block", F.coalesce(F.sum("all").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    placed = size.withColumn("inside", F.coalesce(F.sum(F.col("bytes") + len(cut)).over(inside), F.lit(0))).join(sized(before), ["file", "block"])
-    # A row's text starts at `before + inside`; its version line len(cut) earlier.
-    placed = placed.select("row", (F.col("before") + F.col("inside") - len(cut)).alias("offset"), "bytes")
-    head = F.regexp_extract("value", r"\A(?:[^\r\n]+\r\n)+\r\n", 0)
-    length = F.expr(r"try_cast(regexp_extract(head, '(?i)(?:\\A|\\n)Content-Length:[ \\t]*(\\d+)[ \\t]*\\r\\n', 1) AS bigint)")
-    got = raw.join(placed, "row").withColumn("head", head).withColumn("length", length)
-    follows = F.col("offset") + len(cut) + F.octet_length("head") + F.col("length") + 2 * len(_LINE)
-    return got.select("file", "offset", "bytes", F.when((F.col("head") != "") & (F.col("offset") >= 0), follows).alias("next"), F.col("value").alias("body"))
+    per_block = size.groupBy("file", "block").agg((F.sum("bytes") + len(_CUT) * F.count("*")).alias("all"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    before = per_block.select("file", "block", F.coalesce(F.sum("all").over(earlier), F.lit(0)).alias("before"))
+    placed = size.withColumn("inside", F.coalesce(F.sum(F.col("bytes") + len(_CUT)).over(inside), F.lit(0))).join(sized(before), ["file", "block"])
+    offset = F.col("before") + F.col("inside") - len(_CUT)
+    placed = placed.withColumn("offset", offset).where("offset >= 0")
+    return placed.select("file", "row", "offset", (F.col("offset") + len(_CUT) + F.col("head_bytes") + F.col("length") + 2 * len(_LINE)).alias("next"))
 
 
 def reachable(c: DataFrame, rounds: int = 60) -> DataFrame:
@@ -128,15 +140,19 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
 
     Bytes and digest are those of the payload read; for a revisit, which has none, those its header names.
     """
-    c = saved(candidates(spark, folder), "candidates")
+    cut = cuts(spark, folder)
+    c = saved(candidates(cut), "candidates")
     true = reachable(c).withColumn("start", F.col("offset"))
-    marked = c.where("offset >= 0").join(true, ["file", "offset"], "left")
-    # Each cut belongs to the last true record at or before it: found on offsets alone, then texts of records cut by their payload are joined up.
-    at = marked.select("file", "offset", F.last("start", ignorenulls=True).over(Window.partitionBy("file").orderBy("offset").rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("start"))
-    cut = at.where("start <> offset").join(c, ["file", "offset"])
-    pieces = cut.groupBy("file", "start").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("offset", "body"))), lambda x: F.concat(F.lit(VERSION + _LINE), x["body"])), "").alias("rest"))
-    whole = c.join(true.select("file", F.col("offset")), ["file", "offset"], "left_semi").join(pieces.withColumnRenamed("start", "offset"), ["file", "offset"], "left")
-    r = whole.withColumn("head", F.regexp_extract("body", r"\A(?:[^\r\n]+\r\n)+\r\n", 0))
+    # Each cut belongs to the last true record at or before it, found on offsets alone; then the texts of records that their payload cuts are joined up.
+    upto = Window.partitionBy("file").orderBy("offset").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    at = c.join(true, ["file", "offset"], "left").select("file", "row", "offset", F.last("start", ignorenulls=True).over(upto).alias("start"))
+    at = saved(at.where("start IS NOT NULL"), "places")
+    inner = sized(at.where("start <> offset").select("row", "offset", "file", "start")).join(cut.select("row", "body"), "row")
+    body = F.transform(F.array_sort(F.collect_list(F.struct("offset", "body"))), lambda x: F.concat(F.lit(_CUT), x["body"]))
+    rest = inner.groupBy("file", "start").agg(F.array_join(body, "").alias("rest"))
+    first = at.where("start = offset").join(rest, ["file", "start"], "left").select("row", "rest")
+    r = cut.select("row", "head", "body").join(sized(at.where("start = offset").select("row")), "row", "left_semi")
+    r = r.join(sized(first.where("rest IS NOT NULL"), 1_000), "row", "left")
     r = r.withColumn("payload", F.concat(F.expr("substr(body, length(head) + 1)"), F.coalesce("rest", F.lit(""))))
     r = r.withColumn("payload", F.expr(f"substr(payload, 1, length(payload) - {2 * len(_LINE)})"))
     kind = F.lower(_field("WARC-Type"))
