@@ -111,36 +111,40 @@ def _overlaps(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
 def classes(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the columns n_shingles and component_id.
 
-    n_shingles is the size of the document's set of distinct width-word shingles (A-Z lower-cased; fewer
+    Ids name one text: only whole rows may repeat. n_shingles is the size of the document's set of distinct width-word shingles (A-Z lower-cased; fewer
     words: the whole sequence as one). Documents link when den * overlap >= num * union; component_id is
     the smallest id reachable by links. Empty and null texts have size 0, link with nothing and are their
-    own component. Rows of a null id get the smallest id of their set, or null. Rows of one id but other
-    texts are told apart by their sets. Repeated rows are one set. Clashing column names of docs stay,
+    own component. Rows of a null id get the smallest id of their set, or null. Repeated rows are one set. Clashing column names of docs stay,
     ours get an underscore. Shingles are compared by 64-bit hashes.
     """
     pure = docs.select(column(id_col).cast("long").alias("id"), column(text_col).alias("text"))
     p = saved(_prefixes(pure, width, num, den), "prefixes")
-    sets = saved(p.where("n > 0").groupBy("sid").agg(F.min("id").alias("rep"), F.min_by("prefix", "id").alias("prefix")).where("rep IS NOT NULL"), "sets")
+    sets = saved(p.where("n > 0").groupBy("sid").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.min_by("prefix", "id").alias("prefix")).where("rep IS NOT NULL"), "sets")
 
     keys = sets.select(F.col("rep").alias("y"), F.explode("prefix").alias("key"))
     group = Window.partitionBy("key").orderBy("y").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     stars = saved(keys.withColumn("x", F.first("y").over(group)).where("x <> y").select("key", "x", "y"), "stars")
-    first = saved(_overlaps(pure, stars.select("x", "y").distinct(), width), "overlaps")
+    # Only sizes near enough can link, so only those pairs are counted.
+    size = sets.select(F.col("rep").alias("y"), F.col("n").alias("n"))
+    near = F.least("n", "m") * den >= F.greatest("n", "m") * num
+    pairs = stars.select("x", "y").distinct().join(size, "y").join(size.toDF("x", "m"), "x").select("x", "y", "n", near.alias("near"))
+    pairs = saved(pairs, "pairs")
+    first = saved(_overlaps(pure, pairs.where("near").select("x", "y"), width), "overlaps")
     linked = F.col("overlap") * den >= (F.col("nx") + F.col("ny") - F.col("overlap")) * num
     links = first.where(linked).select(F.col("x").alias("a"), F.col("y").alias("b"))
     comp = components(links)
 
     # Members that stayed out of the component of their group's smallest one.
     at = lambda name, to: comp.select(F.col("node").alias(name), F.col("component").alias(to))
-    far = first.select("x", "y", F.col("ny").alias("n"), (1 - F.col("overlap") / (F.col("nx") + F.col("ny") - F.col("overlap"))).alias("far"))
-    seen = far.join(at("x", "cx"), "x", "left").join(at("y", "c"), "y", "left")
+    far = first.select("x", "y", (1 - F.col("overlap") / (F.col("nx") + F.col("ny") - F.col("overlap"))).alias("far"))
+    seen = pairs.drop("near").join(far, ["x", "y"], "left").join(at("x", "cx"), "x", "left").join(at("y", "c"), "y", "left")
     seen = seen.select("x", "y", "n", "far", F.coalesce("cx", "x").alias("cx"), F.coalesce("c", "y").alias("c"))
     out = stars.join(seen.where("c <> cx").select("x", "y", "n", "far", "c"), ["x", "y"])
     out = saved(out.select("key", "x", F.col("y").alias("a"), F.col("n").alias("na"), F.col("far").alias("fa"), F.col("c").alias("ca")), "outside")
     rest = stars.join(sized(out.select("key").distinct()), "key", "left_semi").join(seen.select("x", "y", "n", "far", "c"), ["x", "y"])
     rest = rest.select("key", F.col("y").alias("b"), F.col("n").alias("nb"), F.col("far").alias("fb"), F.col("c").alias("cb"))
     slack = (den - num) / den + 1e-9
-    may = (F.abs(F.col("fa") - F.col("fb")) <= slack) & (F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
+    may = F.coalesce(F.abs(F.col("fa") - F.col("fb")) <= slack, F.lit(True)) & (F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
     more = out.join(rest, "key").where((F.col("ca") != F.col("cb")) & may)
     more = saved(more.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct(), "more")
     if not more.isEmpty():

@@ -6,6 +6,7 @@ import numpy as np
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = 0x9E3779B97F4A7C15 | 1
+_BACK = pow(_BASE, -1, 2**64)
 #: 64 random bits for each byte value, and whether it is one of the six ASCII white-space characters.
 _BYTE = np.random.default_rng(11).integers(0, 2**63, 256).astype(np.uint64)
 _SPACE = np.zeros(256, dtype=bool)
@@ -21,10 +22,16 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+    """The first n powers of base; those of the longest text so far are kept."""
+    if base not in _POWERS or len(_POWERS[base]) < n:
+        out = np.full(max(1 << 16, 2 * n), base, dtype=np.uint64)
+        out[0] = 1
+        _POWERS[base] = np.multiply.accumulate(out)
+    return _POWERS[base][:n]
 
 
 def word_hashes(raw: bytes) -> np.ndarray:
@@ -35,8 +42,9 @@ def word_hashes(raw: bytes) -> np.ndarray:
     edge = np.diff(np.concatenate(([True], _SPACE[b], [True])).astype(np.int8))
     start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     up = _powers(_BASE, len(b))
-    down = _powers(pow(_BASE, -1, 2**64), len(b))
-    total = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(_BYTE[b] * up, dtype=np.uint64)))
+    down = _powers(_BACK, len(b))
+    total = np.zeros(len(b) + 1, dtype=np.uint64)
+    np.cumsum(_BYTE[b] * up, out=total[1:])
     return mixed((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * _M2)
 
 
@@ -56,4 +64,7 @@ def shingle_sets(texts, width: int):
         s = np.zeros(n, dtype=np.uint64)
         for i in range(take):
             s += h[i : i + n] * weights[i]
-        yield np.unique(mixed(s + np.uint64(take)))
+        s = np.sort(mixed(s + np.uint64(take)))
+        new = np.ones(len(s), dtype=bool)
+        np.not_equal(s[1:], s[:-1], out=new[1:])
+        yield s[new]
