@@ -5,14 +5,16 @@ within that. The order is cut into fragments. Documents whose first n-grams (the
 pair above the threshold must share in part) meet become candidates; the overlap of a candidate pair is
 counted in every fragment apart, from the two documents' segments there, and summed per pair.
 
-A group of documents that share a prefix n-gram never becomes all its pairs. Each member is compared
-with the group's smallest one. Members that this links need no more. For the others the Jaccard
-distance's triangle inequality leaves the pairs to compare: those whose distances to the smallest
+A group of documents that share a prefix n-gram (and a class of sizes) never becomes all its pairs. Each
+member is compared with one of the group's, its first in an order by hashes, in two rounds. Members that this links need no more. For the others the Jaccard
+distance's triangle inequality leaves the pairs to compare: those whose distances to that
 member differ by no more than the threshold allows. No link is lost.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -22,6 +24,8 @@ from seqloom.llm.common import column, components, free_name, saved, sized, tabl
 from seqloom.llm.shingles import mixed, shingle_sets
 
 FRAGMENTS = 8
+#: Rounds in which members of a group are compared with its first one, and in how many orders by keys: copies that share many keys meet several members.
+ORDERS = (8, 1 << 40)
 #: Entries of the list of frequent n-grams sent to all tasks: a fixed bound. The list only orders n-grams; results don't depend on it.
 FREQUENT = 500_000
 #: n-grams that a task counts before it passes on those that it found COUNTED times or more.
@@ -55,7 +59,7 @@ def _frequent(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prefixes(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """(id, n, sid, prefix): size, a 128-bit hash of the set and the prefix of each document."""
+    """(id, n, sid, prefix, counts): size, a 128-bit hash of the set, the prefix, and the n-grams in each of 2**k equal fragments."""
     shared = docs.sparkSession.sparkContext.broadcast(_frequent(docs, width))
 
     def scan(batches):
@@ -65,7 +69,7 @@ def _prefixes(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
             for s in shingle_sets(b["text"], width):
                 n = len(s)
                 if not n:
-                    out.append((0, None, None))
+                    out.append((0, None, None, None))
                     continue
                 rank = np.zeros(n, dtype=np.uint64)
                 if len(known):
@@ -75,11 +79,13 @@ def _prefixes(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
                 # Ascending by (magnitude, hash): s is ascending by hash and the sort is stable.
                 prefix = s[np.argsort(rank, kind="stable")[:keep]]
                 sid = np.array([mixed(s).sum(), mixed(s ^ np.uint64(0x5BD1E995)).sum()], dtype=np.uint64).tobytes()
-                out.append((n, sid, prefix.view(np.int64)))
-            n, sid, prefix = zip(*out, strict=True) if out else ((), (), ())
-            yield pd.DataFrame({"id": b["id"], "n": n, "sid": sid, "prefix": prefix})
+                bits = max(3, (n - 1).bit_length() - 2)
+                counts = np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+                out.append((n, sid, prefix.view(np.int64), counts.astype(np.int32)))
+            n, sid, prefix, counts = zip(*out, strict=True) if out else ((), (), (), ())
+            yield pd.DataFrame({"id": b["id"], "n": n, "sid": sid, "prefix": prefix, "counts": counts})
 
-    return docs.mapInPandas(scan, "id long, n long, sid binary, prefix array<long>")
+    return docs.mapInPandas(scan, "id long, n long, sid binary, prefix array<long>, counts array<int>")
 
 
 def _segments(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
@@ -108,6 +114,26 @@ def _overlaps(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
     return part.groupBy("x", "y", "nx", "ny").agg(F.sum("overlap").alias("overlap"))
 
 
+def _possible(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """pairs (x, y) with n (the size of y) and near: whether their sizes, and the least n-grams that both have in each fine fragment, allow a link."""
+    y = sets.select(F.col("rep").alias("y"), F.col("n").alias("n"), F.col("counts").alias("b"))
+    both = pairs.join(y, "y").join(y.toDF("x", "m", "a"), "x")
+    # Sets near in size have as many fragments, or twice as many: then pairs of these make one.
+    half = lambda c: F.transform(F.sequence(F.lit(0), F.greatest(F.floor(F.size(c) / 2).cast("int") - 1, F.lit(0))), lambda i: F.get(c, 2 * i) + F.get(c, 2 * i + 1))
+    a, b = F.col("a"), F.col("b")
+    a, b = F.when(F.size(a) > F.size(b), half(a)).otherwise(a), F.when(F.size(b) > F.size(a), half(b)).otherwise(b)
+    most = F.aggregate(F.zip_with(a, b, lambda s, t: F.coalesce(F.least(s, t), s, t)), F.lit(0), lambda s, t: s + t)
+    sizes = F.least("n", "m") * den >= F.greatest("n", "m") * num
+    near = F.when(sizes, most * den >= (F.col("n") + F.col("m") - most) * num).otherwise(F.lit(False))
+    return both.select("x", "y", "n", near.alias("near"))
+
+
+def _open(members: DataFrame) -> DataFrame:
+    """Rows of the groups (key, class) whose members are in more than one component c."""
+    several = members.groupBy("key", "class").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high")
+    return members.join(several.select("key", "class"), ["key", "class"], "left_semi")
+
+
 def classes(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the columns n_shingles and component_id.
 
@@ -119,34 +145,41 @@ def classes(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100, id_c
     """
     pure = docs.select(column(id_col).cast("long").alias("id"), column(text_col).alias("text"))
     p = saved(_prefixes(pure, width, num, den), "prefixes")
-    sets = saved(p.where("n > 0").groupBy("sid").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.min_by("prefix", "id").alias("prefix")).where("rep IS NOT NULL"), "sets")
-
-    keys = sets.select(F.col("rep").alias("y"), F.explode("prefix").alias("key"))
-    group = Window.partitionBy("key").orderBy("y").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    stars = saved(keys.withColumn("x", F.first("y").over(group)).where("x <> y").select("key", "x", "y"), "stars")
-    # Only sizes near enough can link, so only those pairs are counted.
-    size = sets.select(F.col("rep").alias("y"), F.col("n").alias("n"))
-    near = F.least("n", "m") * den >= F.greatest("n", "m") * num
-    pairs = stars.select("x", "y").distinct().join(size, "y").join(size.toDF("x", "m"), "x").select("x", "y", "n", near.alias("near"))
-    pairs = saved(pairs, "pairs")
-    first = saved(_overlaps(pure, pairs.where("near").select("x", "y"), width), "overlaps")
+    sets = saved(p.where("n > 0").groupBy("sid").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.min_by(F.struct("prefix", "counts"), "id").alias("s")).select("sid", "rep", "n", "s.prefix", "s.counts").where("rep IS NOT NULL"), "sets")
+
+    keys = sets.select(F.col("rep").alias("y"), "n", F.explode("prefix").alias("key"))
+    by = Window.partitionBy("key").orderBy("y")
+    shared = keys.withColumn("other", F.coalesce(F.lag("y").over(by), F.lead("y").over(by))).where("other IS NOT NULL")
+    # Linked sizes are at most a factor of den / num apart: the classes of a pair's sizes are equal or neighbours.
+    size_class = F.floor(F.log(F.col("n")) / (math.log(den / num) * (1 + 1e-9))).cast("int")
+    shared = shared.select("key", "y", F.explode(F.array(size_class, size_class + 1)).alias("class"))
+    members = saved(shared, "members")
     linked = F.col("overlap") * den >= (F.col("nx") + F.col("ny") - F.col("overlap")) * num
-    links = first.where(linked).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    comp = components(links)
-
-    # Members that stayed out of the component of their group's smallest one.
-    at = lambda name, to: comp.select(F.col("node").alias(name), F.col("component").alias(to))
-    far = first.select("x", "y", (1 - F.col("overlap") / (F.col("nx") + F.col("ny") - F.col("overlap"))).alias("far"))
-    seen = pairs.drop("near").join(far, ["x", "y"], "left").join(at("x", "cx"), "x", "left").join(at("y", "c"), "y", "left")
-    seen = seen.select("x", "y", "n", "far", F.coalesce("cx", "x").alias("cx"), F.coalesce("c", "y").alias("c"))
-    out = stars.join(seen.where("c <> cx").select("x", "y", "n", "far", "c"), ["x", "y"])
-    out = saved(out.select("key", "x", F.col("y").alias("a"), F.col("n").alias("na"), F.col("far").alias("fa"), F.col("c").alias("ca")), "outside")
-    rest = stars.join(sized(out.select("key").distinct()), "key", "left_semi").join(seen.select("x", "y", "n", "far", "c"), ["x", "y"])
-    rest = rest.select("key", F.col("y").alias("b"), F.col("n").alias("nb"), F.col("far").alias("fb"), F.col("c").alias("cb"))
+    where = lambda df, comp: df.join(comp.toDF("y", "c"), "y", "left").withColumn("c", F.coalesce("c", "y"))
+    links = members.select(F.col("y").alias("a"), F.col("y").alias("b")).limit(0)
+    comp = members.select(F.col("y").alias("node"), F.col("y").alias("component")).limit(0)
+    for orders in ORDERS:
+        # Only groups of more than one component; their members are compared with the first one, if that is in another.
+        open_ = saved(_open(where(members, comp)), "open")
+        group = Window.partitionBy("key", "class").orderBy(F.xxhash64("y", F.pmod("key", F.lit(orders))), "y").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        stars = open_.withColumn("first", F.first(F.struct("y", "c")).over(group)).select("key", "class", F.col("first.y").alias("x"), "y", "c", F.col("first.c").alias("cx"))
+        stars = saved(stars.where("c <> cx"), "stars")
+        pairs = saved(_possible(stars.select("x", "y").distinct(), sets, num, den), "pairs")
+        found = saved(_overlaps(pure, pairs.where("near").select("x", "y"), width), "overlaps")
+        links = links.union(found.where(linked).select(F.col("x").alias("a"), F.col("y").alias("b")))
+        comp = components(links)
+
+    # What is left: members of one group in different components. A known distance to the group's first one rules out partners at other distances.
+    far = found.select("x", "y", (1 - F.col("overlap") / (F.col("nx") + F.col("ny") - F.col("overlap"))).alias("far"))
+    far = stars.select("key", "class", "x", "y").join(far, ["x", "y"])
+    size = sets.select(F.col("rep").alias("y"), "n")
+    rest = _open(where(members, comp)).join(far.select("key", "class", "y", "far"), ["key", "class", "y"], "left").join(size, "y").select("key", "class", "y", "n", "far", "c")
+    rest = saved(rest, "rest")
     slack = (den - num) / den + 1e-9
     may = F.coalesce(F.abs(F.col("fa") - F.col("fb")) <= slack, F.lit(True)) & (F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
-    more = out.join(rest, "key").where((F.col("ca") != F.col("cb")) & may)
-    more = saved(more.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct(), "more")
+    a, b = rest.toDF("key", "class", "a", "na", "fa", "ca"), rest.toDF("key", "class", "b", "nb", "fb", "cb")
+    more = a.join(b, ["key", "class"]).where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & may)
+    more = saved(_possible(more.select(F.col("a").alias("x"), F.col("b").alias("y")).distinct(), sets, num, den).where("near").select("x", "y"), "more")
     if not more.isEmpty():
         again = _overlaps(pure, more, width).where(linked)
         comp = components(links.union(again.select("x", "y")))
