@@ -65,16 +65,19 @@ def dropped(docs: DataFrame, least: int = LEAST_CHARS, id_col: str = "doc_id", t
     row = F.xxhash64(ident, text)
     pos = F.struct(F.when(ident.isNull(), 1).otherwise(0).alias("last"), ident.cast("long").alias("id"), row.alias("row"), F.col("line").alias("line"))
     lines = docs.where(text.isNotNull()).select(ident, text, F.posexplode(F.split(text, "\n")).alias("line", "raw"))
-    lines = lines.withColumn("text_", F.regexp_replace("raw", r"\A[\x20\x09-\x0D]+|[\x20\x09-\x0D]+\z", "")).where(F.length("text_") >= least)
+    lines = lines.withColumn("text_", F.btrim("raw", F.lit(" \t\n\x0b\x0c\r"))).where(F.length("text_") >= least)
     lines = lines.select(pos.alias("pos"), F.xxhash64("text_").alias("k"), F.xxhash64(F.lit(1), F.col("text_")).alias("k2"), F.col("text_").alias("text"))
 
     # Equal lines: of each the first place, and how many there are.
     places = saved(lines.select("k", "k2", "pos"), "lines")
     first = places.groupBy("k", "k2").agg(F.min("pos").alias("first"), F.max("pos").alias("last")).select("k", "k2", "first", (F.col("first") < F.col("last")).alias("many"))
 
-    large = _cut(lines.withColumn("gate", F.lit(0).cast("long")), ["k", "k2"], LARGE)
-    shared = sized(saved(_shared(large), "gates"))
-    kept = saved(large.join(shared, "gate", "left_semi").dropDuplicates(["gate", "k", "k2"]), "blocks")
+    # Pass one has gates and hashes only; lines of shared gates are cut again, with their texts.
+    gates = saved(_cut(lines.withColumn("gate", F.lit(0).cast("long")), ["k", "k2"], LARGE).select("gate", "k"), "gates")
+    shared = saved(_shared(gates), "shared")
+    again = sized(saved(gates.join(sized(shared), "gate", "left_semi").select("k").distinct(), "again"))
+    large = _cut(lines.join(again, "k", "left_semi").withColumn("gate", F.lit(0).cast("long")), ["k", "k2"], LARGE)
+    kept = saved(large.join(sized(shared), "gate", "left_semi").dropDuplicates(["gate", "k", "k2"]), "blocks")
     # Until here a gate was shared by large blocks; now by small ones within them.
     small = saved(_cut(kept, ["k", "k2"], SMALL), "small")
     small = small.join(sized(_shared(small)), "gate", "left_semi").dropDuplicates(["gate", "k", "k2", "text"])
