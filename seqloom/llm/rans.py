@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -139,11 +140,16 @@ def encode_texts(path: str, texts) -> list[bytes]:
     if len(kept) > KEPT:
         kept.clear()
     cut = [None if any(x in (t or "") for x in special) else words_of(t or "") for t in texts]
-    new = list({w for words in cut if words for w in words if w not in kept})
-    for at in range(0, len(new), 50_000):
-        part = new[at : at + 50_000]
+    new = {w for words in cut if words for w in words if w not in kept}
+    # A mark after a letter is a match of its own, so those words are the word without it and the mark.
+    marked = {w for w in new if w[-1] in ".," and len(w) > 1 and w[-2].isalpha()}
+    ask = list(((new - marked) | {w[:-1] for w in marked} | {".", ","}) - kept.keys())
+    for at in range(0, len(ask), 50_000):
+        part = ask[at : at + 50_000]
         for w, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-            kept[w] = np.array(e.ids, dtype="<u4").tobytes()
+            kept[w] = array("I", e.ids).tobytes()
+    for w in marked:
+        kept[w] = kept[w[:-1]] + kept[w[-1]]
     out = []
     for t, words in zip(texts, cut, strict=True):
         if words is None:
