@@ -114,19 +114,19 @@ def _top(pairs: DataFrame, k: int) -> DataFrame:
 
 def _scan(queries: DataFrame, index: DataFrame, n_queries: int, n_index: int, dim: int, k: int) -> DataFrame:
     """Exact search of the given queries against all rows, in blocks of both."""
-    spark = index.sparkSession
     blocks, parts = -(-n_queries // QUERY_BLOCK), max(1, -(-n_index // PIECE))
     x = index.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(max(0, blocks - 1)))))
     q = queries.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(max(1, blocks)))).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    q, x = (y.withColumn("block", F.col("block").cast("int")).withColumn("part", F.col("part").cast("int")) for y in (q, x))
+    # Both come from one table: their columns get names of their own.
+    x = x.select(F.col("block").cast("int").alias("block"), F.col("part").cast("int").alias("part"), F.col("vec_id").alias("id"), F.col("v").alias("x"))
+    q = q.select(F.col("block").cast("int").alias("q_block"), F.col("part").cast("int").alias("q_part"), F.col("vec_id").alias("q_id"), F.col("v").alias("q"))
 
     def group(a, b):
         if not len(a) or not len(b):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        return _best(a["vec_id"].to_numpy(), _matrix(a["v"], dim), b["vec_id"].to_numpy(), _matrix(b["v"], dim), k)
+        return _best(a["q_id"].to_numpy(), _matrix(a["q"], dim), b["id"].to_numpy(), _matrix(b["x"], dim), k)
 
-    del spark
-    return _top(q.groupBy("block", "part").cogroup(x.groupBy("block", "part")).applyInPandas(group, "query_id long, vec_id long, score double"), k)
+    return _top(q.groupBy("q_block", "q_part").cogroup(x.groupBy("block", "part")).applyInPandas(group, "query_id long, vec_id long, score double"), k)
 
 
 def nearest(vectors: DataFrame, k: int = 20, query_every: int = 20, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -145,7 +145,6 @@ def nearest(vectors: DataFrame, k: int = 20, query_every: int = 20, id_col: str
     dim, n, longest = shape["dim"], shape["n"], shape["longest"]
     index = saved(_packed(rows.where(F.size("v") == dim).distinct()), "vectors")
     queries = index.where(F.col("vec_id") % query_every == 0)
-    n_queries = queries.count()
     hashes = Hashes(dim, longest)
 
     fit = queries.orderBy(F.xxhash64("vec_id", F.lit(3))).limit(FIT_QUERIES)
@@ -214,7 +213,6 @@ def nearest(vectors: DataFrame, k: int = 20, query_every: int = 20, id_col: str
     if n_short:
         again = _scan(short, index, n_short, n, dim, k)
         found = found.join(short.select(F.col("vec_id").alias("query_id")).distinct(), "query_id", "left_anti").unionByName(again)
-    del n_queries
     return found.select("query_id", "rank", "vec_id", "score")
 
 
