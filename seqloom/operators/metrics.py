@@ -55,20 +55,21 @@ def best_so_far(history: DataFrame, epoch: str = "epoch", loss: str = "val_loss"
 
 @dataclass
 class Network:
-    """Weights of the sequence network: embedding, convolutions (kernels, in, out) with scale and shift, and dense layers."""
+    """Weights of the sequence network: embedding, convolutions and protein layers, each with weights, bias, and the scale and shift of its normalisation, and the head's dense layers."""
 
     embedding: np.ndarray
-    convolutions: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
-    protein: list[tuple[np.ndarray, np.ndarray]]
+    convolutions: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+    protein: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
     head: list[tuple[np.ndarray, np.ndarray]]
 
     @classmethod
     def random(cls, seed: int = 0, embed: int = 64, filters: int = 64, kernels: tuple[int, ...] = (3, 5, 7), protein: int = 32) -> Network:
         r = np.random.default_rng(seed)
         w = lambda *shape: r.standard_normal(shape) / np.sqrt(np.prod(shape[:-1]))
-        convolutions = [(w(k, embed + 14, filters), np.zeros(filters), np.ones(filters)) for k in kernels]
+        layer = lambda *shape: (w(*shape), np.zeros(shape[-1]), np.ones(shape[-1]), np.zeros(shape[-1]))
+        convolutions = [layer(k, embed + 14, filters) for k in kernels]
         wide = filters * len(kernels) + protein
-        return cls(w(22, embed), convolutions, [(w(13, 64), np.zeros(64)), (w(64, protein), np.zeros(protein))], [(w(wide, 128), np.zeros(128)), (w(128, 1), np.zeros(1))])
+        return cls(w(22, embed), convolutions, [layer(13, 64), layer(64, protein)], [(w(wide, 128), np.zeros(128)), (w(128, 1), np.zeros(1))])
 
     def parameters(self) -> int:
         arrays = [self.embedding, *[a for c in self.convolutions for a in c], *[a for layer in self.protein + self.head for a in layer]]
@@ -76,16 +77,16 @@ class Network:
 
     def logit(self, tokens: np.ndarray, residues: np.ndarray, protein: np.ndarray) -> float:
         """One row, alone: sequences shorter than the widest kernel are padded, others aren't."""
-        least = max(k.shape[0] for k, _, _ in self.convolutions)
+        least = max(c[0].shape[0] for c in self.convolutions)
         short = max(0, least - len(tokens))
         x = np.hstack([self.embedding[np.pad(tokens, (0, short))], np.pad(residues, ((0, short), (0, 0)))])
         pooled = []
-        for k, shift, scale in self.convolutions:
+        for k, bias, scale, shift in self.convolutions:
             windows = np.lib.stride_tricks.sliding_window_view(x, k.shape[0], axis=0)
-            pooled.append((np.maximum(np.einsum("nck,kcf->nf", windows, k), 0) * scale + shift).max(axis=0))
+            pooled.append((np.maximum(np.einsum("nck,kcf->nf", windows, k) + bias, 0) * scale + shift).max(axis=0))
         h = protein
-        for w, b in self.protein:
-            h = np.maximum(h @ w + b, 0)
+        for w, b, scale, shift in self.protein:
+            h = np.maximum(h @ w + b, 0) * scale + shift
         h = np.concatenate([*pooled, h])
         (w1, b1), (w2, b2) = self.head
         return float((np.maximum(h @ w1 + b1, 0) @ w2 + b2)[0])

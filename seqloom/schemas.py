@@ -4,28 +4,31 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, StructType
-
-_DBREF = "struct<chain:string,accession:string,db_id_code:string,pdb_start_res:bigint,pdb_end_res:bigint,db_start_res:bigint,db_end_res:bigint>"
-_RESIDUE = "struct<chain:string,residue_seq:bigint,residue_icode:string,amino_acid:string,secondary_structure:string,relative_accessibility:double,phi:double,psi:double>"
-_ALPHA = "struct<index:bigint,chain:string,residue_seq:bigint,residue_icode:string,x:double,y:double,z:double>"
-STRUCTURE = (
-    f"struct<pdb_id:string,pdb_file:string,dbref_records:array<{_DBREF}>,helix_percentage:double,sheet_percentage:double,coil_percentage:double,"
-    f"total_residues_dssp:bigint,dssp_residue_details:array<{_RESIDUE}>,ca_coordinates:array<{_ALPHA}>,"
-    "contact_map_indices_ca:array<struct<idx1:bigint,idx2:bigint>>,processing_error:string>"
-)
-DOMAIN = (
-    "struct<accession:string,bias:double,description:string,end:bigint,envelope_end:bigint,envelope_start:bigint,evalue:double,"
-    "hmm_end:bigint,hmm_start:bigint,score:double,start:bigint,target_name:string>"
-)
-PROPERTIES = "struct<aromaticity:double,charge_at_pH_7:double,gravy:double,instability_index:double,isoelectric_point:double,molecular_weight:double>"
-RESIDUE_FEATURES = "array<struct<hydrophobicity:double,polarity:double,volume:double>>"
-
-INTEGRATED = StructType.fromDDL(
-    "uniprot_id string, sequence string, sequence_length bigint, organism string, taxonomy_id string, "
-    f"physicochemical_properties {PROPERTIES}, residue_features {RESIDUE_FEATURES}, structural_features array<{STRUCTURE}>, "
-    f"domains array<{DOMAIN}>, gelation string, uniprot_id_prefix string"
-)
+from pyspark.sql.types import ArrayType, DataType, DoubleType, FloatType, LongType, StringType, StructField, StructType
+
+_TYPES = {"s": StringType(), "l": LongType(), "d": DoubleType()}
+
+
+def _struct(**fields: str | DataType) -> StructType:
+    """Nullable fields; s, l and d stand for string, long and double."""
+    return StructType([StructField(k, _TYPES[v] if isinstance(v, str) else v) for k, v in fields.items()])
+
+
+DBREF = _struct(chain="s", accession="s", db_id_code="s", pdb_start_res="l", pdb_end_res="l", db_start_res="l", db_end_res="l")
+RESIDUE = _struct(chain="s", residue_seq="l", residue_icode="s", amino_acid="s", secondary_structure="s", relative_accessibility="d", phi="d", psi="d")
+ALPHA_CARBON = _struct(index="l", chain="s", residue_seq="l", residue_icode="s", x="d", y="d", z="d")
+STRUCTURE = _struct(
+    pdb_id="s", pdb_file="s", dbref_records=ArrayType(DBREF), helix_percentage="d", sheet_percentage="d", coil_percentage="d", total_residues_dssp="l",
+    dssp_residue_details=ArrayType(RESIDUE), ca_coordinates=ArrayType(ALPHA_CARBON), contact_map_indices_ca=ArrayType(_struct(idx1="l", idx2="l")), processing_error="s",
+)
+DOMAIN = _struct(accession="s", bias="d", description="s", end="l", envelope_end="l", envelope_start="l", evalue="d", hmm_end="l", hmm_start="l", score="d", start="l", target_name="s")
+PROPERTIES = _struct(aromaticity="d", charge_at_pH_7="d", gravy="d", instability_index="d", isoelectric_point="d", molecular_weight="d")
+RESIDUE_FEATURES = ArrayType(_struct(hydrophobicity="d", polarity="d", volume="d"))
+
+INTEGRATED = _struct(
+    uniprot_id="s", sequence="s", sequence_length="l", organism="s", taxonomy_id="s", physicochemical_properties=PROPERTIES, residue_features=RESIDUE_FEATURES,
+    structural_features=ArrayType(STRUCTURE), domains=ArrayType(DOMAIN), gelation="s", uniprot_id_prefix="s",
+)
 
 
 def without_nan(column: Column, kind: DataType) -> Column:

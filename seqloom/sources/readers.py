@@ -20,19 +20,18 @@ def tagged_fields(record: Column, tags: tuple[str, ...] = ("AC", "OS", "OX")) ->
     Lines with a tag are two letters and three spaces; lines of five spaces continue the tag before. After the
     SQ line come sequence lines, of which white space and digits are removed.
     """
-    lines = F.split(record, "\n")
     # Continuation lines join the line they continue, so that each entry of a tag is one line.
     head = F.regexp_replace(F.regexp_extract(record, r"(?s)\A(.*?)(?:(?:\A|\n)SQ   |\z)", 1), r"\n {5}\s*", " ")
     entries = F.split(head, "\n")
-    out = {}
-    for tag in tags:
-        own = F.filter(entries, lambda line, t=tag: line.startswith(f"{t}   "))
-        joined = F.array_join(F.transform(own, lambda line: F.trim(F.substring(line, 6, 1 << 30))), " ")
-        out[tag] = F.when(F.size(own) > 0, joined)
+
+    def joined(tag: str) -> Column:
+        own = F.filter(entries, lambda line: line.startswith(f"{tag}   "))
+        return F.when(F.size(own) > 0, F.array_join(F.transform(own, lambda line: F.trim(F.substring(line, 6, 1 << 30))), " "))
+
+    out = {tag: joined(tag) for tag in tags}
     after = F.regexp_extract(record, r"(?s)(?:\A|\n)SQ   [^\n]*\n(.*)\z", 1)
     kept = F.filter(F.split(after, "\n"), lambda line: line.startswith("     "))
     out["SQ"] = F.regexp_replace(F.array_join(kept, ""), r"[\s\d]", "")
-    del lines
     return out
 
 
@@ -220,7 +219,7 @@ STATS_KEYS = ("protein_mean", "protein_std", "residue_mean", "residue_std")
 
 def read_stats(spark: SparkSession, path: str) -> DataFrame:
     """One row of the four arrays of a statistics file; a missing array raises."""
-    df = spark.read.json(path, multiLine=True, schema=StructType.fromDDL(", ".join(f"{k} array<double>" for k in STATS_KEYS)))
+    df = spark.read.json(path, multiLine=True, schema=", ".join(f"{k} array<double>" for k in STATS_KEYS))
     row = df.first()
     if row is None or any(row[k] is None for k in STATS_KEYS):
         raise ValueError(f"{path} lacks one of {STATS_KEYS}")

@@ -81,7 +81,7 @@ def test_featurised_and_collated(spark):
     assert {len(r["sequence"]) for r in got} == {7}
     assert {len(r["residue_features"]) for r in got} == {7}
     p = metrics.predict(features.featurised(table, features.stats(table)), metrics.Network.random(1, 4, 4, protein=4)).collect()
-    assert all(0 < r["probability"] < 1 for r in p)
+    assert all(0 <= r["probability"] <= 1 for r in p)  # a deviation at its floor saturates the score
 
 
 def test_network_size():

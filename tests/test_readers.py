@@ -144,7 +144,8 @@ def test_text_sinks(spark, tmp_path):
     sinks.write_fasta(df, str(tmp_path / "f"))
     assert [r[0] for r in spark.read.text(str(tmp_path / "f")).collect()] == [">sp|P1|Generated", "AC"]
     sinks.write_predictions(df, str(tmp_path / "p"))
-    assert [r[0] for r in spark.read.text(str(tmp_path / "p")).collect()] == ["ID\tGelation_Probability", "P1\t0.500000"]
+    back = spark.read.option("header", True).option("sep", "\t").csv(str(tmp_path / "p"))  # each file has the header
+    assert (back.columns, [tuple(r) for r in back.collect()]) == (["ID", "Gelation_Probability"], [("P1", "0.500000")])
     sinks.write_report(spark.sql("SELECT 0.5D AS accuracy, CAST(NULL AS DOUBLE) AS auc"), str(tmp_path / "r"))
     assert [r[0] for r in spark.read.text(str(tmp_path / "r")).collect()] == ["accuracy: 0.5", "auc: n/a"]
     sinks.write_json_lines(df, str(tmp_path / "j"))
