@@ -383,14 +383,6 @@ def fasta_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sequences(spark, sf_dir).select(F.col("doc_id").cast("string").alias("uniprot_id"), F.col("seq").alias("sequence")).select(sinks.fasta_entry())
 
 
-@query("SELECT event_id, event_type, json_extract_string(props, '$') AS text FROM events WHERE 1 = 0")
-def _unused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
-
-
-del QUERIES["_unused"], SQL["_unused"]
-
-
 @query()
 def integrated_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole chain: documents as sequences, line items as hits, integrated, labelled, normalised, featurised."""
