@@ -17,6 +17,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Rows up to which a side of fixed-width rows is broadcast; larger sides are shuffled.
 BROADCAST_ROWS = 500_000
 
+#: Partitions of a graph whose nodes are few enough to be broadcast.
+SMALL_GRAPH_PARTS = 16
+
 
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors once a session, unless their PYTHONPATH already has it."""
@@ -84,19 +87,23 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     e = saved(e, "edges")
-    before = None
+    before, n = None, e.count()
     for _ in range(rounds):
+        # n edges have 2 n nodes at most, which bounds the side that is broadcast.
+        few = 2 * n <= BROADCAST_ROWS
+        side = (lambda df: F.broadcast(df.coalesce(SMALL_GRAPH_PARTS))) if few else (lambda df: df)
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
+        large = both.where("b > a").join(side(least), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = large.where("a <> b") if few else large.where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("p"))
-        e = saved(small.select("p.a", "p.b").where("a <> b").distinct(), "edges")
+        small = large.join(side(least), "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("p"))
+        small = small.select("p.a", "p.b").where("a <> b").distinct()
+        e = saved(small.coalesce(SMALL_GRAPH_PARTS) if few else small, "edges")
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break
-        before = now
+        before, n = now, now[0]
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     least = e.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component")

@@ -156,7 +156,6 @@ def classes(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100, id_c
     members = saved(shared, "members")
     linked = F.col("overlap") * den >= (F.col("nx") + F.col("ny") - F.col("overlap")) * num
     where = lambda df, comp: df.join(comp.toDF("y", "c"), "y", "left").withColumn("c", F.coalesce("c", "y"))
-    links = members.select(F.col("y").alias("a"), F.col("y").alias("b")).limit(0)
     comp = members.select(F.col("y").alias("node"), F.col("y").alias("component")).limit(0)
     for orders in ORDERS:
         # Only groups of more than one component; their members are compared with the first one, if that is in another.
@@ -166,8 +165,8 @@ def classes(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100, id_c
         stars = saved(stars.where("c <> cx"), "stars")
         pairs = saved(_possible(stars.select("x", "y").distinct(), sets, num, den), "pairs")
         found = saved(_overlaps(pure, pairs.where("near").select("x", "y"), width), "overlaps")
-        links = links.union(found.where(linked).select(F.col("x").alias("a"), F.col("y").alias("b")))
-        comp = components(links)
+        links = found.where(linked).select(F.col("x").alias("a"), F.col("y").alias("b"))
+        comp = components(links.union(comp))  # a component's stars stand for its links
 
     # What is left: members of one group in different components. A known distance to the group's first one rules out partners at other distances.
     far = found.select("x", "y", (1 - F.col("overlap") / (F.col("nx") + F.col("ny") - F.col("overlap"))).alias("far"))
@@ -182,7 +181,7 @@ def classes(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100, id_c
     more = saved(_possible(more.select(F.col("a").alias("x"), F.col("b").alias("y")).distinct(), sets, num, den).where("near").select("x", "y"), "more")
     if not more.isEmpty():
         again = _overlaps(pure, more, width).where(linked)
-        comp = components(links.union(again.select("x", "y")))
+        comp = components(again.select(F.col("x").alias("a"), F.col("y").alias("b")).union(comp))
 
     ids = sets.select("sid", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("sid", F.coalesce("component", "rep").alias("component"))
     n_name, c_name = free_name(docs, "n_shingles"), free_name(docs, "component_id")
