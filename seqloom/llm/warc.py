@@ -20,6 +20,8 @@ VERSION = "WARC/1.1"
 DATE = "2024-01-01T00:00:00Z"
 #: Bytes from which equal payloads are stored once.
 REVISIT_BYTES = 100
+#: Links up to which pointer jumping broadcasts one side, and the partitions of its tables then; more links are shuffled.
+BROADCAST_LINKS, PARTS = 100_000, 16
 _LINE = "\r\n"
 _CUT = VERSION + _LINE
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -118,16 +120,19 @@ def reachable(c: DataFrame, rounds: int = 60) -> DataFrame:
     there = links.select("file", F.col("offset").alias("next"))
     jump = saved(links.join(there, ["file", "next"], "left_semi"), "chain")
     marked = links.where("offset = 0").select("file", "offset")
+    # Marks and pointers are among the links: their number bounds what is broadcast in every round.
+    few = links.count() <= BROADCAST_LINKS
+    side, packed = (F.broadcast, lambda df: df.coalesce(PARTS)) if few else ((lambda df: df),) * 2
     n = -1
     for _ in range(rounds):
-        new = jump.join(marked, ["file", "offset"]).select("file", F.col("next").alias("offset"))
-        marked = saved(marked.union(new).distinct(), "marked")
+        new = jump.join(side(marked), ["file", "offset"]).select("file", F.col("next").alias("offset"))
+        marked = saved(packed(marked.union(new).distinct()), "marked")
         m = marked.count()
         if m == n:
             return marked
         n = m
         far = jump.select("file", F.col("offset").alias("next"), F.col("next").alias("far"))
-        jump = saved(jump.join(far, ["file", "next"]).select("file", "offset", F.col("far").alias("next")), "chain")
+        jump = saved(packed(jump.join(side(far), ["file", "next"]).select("file", "offset", F.col("far").alias("next"))), "chain")
     raise RuntimeError("a chain of records did not end")
 
 
