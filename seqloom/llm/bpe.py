@@ -17,6 +17,7 @@ import base64
 import hashlib
 import json
 import re
+import zlib
 
 import pandas as pd
 import regex
@@ -129,15 +130,17 @@ def _coder(key: str, ranks, pattern: str, known) -> Coder:
     return _CODERS[key]
 
 
-def rank_lookup(ranks: dict[bytes, int]):
-    """A function from a binary column to its rank, by a literal map in buckets of a hash."""
-    spark = SparkSession.getActiveSession()
-    keys = spark.createDataFrame([(b,) for b in ranks], "b binary").select("b", F.pmod(F.xxhash64("b"), F.lit(BUCKETS)).cast("int").alias("k")).collect()
+def rank_map(ranks: dict[bytes, int]) -> Column:
+    """The ranks as a literal array of maps, bucketed by CRC-32, which Python and Spark compute alike."""
     maps: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
-    for b, k in keys:
-        maps[k][bytes(b).hex().upper()] = ranks[bytes(b)]
-    literal = F.from_json(F.lit(json.dumps(maps)), "array<map<string,int>>")
-    return lambda b: F.try_element_at(F.get(literal, F.pmod(F.xxhash64(b), F.lit(BUCKETS)).cast("int")), F.hex(b))
+    for b, rank in ranks.items():
+        maps[zlib.crc32(b) % BUCKETS][b.hex().upper()] = rank
+    return F.from_json(F.lit(json.dumps(maps, separators=(",", ":"))), "array<map<string,int>>")
+
+
+def rank_in(maps: Column):
+    """A function from a binary column to its rank in maps, as rank_map() makes them."""
+    return lambda b: F.try_element_at(F.get(maps, F.pmod(F.crc32(b), F.lit(BUCKETS)).cast("int")), F.hex(b))
 
 
 def fold_column(piece: Column, rank) -> Column:
@@ -175,9 +178,9 @@ def dictionary(docs: DataFrame, text_col: str, ranks: dict[bytes, int], pattern:
     top = count.where("length(word) between 2 and 64").orderBy(F.desc("count"), "word").limit(most).select("word")
     top = top.repartition(32, "word")
     java = pattern.replace(r"[^\s", r"[^\p{IsWhite_Space}").replace(r"\s", r"\p{IsWhite_Space}").replace(r"\S", r"\P{IsWhite_Space}")
-    rank = rank_lookup(ranks)
     pieces = F.regexp_extract_all("word", F.lit(java), F.lit(0))
-    ids = F.flatten(F.transform(pieces, lambda p: fold_column(p, rank)))
+    # A lambda's variable holds the map, so that the plan has it once.
+    ids = F.flatten(F.transform(F.array(rank_map(ranks)), lambda maps: F.flatten(F.transform(pieces, lambda p: fold_column(p, rank_in(maps))))))
     got = top.select("word", F.concat(F.lit(","), F.array_join(ids.cast("array<string>"), ",")).alias("ids")).toPandas()
     return dict(zip(got["word"], (x.encode() for x in got["ids"]), strict=True))
 
