@@ -41,6 +41,42 @@ def _blocks(text: Column, size: int) -> Column:
     return F.array_union(of(n), of(F.greatest(n - 1, F.lit(1))))
 
 
+def _surroundings(text: Column, n: Column) -> Column:
+    """array<struct<gate, a, b>>: the large blocks of _blocks(), gate a hash of what surrounds each.
+
+    Lines of over two blocks are cut in chunks once from their start and once from the suffix after the first
+    block, which ends where every later suffix does. A block's surroundings are running XORs over the
+    hashes of numbered chunks, so that the text is read a fixed number of times, however long it is.
+    """
+    block = lambda a, b, left, right: F.struct(F.xxhash64(a, b, left, right).alias("gate"), a.cast("int").alias("a"), b.cast("int").alias("b"))
+
+    def halves(m: Column) -> Column:
+        c = (F.lit(STEP) * F.ceil(m / (2 * STEP))).cast("int")
+        b = (F.lit(STEP) * F.floor(F.greatest(m - c, F.lit(0)) / STEP)).cast("int")
+        one = block(F.lit(0), b, F.lit(0).cast("long"), F.xxhash64(F.substring(text, n - b + 1, b)))
+        two = block(c, F.lit(0), F.xxhash64(F.substring(text, F.lit(1), c)), F.lit(0).cast("long"))
+        return F.when(m > c, F.array(one, two)).otherwise(F.array(one))
+
+    def running(part: Column) -> Column:
+        # XORs of the first 0, 1, ... chunks of part.
+        hashes = F.transform(F.regexp_extract_all(part, F.lit(f"(?s).{{1,{LARGE}}}"), F.lit(0)), lambda x, i: F.xxhash64(i, x))
+        return F.aggregate(hashes, F.array(F.lit(0).cast("long")), lambda acc, h: F.concat(acc, F.array(F.element_at(acc, -1).bitwiseXOR(h))))
+
+    def chunks(m: Column) -> Column:
+        last = F.ceil(m / LARGE).cast("int") - 1
+        b = lambda j: (F.lit(STEP) * F.floor(F.greatest(m - (j + 1) * LARGE, F.lit(0)) / STEP)).cast("int")
+        both = F.struct(running(text).alias("p"), running(F.substring(text, n - b(F.lit(0)) + 1, b(F.lit(0)))).alias("q"))
+        # A one-element array binds both, so that they are worked out once a line. The last suffix is empty, or shorter than STEP left out.
+        of = lambda x: F.transform(F.sequence(F.lit(0), last), lambda j: block(j * LARGE, b(j), F.get(x["p"], j), F.when(b(j) > 0, F.element_at(x["q"], -1).bitwiseXOR(F.get(x["q"], j))).otherwise(F.lit(0).cast("long"))))
+        return F.flatten(F.transform(F.array(both), of))
+
+    of = lambda m: F.when(m <= 2 * LARGE, halves(m)).otherwise(chunks(m))
+    less = F.greatest(n - 1, F.lit(1))
+    # Blocks depend on these alone; seven lengths of eight have those of the length before.
+    kind = lambda m: F.struct(m <= 2 * LARGE, F.floor(m / STEP), F.ceil(m / (2 * STEP)), F.ceil(m / LARGE))
+    return F.when(kind(n) == kind(less), of(n)).otherwise(F.concat(of(n), of(less)))
+
+
 def _cut(rows: DataFrame, keep: list[str], size: int) -> DataFrame:
     """rows (keep, gate, text) to a row for each block: gate hashes what surrounds the block, text is the block."""
     one = rows.select(*keep, "gate", "text", F.explode(_blocks(F.col("text"), size)).alias("at"))
@@ -63,20 +99,25 @@ def dropped(docs: DataFrame, least: int = LEAST_CHARS, id_col: str = "doc_id", t
     """
     text, ident = column(text_col), column(id_col)
     row = F.xxhash64(ident, text)
-    pos = F.struct(F.when(ident.isNull(), 1).otherwise(0).alias("last"), ident.cast("long").alias("id"), row.alias("row"), F.col("line").alias("line"))
-    lines = docs.where(text.isNotNull()).select(ident, text, F.posexplode(F.split(text, "\n")).alias("line", "raw"))
+    pos = F.struct(F.when(F.col("id").isNull(), 1).otherwise(0).alias("last"), F.col("id"), F.col("row"), F.col("line"))
+    # Each text is hashed once, before its lines part.
+    lines = docs.where(text.isNotNull()).select(ident.cast("long").alias("id"), row.alias("row"), F.split(text, "\n").alias("lines"))
+    lines = lines.select("id", "row", F.posexplode("lines").alias("line", "raw"))
     lines = lines.withColumn("text_", F.btrim("raw", F.lit(" \t\n\x0b\x0c\r"))).where(F.length("text_") >= least)
     lines = lines.select(pos.alias("pos"), F.xxhash64("text_").alias("k"), F.xxhash64(F.lit(1), F.col("text_")).alias("k2"), F.col("text_").alias("text"))
 
-    # Equal lines: of each the first place, and how many there are.
-    places = saved(lines.select("k", "k2", "pos"), "lines")
-    first = places.groupBy("k", "k2").agg(F.min("pos").alias("first"), F.max("pos").alias("last")).select("k", "k2", "first", (F.col("first") < F.col("last")).alias("many"))
+    lines = lines.withColumn("n", F.length("text"))
+    at = _surroundings(F.col("text"), F.col("n"))
 
     # Pass one has gates and hashes only; lines of shared gates are cut again, with their texts.
-    gates = saved(_cut(lines.withColumn("gate", F.lit(0).cast("long")), ["k", "k2"], LARGE).select("gate", "k"), "gates")
+    places = saved(lines.select("k", "k2", "pos", F.array_distinct(at.getField("gate")).alias("gates")), "lines")
+    # Equal lines: of each the first place, and how many there are.
+    first = places.groupBy("k", "k2").agg(F.min("pos").alias("first"), F.max("pos").alias("last")).select("k", "k2", "first", (F.col("first") < F.col("last")).alias("many"))
+    gates = places.select(F.explode("gates").alias("gate"), "k")
     shared = saved(_shared(gates), "shared")
     again = sized(saved(gates.join(sized(shared), "gate", "left_semi").select("k").distinct(), "again"))
-    large = _cut(lines.join(again, "k", "left_semi").withColumn("gate", F.lit(0).cast("long")), ["k", "k2"], LARGE)
+    large = lines.join(again, "k", "left_semi").select("k", "k2", "text", "n", F.explode(at).alias("at"))
+    large = large.select("k", "k2", "at.gate", F.substring("text", F.col("at.a") + 1, F.col("n") - F.col("at.a") - F.col("at.b")).alias("text"))
     kept = saved(large.join(sized(shared), "gate", "left_semi").dropDuplicates(["gate", "k", "k2"]), "blocks")
     # Until here a gate was shared by large blocks; now by small ones within them.
     small = saved(_cut(kept, ["k", "k2"], SMALL), "small")
@@ -102,7 +143,7 @@ def dropped(docs: DataFrame, least: int = LEAST_CHARS, id_col: str = "doc_id", t
     near = near.where(F.levenshtein(F.col("text"), F.col("head.text"), 1) == 1).select("k", "k2").distinct()
 
     go = first.join(near.withColumn("near", F.lit(True)), ["k", "k2"], "left").where("many OR near").select("k", "k2", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    gone = places.join(go, ["k", "k2"]).where("near OR pos > first")
+    gone = places.select("k", "k2", "pos").join(go, ["k", "k2"]).where("near OR pos > first")
     return gone.groupBy(F.col("pos.row").alias("row")).agg(F.collect_set(F.col("pos.line")).alias("lines"))
 
 
