@@ -229,6 +229,25 @@ def test_trees_are_monotone():
     assert ((t.score(x) > 0.5) == (y > 0)).mean() > 0.8
 
 
+def test_line_dedup_of_long_lines(spark):
+    """One edit anywhere in a long line is found, two are not, at lengths about the edges of blocks."""
+    rng, rows, gone = random.Random(3), [], set()
+    for n in (510, 511, 512, 513, 514, 767, 768, 769, 1024, 1025, 1031, 3001):
+        for at in (0, 1, n // 2, n - 2, n - 1):
+            for edit in ("insert", "delete", "replace", "two"):
+                line = "".join(rng.choice("abcdefgh é😀") for _ in range(n - 2))
+                line = f"x{line}x"
+                other = {"insert": line[:at] + "Q" + line[at:], "delete": line[:at] + line[at + 1 :]}.get(edit, line[:at] + "Q" + line[at + 1 :])
+                if edit == "two":
+                    other = other[: n // 3] + "RR" + other[n // 3 :]
+                rows += [(len(rows), line), (len(rows) + 1, other)]
+                # White space around a line is left out: an edit beside it may then be more than one.
+                if edit != "two" and len(line) - 1 <= len(other.strip(" ")) <= len(line) + 1:
+                    gone.add(len(rows) - 1)
+    out = line_dedup.deduped(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id for r in out.where("__dropped > 0").collect()} == gone
+
+
 def test_warc(spark):
     html = [None, "", "x" * 100, "x" * 100, "y" * 99, "y" * 99, "é" * 50, "a\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\nWARC/1.1\r\n" + "z" * 200, "WARC/1.1\r\n" * 9]
     pages = spark.createDataFrame([(i, None if i == 1 else f"http://h/{i} a", h) for i, h in enumerate(html)] + [(3, "again", "x" * 100)], "page_id long, url string, html string")
