@@ -87,7 +87,9 @@ def molecular_weight(sequence: Column) -> Column:
 def dipeptide_index(sequence: Column, weights: dict[str, float], default: float = 1.0) -> Column:
     """10 / length times the summed weights of adjacent residue pairs; pairs without a weight count as default."""
     table = scale_map(weights)
-    pairs = F.transform(F.sequence(F.lit(1), F.length(sequence) - 1), lambda i: F.substring(sequence, i, F.lit(2)))
+    # A one-element array binds the letters: cutting each pair from the text would take its length squared.
+    pairs_of = lambda c: F.transform(F.slice(c, F.lit(1), F.greatest(F.size(c) - 1, F.lit(0))), lambda x, i: F.concat(x, F.get(c, i + 1)))
+    pairs = F.get(F.transform(F.array(letters(sequence)), pairs_of), F.lit(0))
     value = total(F.transform(pairs, lambda p: F.coalesce(F.try_element_at(table, p), F.lit(default))))
     return F.lit(10.0) / F.length(sequence) * F.when(F.length(sequence) > 1, value).otherwise(0.0)
 

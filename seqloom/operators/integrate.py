@@ -70,9 +70,8 @@ def summary(integrated: DataFrame) -> DataFrame:
 
 
 def from_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Documents as proteins: cleaned and truncated texts as sequences."""
-    sequence, cut = S.truncate(S.clean(F.col(text_col)))
-    return docs.select(F.col(id_col).cast("string").alias("uniprot_id"), sequence.alias("sequence"), cut.alias("truncated")).where("sequence <> ''")
+    """Documents as proteins: whole cleaned texts as sequences."""
+    return docs.select(F.col(id_col).cast("string").alias("uniprot_id"), S.clean(F.col(text_col)).alias("sequence")).where("sequence <> ''")
 
 
 INTEGRATED = schemas.INTEGRATED

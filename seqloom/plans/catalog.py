@@ -124,9 +124,10 @@ def net_charge_closed_form(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def physicochemical_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All six properties, the isoelectric point by bisection, of the standard letters of each sequence."""
+    """All six properties, the isoelectric point by bisection, of the standard letters of each whole sequence."""
     only = F.regexp_replace("seq", f"[^{S.RESIDUES}]", "")
-    p = _sequences(spark, sf_dir).select("doc_id", only.alias("seq")).select("doc_id", S.properties(F.col("seq"), DIPEPTIDES).alias("p"))
+    whole = _table(spark, sf_dir, "documents").select("doc_id", S.clean(F.col("text")).alias("seq")).where("seq <> ''")
+    p = whole.select("doc_id", only.alias("seq")).select("doc_id", S.properties(F.col("seq"), DIPEPTIDES).alias("p"))
     return p.select("doc_id", *[F.round(F.col("p")[f], 6).alias(f) for f in ("aromaticity", "charge_at_pH_7", "gravy", "instability_index", "isoelectric_point", "molecular_weight")])
 
 
