@@ -23,7 +23,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines seen earlier; n_chars counts what is left. Those that lose all their words go."""
     ship(spark)
-    out = line_dedup.deduped(docs)
+    out = line_dedup.deduped(docs, exact=1)
     gone = (F.col("__dropped") > 0) & ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     return out.where(~gone).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 

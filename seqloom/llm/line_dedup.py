@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from seqloom.llm.common import column, saved, sized, table
 
-#: Shorter lines, without the white space around them, are left alone.
+#: Shorter lines, without the white space around them, take no part in one-edit matches.
 LEAST_CHARS = 20
 LARGE, SMALL = 256, 16
 #: Suffix lengths are whole multiples of this, so that lines whose lengths differ by one mostly share them.
@@ -90,24 +90,28 @@ def _shared(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("gate").agg(F.min("k").alias("low"), F.max("k").alias("high")).where("low <> high").select("gate")
 
 
-def dropped(docs: DataFrame, least: int = LEAST_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dropped(docs: DataFrame, least: int = LEAST_CHARS, id_col: str = "doc_id", text_col: str = "text", exact: int | None = None) -> DataFrame:
     """(row, lines): for each document, by the hash of its id and text, the numbers (from 0) of lines to drop.
 
     A line goes if an earlier one, by ascending id (nulls last) and then line number, is equal or one edit
-    away, white space around both left out. Whether the earlier one goes too doesn't matter. Lines of fewer
-    than least characters are left alone. Equal rows of docs are one document.
+    away, white space around both left out. Whether the earlier one goes too doesn't matter. One-edit matches
+    are of lines of at least `least` characters, equal ones of at least `exact` (`least` if None; 1: all that
+    aren't blank). Equal rows of docs are one document.
     """
+    exact = least if exact is None else min(least, max(1, exact))
     text, ident = column(text_col), column(id_col)
     row = F.xxhash64(ident, text)
     pos = F.struct(F.when(F.col("id").isNull(), 1).otherwise(0).alias("last"), F.col("id"), F.col("row"), F.col("line"))
     # Each text is hashed once, before its lines part.
     lines = docs.where(text.isNotNull()).select(ident.cast("long").alias("id"), row.alias("row"), F.split(text, "\n").alias("lines"))
     lines = lines.select("id", "row", F.posexplode("lines").alias("line", "raw"))
-    lines = lines.withColumn("text_", F.btrim("raw", F.lit(" \t\n\x0b\x0c\r"))).where(F.length("text_") >= least)
+    lines = lines.withColumn("text_", F.btrim("raw", F.lit(" \t\n\x0b\x0c\r"))).where(F.length("text_") >= exact)
     lines = lines.select(pos.alias("pos"), F.xxhash64("text_").alias("k"), F.xxhash64(F.lit(1), F.col("text_")).alias("k2"), F.col("text_").alias("text"))
 
     lines = lines.withColumn("n", F.length("text"))
+    # Lines too short for one-edit matches have no blocks: only equal ones meet.
     at = _surroundings(F.col("text"), F.col("n"))
+    at = at if exact == least else F.when(F.col("n") >= least, at)
 
     # Pass one has gates and hashes only; lines of shared gates are cut again, with their texts.
     places = saved(lines.select("k", "k2", "pos", F.array_distinct(at.getField("gate")).alias("gates")), "lines")
@@ -147,12 +151,12 @@ def dropped(docs: DataFrame, least: int = LEAST_CHARS, id_col: str = "doc_id", t
     return gone.groupBy(F.col("pos.row").alias("row")).agg(F.collect_set(F.col("pos.line")).alias("lines"))
 
 
-def deduped(docs: DataFrame, least: int = LEAST_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduped(docs: DataFrame, least: int = LEAST_CHARS, id_col: str = "doc_id", text_col: str = "text", exact: int | None = None) -> DataFrame:
     """docs without the lines that dropped() names, and with the columns __lines (before) and __dropped.
 
     Null and empty texts stay as they are. Other columns of docs are kept, whatever their names.
     """
-    gone = dropped(docs, least, id_col, text_col).withColumnRenamed("row", "__row").withColumnRenamed("lines", "__gone")
+    gone = dropped(docs, least, id_col, text_col, exact).withColumnRenamed("row", "__row").withColumnRenamed("lines", "__gone")
     out = docs.withColumn("__row", F.xxhash64(column(id_col), column(text_col))).join(gone, "__row", "left")
     lines = F.split(column(text_col), "\n")
     rest = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
@@ -164,5 +168,5 @@ def deduped(docs: DataFrame, least: int = LEAST_CHARS, id_col: str = "doc_id", t
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its text without dropped lines, and how many lines it had and lost."""
-    out = deduped(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = deduped(table(spark, sf_dir, "documents").select("doc_id", "text"), exact=1)
     return out.select("doc_id", F.col("__lines").alias("n_lines"), F.col("__dropped").alias("n_dropped"), "text")
