@@ -402,15 +402,15 @@ def model_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def integrated_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents in the integrated schema; an order's line items stand for domain hits and structures."""
+    """Documents in the integrated schema; an order's line items stand for domain hits (odd numbers) and structures (even ones)."""
     only = F.regexp_replace("sequence", f"[^{S.RESIDUES}]", "")
     proteins = integrate.from_documents(_table(spark, sf_dir, "documents")).select("uniprot_id", only.alias("sequence")).where("sequence <> ''")
     proteins = proteins.select("uniprot_id", "sequence", F.length("sequence").cast("long").alias("sequence_length"), F.lit("Unknown").alias("organism"), F.lit(None).cast("string").alias("taxonomy_id"))
     li = _table(spark, sf_dir, "lineitem")
     name = F.element_at(F.array(*map(F.lit, integrate.LABEL_DOMAINS), F.lit("PF00001")), (F.col("l_partkey") % 4 + 1).cast("int"))
-    hits = li.where("l_linenumber = 1").select(F.col("l_orderkey").cast("string").alias("uniprot_id"), name.alias("accession"), F.col("l_partkey").alias("start"))
+    hits = li.where("l_linenumber % 2 = 1").select(F.col("l_orderkey").cast("string").alias("uniprot_id"), name.alias("accession"), F.col("l_partkey").alias("start"))
     shape = F.struct(F.lit(None).cast("double").alias("relative_accessibility"), F.lit(-60.0).alias("phi"), F.lit(-45.0).alias("psi"), F.lit("H").alias("secondary_structure"))
-    structures = li.where("l_linenumber = 2").select(
+    structures = li.where("l_linenumber % 2 = 0").select(
         F.col("l_orderkey").cast("string").alias("uniprot_id"), F.col("l_suppkey").cast("string").alias("pdb_id"), F.lit(20.0).alias("helix_percentage"),
         F.col("l_quantity").alias("sheet_percentage"), (F.lit(80.0) - F.col("l_quantity")).alias("coil_percentage"), F.array(shape, shape).alias("dssp_residue_details"),
     )

@@ -34,3 +34,15 @@ def test_whole_texts(spark, tmp_path):
     want = {str(i): (len(s), len(s)) for i, s in enumerate(seqs) if s}
     assert {r["uniprot_id"]: (r["n"], r["n_residues"]) for r in catalog.integrated_features(spark, sf).collect()} == want
     assert {r["uniprot_id"] for r in catalog.model_predictions(spark, sf).collect()} == set(want)
+
+
+def test_every_line_item_is_a_hit_or_a_structure(spark, tmp_path):
+    items = [(i, 10 * i + n, 100 - n, n, float(n)) for i in range(3) for n in range(1, 8) if i < 2 or n > 2]
+    sf = tables(spark, tmp_path, ["ACDEFGHIKL"] * 4, items)
+    got = {r["uniprot_id"]: r for r in catalog.integrated_table(spark, sf).collect()}
+    assert set(got) == {"0", "1", "2", "3"}
+    for i in range(4):
+        mine = [x for x in items if x[0] == i]
+        assert [d["start"] for d in got[str(i)]["domains"]] == sorted(p for _, p, _, n, _ in mine if n % 2)
+        want = sorted((str(s), q) for _, _, s, n, q in mine if n % 2 == 0)
+        assert [(x["pdb_id"], x["sheet_percentage"]) for x in got[str(i)]["structural_features"]] == want
