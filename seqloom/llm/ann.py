@@ -12,6 +12,7 @@ vectors to the length of the longest one; queries get 0 there.
 from __future__ import annotations
 
 import itertools
+import logging
 
 import numpy as np
 import pandas as pd
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 
 from seqloom.llm.common import saved, table
 
+_LOG = logging.getLogger(__name__)
+
 TABLES = 4
 FUNCTIONS = 5
 #: Window width, as a part of the longest vector's length.
@@ -136,7 +139,8 @@ def nearest(vectors: DataFrame, k: int = 20, query_every: int = 20, id_col: str
     (see usable) and those whose width isn't the most frequent one take no part. Rows of one id and vector
     count once. Ties go to the smaller id. A query with fewer than k finds is searched again exactly, in
     blocks. The number of probes is fitted on at most FIT_QUERIES queries, whose true neighbours are
-    searched among all rows; all rows are indexed. An empty table gives an empty result.
+    searched among all rows; all rows are indexed. If no number of probes reaches FIT_RECALL there, all
+    queries are searched exactly. Which way was taken is logged. An empty table gives an empty result.
     """
     rows = usable(vectors, id_col, vec_col)
     shape = rows.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).alias("longest")).orderBy(F.desc("n"), "dim").first()
@@ -149,7 +153,12 @@ def nearest(vectors: DataFrame, k: int = 20, query_every: int = 20, id_col: str
 
     fit = queries.orderBy(F.xxhash64("vec_id", F.lit(3))).limit(FIT_QUERIES)
     truth = _scan(fit, index, FIT_QUERIES, n, dim, k)
-    probes = _fit_probes(fit, truth, index, hashes, dim)
+    probes, recall = _fit_probes(fit, truth, index, hashes, dim)
+    if recall < FIT_RECALL:
+        _LOG.warning("nearest: all %d probes reach a fitted recall of %.3f, under %.2f: all queries are searched exactly", probes, recall, FIT_RECALL)
+        n_queries = queries.count()
+        return _scan(queries, index, n_queries, n, dim, k).select("query_id", "rank", "vec_id", "score")
+    _LOG.info("nearest: hashing with %d probes, fitted recall %.3f", probes, recall)
 
     def of_rows(batches):
         for b in batches:
@@ -216,12 +225,15 @@ def nearest(vectors: DataFrame, k: int = 20, query_every: int = 20, id_col: str
     return found.select("query_id", "rank", "vec_id", "score")
 
 
-def _fit_probes(fit: DataFrame, truth: DataFrame, index: DataFrame, hashes: Hashes, dim: int) -> int:
-    """The fewest probes that find FIT_RECALL of truth, whose rows (FIT_QUERIES * k at most) reach the driver."""
+def _fit_probes(fit: DataFrame, truth: DataFrame, index: DataFrame, hashes: Hashes, dim: int) -> tuple[int, float]:
+    """The fewest probes that find FIT_RECALL of truth (all, if none do) and the recall they reach.
+
+    The rows of truth (FIT_QUERIES * k at most) reach the driver.
+    """
     near = truth.select("query_id", "vec_id").join(index, "vec_id").toPandas()
     q = fit.toPandas()
     if not len(near):
-        return len(hashes.shifts)
+        return len(hashes.shifts), 1.0
     q_codes, part = hashes.codes(_matrix(q["v"], dim), True)
     codes, _ = hashes.codes(_matrix(near["v"], dim), False)
     at = pd.Series(np.arange(len(q)), index=q["vec_id"])
@@ -234,9 +246,10 @@ def _fit_probes(fit: DataFrame, truth: DataFrame, index: DataFrame, hashes: Hash
         seen = (np.abs(gap) <= 1).all(axis=1)
         best = np.where(seen, np.minimum(best, rank[at, np.where(seen, number, 0)]), best)
     for probes in range(1, len(hashes.shifts) + 1):
-        if (best < probes).mean() >= FIT_RECALL:
-            return probes
-    return len(hashes.shifts)
+        recall = float((best < probes).mean())
+        if recall >= FIT_RECALL:
+            break
+    return probes, recall
 
 
 def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
