@@ -49,9 +49,9 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and the token ids of every document."""
+    """doc_id, n_tokens and the token ids of every document; the ids are decoded and must give its text back."""
     ship(spark)
-    return bpe.encode_documents(docs)
+    return bpe.encode_documents(docs, decode=True)
 
 
 STAGES = [

@@ -202,11 +202,16 @@ def _run(docs: DataFrame, id_cols: list[str], text_col: str, ranks_path: str | N
     return rows.mapInPandas(scan, schema)
 
 
-def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """(id, n_tokens, ids array<int>) of every whole text. Null and empty texts have no ids; repeated rows repeat."""
+def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks_path: str | None = None, pattern: str | None = None, decode: bool = False) -> DataFrame:
+    """(id, n_tokens, ids array<int>) of every whole text. Null and empty texts have no ids; repeated rows repeat.
+
+    decode: the same tasks decode the ids too, and fail if they don't give the text back.
+    """
 
     def make(coder: Coder, texts):
         digits = [coder.encode(t) for t in texts]
+        if decode and any(coder.decode(d) != (t or "").encode("utf-8", "surrogatepass") for d, t in zip(digits, texts, strict=True)):
+            raise ValueError("decoded ids don't give the text back")
         return {"n_tokens": [d.count(b",") + 1 if d else 0 for d in digits], "ids": [list(map(int, d.split(b","))) if d else [] for d in digits]}
 
     kind = dict(docs.dtypes)[id_col]
