@@ -1,38 +1,49 @@
 """Byte-level BPE encoding and decoding by ranked merges.
 
-Two parts share the work. Distinct words are counted over the whole corpus, and the frequent ones are
-encoded by Spark's higher-order functions: a fold over the word's byte array merges, at each step, the
-adjacent pair of least rank, looked up in a literal rank map. Their ids form a dictionary of a fixed
-size bound. Tasks then encode whole texts word by word: from the dictionary, or by the same fold of
-ranked merges for words outside it, whose results are kept for their next use. Decoding concatenates
-the ids' byte strings.
+All merges are folds of Spark's higher-order functions over the bytes of distinct words: at each step the
+adjacent pair of least rank, looked up in a literal rank map, becomes one. A word here is one match of
+the pattern. It takes three steps, none of which shuffles texts:
+
+1. Words are counted over the whole corpus. Those that some task finds twice are folded once and make a
+   dictionary of a fixed size bound, which is sent to all tasks.
+2. Tasks number the words of their texts, chunk by chunk; a chunk's words that are new to the task and not in the
+   dictionary go to the same fold, in the same stage.
+3. Numbers become ids by look-ups in numpy arrays.
+
+Decoding concatenates the ids' byte strings, in Spark.
 
 Texts are cut where a space or line feed stands between two non-space characters; there the pattern's
-matches end whatever surrounds them, so a word's ids don't depend on its place.
+matches end whatever surrounds them, so the ids of such a run don't depend on its place.
 """
 
 from __future__ import annotations
 
 import base64
-import hashlib
+import collections
+import heapq
 import json
 import re
-import zlib
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StringType, StructType
 
-from seqloom.llm.common import column, table
+from seqloom.llm.common import column, free_name, table
 
 #: Words of the dictionary, at most: a fixed bound of what is sent to every task.
-DICTIONARY = 100_000
-#: Words that a Python worker keeps besides; then it starts anew.
-KEPT = 300_000
-#: Buckets of the literal rank map: Spark looks keys up one by one within a map.
-BUCKETS = 16_384
+DICTIONARY = 1_000_000
+#: Distinct runs that a task counts, or keeps numbers of, at a time; then it starts anew.
+COUNTED, KEPT = 1_000_000, 500_000
+#: Characters of the texts whose new words are folded together, about.
+CHUNK = 4_000_000
+#: Buckets of the literal rank map.
+BUCKETS = 1 << 15
+#: Bytes of a word up to which it is folded in Spark, where a word takes its length squared; longer ones take a heap.
+LONGEST = 4_096
+_NONE, _TOKEN = 1 << 30, 1 << 25
 
 #: Unicode white space, as the pattern's \s means it (fixed values).
 SPACE = "\t-\r \x85\xa0  -     　"
@@ -69,183 +80,354 @@ def words_of(text: str) -> list[str]:
 
 
 def fold(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one match: the adjacent pair of least rank, leftmost first, is merged until none has a rank."""
+    """Ids of one word: the adjacent pair of least rank, leftmost first, is merged until none has a rank. With a heap, for long words."""
     if word in ranks:
         return [ranks[word]]
-    parts = [word[i : i + 1] for i in range(len(word))]
-    pairs = [ranks.get(word[i : i + 2], 1 << 40) for i in range(len(word) - 1)]
-    while pairs:
-        low = min(pairs)
-        if low == 1 << 40:
-            break
-        i = pairs.index(low)
-        parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        del pairs[i]
-        if i < len(pairs):
-            pairs[i] = ranks.get(parts[i] + parts[i + 1], 1 << 40)
-        if i:
-            pairs[i - 1] = ranks.get(parts[i - 1] + parts[i], 1 << 40)
-    return [ranks[p] for p in parts]
+    n = len(word)
+    end, before = list(range(1, n + 1)), list(range(-1, n))  # of the part that starts here
+    heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(word[i : i + 2])) is not None]
+    heapq.heapify(heap)
+    alive = [True] * n
+    while heap:
+        _, i, z = heapq.heappop(heap)
+        if not alive[i] or end[i] >= z or end[end[i]] != z:
+            continue
+        alive[end[i]] = False
+        end[i] = z
+        if z < n:
+            before[z] = i
+            if (r := ranks.get(word[i : end[z]])) is not None:
+                heapq.heappush(heap, (r, i, end[z]))
+        if i and (r := ranks.get(word[before[i] : z])) is not None:
+            heapq.heappush(heap, (r, before[i], z))
+    return [ranks[word[i : end[i]]] for i in range(n) if alive[i]]
+
+
+def compiled(pattern: str) -> regex.Pattern:
+    """The pattern, with white space as Unicode has it."""
+    return regex.compile(pattern.replace(r"[^\s", f"[^{SPACE}").replace(r"\s", f"[{SPACE}]").replace(r"\S", f"[^{SPACE}]"))
 
 
 class Coder:
-    """Encodes texts; known: ids of frequent words, as decimal digits each after a comma."""
+    """Encodes and decodes single texts in this process, by the same rules."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, known: dict[str, bytes] | None = None):
-        self.ranks = ranks
-        self.pieces = regex.compile(pattern.replace(r"[^\s", f"[^{SPACE}").replace(r"\s", f"[{SPACE}]").replace(r"\S", f"[^{SPACE}]"))
+    def __init__(self, ranks: dict[bytes, int], pattern: str):
+        self.ranks, self.pieces = ranks, compiled(pattern)
         self.of_id = {str(i).encode(): b for b, i in ranks.items()}
-        self.known, self.kept = known or {}, {}
-
-    def _word(self, word: str) -> bytes:
-        if len(self.kept) >= KEPT:
-            self.kept.clear()
-        ids = [i for m in self.pieces.findall(word) for i in fold(m.encode("utf-8", "surrogatepass"), self.ranks)]
-        out = "".join(f",{i}" for i in ids).encode()
-        if len(word) <= 64:
-            self.kept[word] = out
-        return out
 
     def encode(self, text: str | None) -> bytes:
         """Decimal ids joined by commas; null as the empty text."""
-        known, kept = self.known, self.kept
-        out = []
-        for w in words_of(text or ""):
-            x = known.get(w) or kept.get(w)
-            out.append(x if x is not None else self._word(w))
-        return b"".join(out)[1:]
+        words = (m.encode("utf-8", "surrogatepass") for run in words_of(text or "") for m in self.pieces.findall(run))
+        return ",".join(str(i) for w in words for i in fold(w, self.ranks)).encode()
 
     def decode(self, digits: bytes) -> bytes:
         return b"".join(map(self.of_id.__getitem__, digits.split(b","))) if digits else b""
 
 
-_CODERS: dict[tuple, Coder] = {}
+def rank_map(ranks: dict[bytes, int]) -> Column:
+    """The ranks of pairs of ids as a literal array of buckets: each _NONE, then keys, a rank behind each.
 
+    Keys are (left + 1) * 2**16 + right as 32-bit integers, which no rank of a vocabulary under 2**16 equals.
+    """
+    if max(ranks.values()) >= 1 << 16:
+        raise ValueError("the vocabulary has 2**16 ids or more")
+    buckets: list[list[int]] = [[_NONE] for _ in range(BUCKETS)]
+    for b, rank in ranks.items():
+        for i in range(1, len(b)):
+            left, right = ranks.get(b[:i]), ranks.get(b[i:])
+            if left is not None and right is not None:
+                key = (left + 1) << 16 | right
+                buckets[(left * 40503 + right) % BUCKETS] += [key - (1 << 32) if key >= 1 << 31 else key, rank]
+    return F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"))), "array<array<int>>")
 
-def _coder(key: str, ranks, pattern: str, known) -> Coder:
-    """One coder a worker: its kept words serve later tasks too. ranks and known are broadcast variables."""
-    if key not in _CODERS:
-        _CODERS.clear()
-        _CODERS[key] = Coder(ranks.value, pattern, known.value)
-    return _CODERS[key]
 
+def _bound(value: Column, f) -> Column:
+    """f(value), with value worked out once: a lambda's variable holds it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
-def rank_map(ranks: dict[bytes, int]) -> Column:
-    """The ranks as a literal array of maps, bucketed by CRC-32, which Python and Spark compute alike."""
-    maps: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
-    for b, rank in ranks.items():
-        maps[zlib.crc32(b) % BUCKETS][b.hex().upper()] = rank
-    return F.from_json(F.lit(json.dumps(maps, separators=(",", ":"))), "array<map<string,int>>")
 
+def folded(word: Column, maps: Column, of_byte: Column) -> Column:
+    """array<int>: the ids of a string column that is one word, by a fold over its byte array.
 
-def rank_in(maps: Column):
-    """A function from a binary column to its rank in maps, as rank_map() makes them."""
-    return lambda b: F.try_element_at(F.get(maps, F.pmod(F.crc32(b), F.lit(BUCKETS)).cast("int")), F.hex(b))
+    The state is one array: _NONE, then each part's id (plus _TOKEN) and behind it the rank of its pair with
+    the next part (_NONE where there is none). So the least element is the least rank, and its first place the leftmost pair's.
+    """
+    none, all_ = F.lit(_NONE), F.lit(1 << 24)
+    raw = F.transform(F.split(F.decode(F.encode(word, "utf-8"), "ISO-8859-1"), ""), lambda c: F.get(of_byte, F.ascii(c)))
+    ident = lambda x: x.bitwiseAND(F.lit(0xFFFF))
 
+    def rank(left: Column, right: Column) -> Column:
+        bucket = F.get(maps, (left * 40503 + right).bitwiseAND(F.lit(BUCKETS - 1)))
+        key = F.shiftleft(left + 1, 16).bitwiseOR(right)
+        return F.coalesce(F.get(bucket, F.array_position(bucket, key).cast("int")), none)
 
-def fold_column(piece: Column, rank) -> Column:
-    """array<int>: the ids of a string column that is one match, by a fold over its byte array."""
-    none = F.lit(1 << 30)
-    raw = F.encode(piece, "utf-8")
-    parts = F.transform(F.sequence(F.lit(1), F.octet_length(raw)), lambda i: F.substring(raw, i, F.lit(1)))
+    def start(p: Column) -> Column:
+        pairs = F.transform(p, lambda x, i: F.array(x.bitwiseOR(F.lit(_TOKEN)), rank(x, F.get(p, i + 1))))
+        return F.flatten(F.array(F.array(none), F.flatten(pairs)))
 
-    def merge(acc, _):
-        ranks = F.transform(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), lambda p, i: F.coalesce(rank(F.concat(p, F.get(acc, i + 1))), none))
-        state = F.array(F.struct(F.array_min(ranks).alias("low"), ranks.alias("ranks")))
-        joined = F.transform(
-            state,
-            lambda s: F.when(F.coalesce(s["low"], none) == none, acc).otherwise(
-                F.transform(
-                    F.array(F.array_position(s["ranks"], s["low"]).cast("int")),
-                    lambda at: F.concat(F.slice(acc, F.lit(1), at - 1), F.array(F.concat(F.get(acc, at - 1), F.get(acc, at))), F.slice(acc, at + 2, F.size(acc))),
-                )[0]
-            ),
-        )
-        return joined[0]
+    def merge(z: Column, low: Column, at: Column) -> Column:
+        left, right = rank(ident(F.get(z, at - 4)), low), rank(low, ident(F.get(z, at + 2)))
+        return F.flatten(F.array(F.slice(z, F.lit(1), at - 3), F.array(left, low.bitwiseOR(F.lit(_TOKEN)), right), F.slice(z, at + 3, all_)))
 
-    merged = F.aggregate(F.sequence(F.lit(1), F.greatest(F.octet_length(raw) - 1, F.lit(1))), parts, merge)
-    return F.transform(merged, rank)
+    def step(z: Column, _: Column) -> Column:
+        return _bound(F.array_min(z), lambda low: F.when(low < F.lit(_TOKEN), _bound(F.array_position(z, low).cast("int"), lambda at: merge(z, low, at))).otherwise(z))
 
+    ids = lambda z: F.transform(F.filter(z, lambda x: (x < none) & (x >= F.lit(_TOKEN))), ident)
+    return F.aggregate(F.sequence(F.lit(2), F.greatest(F.octet_length(word), F.lit(2))), _bound(raw, start), step, ids)
 
-def dictionary(docs: DataFrame, text_col: str, ranks: dict[bytes, int], pattern: str, most: int = DICTIONARY) -> dict[str, bytes]:
-    """Ids of the most frequent words of all texts, as Coder takes them. Words longer than 64 characters are left to the tasks.
 
-    A word is counted as it stands after one white-space character; the counts only choose the words.
-    """
-    text = F.translate(column(text_col), "\n", " ")
-    word = F.explode(F.transform(F.split(text, " "), lambda w: F.concat(F.lit(" "), w)))
-    count = docs.select(word.alias("word")).groupBy("word").count()
-    top = count.where("length(word) between 2 and 64").orderBy(F.desc("count"), "word").limit(most).select("word")
-    top = top.repartition(32, "word")
-    java = pattern.replace(r"[^\s", r"[^\p{IsWhite_Space}").replace(r"\s", r"\p{IsWhite_Space}").replace(r"\S", r"\P{IsWhite_Space}")
-    pieces = F.regexp_extract_all("word", F.lit(java), F.lit(0))
-    # A lambda's variable holds the map, so that the plan has it once.
-    ids = F.flatten(F.transform(F.array(rank_map(ranks)), lambda maps: F.flatten(F.transform(pieces, lambda p: fold_column(p, rank_in(maps))))))
-    got = top.select("word", F.concat(F.lit(","), F.array_join(ids.cast("array<string>"), ",")).alias("ids")).toPandas()
-    return dict(zip(got["word"], (x.encode() for x in got["ids"]), strict=True))
-
-
-def _run(docs: DataFrame, id_cols: list[str], text_col: str, ranks_path: str | None, pattern: str | None, make, schema: str) -> DataFrame:
-    path, default = default_vocabulary()
-    ranks, pattern = load_ranks(ranks_path or path), pattern or default
-    known = dictionary(docs, text_col, ranks, pattern)
-    context = docs.sparkSession.sparkContext
-    sent_ranks, sent_known = context.broadcast(ranks), context.broadcast(known)
-    key = f"{context.applicationId}-{sent_known.id if hasattr(sent_known, 'id') else id(sent_known)}-{sent_known._jbroadcast.id()}"
-    rows = docs.select(*map(column, id_cols), column(text_col).alias("__text"))
-
-    def scan(batches):
-        coder = _coder(key, sent_ranks, pattern, sent_known)
-        for b in batches:
-            yield pd.DataFrame({c: b[c] for c in id_cols} | make(coder, b["__text"]))
+def folded_all(words: Column, ranks: dict[bytes, int]) -> Column:
+    """array<array<int>>: folded() of each word of an array; the plan has the rank map once."""
+    of_byte = F.array(*[F.lit(ranks[bytes([i])]) for i in range(256)])
+    literals = F.struct(rank_map(ranks).alias("maps"), of_byte.alias("bytes"))
+    return _bound(literals, lambda x: F.transform(words, lambda w: folded(w, x["maps"], x["bytes"])))
 
-    return rows.mapInPandas(scan, schema)
 
+def _unreachable(ranks: dict[bytes, int]) -> list[bytes]:
+    """Entries that merges don't reach; a vocabulary that was made by merges has none."""
+    return [b for b, i in ranks.items() if len(b) > 1 and not any(b[:k] in ranks and b[k:] in ranks and max(ranks[b[:k]], ranks[b[k:]]) < i for k in range(1, len(b)))]
 
-def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks_path: str | None = None, pattern: str | None = None, decode: bool = False) -> DataFrame:
-    """(id, n_tokens, ids array<int>) of every whole text. Null and empty texts have no ids; repeated rows repeat.
 
-    decode: the same tasks decode the ids too, and fail if they don't give the text back.
-    """
+def dictionary(docs: DataFrame, text_col: str, ranks: dict[bytes, int], pattern: str, most: int = DICTIONARY) -> pa.Table:
+    """(word, ids) of the frequent words of all texts: those that a task finds twice; if over `most`, the most frequent ones.
 
-    def make(coder: Coder, texts):
-        digits = [coder.encode(t) for t in texts]
-        if decode and any(coder.decode(d) != (t or "").encode("utf-8", "surrogatepass") for d, t in zip(digits, texts, strict=True)):
-            raise ValueError("decoded ids don't give the text back")
-        return {"n_tokens": [d.count(b",") + 1 if d else 0 for d in digits], "ids": [list(map(int, d.split(b","))) if d else [] for d in digits]}
+    Results don't depend on the choice: words outside are folded in the tasks that meet them.
+    """
 
-    kind = dict(docs.dtypes)[id_col]
-    return _run(docs, [id_col], text_col, ranks_path, pattern, make, f"`{id_col}` {kind}, n_tokens long, ids array<int>")
+    def count(batches):
+        find, held = compiled(pattern).findall, collections.Counter()
 
+        def flush():
+            words = collections.Counter()
+            for run, n in held.items():
+                for w in find(run):
+                    words[w] += n
+            got = [(w, n) for w, n in words.items() if n > 1 and len(w) <= 64]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in got], pa.string()), pa.array([n for _, n in got], pa.int64())], ["word", "n"])
 
-def decode_documents(encoded: DataFrame, ids_col: str = "ids", ranks_path: str | None = None) -> DataFrame:
-    """encoded with a column decoded (binary): the concatenated byte strings of the ids; null ids give null."""
-    ranks = load_ranks(ranks_path or default_vocabulary()[0])
-    sent = encoded.sparkSession.sparkContext.broadcast({i: b for b, i in ranks.items()})
-    schema = StructType(list(encoded.schema.fields)).add("decoded", "binary")
+        for b in batches:
+            for at in range(0, b.num_rows, 1_000):
+                for t in b.column(0).slice(at, 1_000).to_pylist():
+                    if t:
+                        held.update(words_of(t))
+                if len(held) > COUNTED:
+                    yield flush()
+        yield flush()
+
+    counts = docs.select(column(text_col).alias("text")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    sizes = counts.groupBy("n").count().orderBy(F.desc("n"))  # as many rows as there are different counts
+    top = sizes.agg(F.sum("count")).first()[0] or 0
+    if top > most:
+        total, least = 0, None
+        for r in sizes.toLocalIterator():
+            total += r["count"]
+            if total > most:
+                break
+            least = r["n"]
+        counts = counts.where(F.lit(False)) if least is None else counts.where(F.col("n") >= least)
+    # The words of a task go to the fold as one array, as in encode_documents.
+    return counts.select("word", F.get(folded_all(F.array("word"), ranks), F.lit(0)).alias("ids")).toArrow()
+
+
+class _Numbers(dict):
+    """Numbers keys as they come; `new` lists those since it was last emptied."""
+
+    def __init__(self, first: int = 0):
+        super().__init__()
+        self.first, self.new = first, []
+
+    def __missing__(self, key):
+        n = self[key] = self.first + len(self)
+        self.new.append(key)
+        return n
+
+
+class _Lists:
+    """Integer lists by number, in flat arrays that grow."""
+
+    def __init__(self, flat: np.ndarray, ends: np.ndarray):
+        self.n, self.size = len(ends) - 1, len(flat)
+        self.flat, self.ends = flat, ends
+
+    def add(self, flat: np.ndarray, lengths: np.ndarray) -> None:
+        size, n = self.size + len(flat), self.n + len(lengths)
+        if size > len(self.flat):
+            self.flat = np.concatenate((self.flat[: self.size], np.empty(max(1 << 16, size // 2 + len(flat)), dtype=np.int32)))
+        if n >= len(self.ends):
+            self.ends = np.concatenate((self.ends[: self.n + 1], np.empty(max(1 << 14, n // 2 + len(lengths)), dtype=np.int64)))
+        self.flat[self.size : size] = flat
+        self.ends[self.n + 1 : n + 1] = self.size + np.cumsum(lengths)
+        self.n, self.size = n, size
+
+    def cut(self, n: int) -> None:
+        self.n, self.size = n, int(self.ends[n])
+
+    def gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The lists of numbers, one behind the other, and their lengths."""
+        start = self.ends[numbers]
+        lengths = self.ends[numbers + 1] - start
+        shift = start - np.cumsum(lengths) + lengths
+        return self.flat[np.repeat(shift, lengths) + np.arange(int(lengths.sum()))], lengths
+
+
+def _list_parts(lists) -> tuple[np.ndarray, np.ndarray]:
+    """Values and ends (from 0) of an Arrow array of integer lists."""
+    ends = lists.offsets.to_numpy().astype(np.int64)
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32), ends - ends[0]
+
+
+def _chunks(texts: list[str]):
+    """(start, end) of runs of texts of about CHUNK characters."""
+    start = size = 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size >= CHUNK:
+            yield start, i + 1
+            start, size = i + 1, 0
+    if start < len(texts):
+        yield start, len(texts)
+
+
+def _encoded(rows: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
+    """rows (text, others) to (others, ids)."""
+    known = dictionary(rows, "text", ranks, pattern)
+    context = rows.sparkSession.sparkContext
+    words, ids = known["word"].combine_chunks(), known["ids"].combine_chunks()
+    sent_words = context.broadcast(words)
+    flat, ends = _list_parts(ids if isinstance(ids, pa.ListArray) else pa.concat_arrays(ids.chunks))
+    sent_ids = context.broadcast((flat.astype(np.uint16), ends))
+    sent_ranks = context.broadcast(ranks)
+    del known, words, ids, flat, ends
+    others = [f for f in rows.schema.fields if f.name != "text"]
+    names = [f.name for f in others]
+
+    def number(batches):
+        """Rows of texts, their runs as numbers; before them, for each chunk, a row of its new words and runs."""
+        find = compiled(pattern).findall
+        known = {w: i for i, w in enumerate(sent_words.value.to_pylist())}
+        runs, rare, again = _Numbers(), _Numbers(len(known)), False
+        empty = pa.array([None], pa.binary())
+        for b in batches:
+            texts = [t or "" for t in b.column("text").to_pylist()]
+            for first, last in _chunks(texts):
+                if len(runs) > KEPT:
+                    runs, rare, again = _Numbers(), _Numbers(len(known)), True
+                at = runs.__getitem__
+                numbers = [np.fromiter(map(at, words_of(t)), np.int32).tobytes() for t in texts[first:last]]
+                if runs.new:
+                    parts, lengths = [], []
+                    for run in runs.new:
+                        got = find(run)
+                        lengths.append(len(got))
+                        parts += [rare[w] if (n := known.get(w)) is None else n for w in got]
+                    runs.new.clear()
+                    short = [w if len(w.encode("utf-8", "surrogatepass")) <= LONGEST else None for w in rare.new]
+                    long = [np.array(fold(w.encode("utf-8", "surrogatepass"), sent_ranks.value), dtype=np.int32).tobytes() for w, s in zip(rare.new, short, strict=True) if s is None]
+                    rare.new.clear()
+                    row = [pa.nulls(1, b.schema.field(c).type) for c in names]
+                    row += [empty, pa.array([short], pa.list_(pa.string())), pa.array([long], pa.list_(pa.binary()))]
+                    row += [pa.array([np.array(x, dtype=np.int32).tobytes()], pa.binary()) for x in (parts, lengths)]
+                    yield pa.RecordBatch.from_arrays([*row, pa.array([again])], [*names, "numbers", "words", "long", "parts", "lengths", "again"])
+                    again = False
+                n = last - first
+                row = [b.column(c).slice(first, n) for c in names]
+                row += [pa.array(numbers, pa.binary()), pa.nulls(n, pa.list_(pa.string())), pa.nulls(n, pa.list_(pa.binary())), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.array([False] * n)]
+                yield pa.RecordBatch.from_arrays(row, [*names, "numbers", "words", "long", "parts", "lengths", "again"])
+
+    def look_up(batches):
+        """Rows of numbers to rows of ids; other rows extend the lists."""
+        flat, ends = sent_ids.value
+        n_known = len(ends) - 1
+        words = _Lists(flat.astype(np.int32), ends)
+        runs = _Lists(np.zeros(0, dtype=np.int32), np.zeros(1, dtype=np.int64))
+
+        def extend(b, i: int) -> None:
+            if b.column("again")[i].as_py():
+                words.cut(n_known)
+                runs.cut(0)
+            got, long = b.column("folded").slice(i, 1).flatten(), iter(b.column("long")[i].as_py())
+            if got.null_count:  # words too long for Spark's fold
+                lists = [np.frombuffer(next(long), dtype=np.int32) if x is None else np.array(x, dtype=np.int32) for x in got.to_pylist()]
+                words.add(np.concatenate(lists), np.array([len(x) for x in lists]))
+            elif len(got):
+                values, ends = _list_parts(got)
+                words.add(values, np.diff(ends))
+            parts, lengths = (np.frombuffer(b.column(c)[i].as_py(), dtype=np.int32) for c in ("parts", "lengths"))
+            values, sizes = words.gather(parts)
+            at = np.concatenate(([0], np.cumsum(lengths)))
+            runs.add(values, np.diff(np.concatenate(([0], np.cumsum(sizes)))[at]))
 
-    def scan(batches):
         for b in batches:
-            yield b.assign(decoded=[None if ids is None else b"".join(sent.value[i] for i in ids) for ids in b[ids_col]])
+            marks = [i for i, x in enumerate(b.column("numbers").is_valid().to_pylist()) if not x]
+            for start, end in zip([-1, *marks], [*marks, b.num_rows], strict=True):
+                if start >= 0:
+                    extend(b, start)
+                for first in range(start + 1, end, 500):
+                    part = b.slice(first, min(500, end - first))
+                    raw = part.column("numbers").to_pylist()
+                    values, sizes = runs.gather(np.frombuffer(b"".join(raw), dtype=np.int32))
+                    total = np.concatenate(([0], np.cumsum(sizes)))
+                    ends = total[np.concatenate(([0], np.cumsum([len(x) // 4 for x in raw])))].astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], [*names, "ids"])
+
+    schema = StructType(list(others)).add("numbers", "binary").add("words", ArrayType(StringType())).add("long", ArrayType(BinaryType()))
+    schema = schema.add("parts", "binary").add("lengths", "binary").add("again", "boolean")
+    numbered = rows.mapInArrow(number, schema)
+    numbered = numbered.select(*names, "numbers", folded_all(F.col("words"), ranks).alias("folded"), "long", "parts", "lengths", "again")
+    return numbered.mapInArrow(look_up, StructType(list(others)).add("ids", ArrayType(IntegerType())))
+
 
-    return encoded.mapInPandas(scan, schema)
+def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks_path: str | None = None, pattern: str | None = None, decode: bool = False) -> DataFrame:
+    """(id, n_tokens, ids array<int>) of every whole text.
 
+    Null and empty texts have no ids; repeated rows repeat; an empty table gives no rows. Texts may be of any length. Other columns
+    of docs take no part, whatever their names. If the id's column is called as one of ours, ours gets an underscore.
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256): texts are encoded, and their ids decoded, in the same tasks."""
+    decode: the ids are decoded too, and must give the text back; otherwise the query fails.
+    """
+    path, default = default_vocabulary()
+    ranks, pattern = load_ranks(ranks_path or path), pattern or default
+    if odd := _unreachable(ranks):
+        raise ValueError(f"merges don't reach {len(odd)} entries of the vocabulary, such as {odd[0]!r}")
+    text = column(text_col)
+    check = [F.xxhash64(F.coalesce(text, F.lit(""))).alias("check")] if decode else []
+    out = _encoded(docs.select(column(id_col).alias("id"), text.alias("text"), *check), ranks, pattern)
+    ids = F.col("ids")
+    if decode:
+        same = F.xxhash64(_decoded(ids, ranks).cast("string")) == F.col("check")
+        ids = F.when(same, ids).otherwise(F.raise_error(F.lit("the decoded ids don't give the text back")).cast("array<int>"))
+    named = out.select(F.col("id").alias(id_col))
+    n_name, ids_name = free_name(named, "n_tokens"), free_name(named, "ids")
+    return out.select(F.col("id").alias(id_col), ids.alias("ids_")).select(column(id_col), F.size("ids_").cast("long").alias(n_name), F.col("ids_").alias(ids_name))
+
+
+def _decoded(ids: Column, ranks: dict[bytes, int]) -> Column:
+    """The concatenated byte strings of an array of ids."""
+    of_id = [""] * (max(ranks.values()) + 1)
+    for b, i in ranks.items():
+        of_id[i] = b.hex()
+    pieces = F.from_json(F.lit(json.dumps(of_id, separators=(",", ":"))), "array<string>")
+    return _bound(pieces, lambda p: F.unhex(F.array_join(F.transform(ids, lambda i: F.element_at(p, i + 1)), "")))
+
+
+def decode_documents(encoded: DataFrame, ids_col: str = "ids", ranks_path: str | None = None) -> DataFrame:
+    """encoded with a column decoded (binary): the concatenated byte strings of the ids.
 
-    def make(coder: Coder, texts):
-        n, ids, back = [], [], []
-        for t in texts:
-            d = coder.encode(t)
-            n.append(d.count(b",") + 1 if d else 0)
-            ids.append(hashlib.sha256(d).hexdigest())
-            back.append(hashlib.sha256(coder.decode(d)).hexdigest())
-        return {"n_tokens": n, "ids_sha256": ids, "decoded_sha256": back}
+    Null ids give null, no ids the empty string; an id that the vocabulary lacks raises (in ANSI mode). If encoded has
+    a column decoded, it stays and ours gets an underscore.
+    """
+    ranks = load_ranks(ranks_path or default_vocabulary()[0])
+    return encoded.withColumn(free_name(encoded, "decoded"), _decoded(column(ids_col), ranks))
 
-    kind = dict(docs.dtypes)[id_col]
-    return _run(docs, [id_col], text_col, None, None, make, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_tokens, ids_sha256, decoded_sha256) of what encode_documents and decode_documents give."""
+    out = decode_documents(encode_documents(docs.select(column(id_col).alias("id"), column(text_col).alias("text")), "id"))
+    ids = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256)
+    return out.select(F.col("id").alias(id_col), "n_tokens", ids.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's number of ids and digests; see encode_documents for nulls, ties and empty tables."""
     return digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
