@@ -1,19 +1,13 @@
 """Byte-level BPE encoding and decoding by ranked merges.
 
-All merges are folds of Spark's higher-order functions over the bytes of distinct words: at each step the
-adjacent pair of least rank, looked up in a literal rank map, becomes one. A word here is one match of
-the pattern. It takes three steps, none of which shuffles texts:
-
-1. Words are counted over the whole corpus. Those that some task finds twice are folded once and make a
-   dictionary of a fixed size bound, which is sent to all tasks.
-2. Tasks number the words of their texts, chunk by chunk; a chunk's words that are new to the task and not in the
-   dictionary go to the same fold, in the same stage.
-3. Numbers become ids by look-ups in numpy arrays.
-
-Decoding concatenates the ids' byte strings, in Spark.
-
-Texts are cut where a space or line feed stands between two non-space characters; there the pattern's
-matches end whatever surrounds them, so the ids of such a run don't depend on its place.
+Words are matches of the pattern. They are counted over the whole corpus, and the distinct ones that recur are
+encoded by Spark's higher-order functions: a fold over the word's bytes merges, at each step, the adjacent
+pair of least rank, looked up in a literal rank map. Their ids make a dictionary of a fixed size bound, sent to
+all tasks. Tasks then encode whole texts by look-ups, and fold the words outside the dictionary, most of which the
+corpus has once, by the same rule. Decoding concatenates the ids' byte strings, in Spark.
+
+Texts are cut in runs where a space or line feed stands between two non-space characters; there the pattern's
+matches end whatever surrounds them, so a run's ids don't depend on its place.
 """
 
 from __future__ import annotations
@@ -23,26 +17,26 @@ import collections
 import heapq
 import json
 import re
+import uuid
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StringType, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
-from seqloom.llm.common import column, free_name, table
+from seqloom.llm.common import column, free_name, saved, table
 
-#: Words of the dictionary, at most: a fixed bound of what is sent to every task.
+#: Words of the dictionary, at most: a fixed bound of what is sent to every task. Longer ones than LONGEST bytes are left to the tasks.
 DICTIONARY = 1_000_000
-#: Distinct runs that a task counts, or keeps numbers of, at a time; then it starts anew.
-COUNTED, KEPT = 1_000_000, 500_000
-#: Characters of the texts whose new words are folded together, about.
-CHUNK = 4_000_000
+LONGEST = 64
+#: Distinct runs that a task counts at a time; then it starts anew.
+COUNTED = 1_000_000
+#: Runs whose ids a Python worker keeps; then it forgets those that it hasn't met lately.
+KEPT = 400_000
 #: Buckets of the literal rank map.
 BUCKETS = 1 << 15
-#: Bytes of a word up to which it is folded in Spark, where a word takes its length squared; longer ones take a heap.
-LONGEST = 4_096
 _NONE, _TOKEN = 1 << 30, 1 << 25
 
 #: Unicode white space, as the pattern's \s means it (fixed values).
@@ -80,9 +74,27 @@ def words_of(text: str) -> list[str]:
 
 
 def fold(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one word: the adjacent pair of least rank, leftmost first, is merged until none has a rank. With a heap, for long words."""
-    if word in ranks:
-        return [ranks[word]]
+    """Ids of one word: the adjacent pair of least rank, leftmost first, is merged until none has a rank."""
+    if len(word) > LONGEST:
+        return _long_fold(word, ranks)
+    parts = [word[i : i + 1] for i in range(len(word))]
+    pairs = [ranks.get(word[i : i + 2], _NONE) for i in range(len(word) - 1)]
+    while pairs:
+        low = min(pairs)
+        if low == _NONE:
+            break
+        i = pairs.index(low)
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        del pairs[i]
+        if i < len(pairs):
+            pairs[i] = ranks.get(parts[i] + parts[i + 1], _NONE)
+        if i:
+            pairs[i - 1] = ranks.get(parts[i - 1] + parts[i], _NONE)
+    return [ranks[p] for p in parts]
+
+
+def _long_fold(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """fold() with a heap of pairs, so that a word of n bytes takes n log n steps."""
     n = len(word)
     end, before = list(range(1, n + 1)), list(range(-1, n))  # of the part that starts here
     heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(word[i : i + 2])) is not None]
@@ -188,10 +200,10 @@ def _unreachable(ranks: dict[bytes, int]) -> list[bytes]:
     return [b for b, i in ranks.items() if len(b) > 1 and not any(b[:k] in ranks and b[k:] in ranks and max(ranks[b[:k]], ranks[b[k:]]) < i for k in range(1, len(b)))]
 
 
-def dictionary(docs: DataFrame, text_col: str, ranks: dict[bytes, int], pattern: str, most: int = DICTIONARY) -> pa.Table:
-    """(word, ids) of the frequent words of all texts: those that a task finds twice; if over `most`, the most frequent ones.
+def dictionary(docs: DataFrame, text_col: str, ranks: dict[bytes, int], pattern: str, most: int = DICTIONARY) -> tuple[list[str], bytes, np.ndarray]:
+    """Words that a task finds twice in runs that it finds twice (if over `most`, the most frequent of them); their ids as 16-bit integers, and where each word's end.
 
-    Results don't depend on the choice: words outside are folded in the tasks that meet them.
+    Results don't depend on the choice: tasks fold the words outside.
     """
 
     def count(batches):
@@ -200,11 +212,12 @@ def dictionary(docs: DataFrame, text_col: str, ranks: dict[bytes, int], pattern:
         def flush():
             words = collections.Counter()
             for run, n in held.items():
-                for w in find(run):
-                    words[w] += n
-            got = [(w, n) for w, n in words.items() if n > 1 and len(w) <= 64]
+                if n > 1:
+                    for w in find(run):
+                        words[w] += n
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([w for w, _ in got], pa.string()), pa.array([n for _, n in got], pa.int64())], ["word", "n"])
+            got = [w for w in words if 4 * len(w) <= LONGEST or len(w.encode()) <= LONGEST]
+            return pa.RecordBatch.from_arrays([pa.array(got, pa.string()), pa.array([words[w] for w in got], pa.int64())], ["word", "n"])
 
         for b in batches:
             for at in range(0, b.num_rows, 1_000):
@@ -216,166 +229,72 @@ def dictionary(docs: DataFrame, text_col: str, ranks: dict[bytes, int], pattern:
         yield flush()
 
     counts = docs.select(column(text_col).alias("text")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    sizes = counts.groupBy("n").count().orderBy(F.desc("n"))  # as many rows as there are different counts
-    top = sizes.agg(F.sum("count")).first()[0] or 0
-    if top > most:
+    counts = saved(counts, "words")
+    if counts.count() > most:
+        # The least count that belongs, from the numbers of words by their count: a row for each power's hundredth.
+        step = F.floor(F.log2("n") * 100).cast("int")
         total, least = 0, None
-        for r in sizes.toLocalIterator():
+        for r in counts.groupBy(step.alias("step")).count().orderBy(F.desc("step")).toLocalIterator():
             total += r["count"]
             if total > most:
                 break
-            least = r["n"]
-        counts = counts.where(F.lit(False)) if least is None else counts.where(F.col("n") >= least)
-    # The words of a task go to the fold as one array, as in encode_documents.
-    return counts.select("word", F.get(folded_all(F.array("word"), ranks), F.lit(0)).alias("ids")).toArrow()
+            least = r["step"]
+        counts = counts.where(F.lit(False)) if least is None else counts.where(step >= least)
+    got = counts.select("word", F.get(folded_all(F.array("word"), ranks), F.lit(0)).alias("ids")).toArrow()
+    ids = pa.concat_arrays(got["ids"].chunks) if got.num_rows else pa.array([], pa.list_(pa.int32()))
+    ends = ids.offsets.to_numpy().astype(np.int64)
+    return got["word"].to_pylist(), ids.flatten().to_numpy(zero_copy_only=False).astype("<u2").tobytes(), ends - ends[0]
 
 
-class _Numbers(dict):
-    """Numbers keys as they come; `new` lists those since it was last emptied."""
+class _Runs(dict):
+    """Ids of runs as 16-bit integers, worked out when first asked for; of runs not met lately they are forgotten."""
 
-    def __init__(self, first: int = 0):
+    def __init__(self, words: list[str], raw: bytes, ends: np.ndarray, ranks: dict[bytes, int], pattern: str):
         super().__init__()
-        self.first, self.new = first, []
-
-    def __missing__(self, key):
-        n = self[key] = self.first + len(self)
-        self.new.append(key)
-        return n
-
-
-class _Lists:
-    """Integer lists by number, in flat arrays that grow."""
+        at = (2 * ends).tolist()
+        self.known = dict(zip(words, map(lambda a, z: raw[a:z], at, at[1:]), strict=True))
+        self.old, self.ranks, self.find = {}, ranks, compiled(pattern).findall
 
-    def __init__(self, flat: np.ndarray, ends: np.ndarray):
-        self.n, self.size = len(ends) - 1, len(flat)
-        self.flat, self.ends = flat, ends
+    def __missing__(self, run: str) -> bytes:
+        ids = self.old.get(run)
+        if ids is None:
+            known = self.known
+            ids = b"".join([x if (x := known.get(w)) is not None else self._folded(w) for w in self.find(run)])
+        if len(self) >= KEPT // 2:
+            self.old = dict(self)
+            self.clear()
+        if len(run) <= LONGEST:
+            self[run] = ids
+        return ids
 
-    def add(self, flat: np.ndarray, lengths: np.ndarray) -> None:
-        size, n = self.size + len(flat), self.n + len(lengths)
-        if size > len(self.flat):
-            self.flat = np.concatenate((self.flat[: self.size], np.empty(max(1 << 16, size // 2 + len(flat)), dtype=np.int32)))
-        if n >= len(self.ends):
-            self.ends = np.concatenate((self.ends[: self.n + 1], np.empty(max(1 << 14, n // 2 + len(lengths)), dtype=np.int64)))
-        self.flat[self.size : size] = flat
-        self.ends[self.n + 1 : n + 1] = self.size + np.cumsum(lengths)
-        self.n, self.size = n, size
+    def _folded(self, word: str) -> bytes:
+        return np.array(fold(word.encode("utf-8", "surrogatepass"), self.ranks), dtype="<u2").tobytes()
 
-    def cut(self, n: int) -> None:
-        self.n, self.size = n, int(self.ends[n])
 
-    def gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The lists of numbers, one behind the other, and their lengths."""
-        start = self.ends[numbers]
-        lengths = self.ends[numbers + 1] - start
-        shift = start - np.cumsum(lengths) + lengths
-        return self.flat[np.repeat(shift, lengths) + np.arange(int(lengths.sum()))], lengths
-
-
-def _list_parts(lists) -> tuple[np.ndarray, np.ndarray]:
-    """Values and ends (from 0) of an Arrow array of integer lists."""
-    ends = lists.offsets.to_numpy().astype(np.int64)
-    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32), ends - ends[0]
-
-
-def _chunks(texts: list[str]):
-    """(start, end) of runs of texts of about CHUNK characters."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= CHUNK:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+#: The runs of one query at a time: a worker's next tasks use what it has kept.
+_WORKER: dict[str, _Runs] = {}
 
 
 def _encoded(rows: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
     """rows (text, others) to (others, ids)."""
-    known = dictionary(rows, "text", ranks, pattern)
-    context = rows.sparkSession.sparkContext
-    words, ids = known["word"].combine_chunks(), known["ids"].combine_chunks()
-    sent_words = context.broadcast(words)
-    flat, ends = _list_parts(ids if isinstance(ids, pa.ListArray) else pa.concat_arrays(ids.chunks))
-    sent_ids = context.broadcast((flat.astype(np.uint16), ends))
-    sent_ranks = context.broadcast(ranks)
-    del known, words, ids, flat, ends
+    sent = rows.sparkSession.sparkContext.broadcast((*dictionary(rows, "text", ranks, pattern), ranks, pattern))
     others = [f for f in rows.schema.fields if f.name != "text"]
-    names = [f.name for f in others]
-
-    def number(batches):
-        """Rows of texts, their runs as numbers; before them, for each chunk, a row of its new words and runs."""
-        find = compiled(pattern).findall
-        known = {w: i for i, w in enumerate(sent_words.value.to_pylist())}
-        runs, rare, again = _Numbers(), _Numbers(len(known)), False
-        empty = pa.array([None], pa.binary())
-        for b in batches:
-            texts = [t or "" for t in b.column("text").to_pylist()]
-            for first, last in _chunks(texts):
-                if len(runs) > KEPT:
-                    runs, rare, again = _Numbers(), _Numbers(len(known)), True
-                at = runs.__getitem__
-                numbers = [np.fromiter(map(at, words_of(t)), np.int32).tobytes() for t in texts[first:last]]
-                if runs.new:
-                    parts, lengths = [], []
-                    for run in runs.new:
-                        got = find(run)
-                        lengths.append(len(got))
-                        parts += [rare[w] if (n := known.get(w)) is None else n for w in got]
-                    runs.new.clear()
-                    short = [w if len(w.encode("utf-8", "surrogatepass")) <= LONGEST else None for w in rare.new]
-                    long = [np.array(fold(w.encode("utf-8", "surrogatepass"), sent_ranks.value), dtype=np.int32).tobytes() for w, s in zip(rare.new, short, strict=True) if s is None]
-                    rare.new.clear()
-                    row = [pa.nulls(1, b.schema.field(c).type) for c in names]
-                    row += [empty, pa.array([short], pa.list_(pa.string())), pa.array([long], pa.list_(pa.binary()))]
-                    row += [pa.array([np.array(x, dtype=np.int32).tobytes()], pa.binary()) for x in (parts, lengths)]
-                    yield pa.RecordBatch.from_arrays([*row, pa.array([again])], [*names, "numbers", "words", "long", "parts", "lengths", "again"])
-                    again = False
-                n = last - first
-                row = [b.column(c).slice(first, n) for c in names]
-                row += [pa.array(numbers, pa.binary()), pa.nulls(n, pa.list_(pa.string())), pa.nulls(n, pa.list_(pa.binary())), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.array([False] * n)]
-                yield pa.RecordBatch.from_arrays(row, [*names, "numbers", "words", "long", "parts", "lengths", "again"])
-
-    def look_up(batches):
-        """Rows of numbers to rows of ids; other rows extend the lists."""
-        flat, ends = sent_ids.value
-        n_known = len(ends) - 1
-        words = _Lists(flat.astype(np.int32), ends)
-        runs = _Lists(np.zeros(0, dtype=np.int32), np.zeros(1, dtype=np.int64))
-
-        def extend(b, i: int) -> None:
-            if b.column("again")[i].as_py():
-                words.cut(n_known)
-                runs.cut(0)
-            got, long = b.column("folded").slice(i, 1).flatten(), iter(b.column("long")[i].as_py())
-            if got.null_count:  # words too long for Spark's fold
-                lists = [np.frombuffer(next(long), dtype=np.int32) if x is None else np.array(x, dtype=np.int32) for x in got.to_pylist()]
-                words.add(np.concatenate(lists), np.array([len(x) for x in lists]))
-            elif len(got):
-                values, ends = _list_parts(got)
-                words.add(values, np.diff(ends))
-            parts, lengths = (np.frombuffer(b.column(c)[i].as_py(), dtype=np.int32) for c in ("parts", "lengths"))
-            values, sizes = words.gather(parts)
-            at = np.concatenate(([0], np.cumsum(lengths)))
-            runs.add(values, np.diff(np.concatenate(([0], np.cumsum(sizes)))[at]))
+    names, key = [f.name for f in others], uuid.uuid4().hex
 
+    def encode(batches):
+        if key not in _WORKER:
+            _WORKER.clear()
+            _WORKER[key] = _Runs(*sent.value)
+        ids_of = _WORKER[key].__getitem__
         for b in batches:
-            marks = [i for i, x in enumerate(b.column("numbers").is_valid().to_pylist()) if not x]
-            for start, end in zip([-1, *marks], [*marks, b.num_rows], strict=True):
-                if start >= 0:
-                    extend(b, start)
-                for first in range(start + 1, end, 500):
-                    part = b.slice(first, min(500, end - first))
-                    raw = part.column("numbers").to_pylist()
-                    values, sizes = runs.gather(np.frombuffer(b"".join(raw), dtype=np.int32))
-                    total = np.concatenate(([0], np.cumsum(sizes)))
-                    ends = total[np.concatenate(([0], np.cumsum([len(x) // 4 for x in raw])))].astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], [*names, "ids"])
-
-    schema = StructType(list(others)).add("numbers", "binary").add("words", ArrayType(StringType())).add("long", ArrayType(BinaryType()))
-    schema = schema.add("parts", "binary").add("lengths", "binary").add("again", "boolean")
-    numbered = rows.mapInArrow(number, schema)
-    numbered = numbered.select(*names, "numbers", folded_all(F.col("words"), ranks).alias("folded"), "long", "parts", "lengths", "again")
-    return numbered.mapInArrow(look_up, StructType(list(others)).add("ids", ArrayType(IntegerType())))
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
+                raw = [b"".join(map(ids_of, words_of(t))) if t else b"" for t in part.column("text").to_pylist()]
+                ends = np.concatenate(([0], np.cumsum([len(x) // 2 for x in raw]))).astype(np.int32)
+                values = np.frombuffer(b"".join(raw), dtype="<u2").astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], pa.ListArray.from_arrays(pa.array(ends), pa.array(values))], [*names, "ids"])
+
+    return rows.mapInArrow(encode, StructType(list(others)).add("ids", ArrayType(IntegerType())))
 
 
 def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranks_path: str | None = None, pattern: str | None = None, decode: bool = False) -> DataFrame:
