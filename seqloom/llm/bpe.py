@@ -18,6 +18,7 @@ import heapq
 import json
 import re
 import uuid
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -73,28 +74,43 @@ def words_of(text: str) -> list[str]:
     return [w for w in out if w]
 
 
-def fold(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one word: the adjacent pair of least rank, leftmost first, is merged until none has a rank."""
-    if len(word) > LONGEST:
-        return _long_fold(word, ranks)
-    parts = [word[i : i + 1] for i in range(len(word))]
-    pairs = [ranks.get(word[i : i + 2], _NONE) for i in range(len(word) - 1)]
-    while pairs:
-        low = min(pairs)
-        if low == _NONE:
-            break
-        i = pairs.index(low)
-        parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        del pairs[i]
-        if i < len(pairs):
-            pairs[i] = ranks.get(parts[i] + parts[i + 1], _NONE)
-        if i:
-            pairs[i - 1] = ranks.get(parts[i - 1] + parts[i], _NONE)
-    return [ranks[p] for p in parts]
+def pair_ranks(ranks: dict[bytes, int]) -> dict[int, int]:
+    """The rank of each pair of entries that make an entry, by left id * 2**16 + right id."""
+    if max(ranks.values()) >= 1 << 16:
+        raise ValueError("the vocabulary has 2**16 ids or more")
+    cuts = ((ranks.get(b[:i]), ranks.get(b[i:]), rank) for b, rank in ranks.items() for i in range(1, len(b)))
+    return {left << 16 | right: rank for left, right, rank in cuts if left is not None and right is not None}
+
+
+class Fold:
+    """Ids of one word: the adjacent pair of least rank, leftmost first, is merged until none has a rank. An entry's id is its rank."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks, self.pairs = ranks, pair_ranks(ranks)
+        self.of_byte = [ranks[bytes([i])] for i in range(256)]
+
+    def __call__(self, word: bytes) -> list[int]:
+        if len(word) > LONGEST:
+            return _long_fold(word, self.ranks)
+        rank = self.pairs.get
+        ids = [self.of_byte[x] for x in word]
+        low_of = [rank(a << 16 | b, _NONE) for a, b in zip(ids, ids[1:])]  # noqa: B905
+        while low_of:
+            low = min(low_of)
+            if low == _NONE:
+                break
+            i = low_of.index(low)
+            del ids[i + 1], low_of[i]
+            ids[i] = low
+            if i < len(low_of):
+                low_of[i] = rank(low << 16 | ids[i + 1], _NONE)
+            if i:
+                low_of[i - 1] = rank(ids[i - 1] << 16 | low, _NONE)
+        return ids
 
 
 def _long_fold(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """fold() with a heap of pairs, so that a word of n bytes takes n log n steps."""
+    """The same with a heap of pairs, so that a word of n bytes takes n log n steps."""
     n = len(word)
     end, before = list(range(1, n + 1)), list(range(-1, n))  # of the part that starts here
     heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(word[i : i + 2])) is not None]
@@ -124,13 +140,13 @@ class Coder:
     """Encodes and decodes single texts in this process, by the same rules."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks, self.pieces = ranks, compiled(pattern)
+        self.fold, self.pieces = Fold(ranks), compiled(pattern)
         self.of_id = {str(i).encode(): b for b, i in ranks.items()}
 
     def encode(self, text: str | None) -> bytes:
         """Decimal ids joined by commas; null as the empty text."""
         words = (m.encode("utf-8", "surrogatepass") for run in words_of(text or "") for m in self.pieces.findall(run))
-        return ",".join(str(i) for w in words for i in fold(w, self.ranks)).encode()
+        return ",".join(str(i) for w in words for i in self.fold(w)).encode()
 
     def decode(self, digits: bytes) -> bytes:
         return b"".join(map(self.of_id.__getitem__, digits.split(b","))) if digits else b""
@@ -141,15 +157,11 @@ def rank_map(ranks: dict[bytes, int]) -> Column:
 
     Keys are (left + 1) * 2**16 + right as 32-bit integers, which no rank of a vocabulary under 2**16 equals.
     """
-    if max(ranks.values()) >= 1 << 16:
-        raise ValueError("the vocabulary has 2**16 ids or more")
     buckets: list[list[int]] = [[_NONE] for _ in range(BUCKETS)]
-    for b, rank in ranks.items():
-        for i in range(1, len(b)):
-            left, right = ranks.get(b[:i]), ranks.get(b[i:])
-            if left is not None and right is not None:
-                key = (left + 1) << 16 | right
-                buckets[(left * 40503 + right) % BUCKETS] += [key - (1 << 32) if key >= 1 << 31 else key, rank]
+    for pair, rank in pair_ranks(ranks).items():
+        left, right = pair >> 16, pair & 0xFFFF
+        key = (left + 1) << 16 | right
+        buckets[(left * 40503 + right) % BUCKETS] += [key - (1 << 32) if key >= 1 << 31 else key, rank]
     return F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"))), "array<array<int>>")
 
 
@@ -253,13 +265,13 @@ class _Runs(dict):
         super().__init__()
         at = (2 * ends).tolist()
         self.known = dict(zip(words, map(lambda a, z: raw[a:z], at, at[1:]), strict=True))
-        self.old, self.ranks, self.find = {}, ranks, compiled(pattern).findall
+        self.old, self.fold, self.find = {}, Fold(ranks), compiled(pattern).findall
 
     def __missing__(self, run: str) -> bytes:
-        ids = self.old.get(run)
+        ids = self.old.get(run) or self.known.get(run)
         if ids is None:
             known = self.known
-            ids = b"".join([x if (x := known.get(w)) is not None else self._folded(w) for w in self.find(run)])
+            ids = b"".join([known.get(w) or array("H", self.fold(w.encode("utf-8", "surrogatepass"))).tobytes() for w in self.find(run)])
         if len(self) >= KEPT // 2:
             self.old = dict(self)
             self.clear()
@@ -267,9 +279,6 @@ class _Runs(dict):
             self[run] = ids
         return ids
 
-    def _folded(self, word: str) -> bytes:
-        return np.array(fold(word.encode("utf-8", "surrogatepass"), self.ranks), dtype="<u2").tobytes()
-
 
 #: The runs of one query at a time: a worker's next tasks use what it has kept.
 _WORKER: dict[str, _Runs] = {}

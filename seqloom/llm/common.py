@@ -43,21 +43,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder that driver and executors share.
 
-    It lies in the cluster's spark.checkpoint.dir. Only where that is unset (a local session, as in
-    tests) is a folder of this machine used.
+    It lies in the cluster's spark.checkpoint.dir. Only where that is unset in a local session is a folder of
+    this machine used; a cluster without it raises.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir, a folder that all executors share, is unset")
         root = f"file://{tempfile.mkdtemp(prefix='seqloom-')}"
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, purpose: str) -> DataFrame:
+def saved(df: DataFrame, purpose: str, compression: str | None = None) -> DataFrame:
     """df written to the shared folder and read again: later steps don't recompute it, nor does a lost executor."""
     spark = df.sparkSession
     path = shared_folder(spark, purpose)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.parquet(path, compression=compression)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._saved_at = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes what saved() wrote, once no later step reads it."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._saved_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:

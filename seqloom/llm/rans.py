@@ -16,24 +16,28 @@ from __future__ import annotations
 
 import os
 import zlib
-from array import array
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seqloom.llm.bpe import words_of
-from seqloom.llm.common import column, saved, shared_folder, table
+from seqloom.llm.bpe import SPACE, words_of
+from seqloom.llm.common import column, forget, saved, shared_folder, sized, table
 
 END = 2
 SCALE_BITS = 20
 LANES = 512
-CHECKPOINT = 256
+CHECKPOINT = 128
 #: Ids of a block, about; a document longer than this has a block of its own.
-BLOCK = 1 << 18
-#: Words whose ids a Python worker keeps; then it starts anew.
-KEPT = 400_000
+BLOCK = 1 << 20
+#: Runs whose ids a Python worker keeps; then it forgets those that it hasn't met lately.
+KEPT = 600_000
+#: ASCII characters that are neither letters, digits nor white space and may end a run.
+MARKS = ".,!?;:*#$%&|<>\"')]}"
+#: Runs that the library encodes as one text, with a line feed behind each.
+JOINED = 500
 
 _LOW = np.uint64(1 << 31)
 _32 = np.uint64(32)
@@ -109,6 +113,27 @@ class Table:
                 at += len(need)
         return out
 
+    def decode_block(self, n: int, states: bytes, words: bytes, checkpoints: bytes) -> np.ndarray:
+        """All ids of a block. The parts between checkpoints are decoded side by side, a turn of all of them at a time; the last part, of fewer turns, by itself."""
+        marks = np.frombuffer(checkpoints, dtype="<u8").reshape(-1, LANES + 2)
+        if not len(marks):
+            return self.decode(n, states, words)
+        stream, low = np.frombuffer(words, dtype="<u4"), np.uint64((1 << SCALE_BITS) - 1)
+        state = np.vstack((np.frombuffer(states, dtype="<u8"), marks[:-1, 2:]))
+        at = np.concatenate(([0], marks[:-1, 1])).astype(np.int64)
+        out = np.empty((len(marks), CHECKPOINT, LANES), dtype=np.uint32)
+        for t in range(CHECKPOINT):
+            slot = state & low
+            got = self.of_slot[slot.astype(np.int64)]
+            out[:, t] = got
+            state = self.freq[got] * (state >> np.uint64(SCALE_BITS)) + slot - self.start[got]
+            need = state < _LOW
+            counts = need.sum(axis=1)
+            places = np.repeat(at - np.cumsum(counts) + counts, counts) + np.arange(int(counts.sum()))
+            state[need] = (state[need] << _32) | stream[places]
+            at += counts
+        return np.concatenate((out.reshape(-1), self.decode_part(n, words, checkpoints, len(marks) - 1)))
+
     def decode_part(self, n: int, words: bytes, checkpoints: bytes, part: int) -> np.ndarray:
         """The ids from checkpoint number part to the next one (or the end): parts of a block decode in parallel."""
         marks = np.frombuffer(checkpoints, dtype="<u8").reshape(-1, LANES + 2)
@@ -116,83 +141,129 @@ class Table:
         return self.decode(n, marks[part, 2:].tobytes(), words, int(marks[part, 0]), last, int(marks[part, 1]))
 
 
-_LIBRARY: dict[str, tuple] = {}
+class _Library:
+    """The tokenizers library's ids of texts. It encodes each different run once; runs not met lately are forgotten."""
 
-
-def _tokenizer(path: str):
-    """The library's tokenizer and the ids kept by word, once a Python worker."""
-    if path not in _LIBRARY:
+    def __init__(self, path: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(path)
-        _LIBRARY[path] = (t, {}, tuple(x.content for x in t.get_added_tokens_decoder().values()))
-    return _LIBRARY[path]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.special = tuple(x.content for x in self.tokenizer.get_added_tokens_decoder().values())
+        self.dtype = np.dtype("<u2" if max(self.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4")
+        self.end = np.array([end_id], dtype=self.dtype).tobytes()
+        self.feed = self._ids("\n")
+        self.kept: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
+
+    def _look_up(self, runs: set[str]) -> None:
+        """Adds the ids of runs to those kept."""
+        kept, old = self.kept, self.old
+        # Marks behind a letter are one match of the pattern, so such a run is the run without them and the marks.
+        cut = {}
+        for run in runs:
+            if run in old:
+                kept[run] = old[run]
+            else:
+                head = run.rstrip(MARKS)
+                cut[run] = (head, run[len(head) :]) if len(head) < len(run) and head and head[-1].isalpha() else (run,)
+        ask = []
+        for x in {x for parts in cut.values() for x in parts}.difference(kept):
+            if x in old:
+                kept[x] = old[x]
+            else:
+                ask.append(x)
+        # A line feed is a match of its own unless white space other than one space follows.
+        plain = [x for x in ask if not any(c.isspace() or c in SPACE for c in x[1:]) and (x[0] == " " or not x[0].isspace()) and x != " "]
+        joined = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
+        for some, e in zip(joined, self.tokenizer.encode_batch_fast(["\n".join(some) + "\n" for some in joined], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, dtype=self.dtype)
+            ends = np.flatnonzero(ids == np.frombuffer(self.feed, dtype=self.dtype)[0]) if len(self.feed) == self.dtype.itemsize else []
+            if len(ends) != len(some):
+                kept.update((x, self._ids(x)) for x in some)
+                continue
+            raw, size, start = ids.tobytes(), self.dtype.itemsize, 0
+            for x, end in zip(some, ends.tolist(), strict=True):
+                kept[x] = raw[size * start : size * end]
+                start = end + 1
+        plain = set(plain)
+        kept.update((x, self._ids(x)) for x in ask if x not in plain)
+        kept.update((run, kept[parts[0]] + kept[parts[1]]) for run, parts in cut.items() if len(parts) > 1)
+
+    def encode(self, texts) -> list[bytes]:
+        """Ids of each text, the end id behind them."""
+        whole = [any(x in t for x in self.special) for t in texts]
+        cut = [[] if w else words_of(t) for t, w in zip(texts, whole, strict=True)]
+        if len(self.kept) > KEPT // 2:
+            self.kept, self.old = {}, self.kept
+        self._look_up(set().union(*cut).difference(self.kept))
+        ids_of = self.kept.__getitem__
+        out = [(self._ids(t) if w else b"".join(map(ids_of, runs))) + self.end for t, w, runs in zip(texts, whole, cut, strict=True)]
+        for run in [x for runs in cut for x in runs if len(x) > 1_000]:
+            self.kept.pop(run, None)
+        return out
+
+
+_WORKER: dict[tuple, _Library] = {}
+
+
+def _library(path: str, end_id: int) -> _Library:
+    """One a Python worker: its next tasks use what it has kept."""
+    if (path, end_id) not in _WORKER:
+        _WORKER.clear()
+        _WORKER[path, end_id] = _Library(path, end_id)
+    return _WORKER[path, end_id]
 
 
 def encode_texts(path: str, texts) -> list[bytes]:
     """Ids of each text as little-endian 32-bit integers, as the library encodes it without adding special tokens.
 
-    The library encodes each different word once; words end where the tokenizer's own pattern ends a match
-    whatever follows. Texts with a special token's string are given to the library whole. Null is the empty text.
+    Texts with a special token's string are given to the library whole, all others run by run; runs end where the
+    tokenizer's own pattern ends a match whatever follows. Null is the empty text.
     """
-    tokenizer, kept, special = _tokenizer(path)
-    if len(kept) > KEPT:
-        kept.clear()
-    cut = [None if any(x in (t or "") for x in special) else words_of(t or "") for t in texts]
-    new = {w for words in cut if words for w in words if w not in kept}
-    # A mark after a letter is a match of its own, so those words are the word without it and the mark.
-    marked = {w for w in new if w[-1] in ".," and len(w) > 1 and w[-2].isalpha()}
-    ask = list(((new - marked) | {w[:-1] for w in marked} | {".", ","}) - kept.keys())
-    for at in range(0, len(ask), 50_000):
-        part = ask[at : at + 50_000]
-        for w, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-            kept[w] = array("I", e.ids).tobytes()
-    for w in marked:
-        kept[w] = kept[w[:-1]] + kept[w[-1]]
-    out = []
-    for t, words in zip(texts, cut, strict=True):
-        if words is None:
-            out.append(np.array(tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes())
-        else:
-            out.append(b"".join([kept[w] for w in words]))
-    return out
+    library = _library(path, 0)
+    return [np.frombuffer(x, dtype=library.dtype)[:-1].astype("<u4").tobytes() for x in library.encode([t or "" for t in texts])]
 
 
 def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = END, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Writes the ids of all docs to folder, in ascending order of the id, null ids first.
 
-    Rows of one id stay together in the order of their texts. An empty table gives no block.
+    Null texts are empty ones, of the end id alone. Rows of one id stay together in the order of their texts. An
+    empty table gives no block.
     """
     spark = docs.sparkSession
 
     def tokenize(batches):
+        """A row a document, and in the end one of the counts of all ids."""
+        library, total = _library(tokenizer_path, end_id), np.zeros(1 << 16, dtype=np.int64)
         for b in batches:
-            end = np.array([end_id], dtype="<u4").tobytes()
-            for at in range(0, len(b), 500):
-                c = b.iloc[at : at + 500]
-                ids = [x + end for x in encode_texts(tokenizer_path, c["text"])]
-                small = [np.frombuffer(x, dtype="<u4").astype("<u2").tobytes() if np.frombuffer(x, dtype="<u4").max() < 65536 else None for x in ids]
-                yield pd.DataFrame({"id": c["id"], "tie": c["tie"], "n": [len(x) // 4 for x in ids], "ids2": small, "ids4": [x if y is None else None for x, y in zip(ids, small, strict=True)]})
-
-    pure = docs.select(column(id_col).cast("long").alias("id"), column(text_col).alias("text")).withColumn("tie", F.xxhash64("text"))
-    tokens = saved(pure.mapInPandas(tokenize, "id long, tie long, n long, ids2 binary, ids4 binary"), "tokens")
-
-    def ids_of(two, four) -> np.ndarray:
-        return np.frombuffer(two, dtype="<u2").astype(np.uint32) if two is not None else np.frombuffer(four, dtype="<u4")
-
-    def count(batches):
-        total = np.zeros(0, dtype=np.int64)
-        for b in batches:
-            if len(b):
-                c = np.bincount(np.concatenate([ids_of(x, y) for x, y in zip(b["ids2"], b["ids4"], strict=True)]))
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
+                raw = library.encode([t or "" for t in part.column("text").to_pylist()])
+                c = np.bincount(np.frombuffer(b"".join(raw), dtype=library.dtype))
                 if len(c) > len(total):
-                    c, total = total, c
+                    c, total = total, c.astype(np.int64)
                 total[: len(c)] += c
+                n = [len(x) // library.dtype.itemsize for x in raw]
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("tie"), pa.array(n, pa.int64()), pa.array(raw, pa.binary()), pa.nulls(len(raw), pa.binary())], TOKENS)
         at = np.flatnonzero(total)
-        yield pd.DataFrame({"token": at, "c": total[at]})
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([np.vstack((at, total[at])).astype("<i8").tobytes()])], TOKENS)
+
+    pure = docs.select(column(id_col).cast("long").alias("id"), F.xxhash64(column(text_col)).alias("tie"), column(text_col).alias("text"))
+    TOKENS = ["id", "tie", "n", "ids", "counts"]
+    tokens = saved(pure.mapInArrow(tokenize, "id long, tie long, n long, ids binary, counts binary"), "tokens", "zstd")
+    wide = _library(tokenizer_path, end_id).dtype
+
+    def added(batches):
+        for b in batches:
+            for raw in b["counts"]:
+                at, n = np.frombuffer(raw, dtype="<i8").reshape(2, -1)
+                yield pd.DataFrame({"token": at, "c": n})
 
-    counts = tokens.select("ids2", "ids4").mapInPandas(count, "token long, c long").groupBy("token").agg(F.sum("c").alias("c")).toPandas()
+    counts = tokens.where("counts IS NOT NULL").select("counts").mapInPandas(added, "token long, c long").groupBy("token").agg(F.sum("c").alias("c")).toPandas()
     size = int(counts["token"].max()) + 1 if len(counts) else 0
     total = np.zeros(size, dtype=np.int64)
     total[counts["token"].to_numpy()] = counts["c"].to_numpy()
@@ -201,64 +272,76 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = END,
     spark.createDataFrame(pd.DataFrame({"token": there.astype(np.int64), "freq": freq[there].astype(np.int64)}), "token long, freq long").coalesce(1).write.parquet(f"{folder}/table")
 
     shared = spark.sparkContext.broadcast(Table(freq))
-    parts = max(1, -(-int(total.sum()) // (BLOCK * 16)))
-    ordered = tokens.repartitionByRange(parts, F.col("id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("id").asc_nulls_first(), "tie")
-    ordered = ordered.withColumn("part", F.spark_partition_id())
+    parts = max(1, -(-int(total.sum()) // (BLOCK * 4)))
+    ordered = tokens.where("counts IS NULL").select("id", "tie", "ids").repartitionByRange(parts, F.col("id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("id").asc_nulls_first(), "tie")
+    ordered = ordered.select("id", "ids", F.spark_partition_id().alias("part"))
 
-    def block(part: int, number: int, docs_, ids_: list) -> dict:
-        ids = np.concatenate(ids_)
+    def block(part: int, number: int, docs_: list, raw: list) -> pd.DataFrame:
+        ids = np.frombuffer(b"".join(raw), dtype=wide)
         states, words, marks = shared.value.encode(ids)
-        return {"part": part, "number": number, "docs": [None if pd.isna(d) else int(d) for d in docs_], "sizes": [len(x) for x in ids_], "n": len(ids), "crc": zlib.crc32(ids.astype("<u4").tobytes()), "states": states, "words": words, "checkpoints": marks}
+        sizes = [len(x) // wide.itemsize for x in raw]
+        row = {"part": part, "number": number, "docs": docs_, "sizes": sizes, "n": len(ids), "crc": zlib.crc32(ids.astype("<u4").tobytes()), "states": states, "words": words, "checkpoints": marks}
+        return pd.DataFrame([row])
 
     def pack(batches):
         held, ids, n, number, part = [], [], 0, 0, 0
         for b in batches:
-            for d, two, four, part in zip(b["id"], b["ids2"], b["ids4"], b["part"], strict=True):  # noqa: B007
+            for d, raw, part in zip(b.column("id").to_pylist(), b.column("ids"), b.column("part").to_pylist(), strict=True):  # noqa: B007
                 held.append(d)
-                ids.append(ids_of(two, four))
-                n += len(ids[-1])
+                ids.append(raw.as_py())
+                n += len(ids[-1]) // wide.itemsize
                 if n >= BLOCK:
-                    yield pd.DataFrame([block(part, number, held, ids)])
+                    yield pa.RecordBatch.from_pandas(block(part, number, held, ids), schema=PACKED)
                     held, ids, n, number = [], [], 0, number + 1
         if held:
-            yield pd.DataFrame([block(part, number, held, ids)])
+            yield pa.RecordBatch.from_pandas(block(part, number, held, ids), schema=PACKED)
 
+    PACKED = pa.schema([("part", pa.int32()), ("number", pa.int32()), ("docs", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("n", pa.int64()), ("crc", pa.int64()), ("states", pa.binary()), ("words", pa.binary()), ("checkpoints", pa.binary())])
     schema = "part int, number int, docs array<long>, sizes array<long>, n long, crc long, states binary, words binary, checkpoints binary"
-    ordered.mapInPandas(pack, schema).write.parquet(f"{folder}/blocks")
+    ordered.mapInArrow(pack, schema).write.parquet(f"{folder}/blocks")
+    forget(tokens)
+
+
+def _starts(blocks: DataFrame) -> DataFrame:
+    """(part, number, start): the ids before each block. Sums run within parts, within groups of parts, and over the few groups."""
+    before = lambda c, by, order: F.coalesce(F.sum(c).over(Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    per = blocks.select("part", "number", "n", F.floor(F.col("part") / 4096).alias("group"))
+    parts = per.groupBy("group", "part").agg(F.sum("n").alias("m")).select("group", "part", "m", before("m", "group", "part").alias("p"))
+    groups = parts.groupBy("group").agg(F.sum("m").alias("m")).select("group", before("m", F.lit(0), "group").alias("g"))
+    parts = parts.join(F.broadcast(groups), "group").select("part", (F.col("p") + F.col("g")).alias("p"))
+    return per.select("part", "number", before("n", "part", "number").alias("b")).join(parts, "part").select("part", "number", (F.col("p") + F.col("b")).alias("start"))
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids binary of 32-bit integers) from a folder that write() made. A block whose checksum fails raises."""
+    """(doc_id, start, n_tokens, ids binary of 32-bit integers) from a folder that write() made.
+
+    A block is decoded from all its checkpoints at once. One whose checksum fails raises. A folder without blocks gives no rows.
+    """
     blocks = spark.read.parquet(f"{folder}/blocks")
     sizes = spark.read.parquet(f"{folder}/table").toPandas()
     freq = np.zeros(int(sizes["token"].max()) + 1 if len(sizes) else 0, dtype=np.int64)
     freq[sizes["token"].to_numpy()] = sizes["freq"].to_numpy()
     shared = spark.sparkContext.broadcast(Table(freq))
-    # Ids before each part: one number for each of the parts of the writer.
-    before, starts = 0, []
-    for p, n in blocks.groupBy("part").agg(F.sum("n")).orderBy("part").collect():
-        starts.append((p, before))
-        before += n
-    of_part = spark.createDataFrame(starts, "part int, part_start long")
-    per = blocks.select("part", "number", "n").join(F.broadcast(of_part), "part")
-    start = per.selectExpr("part", "number", "part_start + coalesce(sum(n) OVER (PARTITION BY part ORDER BY number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start")
-    placed = blocks.join(F.broadcast(start), ["part", "number"])
+    placed = blocks.join(sized(saved(_starts(blocks), "starts")), ["part", "number"])
 
     def unpack(batches):
         for b in batches:
-            for r in b.itertuples(index=False):
-                ids = shared.value.decode(r.n, r.states, r.words)
+            for i in range(b.num_rows):
+                r = {c: b.column(c)[i] for c in b.schema.names}
+                ids = shared.value.decode_block(r["n"].as_py(), r["states"].as_py(), r["words"].as_py(), r["checkpoints"].as_py())
                 raw = ids.astype("<u4").tobytes()
-                if zlib.crc32(raw) != r.crc:
-                    raise ValueError(f"block {r.part}-{r.number}: its ids don't match their checksum")
-                end = np.cumsum(np.asarray(r.sizes, dtype=np.int64))
-                first = end - np.asarray(r.sizes, dtype=np.int64)
-                yield pd.DataFrame({"doc_id": pd.array([None if pd.isna(d) else int(d) for d in r.docs], dtype="Int64"), "start": r.start + first, "n_tokens": end - first, "ids": [raw[4 * a : 4 * z] for a, z in zip(first, end, strict=True)]})
+                if zlib.crc32(raw) != r["crc"].as_py():
+                    raise ValueError(f"block {r['part']}-{r['number']}: its ids don't match their checksum")
+                n = r["sizes"].values.to_numpy()
+                end = np.cumsum(n)
+                ids_ = pa.array([raw[4 * (z - k) : 4 * z] for k, z in zip(n.tolist(), end.tolist(), strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([r["docs"].values, pa.array(r["start"].as_py() + end - n), pa.array(n), ids_], ["doc_id", "start", "n_tokens", "ids"])
 
-    return placed.select("part", "number", "start", "n", "crc", "docs", "sizes", "states", "words").mapInPandas(unpack, "doc_id long, start long, n_tokens long, ids binary")
+    return placed.select("part", "number", "start", "n", "crc", "docs", "sizes", "states", "words", "checkpoints").mapInArrow(unpack, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place, number of ids and checksum, from the files; see write and read for nulls, ties and empty tables."""
     import public_tokenizers
 
     folder = shared_folder(spark, "rans")
