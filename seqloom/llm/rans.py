@@ -161,23 +161,27 @@ class _Library:
 
     def _look_up(self, runs: set[str]) -> None:
         """Adds the ids of runs to those kept."""
-        kept, old = self.kept, self.old
+        kept, old, alone, cut = self.kept, self.old, [], []
         # Marks behind a letter are one match of the pattern, so such a run is the run without them and the marks.
-        cut = {}
         for run in runs:
-            if run in old:
-                kept[run] = old[run]
+            ids = old.get(run)
+            if ids is not None:
+                kept[run] = ids
+            elif run[-1] in MARKS and (head := run.rstrip(MARKS)) and head[-1].isalpha():
+                cut.append((run, head, run[len(head) :]))
             else:
-                head = run.rstrip(MARKS)
-                cut[run] = (head, run[len(head) :]) if len(head) < len(run) and head and head[-1].isalpha() else (run,)
-        ask = []
-        for x in {x for parts in cut.values() for x in parts}.difference(kept):
-            if x in old:
-                kept[x] = old[x]
-            else:
-                ask.append(x)
+                alone.append(run)
+        ask = {x for parts in cut for x in parts[1:]}.difference(kept)
+        for x in ask & old.keys():
+            kept[x] = old[x]
+            ask.discard(x)
+        ask.update(alone)
         # A line feed is a match of its own unless white space other than one space follows.
-        plain = [x for x in ask if not any(c.isspace() or c in SPACE for c in x[1:]) and (x[0] == " " or not x[0].isspace()) and x != " "]
+        plain, others = [], []
+        for x in ask:
+            words = x.split()
+            only = len(words) == 1 and (len(words[0]) == len(x) or len(words[0]) == len(x) - 1 and x[0] == " ")
+            (plain if only else others).append(x)
         joined = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
         for some, e in zip(joined, self.tokenizer.encode_batch_fast(["\n".join(some) + "\n" for some in joined], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, dtype=self.dtype)
@@ -189,9 +193,9 @@ class _Library:
             for x, end in zip(some, ends.tolist(), strict=True):
                 kept[x] = raw[size * start : size * end]
                 start = end + 1
-        plain = set(plain)
-        kept.update((x, self._ids(x)) for x in ask if x not in plain)
-        kept.update((run, kept[parts[0]] + kept[parts[1]]) for run, parts in cut.items() if len(parts) > 1)
+        kept.update((x, self._ids(x)) for x in others)
+        for run, head, marks in cut:
+            kept[run] = kept[head] + kept[marks]
 
     def encode(self, texts) -> list[bytes]:
         """Ids of each text, the end id behind them."""
@@ -199,11 +203,13 @@ class _Library:
         cut = [[] if w else words_of(t) for t, w in zip(texts, whole, strict=True)]
         if len(self.kept) > KEPT // 2:
             self.kept, self.old = {}, self.kept
-        self._look_up(set().union(*cut).difference(self.kept))
+        new = set().union(*cut).difference(self.kept)
+        self._look_up(new)
         ids_of = self.kept.__getitem__
         out = [(self._ids(t) if w else b"".join(map(ids_of, runs))) + self.end for t, w, runs in zip(texts, whole, cut, strict=True)]
-        for run in [x for runs in cut for x in runs if len(x) > 1_000]:
-            self.kept.pop(run, None)
+        for run in new:
+            if len(run) > 1_000:
+                del self.kept[run]
         return out
 
 
