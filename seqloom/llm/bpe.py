@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructType
 
-from seqloom.llm.common import column, free_name, saved, table
+from seqloom.llm.common import column, free_name, most_counted, saved, table
 
 #: Words of the dictionary, at most: a fixed bound of what is sent to every task. Longer ones than LONGEST bytes are left to the tasks.
 DICTIONARY = 1_000_000
@@ -241,17 +241,7 @@ def dictionary(docs: DataFrame, text_col: str, ranks: dict[bytes, int], pattern:
         yield flush()
 
     counts = docs.select(column(text_col).alias("text")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    counts = saved(counts, "words")
-    if counts.count() > most:
-        # The least count that belongs, from the numbers of words by their count: a row for each power's hundredth.
-        step = F.floor(F.log2("n") * 100).cast("int")
-        total, least = 0, None
-        for r in counts.groupBy(step.alias("step")).count().orderBy(F.desc("step")).toLocalIterator():
-            total += r["count"]
-            if total > most:
-                break
-            least = r["step"]
-        counts = counts.where(F.lit(False)) if least is None else counts.where(step >= least)
+    counts = most_counted(saved(counts, "words"), "n", most)
     got = counts.select("word", F.get(folded_all(F.array("word"), ranks), F.lit(0)).alias("ids")).toArrow()
     ids = pa.concat_arrays(got["ids"].chunks) if got.num_rows else pa.array([], pa.list_(pa.int32()))
     ends = ids.offsets.to_numpy().astype(np.int64)

@@ -5,10 +5,10 @@ within that. The order is cut into fragments. Documents whose first n-grams (the
 pair above the threshold must share in part) meet become candidates; the overlap of a candidate pair is
 counted in every fragment apart, from the two documents' segments there, and summed per pair.
 
-A group of documents that share a prefix n-gram (and a class of sizes) never becomes all its pairs. Each
-member is compared with one of the group's, its first in an order by hashes, in two rounds. Members that this links need no more. For the others the Jaccard
-distance's triangle inequality leaves the pairs to compare: those whose distances to that
-member differ by no more than the threshold allows. No link is lost.
+A group of documents that share a prefix n-gram (and a class of sizes) never becomes all its pairs. In two rounds each
+member is compared with one of the group's, its first in an order by hashes. Members that this links need
+no more. Those still outside their group's largest component are compared with the others of the group, each pair in one
+of the groups that it shares, if counts of n-grams by fine fragments leave a link possible. No link is lost.
 """
 
 from __future__ import annotations
@@ -20,10 +20,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import column, components, free_name, saved, sized, table
+from seqloom.llm.common import column, components, forget, free_name, most_counted, saved, sized, table
 from seqloom.llm.shingles import mixed, shingle_sets
 
-FRAGMENTS = 8
+#: Fragments of the global order: of n-grams outside the list of frequent ones, by hash, and of those in it, from these magnitudes on.
+RARE_FRAGMENTS, MAGNITUDES = 4, (1, 3, 6, 10)
+#: Keys of a member that are compared to find the one group in which a pair is made.
+SKETCH = 8
 #: Rounds in which members of a group are compared with its first one, and in how many orders by keys: copies that share many keys meet several members.
 ORDERS = (8, 1 << 40)
 #: Entries of the list of frequent n-grams sent to all tasks: a fixed bound. The list only orders n-grams; results don't depend on it.
@@ -52,18 +55,26 @@ def _frequent(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
         h, c = np.unique(np.concatenate(held), return_counts=True)
         return pd.DataFrame({"h": h[c >= COUNTED].view(np.int64), "c": c[c >= COUNTED]})
 
-    top = docs.mapInPandas(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "h").limit(FREQUENT).toPandas()
+    counts = saved(docs.mapInPandas(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "counts")
+    top = most_counted(counts, "c", FREQUENT).toPandas()
+    forget(counts)
     h, c = top["h"].to_numpy(dtype=np.int64).view(np.uint64), top["c"].to_numpy(dtype=np.float64)
     by = np.argsort(h)
     return h[by], np.ceil(np.log2(np.maximum(c[by], 1))).astype(np.uint64)
 
 
-def _prefixes(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """(id, n, sid, prefix, counts): size, a 128-bit hash of the set, the prefix, and the n-grams in each of 2**k equal fragments."""
-    shared = docs.sparkSession.sparkContext.broadcast(_frequent(docs, width))
+def _ranks(s: np.ndarray, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Magnitudes of hashes: 0 outside the list of frequent ones."""
+    known, size = frequent
+    if not len(known):
+        return np.zeros(len(s), dtype=np.uint64)
+    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+    return np.where(known[at] == s, size[at], np.uint64(0))
 
+
+def _prefixes(docs: DataFrame, shared, width: int, num: int, den: int) -> DataFrame:
+    """shared: _frequent(), broadcast. (id, n, sid, prefix, counts): size, a 128-bit hash of the set, the prefix, and the n-grams in each of 2**k equal fragments."""
     def scan(batches):
-        known, size = shared.value
         for b in batches:
             out = []
             for s in shingle_sets(b["text"], width):
@@ -71,10 +82,7 @@ def _prefixes(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
                 if not n:
                     out.append((0, None, None, None))
                     continue
-                rank = np.zeros(n, dtype=np.uint64)
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-                    rank = np.where(known[at] == s, size[at], rank)
+                rank = _ranks(s, shared.value)
                 keep = n - -(-num * n // den) + 1
                 # Ascending by (magnitude, hash): s is ascending by hash and the sort is stable.
                 prefix = s[np.argsort(rank, kind="stable")[:keep]]
@@ -88,30 +96,29 @@ def _prefixes(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     return docs.mapInPandas(scan, "id long, n long, sid binary, prefix array<long>, counts array<int>")
 
 
-def _segments(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
-    """(id, n, fragment, segment) of the documents listed in ids: their sets, cut by the global order."""
+def _segments(docs: DataFrame, ids: DataFrame, shared, width: int) -> DataFrame:
+    """(id, n, segments) of the documents listed in ids: their sets, cut at the same places of the global order."""
     few = docs.join(sized(ids), "id", "left_semi")
 
     def cut(batches):
         for b in batches:
             rows = []
             for i, s in zip(b["id"], shingle_sets(b["text"], width), strict=True):
-                part = ((s >> np.uint64(32)) * np.uint64(FRAGMENTS)) >> np.uint64(32)
-                edge = np.searchsorted(part, np.arange(FRAGMENTS + 1, dtype=np.uint64))
-                rows += [(i, len(s), f, s[edge[f] : edge[f + 1]].view(np.int64)) for f in range(FRAGMENTS) if edge[f + 1] > edge[f]]
-            yield pd.DataFrame(rows, columns=["id", "n", "fragment", "segment"])
+                part = np.searchsorted(MAGNITUDES, _ranks(s, shared.value).astype(np.int64), side="right") + RARE_FRAGMENTS - 1
+                part = np.where(part < RARE_FRAGMENTS, (((s >> np.uint64(32)) * np.uint64(RARE_FRAGMENTS)) >> np.uint64(32)).astype(np.int64), part)
+                rows.append((i, len(s), [s[part == f].view(np.int64) for f in range(RARE_FRAGMENTS + len(MAGNITUDES))]))
+            yield pd.DataFrame(rows, columns=["id", "n", "segments"])
 
-    return few.mapInPandas(cut, "id long, n long, fragment int, segment array<long>").dropDuplicates(["id", "fragment"])
+    return few.mapInPandas(cut, "id long, n long, segments array<array<long>>").dropDuplicates(["id"])
 
 
-def _overlaps(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
-    """pairs (x, y) with nx, ny and overlap: partial overlaps of each fragment, summed. Pairs without any overlap are left out."""
-    segments = _segments(docs, pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct(), width)
-    y = segments.select(F.col("id").alias("y"), F.col("n").alias("ny"), "fragment", F.col("segment").alias("sy"))
-    x = segments.select(F.col("id").alias("x"), F.col("n").alias("nx"), "fragment", F.col("segment").alias("sx"))
-    both = pairs.join(y, "y").join(x, ["x", "fragment"])
-    part = both.select("x", "y", "nx", "ny", F.size(F.array_intersect("sx", "sy")).cast("long").alias("overlap"))
-    return part.groupBy("x", "y", "nx", "ny").agg(F.sum("overlap").alias("overlap"))
+def _overlaps(docs: DataFrame, pairs: DataFrame, shared, width: int) -> DataFrame:
+    """pairs (x, y) with nx, ny and overlap: partial overlaps of each fragment, summed."""
+    segments = saved(_segments(docs, pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct(), shared, width), "segments")
+    y = segments.select(F.col("id").alias("y"), F.col("n").alias("ny"), F.col("segments").alias("sy"))
+    x = segments.select(F.col("id").alias("x"), F.col("n").alias("nx"), F.col("segments").alias("sx"))
+    parts = F.zip_with("sx", "sy", lambda a, b: F.size(F.array_intersect(a, b)).cast("long"))
+    return pairs.join(y, "y").join(x, "x").select("x", "y", "nx", "ny", F.aggregate(parts, F.lit(0).cast("long"), lambda s, t: s + t).alias("overlap"))
 
 
 def _possible(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -144,43 +151,51 @@ def classes(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100, id_c
     ours get an underscore. Shingles are compared by 64-bit hashes.
     """
     pure = docs.select(column(id_col).cast("long").alias("id"), column(text_col).alias("text"))
-    p = saved(_prefixes(pure, width, num, den), "prefixes")
+    shared = docs.sparkSession.sparkContext.broadcast(_frequent(pure, width))
+    p = saved(_prefixes(pure, shared, width, num, den), "prefixes")
     sets = saved(p.where("n > 0").groupBy("sid").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.min_by(F.struct("prefix", "counts"), "id").alias("s")).select("sid", "rep", "n", "s.prefix", "s.counts").where("rep IS NOT NULL"), "sets")
 
     keys = sets.select(F.col("rep").alias("y"), "n", F.explode("prefix").alias("key"))
     by = Window.partitionBy("key").orderBy("y")
-    shared = keys.withColumn("other", F.coalesce(F.lag("y").over(by), F.lead("y").over(by))).where("other IS NOT NULL")
-    # Linked sizes are at most a factor of den / num apart: the classes of a pair's sizes are equal or neighbours.
+    met = keys.withColumn("other", F.coalesce(F.lag("y").over(by), F.lead("y").over(by))).where("other IS NOT NULL")
+    # Linked sizes are at most a factor of den / num apart: the classes of a pair's sizes are equal or neighbours. Members are guests in the class above their own.
     size_class = F.floor(F.log(F.col("n")) / (math.log(den / num) * (1 + 1e-9))).cast("int")
-    shared = shared.select("key", "y", F.explode(F.array(size_class, size_class + 1)).alias("class"))
-    members = saved(shared, "members")
+    own = F.struct(size_class.alias("class"), F.lit(True).alias("own"))
+    guest = F.struct((size_class + 1).alias("class"), F.lit(False).alias("own"))
+    members = saved(met.select("key", "y", F.explode(F.array(own, guest)).alias("at")).select("key", "y", "at.class", "at.own"), "members")
     linked = F.col("overlap") * den >= (F.col("nx") + F.col("ny") - F.col("overlap")) * num
     where = lambda df, comp: df.join(comp.toDF("y", "c"), "y", "left").withColumn("c", F.coalesce("c", "y"))
     comp = members.select(F.col("y").alias("node"), F.col("y").alias("component")).limit(0)
+    tried = []
     for orders in ORDERS:
         # Only groups of more than one component; their members are compared with the first one, if that is in another.
         open_ = saved(_open(where(members, comp)), "open")
         group = Window.partitionBy("key", "class").orderBy(F.xxhash64("y", F.pmod("key", F.lit(orders))), "y").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        stars = open_.withColumn("first", F.first(F.struct("y", "c")).over(group)).select("key", "class", F.col("first.y").alias("x"), "y", "c", F.col("first.c").alias("cx"))
-        stars = saved(stars.where("c <> cx"), "stars")
-        pairs = saved(_possible(stars.select("x", "y").distinct(), sets, num, den), "pairs")
-        found = saved(_overlaps(pure, pairs.where("near").select("x", "y"), width), "overlaps")
+        stars = open_.withColumn("first", F.first(F.struct("y", "c")).over(group)).select("y", "c", F.col("first.y").alias("x"), F.col("first.c").alias("cx"))
+        pairs = stars.where("c <> cx").select("x", "y").distinct()
+        pairs = saved(_possible(pairs, sets, num, den), "pairs")
+        tried.append(pairs.select("x", "y"))
+        found = saved(_overlaps(pure, pairs.where("near").select("x", "y"), shared, width), "overlaps")
         links = found.where(linked).select(F.col("x").alias("a"), F.col("y").alias("b"))
         comp = components(links.union(comp))  # a component's stars stand for its links
 
-    # What is left: members of one group in different components. A known distance to the group's first one rules out partners at other distances.
-    far = found.select("x", "y", (1 - F.col("overlap") / (F.col("nx") + F.col("ny") - F.col("overlap"))).alias("far"))
-    far = stars.select("key", "class", "x", "y").join(far, ["x", "y"])
-    size = sets.select(F.col("rep").alias("y"), "n")
-    rest = _open(where(members, comp)).join(far.select("key", "class", "y", "far"), ["key", "class", "y"], "left").join(size, "y").select("key", "class", "y", "n", "far", "c")
-    rest = saved(rest, "rest")
-    slack = (den - num) / den + 1e-9
-    may = F.coalesce(F.abs(F.col("fa") - F.col("fb")) <= slack, F.lit(True)) & (F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
-    a, b = rest.toDF("key", "class", "a", "na", "fa", "ca"), rest.toDF("key", "class", "b", "nb", "fb", "cb")
-    more = a.join(b, ["key", "class"]).where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & may)
-    more = saved(_possible(more.select(F.col("a").alias("x"), F.col("b").alias("y")).distinct(), sets, num, den).where("near").select("x", "y"), "more")
+    # What is left: members outside their group's largest component, with all others of the group that are in another.
+    rest = saved(_open(where(members, comp)), "rest")
+    largest = rest.groupBy("key", "class", "c").count().groupBy("key", "class").agg(F.max(F.struct("count", "c"))["c"].alias("largest"))
+    # A pair is made in one group: that of the least key that both sketches have. Pairs whose sketches share none are made in each group that both are in.
+    sketch = sets.select(F.col("rep").alias("y"), "n", F.slice(F.sort_array("prefix"), 1, SKETCH).alias("sketch"))
+    rest = saved(rest.join(largest, ["key", "class"]).join(sketch, "y").select("key", "class", "y", "own", "n", "c", "sketch", (F.col("c") != F.col("largest")).alias("out")), "rest")
+    a = rest.where("out").select("key", "class", *[F.col(x).alias(f"{x}_a") for x in ("y", "own", "n", "c", "sketch")])
+    b = rest.select("key", "class", *[F.col(x).alias(f"{x}_b") for x in ("y", "own", "n", "c", "out", "sketch")])
+    one = (F.col("c_a") != F.col("c_b")) & (~F.col("out_b") | (F.col("y_a") < F.col("y_b"))) & (F.col("own_a") | F.col("own_b"))
+    one &= F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num
+    one &= F.coalesce(F.get(F.array_intersect("sketch_a", "sketch_b"), F.lit(0)), F.col("key")) == F.col("key")
+    more = a.join(b, ["key", "class"]).where(one).select(F.least("y_a", "y_b").alias("x"), F.greatest("y_a", "y_b").alias("y")).distinct()
+    for t in tried:
+        more = more.join(t.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")), ["x", "y"], "left_anti")
+    more = saved(_possible(more, sets, num, den).where("near").select("x", "y"), "more")
     if not more.isEmpty():
-        again = _overlaps(pure, more, width).where(linked)
+        again = _overlaps(pure, more, shared, width).where(linked)
         comp = components(again.select(F.col("x").alias("a"), F.col("y").alias("b")).union(comp))
 
     ids = sets.select("sid", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("sid", F.coalesce("component", "rep").alias("component"))
@@ -191,5 +206,5 @@ def classes(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100, id_c
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return classes(docs).withColumnRenamed("id", "doc_id")
+    """Every document's set size and component; see classes for nulls, ties, repeated rows and empty tables."""
+    return classes(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("id", "doc_id")
