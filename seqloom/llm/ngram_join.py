@@ -13,6 +13,7 @@ of the groups that it shares, if counts of n-grams by fine fragments leave a lin
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -27,8 +28,9 @@ from seqloom.llm.shingles import mixed, shingle_sets
 RARE_FRAGMENTS, MAGNITUDES = 4, (1, 3, 6, 10)
 #: Keys of a member that are compared to find the one group in which a pair is made.
 SKETCH = 8
-#: Rounds in which members of a group are compared with its first one, and in how many orders by keys: copies that share many keys meet several members.
-ORDERS = (8, 1 << 40)
+#: Rounds in which members of a group are compared with its first one: whether members with few n-grams of their own come first (the text that near copies
+#: were made from), and in how many orders by keys, so that copies that share many keys meet several members.
+ORDERS = ((True, 8), (False, 1 << 40))
 #: Entries of the list of frequent n-grams sent to all tasks: a fixed bound. The list only orders n-grams; results don't depend on it.
 FREQUENT = 500_000
 #: n-grams that a task counts before it passes on those that it found COUNTED times or more.
@@ -164,13 +166,20 @@ def classes(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100, id_c
     guest = F.struct((size_class + 1).alias("class"), F.lit(False).alias("own"))
     members = saved(met.select("key", "y", F.explode(F.array(own, guest)).alias("at")).select("key", "y", "at.class", "at.own"), "members")
     linked = F.col("overlap") * den >= (F.col("nx") + F.col("ny") - F.col("overlap")) * num
-    where = lambda df, comp: df.join(comp.toDF("y", "c"), "y", "left").withColumn("c", F.coalesce("c", "y"))
+    # Of each member: how many of its n-grams others may have, and a sketch of its keys.
+    others = members.where("own").groupBy("y").agg(F.count("*").alias("others"))
+    facts = sets.withColumnRenamed("rep", "y").join(others, "y")
+    facts = facts.select("y", "n", (F.col("n") - F.size("prefix") + F.col("others")).alias("common"), F.slice(F.sort_array("prefix"), 1, SKETCH).alias("sketch"))
+    facts = saved(facts, "facts")
+    nodes = lambda comp: facts.select("y", (F.col("n") - F.col("common")).alias("rare")).join(comp.toDF("y", "c"), "y", "left").withColumn("c", F.coalesce("c", "y"))
+    where = lambda df, comp: df.join(nodes(comp), "y")
     comp = members.select(F.col("y").alias("node"), F.col("y").alias("component")).limit(0)
     tried = []
-    for orders in ORDERS:
+    for common_first, orders in ORDERS:
         # Only groups of more than one component; their members are compared with the first one, if that is in another.
         open_ = saved(_open(where(members, comp)), "open")
-        group = Window.partitionBy("key", "class").orderBy(F.xxhash64("y", F.pmod("key", F.lit(orders))), "y").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        order = [*(["rare"] if common_first else []), F.xxhash64("y", F.pmod("key", F.lit(orders))), "y"]
+        group = Window.partitionBy("key", "class").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         stars = open_.withColumn("first", F.first(F.struct("y", "c")).over(group)).select("y", "c", F.col("first.y").alias("x"), F.col("first.c").alias("cx"))
         pairs = stars.where("c <> cx").select("x", "y").distinct()
         pairs = saved(_possible(pairs, sets, num, den), "pairs")
@@ -183,16 +192,17 @@ def classes(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100, id_c
     rest = saved(_open(where(members, comp)), "rest")
     largest = rest.groupBy("key", "class", "c").count().groupBy("key", "class").agg(F.max(F.struct("count", "c"))["c"].alias("largest"))
     # A pair is made in one group: that of the least key that both sketches have. Pairs whose sketches share none are made in each group that both are in.
-    sketch = sets.select(F.col("rep").alias("y"), "n", F.slice(F.sort_array("prefix"), 1, SKETCH).alias("sketch"))
-    rest = saved(rest.join(largest, ["key", "class"]).join(sketch, "y").select("key", "class", "y", "own", "n", "c", "sketch", (F.col("c") != F.col("largest")).alias("out")), "rest")
-    a = rest.where("out").select("key", "class", *[F.col(x).alias(f"{x}_a") for x in ("y", "own", "n", "c", "sketch")])
-    b = rest.select("key", "class", *[F.col(x).alias(f"{x}_b") for x in ("y", "own", "n", "c", "out", "sketch")])
+    rest = saved(rest.join(largest, ["key", "class"]).join(facts, "y").select("key", "class", "y", "own", "n", "common", "c", "sketch", (F.col("c") != F.col("largest")).alias("out")), "rest")
+    a = rest.where("out").select("key", "class", *[F.col(x).alias(f"{x}_a") for x in ("y", "own", "n", "common", "c", "sketch")])
+    b = rest.select("key", "class", *[F.col(x).alias(f"{x}_b") for x in ("y", "own", "n", "common", "c", "out", "sketch")])
     one = (F.col("c_a") != F.col("c_b")) & (~F.col("out_b") | (F.col("y_a") < F.col("y_b"))) & (F.col("own_a") | F.col("own_b"))
-    one &= F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num
+    # Only n-grams that others have can overlap.
+    most = F.least("common_a", "common_b")
+    one &= most * den >= (F.col("n_a") + F.col("n_b") - most) * num
     one &= F.coalesce(F.get(F.array_intersect("sketch_a", "sketch_b"), F.lit(0)), F.col("key")) == F.col("key")
     more = a.join(b, ["key", "class"]).where(one).select(F.least("y_a", "y_b").alias("x"), F.greatest("y_a", "y_b").alias("y")).distinct()
-    for t in tried:
-        more = more.join(t.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")), ["x", "y"], "left_anti")
+    before = functools.reduce(DataFrame.union, tried).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    more = more.join(before, ["x", "y"], "left_anti")
     more = saved(_possible(more, sets, num, den).where("near").select("x", "y"), "more")
     if not more.isEmpty():
         again = _overlaps(pure, more, shared, width).where(linked)
