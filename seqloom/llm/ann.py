@@ -253,4 +253,5 @@ def _fit_probes(fit: DataFrame, truth: DataFrame, index: DataFrame, hashes: Hash
 
 
 def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The neighbours of every 20th vector; see nearest for unusable vectors, ties, repeated rows and empty tables."""
     return nearest(table(spark, sf_dir, "embeddings"))

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import column, saved, sized, table
+from seqloom.llm.common import column, free_name, saved, sized, table
 
 #: Shorter lines, without the white space around them, take no part in one-edit matches.
 LEAST_CHARS = 20
@@ -91,7 +91,7 @@ def _shared(blocks: DataFrame) -> DataFrame:
 
 
 def dropped(docs: DataFrame, least: int = LEAST_CHARS, id_col: str = "doc_id", text_col: str = "text", exact: int | None = None) -> DataFrame:
-    """(row, lines): for each document, by the hash of its id and text, the numbers (from 0) of lines to drop.
+    """(id, row, lines): for each document, by its id and the hash of id and text, the numbers (from 0) of lines to drop.
 
     A line goes if an earlier one, by ascending id (nulls last) and then line number, is equal or one edit
     away, white space around both left out. Whether the earlier one goes too doesn't matter. One-edit matches
@@ -148,22 +148,26 @@ def dropped(docs: DataFrame, least: int = LEAST_CHARS, id_col: str = "doc_id", t
 
     go = first.join(near.withColumn("near", F.lit(True)), ["k", "k2"], "left").where("many OR near").select("k", "k2", "first", F.coalesce("near", F.lit(False)).alias("near"))
     gone = places.select("k", "k2", "pos").join(go, ["k", "k2"]).where("near OR pos > first")
-    return gone.groupBy(F.col("pos.row").alias("row")).agg(F.collect_set(F.col("pos.line")).alias("lines"))
+    return gone.groupBy(F.col("pos.id").alias("id"), F.col("pos.row").alias("row")).agg(F.collect_set(F.col("pos.line")).alias("lines"))
 
 
 def deduped(docs: DataFrame, least: int = LEAST_CHARS, id_col: str = "doc_id", text_col: str = "text", exact: int | None = None) -> DataFrame:
     """docs without the lines that dropped() names, and with the columns __lines (before) and __dropped.
 
-    Null and empty texts stay as they are. Other columns of docs are kept, whatever their names.
+    Null and empty texts stay as they are; an empty table gives no rows. Other columns of docs are kept, whatever
+    their names: if docs has one of ours, ours gets an underscore more.
     """
-    gone = dropped(docs, least, id_col, text_col, exact).withColumnRenamed("row", "__row").withColumnRenamed("lines", "__gone")
-    out = docs.withColumn("__row", F.xxhash64(column(id_col), column(text_col))).join(gone, "__row", "left")
+    names = {n: free_name(docs, n) for n in ("__lines", "__dropped", "__id", "__row", "__gone")}
+    total, lost, ident, row, gone_n = names.values()
+    gone = dropped(docs, least, id_col, text_col, exact).toDF(ident, row, gone_n)
+    same = column(id_col).cast("long").eqNullSafe(F.col(ident)) & (F.xxhash64(column(id_col), column(text_col)) == F.col(row))
+    out = docs.join(gone, same, "left")
     lines = F.split(column(text_col), "\n")
-    rest = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
-    text = F.when(F.col("__gone").isNull(), column(text_col)).otherwise(F.array_join(F.transform(rest, lambda i: F.get(lines, i)), "\n"))
-    out = out.withColumn("__lines", F.coalesce(F.when(column(text_col).isNull(), 0).otherwise(F.size(lines)), F.lit(0)).cast("long"))
-    out = out.withColumn("__dropped", F.coalesce(F.size("__gone"), F.lit(0)).cast("long")).withColumn(text_col, text)
-    return out.drop("__row", "__gone")
+    rest = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone_n))
+    text = F.when(F.col(gone_n).isNull(), column(text_col)).otherwise(F.array_join(F.transform(rest, lambda i: F.get(lines, i)), "\n"))
+    out = out.withColumn(total, F.coalesce(F.when(column(text_col).isNull(), 0).otherwise(F.size(lines)), F.lit(0)).cast("long"))
+    out = out.withColumn(lost, F.coalesce(F.size(gone_n), F.lit(0)).cast("long")).withColumn(text_col, text)
+    return out.drop(ident, row, gone_n)
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

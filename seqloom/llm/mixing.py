@@ -44,15 +44,18 @@ def with_copies(docs: DataFrame, seed: str = SEED, id_col: str = "doc_id", text_
 
     Equal rows draw alike, so reruns agree. A null text has size 0, a null id draws as the word null,
     a null source is a source of its own. Columns of docs with clashing names stay; ours get a leading
-    underscore then. Only (source, size) is shuffled, summed before it is sent.
+    underscore then. Only (source, size) is shuffled, summed before it is sent. Draws are independent, so a source's
+    taken words differ from its target by about the root of its summed squared sizes: with few documents, or
+    one that holds much of the source, that can be a large part (0.42 to 1.22 of it for sources of 50 documents).
     """
     size, total, target, copies = (free_name(docs, n) for n in ("size", "source_size", "target", "copies"))
     text = column(text_col)
     counted = docs.withColumn(size, F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long"))
     t = source_targets(counted.select(column(source_col).alias("source"), F.col(size).alias("size")))
-    t = t.select(F.col("source").alias("__source"), F.col("source_size").alias(total), F.col("target").alias(target))
+    of = free_name(counted, "__source")
+    t = t.select(F.col("source").alias(of), F.col("source_size").alias(total), F.col("target").alias(target))
     # One row a source: broadcast while they are few, otherwise joined by shuffle, where AQE splits a hot source.
-    out = counted.join(sized(t, 100_000), F.expr(f"`{source_col}` <=> __source"), "left").drop("__source")
+    out = counted.join(sized(t, 100_000), column(source_col).eqNullSafe(F.col(of)), "left").drop(of)
     rate = F.when(F.col(total) > 0, F.least(F.col(target) / F.col(total), F.lit(float(MOST_REPEATS)))).otherwise(F.lit(0.0))
     draw = F.conv(F.substring(F.md5(F.concat(F.lit(seed + "|"), F.coalesce(column(id_col).cast("string"), F.lit("null")))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
     return out.withColumn(copies, (F.floor(rate) + F.when(draw < rate - F.floor(rate), 1).otherwise(0)).cast("long"))
@@ -61,13 +64,14 @@ def with_copies(docs: DataFrame, seed: str = SEED, id_col: str = "doc_id", text_
 def mix(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """The mixed corpus: each row of docs as often as with_copies says, with the columns of docs."""
     out = with_copies(docs, seed)
-    copies = out.columns[-1]
+    copies, turn = out.columns[-1], free_name(out, "__copy")
     repeat = F.explode(F.when(F.col(copies) > 0, F.sequence(F.lit(1).cast("long"), F.col(copies))).otherwise(F.array().cast("array<bigint>")))
-    return out.withColumn("__copy", repeat).select(*map(column, docs.columns))
+    return out.withColumn(turn, repeat).select(*map(column, docs.columns))
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = with_copies(table(spark, sf_dir, "documents"))
+    """Every document's share in the mix; see with_copies for nulls, ties and repeated rows, source_targets for empty tables."""
+    out = with_copies(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 

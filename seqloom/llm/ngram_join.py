@@ -27,7 +27,7 @@ from seqloom.llm.shingles import mixed, shingle_sets
 #: Fragments of the global order: of n-grams outside the list of frequent ones, by hash, and of those in it, from these magnitudes on.
 RARE_FRAGMENTS, MAGNITUDES = 4, (1, 3, 6, 10)
 #: Keys of a member that are compared to find the one group in which a pair is made.
-SKETCH = 8
+SKETCH = 16
 #: Rounds in which members of a group are compared with its first one: whether members with few n-grams of their own come first (the text that near copies
 #: were made from), and in how many orders by keys, so that copies that share many keys meet several members.
 ORDERS = ((True, 8), (False, 1 << 40))
@@ -167,9 +167,9 @@ def classes(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100, id_c
     members = saved(met.select("key", "y", F.explode(F.array(own, guest)).alias("at")).select("key", "y", "at.class", "at.own"), "members")
     linked = F.col("overlap") * den >= (F.col("nx") + F.col("ny") - F.col("overlap")) * num
     # Of each member: how many of its n-grams others may have, and a sketch of its keys.
-    others = members.where("own").groupBy("y").agg(F.count("*").alias("others"))
+    others = members.where("own").groupBy("y").agg(F.sort_array(F.collect_list("key")).alias("keys"))
     facts = sets.withColumnRenamed("rep", "y").join(others, "y")
-    facts = facts.select("y", "n", (F.col("n") - F.size("prefix") + F.col("others")).alias("common"), F.slice(F.sort_array("prefix"), 1, SKETCH).alias("sketch"))
+    facts = facts.select("y", "n", (F.col("n") - F.size("prefix") + F.size("keys")).alias("common"), F.slice("keys", 1, SKETCH).alias("sketch"))
     facts = saved(facts, "facts")
     nodes = lambda comp: facts.select("y", (F.col("n") - F.col("common")).alias("rare")).join(comp.toDF("y", "c"), "y", "left").withColumn("c", F.coalesce("c", "y"))
     where = lambda df, comp: df.join(nodes(comp), "y")

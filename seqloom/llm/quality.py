@@ -191,6 +191,7 @@ def judged(docs: DataFrame, trees: Trees, text_col: str = "text", keep: float =
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's counts and verdict; see judged for nulls and empty texts, train for missing labels."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     trees = train(docs, table(spark, sf_dir, "labels"))
     return judged(docs, trees).drop("text")

@@ -53,10 +53,21 @@ class ShardStore:
         return json.loads(text)
 
     def commit(self, based_on: dict, shards: list[dict], schema: str) -> int:
-        """Makes shards the next version after based_on: written aside, then renamed. Raises if another commit took that number."""
+        """Makes shards the next version after based_on. Raises if another commit took that number.
+
+        The number is claimed by creating a file without overwriting (one step on HDFS and local disks, and on stores whose
+        connector puts conditionally); the manifest is written aside and renamed, so that readers see it whole. The claim of a
+        writer that died is removed by vacuum().
+        """
         version = based_on["version"] + 1
-        final = self._path(f"{self.root}/manifests/{version:010d}.json")
-        aside = self._path(f"{self.root}/manifests/{uuid.uuid4().hex}.tmp")
+        name = f"{self.root}/manifests/{version:010d}"
+        final, aside = self._path(f"{name}.json"), self._path(f"{self.root}/manifests/{uuid.uuid4().hex}.tmp")
+        try:
+            self._fs.create(self._path(f"{name}.claim"), False).close()
+        except Exception as e:
+            if "exist" not in str(e):
+                raise
+            raise RuntimeError(f"version {version} was committed by another writer") from e
         out = self._fs.create(aside, False)
         out.write(json.dumps({"version": version, "schema": schema, "shards": shards}).encode())
         out.close()
@@ -66,7 +77,7 @@ class ShardStore:
         return version
 
     def _written(self, folder: str, seq: int) -> list[dict]:
-        """The data files of a folder in the order of their tasks; empty ones (no rows) are left out."""
+        """The data files of a folder in the order of their tasks, those without rows too."""
         found = sorted((f.getPath().getName(), f.getLen()) for f in self._fs.listStatus(self._path(folder)))
         return [{"path": f"{folder}/{name}", "bytes": size, "seq": seq + i} for i, (name, size) in enumerate(x for x in found if x[0].startswith("part-"))]
 
@@ -142,15 +153,24 @@ class ShardStore:
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def vacuum(self, keep: int = 1) -> int:
-        """Deletes shards and manifests that none of the newest `keep` versions needs; returns how many files went."""
+        """Deletes manifests but the newest `keep`, shards that none of these needs, and what writers that died have left; returns how many shards went.
+
+        To be called while no writer is at work.
+        """
         have = self.versions()
-        needed = {s["path"] for v in have[-keep:] for s in self.manifest(v)["shards"]}
-        gone = 0
+        needed = {s["path"].rsplit("/data/", 1)[-1] for v in have[-keep:] for s in self.manifest(v)["shards"]}
         for v in have[:-keep]:
-            for s in self.manifest(v)["shards"]:
-                if s["path"] not in needed and self._fs.delete(self._path(s["path"]), False):
-                    gone += 1
             self._fs.delete(self._path(f"{self.root}/manifests/{v:010d}.json"), False)
+        for f in self._fs.listStatus(self._path(f"{self.root}/manifests")):
+            number, _, kind = f.getPath().getName().partition(".")
+            if kind == "tmp" or kind == "claim" and int(number) > max(have, default=0):
+                self._fs.delete(f.getPath(), False)
+        gone, data = 0, self._path(f"{self.root}/data")
+        for folder in self._fs.listStatus(data) if self._fs.exists(data) else ():
+            for f in self._fs.listStatus(folder.getPath()):
+                name = f.getPath().getName()
+                if name.startswith("part-") and f"{folder.getPath().getName()}/{name}" not in needed:
+                    gone += self._fs.delete(f.getPath(), False)
         return gone
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import column, free_name, sized, table
+from seqloom.llm.common import column, free_name, saved, sized, table
 
 #: (host, path, verdict)
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -75,6 +75,7 @@ def judged(pages: DataFrame, rules: DataFrame, listed: DataFrame, url_col: str =
     entries = rules.select(F.concat(F.lit("r"), "rule").alias("key"), "rule", "verdict").union(
         listed.where("url <> ''").distinct().select(F.concat(F.lit("u"), "url").alias("key"), F.lit(None).cast("string").alias("rule"), F.lit("block").alias("verdict"))
     )
+    entries = saved(entries, "listed")
     blocks, number = bloom(entries)
 
     url = pages.select(column(url_col).alias("url")).where("url IS NOT NULL").distinct()
@@ -91,11 +92,12 @@ def judged(pages: DataFrame, rules: DataFrame, listed: DataFrame, url_col: str =
         hit = hit.where(F.col(f"w{i}").bitwiseAND(F.col(f"m{i}")) == F.col(f"m{i}"))
     exact = hit.select("url", "key").join(sized(entries), "key")
     order = F.struct(F.when(F.col("rule").isNull(), 1).otherwise(0).alias("kind"), (-F.length("rule")).alias("size"), "rule", "verdict")
-    best = exact.groupBy("url").agg(F.min(order).alias("best")).select(F.col("url").alias("__url"), F.col("best.rule").alias("__rule"), F.col("best.verdict").alias("__verdict"))
+    best = exact.groupBy("url").agg(F.min(order).alias("best")).select("url", "best.rule", "best.verdict")
+    best = best.toDF(*(own := [free_name(pages, n) for n in ("__url", "__rule", "__verdict")]))
     u = column(url_col)
-    out = pages.join(best, u == F.col("__url"), "left")
-    out = out.withColumn(host_n, host_of(u)).withColumn(path_n, path_of(u)).withColumn(rule_n, F.col("__rule")).withColumn(verdict_n, F.coalesce("__verdict", F.lit("allow")))
-    return out.drop("__url", "__rule", "__verdict")
+    out = pages.join(best, u == F.col(own[0]), "left")
+    out = out.withColumn(host_n, host_of(u)).withColumn(path_n, path_of(u)).withColumn(rule_n, F.col(own[1])).withColumn(verdict_n, F.coalesce(own[2], F.lit("allow")))
+    return out.drop(*own)
 
 
 def thin_pages(pages: DataFrame, least: int = THIN_WORDS) -> DataFrame:
@@ -105,6 +107,7 @@ def thin_pages(pages: DataFrame, least: int = THIN_WORDS) -> DataFrame:
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's verdict; see judged for nulls, repeated urls and empty tables."""
     pages = table(spark, sf_dir, "pages")
     rules = spark.createDataFrame(list(RULES), "host string, path string, verdict string")
     return judged(pages.select("page_id", "url"), rules, thin_pages(pages)).drop("url")

@@ -177,6 +177,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as written to an archive and read back. Null pages are empty payloads, repeated rows are records of their own, no pages give no rows."""
     folder = shared_folder(spark, "warc")
     write(table(spark, sf_dir, "pages").select("page_id", "url", "html"), folder)
     return read(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
