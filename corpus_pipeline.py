@@ -1,6 +1,8 @@
 """A corpus pipeline: quality rules, line dedup, n-gram Jaccard join, mixing, byte-level BPE.
 
-Every stage takes what the one before kept; all but the last return the columns of documents.
+Every stage takes what the one before kept; all but the last return the columns of documents. Other columns of
+their input are dropped first, whatever their names. Nulls in any column, empty and very long texts, ties and repeated rows
+are taken as the operators define them; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep; the trees are fitted on the labelled ones of docs."""
+    docs = docs.select(*COLUMNS)
     trees = quality.train(docs, table(spark, sf_dir, "labels"))
     return quality.judged(docs, trees).where("kept").select(*COLUMNS)
 
@@ -23,7 +26,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines seen earlier; n_chars counts what is left. Those that lose all their words go."""
     ship(spark)
-    out = line_dedup.deduped(docs, exact=1)
+    out = line_dedup.deduped(docs.select(*COLUMNS), exact=1)
     gone = (F.col("__dropped") > 0) & ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     return out.where(~gone).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
@@ -34,6 +37,7 @@ def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Repeated rows count as one. Documents without words, and rows without an id, stay.
     """
     ship(spark)
+    docs = docs.select(*COLUMNS)
     found = saved(ngram_join.classes(docs, width=5, num=80), "classes")
     gone = found.where("id <> component_id").select(F.col("id").alias("doc_id"))
     out = docs.join(gone, "doc_id", "left_anti")
@@ -45,13 +49,13 @@ def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated or left out so that sources come near their target weights."""
     ship(spark)
-    return mixing.mix(docs).select(*COLUMNS)
+    return mixing.mix(docs.select(*COLUMNS))
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and the token ids of every document; the ids are decoded and must give its text back."""
     ship(spark)
-    return bpe.encode_documents(docs, decode=True)
+    return bpe.encode_documents(docs.select(*COLUMNS), decode=True)
 
 
 STAGES = [
