@@ -27,7 +27,9 @@ from seqloom.llm.shingles import mixed, shingle_sets
 #: Fragments of the global order: of n-grams outside the list of frequent ones, by hash, and of those in it, from these magnitudes on.
 RARE_FRAGMENTS, MAGNITUDES = 4, (1, 3, 6, 10)
 #: Keys of a member that are compared to find the one group in which a pair is made.
-SKETCH = 16
+SKETCH = 8
+#: Rows with a sketch up to which they are broadcast: some 25 MB.
+SKETCHES = 200_000
 #: Rounds in which members of a group are compared with its first one: whether members with few n-grams of their own come first (the text that near copies
 #: were made from), and in how many orders by keys, so that copies that share many keys meet several members.
 ORDERS = ((True, 8), (False, 1 << 40))
@@ -120,7 +122,10 @@ def _overlaps(docs: DataFrame, pairs: DataFrame, shared, width: int) -> DataFram
     y = segments.select(F.col("id").alias("y"), F.col("n").alias("ny"), F.col("segments").alias("sy"))
     x = segments.select(F.col("id").alias("x"), F.col("n").alias("nx"), F.col("segments").alias("sx"))
     parts = F.zip_with("sx", "sy", lambda a, b: F.size(F.array_intersect(a, b)).cast("long"))
-    return pairs.join(y, "y").join(x, "x").select("x", "y", "nx", "ny", F.aggregate(parts, F.lit(0).cast("long"), lambda s, t: s + t).alias("overlap"))
+    both = pairs.join(y, "y").join(x, "x")
+    out = saved(both.select("x", "y", "nx", "ny", F.aggregate(parts, F.lit(0).cast("long"), lambda s, t: s + t).alias("overlap")), "overlaps")
+    forget(segments)
+    return out
 
 
 def _possible(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -157,6 +162,9 @@ def classes(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100, id_c
     p = saved(_prefixes(pure, shared, width, num, den), "prefixes")
     sets = saved(p.where("n > 0").groupBy("sid").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.min_by(F.struct("prefix", "counts"), "id").alias("s")).select("sid", "rep", "n", "s.prefix", "s.counts").where("rep IS NOT NULL"), "sets")
 
+    whole, p = p, saved(p.select("id", "n", "sid"), "sizes")
+    forget(whole)
+
     keys = sets.select(F.col("rep").alias("y"), "n", F.explode("prefix").alias("key"))
     by = Window.partitionBy("key").orderBy("y")
     met = keys.withColumn("other", F.coalesce(F.lag("y").over(by), F.lead("y").over(by))).where("other IS NOT NULL")
@@ -172,27 +180,33 @@ def classes(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100, id_c
     facts = facts.select("y", "n", (F.col("n") - F.size("prefix") + F.size("keys")).alias("common"), F.slice("keys", 1, SKETCH).alias("sketch"))
     facts = saved(facts, "facts")
     nodes = lambda comp: facts.select("y", (F.col("n") - F.col("common")).alias("rare")).join(comp.toDF("y", "c"), "y", "left").withColumn("c", F.coalesce("c", "y"))
-    where = lambda df, comp: df.join(nodes(comp), "y")
+    where = lambda df, comp: df.select("key", "class", "y", "own").join(sized(nodes(comp)), "y")
     comp = members.select(F.col("y").alias("node"), F.col("y").alias("component")).limit(0)
     tried = []
     for common_first, orders in ORDERS:
         # Only groups of more than one component; their members are compared with the first one, if that is in another.
         open_ = saved(_open(where(members, comp)), "open")
+        # Components only grow: groups that aren't open any more stay so.
+        forget(members)
+        members = open_
         order = [*(["rare"] if common_first else []), F.xxhash64("y", F.pmod("key", F.lit(orders))), "y"]
         group = Window.partitionBy("key", "class").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         stars = open_.withColumn("first", F.first(F.struct("y", "c")).over(group)).select("y", "c", F.col("first.y").alias("x"), F.col("first.c").alias("cx"))
         pairs = stars.where("c <> cx").select("x", "y").distinct()
         pairs = saved(_possible(pairs, sets, num, den), "pairs")
         tried.append(pairs.select("x", "y"))
-        found = saved(_overlaps(pure, pairs.where("near").select("x", "y"), shared, width), "overlaps")
+        found = _overlaps(pure, pairs.where("near").select("x", "y"), shared, width)
         links = found.where(linked).select(F.col("x").alias("a"), F.col("y").alias("b"))
         comp = components(links.union(comp))  # a component's stars stand for its links
 
     # What is left: members outside their group's largest component, with all others of the group that are in another.
     rest = saved(_open(where(members, comp)), "rest")
+    forget(members)
     largest = rest.groupBy("key", "class", "c").count().groupBy("key", "class").agg(F.max(F.struct("count", "c"))["c"].alias("largest"))
     # A pair is made in one group: that of the least key that both sketches have. Pairs whose sketches share none are made in each group that both are in.
-    rest = saved(rest.join(largest, ["key", "class"]).join(facts, "y").select("key", "class", "y", "own", "n", "common", "c", "sketch", (F.col("c") != F.col("largest")).alias("out")), "rest")
+    opened = rest
+    rest = saved(rest.join(largest, ["key", "class"]).join(sized(facts, SKETCHES), "y").select("key", "class", "y", "own", "n", "common", "c", "sketch", (F.col("c") != F.col("largest")).alias("out")), "rest")
+    forget(opened)
     a = rest.where("out").select("key", "class", *[F.col(x).alias(f"{x}_a") for x in ("y", "own", "n", "common", "c", "sketch")])
     b = rest.select("key", "class", *[F.col(x).alias(f"{x}_b") for x in ("y", "own", "n", "common", "c", "out", "sketch")])
     one = (F.col("c_a") != F.col("c_b")) & (~F.col("out_b") | (F.col("y_a") < F.col("y_b"))) & (F.col("own_a") | F.col("own_b"))
@@ -204,6 +218,7 @@ def classes(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100, id_c
     before = functools.reduce(DataFrame.union, tried).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
     more = more.join(before, ["x", "y"], "left_anti")
     more = saved(_possible(more, sets, num, den).where("near").select("x", "y"), "more")
+    forget(rest)
     if not more.isEmpty():
         again = _overlaps(pure, more, shared, width).where(linked)
         comp = components(again.select(F.col("x").alias("a"), F.col("y").alias("b")).union(comp))
