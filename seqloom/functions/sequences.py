@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -85,12 +87,24 @@ def molecular_weight(sequence: Column) -> Column:
 
 
 def dipeptide_index(sequence: Column, weights: dict[str, float], default: float = 1.0) -> Column:
-    """10 / length times the summed weights of adjacent residue pairs; pairs without a weight count as default."""
-    table = scale_map(weights)
-    # A one-element array binds the letters: cutting each pair from the text would take its length squared.
-    pairs_of = lambda c: F.transform(F.slice(c, F.lit(1), F.greatest(F.size(c) - 1, F.lit(0))), lambda x, i: F.concat(x, F.get(c, i + 1)))
-    pairs = F.get(F.transform(F.array(letters(sequence)), pairs_of), F.lit(0))
-    value = total(F.transform(pairs, lambda p: F.coalesce(F.try_element_at(table, p), F.lit(default))))
+    """10 / length times the summed weights of adjacent residue pairs; pairs without a weight count as default.
+
+    Letters become numbers once; a pair's weight is then one place of a literal array, however many weights there are.
+    """
+    alphabet = "".join(sorted({c for pair in weights for c in pair}))
+    wide = len(alphabet) + 1
+    table = [default] * (wide * wide)
+    for pair, w in weights.items():
+        table[(alphabet.index(pair[0]) + 1) * wide + alphabet.index(pair[1]) + 1] = w
+    values = F.from_json(F.lit(json.dumps(table)), "array<double>")
+    numbers = F.transform(letters(sequence), lambda c: F.instr(F.lit(alphabet), c))
+
+    def summed(x: Column) -> Column:
+        pair = lambda s, p: F.struct((s["sum"] + F.get(x["values"], s["last"] * wide + p)).alias("sum"), p.alias("last"))
+        first = F.struct(F.lit(0.0).alias("sum"), F.get(x["numbers"], F.lit(0)).alias("last"))
+        return F.aggregate(F.slice(x["numbers"], F.lit(2), F.greatest(F.size(x["numbers"]) - 1, F.lit(0))), first, pair, lambda s: s["sum"])
+
+    value = F.get(F.transform(F.array(F.struct(values.alias("values"), numbers.alias("numbers"))), summed), F.lit(0))
     return F.lit(10.0) / F.length(sequence) * F.when(F.length(sequence) > 1, value).otherwise(0.0)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.functions import sequences as S
@@ -101,8 +101,12 @@ def featurised(df: DataFrame, stats_row: DataFrame, keep_empty: bool = False) ->
 
 def batches(df: DataFrame, index: str, size: int, length: str = "sequence") -> DataFrame:
     """df with batch (index div size) and the batch's greatest list length."""
-    b = (F.col(index) / size).cast("long")
-    return df.withColumn("batch", F.floor(b)).withColumn("batch_length", F.max(F.size(length)).over(Window.partitionBy("batch")))
+    if size < 1:
+        raise ValueError("a batch has at least one row")
+    out = df.withColumn("batch", F.floor(F.col(index) / size).cast("long"))
+    # Only lengths are shuffled, then joined back.
+    longest = df.groupBy(F.floor(F.col(index) / size).cast("long").alias("batch")).agg(F.max(F.size(length)).alias("batch_length"))
+    return out.join(longest, "batch")
 
 
 def collated(df: DataFrame, least: int = 7) -> DataFrame:

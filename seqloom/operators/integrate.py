@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqloom import schemas
 from seqloom.functions import sequences as S
 
 # The domains and thresholds of the label rule.
@@ -73,5 +72,3 @@ def from_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """Documents as proteins: whole cleaned texts as sequences."""
     return docs.select(F.col(id_col).cast("string").alias("uniprot_id"), S.clean(F.col(text_col)).alias("sequence")).where("sequence <> ''")
 
-
-INTEGRATED = schemas.INTEGRATED

@@ -14,7 +14,12 @@ CONTACT_RADIUS = 8.0
 
 
 def _folder(spark: SparkSession, purpose: str) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "seqloom")
+    """A new folder in the one that executors share; only a local session may go without."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir, a folder that all executors share, is unset")
+        root = "file://" + os.path.join(tempfile.gettempdir(), "seqloom")
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 

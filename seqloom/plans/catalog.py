@@ -5,8 +5,11 @@ Sequences are documents.text, one-to-many hits are lineitem per order, vectors a
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from seqloom.functions import sequences as S
 from seqloom.operators import features, integrate, metrics, spatial
@@ -35,12 +38,13 @@ def query(sql: str | None = None):
 
 # Cleaning: the engines upper-case one letter differently (sharp s), so the SQL spells it out.
 _CLEAN = "upper(replace(regexp_replace(text, '\\s+', '', 'g'), 'ß', 'SS'))"
-_SEQ = f"SELECT doc_id, lang, substr({_CLEAN}, 1, 1022) AS seq, length({_CLEAN}) > 1022 AS truncated FROM documents"
+_SEQ = f"SELECT doc_id, lang, {_CLEAN} AS seq, length({_CLEAN}) > {S.MAX_LENGTH} AS truncated FROM documents"
 
 
 def _sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seq, cut = S.truncate(S.clean(F.col("text")))
-    return _table(spark, sf_dir, "documents").select("doc_id", "lang", seq.alias("seq"), cut.alias("truncated")).where("seq <> ''")
+    """Whole cleaned texts; truncated: whether an encoder would cut them."""
+    seq = S.clean(F.col("text"))
+    return _table(spark, sf_dir, "documents").select("doc_id", "lang", seq.alias("seq")).select("*", S.truncate(F.col("seq"))[1].alias("truncated")).where("seq <> ''")
 
 
 @query(f"""
@@ -51,7 +55,7 @@ l AS (SELECT *, CASE WHEN arom > 0.04 OR NOT truncated AND n < 200 OR (e > 0.1 A
 SELECT lang, label, count(*) AS n_rows, round(avg(n), 6) AS mean_length, round(stddev_pop(n), 6) AS std_length, round(avg(arom), 6) AS mean_arom FROM l GROUP BY lang, label
 """)
 def seq_label_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flagship: clean, truncate, compose, label by a rule, and summarise; one scan and one shuffle."""
+    """Flagship: clean, compose, label by a rule, and summarise; one scan and one shuffle."""
     seq = F.col("seq")
     v = _sequences(spark, sf_dir).select("lang", "truncated", F.length(seq).alias("n"), S.aromaticity(seq).alias("arom"), (S.count_of(seq, "E") / F.length(seq)).alias("e"))
     yes = (F.col("arom") > 0.04) | (~F.col("truncated") & (F.col("n") < 200)) | ((F.col("e") > 0.1) & (F.col("n") > 1000))
@@ -60,9 +64,11 @@ def seq_label_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(f"SELECT doc_id, CAST(length(seq) AS BIGINT) AS n, truncated FROM ({_SEQ}) WHERE seq <> ''")
+@query(f"SELECT doc_id, CAST(length(substr(seq, 1, {S.MAX_LENGTH})) AS BIGINT) AS n, truncated FROM ({_SEQ}) WHERE seq <> ''")
 def seq_clean_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sequences(spark, sf_dir).select("doc_id", F.length("seq").cast("long").alias("n"), "truncated")
+    """What an encoder takes: the first residues, and whether there were more."""
+    seq, cut = S.truncate(F.col("seq"))
+    return _sequences(spark, sf_dir).select("doc_id", F.length(seq).cast("long").alias("n"), cut.alias("truncated"))
 
 
 _KD = "map([" + ", ".join(f"'{k}'" for k in S.HYDROPATHY) + "], [" + ", ".join(f"{v}::DOUBLE" for v in S.HYDROPATHY.values()) + "])"
@@ -93,8 +99,14 @@ WITH s AS ({_SEQ}), p AS (SELECT unnest(string_split(seq, '')) AS c FROM s WHERE
 SELECT count(*) AS n_positions, round(avg(coalesce({_KD}[c], 0.0::DOUBLE)), 6) AS mean_scale, round(stddev_pop(coalesce({_KD}[c], 0.0::DOUBLE)), 6) AS std_scale FROM p
 """)
 def residue_scale_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = _sequences(spark, sf_dir).select(F.explode(S.scale_values(F.col("seq"), S.HYDROPATHY)).alias("v"))
-    return v.agg(F.count("*").alias("n_positions"), F.round(F.avg("v"), 6).alias("mean_scale"), F.round(F.stddev_pop("v"), 6).alias("std_scale"))
+    # A row's residues by kind, then one aggregate over rows: positions aren't exploded.
+    seq = F.col("seq")
+    counts = {r: S.count_of(seq, r) for r in S.HYDROPATHY}
+    total = lambda f: functools.reduce(lambda a, b: a + b, [counts[r] * F.lit(f(v)) for r, v in S.HYDROPATHY.items()])
+    v = _sequences(spark, sf_dir).select(F.length(seq).alias("n"), total(lambda x: x).alias("x"), total(lambda x: x * x).alias("xx"))
+    v = v.agg(F.sum("n").alias("n"), F.sum("x").alias("x"), F.sum("xx").alias("xx"))
+    mean = F.col("x") / F.col("n")
+    return v.select(F.col("n").alias("n_positions"), F.round(mean, 6).alias("mean_scale"), F.round(F.sqrt(F.col("xx") / F.col("n") - mean * mean), 6).alias("std_scale"))
 
 
 _DI = "map([" + ", ".join(f"'{k}'" for k in DIPEPTIDES) + "], [" + ", ".join(f"{v}::DOUBLE" for v in DIPEPTIDES.values()) + "])"
@@ -102,7 +114,7 @@ _DI = "map([" + ", ".join(f"'{k}'" for k in DIPEPTIDES) + "], [" + ", ".join(f"{
 
 @query(f"""
 WITH s AS ({_SEQ})
-SELECT doc_id, round(10.0::DOUBLE / length(seq) * coalesce(list_sum(list_transform(range(1, length(seq)), lambda i: coalesce({_DI}[substr(seq, i, 2)], 1.0::DOUBLE))), 0), 6) AS dipeptide_index FROM s WHERE seq <> ''
+SELECT doc_id, round(10.0::DOUBLE / len(l) * coalesce(list_sum(list_transform(list_zip(l[:-2], l[2:]), lambda p: coalesce({_DI}[p[1] || p[2]], 1.0::DOUBLE))), 0), 6) AS dipeptide_index FROM (SELECT doc_id, string_split(seq, '') AS l FROM s WHERE length(seq) > 1)
 """)
 def dipeptide_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sequences(spark, sf_dir).where("length(seq) > 1").select("doc_id", F.round(S.dipeptide_index(F.col("seq"), DIPEPTIDES), 6).alias("dipeptide_index"))
@@ -175,10 +187,11 @@ SELECT o_orderpriority AS priority, count(*) AS total, CAST(sum(CASE WHEN label
 """)
 def label_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Any child in a set, any child above a threshold, or two of the row's own values."""
-    false = F.lit(False)
-    by_child = F.coalesce(F.exists("items", lambda i: (i["l_partkey"] % 97).isin(1, 2, 3)), false) | F.coalesce(F.exists("items", lambda i: i["l_quantity"] > 49), false)
-    own = F.coalesce((F.col("o_totalprice") > 400000) & (F.col("o_custkey") % 2 == 0), false)
-    out = _order_lists(spark, sf_dir).withColumn("label", F.when(by_child | own, "yes").otherwise("no"))
+    domains = F.transform("items", lambda i: F.struct(F.when((i["l_partkey"] % 97).isin(1, 2, 3), F.lit(integrate.LABEL_DOMAINS[0])).alias("accession")))
+    structures = F.transform("items", lambda i: F.struct((i["l_quantity"] - 49 + integrate.SHEET_PERCENT).alias("sheet_percentage")))
+    gravy = F.col("o_totalprice") - 400000 + integrate.GRAVY
+    instability = F.when(F.col("o_custkey") % 2 == 0, integrate.INSTABILITY + 1).otherwise(0.0)
+    out = _order_lists(spark, sf_dir).withColumn("label", integrate.label(domains, structures, gravy, instability))
     return out.groupBy(F.col("o_orderpriority").alias("priority")).agg(F.count("*").alias("total"), F.count_if(F.col("label") == "yes").alias("labelled_yes"))
 
 
@@ -353,6 +366,15 @@ def global_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.groupBy(F.floor(F.col("global_index") / 64).alias("batch")).agg(F.count("*").alias("n_rows"), F.min("l_orderkey").alias("first_order"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
 
 
+@query("""
+SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_returnflag, CAST(row_number() OVER (ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber) - 1 AS BIGINT) AS global_index FROM lineitem
+""")
+def numbered_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row with its place in a total order, other columns kept."""
+    key = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
+    return readers.numbered(_table(spark, sf_dir, "lineitem"), key).select(*key, "l_quantity", "l_returnflag", "global_index")
+
+
 @query(f"""
 WITH s AS ({_SEQ}), b AS (SELECT doc_id, doc_id // 32 AS batch, length(seq) AS n FROM s WHERE seq <> '')
 SELECT doc_id, CAST(batch AS BIGINT) AS batch, CAST(max(n) OVER (PARTITION BY batch) AS BIGINT) AS batch_length, CAST(max(n) OVER (PARTITION BY batch) - n AS BIGINT) AS padding FROM b
@@ -367,10 +389,11 @@ def batch_pad_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT coalesce(nullif(substr(p_name, 1, 1), ''), '?') AS prefix, count(*) AS n_rows, round(sum(p_retailprice), 2) AS price FROM part GROUP BY 1")
 def partition_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Written partitioned by the id's first character, and read back with string partitions."""
-    part = _table(spark, sf_dir, "part").select(S.prefix_key(F.col("p_name")).alias("prefix"), "p_retailprice")
+    part = _table(spark, sf_dir, "part").select(F.col("p_name").alias("id"), "p_retailprice")
     path = spatial._folder(spark, "parts")
-    part.repartition("prefix").write.partitionBy("prefix").parquet(path)
-    return readers.read_dataset(spark, path).groupBy("prefix").agg(F.count("*").alias("n_rows"), F.round(F.sum("p_retailprice"), 2).alias("price"))
+    schema = StructType([*part.schema.fields, StructField("id_prefix", StringType())])
+    sinks.write_partitioned(part, path, schema, key="id", rows_per_task=5_000)
+    return readers.read_dataset(spark, path).groupBy(F.col("id_prefix").alias("prefix")).agg(F.count("*").alias("n_rows"), F.round(F.sum("p_retailprice"), 2).alias("price"))
 
 
 @query("SELECT vec_id::VARCHAR AS \"ID\", printf('%.6f', (vec_id % 1000) / 1024.0::DOUBLE + 0.0000001) AS \"Gelation_Probability\" FROM embeddings")

@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import dataclass, field, fields
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from seqloom import schemas
 from seqloom.functions import sequences as S
+from seqloom.operators.spatial import saved
+
+_PDB = StructType([StructField("pdb_id", StringType())])
 
 
 def tagged_fields(record: Column, tags: tuple[str, ...] = ("AC", "OS", "OX")) -> dict[str, Column]:
@@ -35,21 +39,30 @@ def tagged_fields(record: Column, tags: tuple[str, ...] = ("AC", "OS", "OX")) ->
     return out
 
 
+#: Names of files that are inflated while they are read.
+COMPRESSED = r"\.(gz|bz2|deflate|zst|lz4|snappy)$"
+
+
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """(uniprot_id, sequence, sequence_length, organism, taxonomy_id) of a flat file whose records end with a line //.
+    """(uniprot_id, sequence, sequence_length, organism, taxonomy_id) of flat files whose records end with a line //.
 
     Records without an id or a sequence are left out; of records of one id the last counts; text after the
     last // is no record.
     """
-    raw = spark.read.option("lineSep", "//").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
-    # The tail behind the last separator is the last row of its file. It ends without "//", and so it goes.
-    last = raw.groupBy("file").agg(F.max("at").alias("at")).withColumn("tail", F.lit(True))
-    ends = spark.read.text(path, wholetext=False).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("n"), "value")
-    closed = ends.where(F.trim("value") != "").groupBy("file").agg((F.trim(F.max_by("value", "n")) == "//").alias("closed"))
-    rows = raw.join(F.broadcast(last), ["file", "at"], "left").join(F.broadcast(closed), "file", "left")
-    rows = rows.where("tail IS NULL OR closed").select("at", F.regexp_replace("value", r"\A\s*\n", "").alias("value"))
+    meta = {"file": "file_path", "size": "file_size", "block": "file_block_start"}
+    raw = spark.read.option("lineSep", "\n//\n").text(path).select("value", *[F.col(f"_metadata.{m}").alias(c) for c, m in meta.items()], F.monotonically_increasing_id().alias("n"))
+    # Blocks of a file may be read in any order; rows of one are numbered as they stand in it.
+    raw = raw.select("value", "file", "size", F.struct("block", "n").alias("at"))
+    # A file's last row is a record only if a separator ends it, which shows in the file's size; that of compressed files doesn't tell.
+    ends = raw.groupBy("file").agg(F.max("at").alias("last"), (F.sum(F.octet_length("value") + 4) == F.first("size")).alias("ended"))
+    packed = F.col("file").rlike(COMPRESSED)
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("n")).where(packed & (F.trim("value") != ""))
+    closed = lines.groupBy("file").agg((F.max_by("value", "n") == "//").alias("closed"))
+    ends = ends.join(closed, "file", "left").select("file", F.when(~F.coalesce(F.when(packed, F.col("closed")).otherwise(F.col("ended")), F.lit(False)), F.col("last")).alias("open"))
+    rows = raw.join(ends, "file").where("open IS NULL OR at <> open OR value LIKE '%\n//'")
+    rows = rows.select("file", "at", F.regexp_replace("value", r"\A(?://\n)+|\n//\z", "").alias("value"))
     f = tagged_fields(F.col("value"))
-    out = rows.select("at", S.first_accession(f["AC"]).alias("uniprot_id"), f["SQ"].alias("sequence"), f["OS"].alias("os"), f["OX"].alias("ox"))
+    out = rows.select(F.struct("file", "at").alias("at"), S.first_accession(f["AC"]).alias("uniprot_id"), f["SQ"].alias("sequence"), f["OS"].alias("os"), f["OX"].alias("ox"))
     out = out.where("uniprot_id <> '' AND sequence <> ''")
     out = out.groupBy("uniprot_id").agg(F.max_by(F.struct("sequence", "os", "ox"), "at").alias("r"))
     return out.select("uniprot_id", "r.sequence", F.length("r.sequence").cast("long").alias("sequence_length"), F.coalesce("r.os", F.lit("Unknown")).alias("organism"), S.taxonomy_id(F.col("r.ox")).alias("taxonomy_id"))
@@ -169,12 +182,38 @@ def global_index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def numbered(df: DataFrame, key: list[str], name: str = "global_index") -> DataFrame:
-    """df with the place of each row in the total order of key, from 0: rows of earlier range partitions plus the place within one."""
-    ordered = df.repartitionByRange(*key).sortWithinPartitions(*key).withColumn("__p", F.spark_partition_id()).withColumn("__r", F.monotonically_increasing_id())
-    ordered = ordered.withColumn("__r", F.col("__r").bitwiseAND(F.lit((1 << 33) - 1)))
-    per = ordered.groupBy("__p").agg(F.count("*").alias("rows"))
-    before = per.select("__p", F.coalesce(F.sum("rows").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return ordered.join(F.broadcast(before), "__p").withColumn(name, F.col("before") + F.col("__r")).drop("__p", "__r", "before")
+    """df with the place of each row in the total order of key, from 0: rows of earlier range partitions plus the place within one.
+
+    The sorted partitions are written once with their numbers, so that counts and rows come from the same partitions.
+    """
+    part, row, first = "__part", "__row", "__first"
+    ordered = df.repartitionByRange(*key).sortWithinPartitions(*key).withColumn(part, F.spark_partition_id()).withColumn(row, F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    ordered = saved(ordered, "ordered")
+    before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    starts = ordered.groupBy(part).agg(F.count("*").alias("rows")).select(part, F.coalesce(F.sum("rows").over(before), F.lit(0)).alias(first))
+    return ordered.join(F.broadcast(starts), part).withColumn(name, F.col(first) + F.col(row)).drop(part, row, first)
+
+
+def head(df: DataFrame, n: int, key: list[str]) -> DataFrame:
+    """The first n rows in the order of key: each task keeps n, so that no sort of all rows is needed."""
+    if n < 0:
+        raise ValueError("n is negative")
+    return df.orderBy(*key).limit(n)
+
+
+def read_residues(spark: SparkSession, path: str) -> DataFrame:
+    """Pre-computed rows of residues, JSON lines: (pdb_id, and the fields of schemas.RESIDUE); NaN is NULL, a missing field too."""
+    schema = StructType([*_PDB.fields, *schemas.RESIDUE.fields])
+    return schemas.clean(spark.read.schema(schema).option("allowNonNumericNumbers", "true").json(path))
+
+
+def read_weights(spark: SparkSession, path: str) -> dict[str, float]:
+    """A table of weights by residue or residue pair, from lines `key<tab>value`: at most a few hundred entries."""
+    rows = spark.read.csv(path, sep="\t", schema="key string, value double").where("key IS NOT NULL AND value IS NOT NULL")
+    out = {r["key"]: r["value"] for r in rows.limit(1_001).collect()}
+    if len(out) > 1_000:
+        raise ValueError("more than 1000 weights")
+    return out
 
 
 def object_store_options(endpoint: str, key: str, secret: str) -> dict[str, str]:
@@ -200,14 +239,38 @@ class Config:
     log_interval: int = 10
 
 
+def _scalar(text: str):
+    """A YAML scalar or flow list: JSON where it is that, else true, false, null, or the bare or quoted text."""
+    if text.startswith("[") and text.endswith("]"):
+        return [_scalar(x.strip()) for x in text[1:-1].split(",") if x.strip()]
+    if len(text) > 1 and text[0] == text[-1] == "'":
+        return text[1:-1].replace("''", "'")
+    if text.lower() in ("~", "null", "true", "false"):
+        return {"true": True, "false": False}.get(text.lower())
+    try:
+        return json.loads(text)
+    except ValueError:
+        return text
+
+
 def load_config(path: str) -> Config:
-    """Config from `key: value` lines, values as in JSON."""
-    values = {}
+    """Config from a YAML file of one level: scalars, bare strings, flow lists and block lists. Unknown keys raise."""
+    values, last = {}, None
     for line in Path(path).read_text().splitlines():
-        line = line.split("#")[0].strip()
-        if line:
-            key, _, value = line.partition(":")
-            values[key.strip()] = json.loads(value)
+        line = re.sub(r"(^|\s)#.*", "", line).rstrip()
+        item = line.strip()
+        if not item or item == "---":
+            continue
+        if item == "-" or item.startswith("- "):
+            if last is None or not isinstance(values[last], list | None):
+                raise ValueError(f"a list item without a key: {item}")
+            values[last] = [*(values[last] or []), _scalar(item[1:].strip())]
+            continue
+        key, colon, value = item.partition(":")
+        if not colon:
+            raise ValueError(f"no key: {item}")
+        last = key.strip()
+        values[last] = _scalar(value.strip()) if value.strip() else None
     unknown = set(values) - {f.name for f in fields(Config)}
     if unknown:
         raise TypeError(f"unknown settings: {sorted(unknown)}")

@@ -10,11 +10,17 @@ from seqloom import schemas
 from seqloom.functions import sequences as S
 
 
-def write_partitioned(df: DataFrame, path: str, schema: StructType = schemas.INTEGRATED, mode: str = "overwrite") -> None:
-    """Parquet partitioned by the first character of the id. Rows of one prefix are spread over tasks by a hash of the id, so that a frequent prefix isn't one task."""
-    out = schemas.aligned(schemas.clean(df).withColumn("uniprot_id_prefix", S.prefix_key(F.col("uniprot_id"))), schema)
-    out = out.withColumn("__spread", F.pmod(F.xxhash64("uniprot_id"), F.lit(8)))
-    out.repartition("uniprot_id_prefix", "__spread").drop("__spread").write.mode(mode).partitionBy("uniprot_id_prefix").parquet(path)
+#: Rows of a prefix that one task writes, about.
+ROWS_PER_TASK = 1_000_000
+
+
+def write_partitioned(df: DataFrame, path: str, schema: StructType = schemas.INTEGRATED, mode: str = "overwrite", key: str = "uniprot_id", rows_per_task: int = ROWS_PER_TASK) -> None:
+    """Parquet partitioned by the first character of the id (<key>_prefix). A prefix of many rows is dealt to as many tasks as its rows need, by a hash of the id."""
+    prefix = f"{key}_prefix"
+    out = schemas.aligned(schemas.clean(df).withColumn(prefix, S.prefix_key(F.col(key))), schema)
+    sizes = df.groupBy(S.prefix_key(F.col(key)).alias(prefix)).agg(F.ceil(F.count("*") / rows_per_task).alias("__tasks"))
+    out = out.join(F.broadcast(sizes), prefix).withColumn("__spread", F.pmod(F.xxhash64(key), F.col("__tasks")))
+    out.repartition(prefix, "__spread").drop("__spread", "__tasks").select(*schema.names).write.mode(mode).partitionBy(prefix).parquet(path)
 
 
 def subset(df: DataFrame, ids: DataFrame, key: str = "uniprot_id") -> DataFrame:

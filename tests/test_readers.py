@@ -152,3 +152,54 @@ def test_text_sinks(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "j")).count() == 1
     sinks.write_embeddings(spark.sql("SELECT 'P1' AS uniprot_id, array(1.0D) AS embedding"), str(tmp_path / "e"))
     assert spark.read.parquet(str(tmp_path / "e")).schema["embedding"].dataType.simpleString() == "array<float>"
+
+
+def test_records_hold_slashes_and_last_lines(spark, tmp_path):
+    one = "ID   A\nCC   see https://a.org//b\n//x is no end\nAC   P1;\nSQ   SEQUENCE\n     AAA\n//\n"
+    two = "//\n//\nAC   P2;\nSQ   SEQUENCE\n     CCC\n//"
+    tail = "AC   P3;\nSQ   SEQUENCE\n     DDD"
+    for name, text in (("a", one + two), ("b", one.replace("P1", "P4") + tail), ("c", one.replace("P1", "P5"))):
+        (tmp_path / f"{name}.dat").write_text(text)
+    with gzip.open(tmp_path / "d.dat.gz", "wt") as f:
+        f.write(one.replace("P1", "P6") + two.replace("P2", "P7"))
+    with gzip.open(tmp_path / "e.dat.gz", "wt") as f:
+        f.write(one.replace("P1", "P8") + tail)
+    got = {r["uniprot_id"]: r["sequence"] for r in readers.read_records(spark, str(tmp_path)).collect()}
+    assert got == {"P1": "AAA", "P2": "CCC", "P4": "AAA", "P5": "AAA", "P6": "AAA", "P7": "CCC", "P8": "AAA"}
+
+
+def test_records_of_many_blocks(spark, tmp_path):
+    rows = [f"ID   X\nAC   P{i % 500};\nSQ   SEQUENCE\n     {'ACDEF' * (i % 7 + 1)}\n//\n" for i in range(2000)]
+    (tmp_path / "many.dat").write_text("".join(rows))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "7kb")
+    try:
+        got = {r["uniprot_id"]: r["sequence_length"] for r in readers.read_records(spark, str(tmp_path / "many.dat")).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == {f"P{i % 500}": 5 * (i % 7 + 1) for i in range(2000)}
+
+
+@pytest.mark.parametrize("partitions", ["8", "64"])
+def test_numbered_wide_rows(spark, partitions):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        key = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
+        li = spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet")
+        out = readers.numbered(li, key)
+        n, count, low, high = out.agg(F.countDistinct("global_index"), F.count("*"), F.min("global_index"), F.max("global_index")).first()
+        assert (n, count, low, high) == (li.count(), li.count(), 0, li.count() - 1)
+        rows = out.orderBy("global_index").select(*key).collect()
+        assert rows == sorted(rows)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_config_lists_and_strings(spark, tmp_path):
+    p = tmp_path / "c.yaml"
+    p.write_text("# settings\nkernel_sizes:\n  - 3\n  - 9 # wide\nlr: 0.01\nepochs: 3\n")
+    c = readers.load_config(str(p))
+    assert (c.kernel_sizes, c.lr, c.epochs) == ([3, 9], 0.01, 3)
+    assert readers._scalar("bare text") == "bare text"
+    assert readers._scalar("[1, two]") == [1, "two"]
