@@ -30,10 +30,10 @@ from pyspark.sql.types import ArrayType, IntegerType, StructType
 from seqloom.llm.common import column, free_name, most_counted, saved, table
 
 #: Words of the dictionary, at most: a fixed bound of what is sent to every task. Longer ones than LONGEST bytes are left to the tasks.
-DICTIONARY = 1_000_000
+DICTIONARY = 300_000
 LONGEST = 64
 #: Distinct runs that a task counts at a time; then it starts anew.
-COUNTED = 1_000_000
+COUNTED = 200_000
 #: Runs whose ids a Python worker keeps; then it forgets those that it hasn't met lately.
 KEPT = 400_000
 #: Buckets of the literal rank map.
