@@ -30,7 +30,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StructType
 from seqloom.llm.common import column, free_name, most_counted, saved, table
 
 #: Words of the dictionary, at most: a fixed bound of what is sent to every task. Longer ones than LONGEST bytes are left to the tasks.
-DICTIONARY = 300_000
+DICTIONARY = 200_000
 LONGEST = 64
 #: Distinct runs that a task counts at a time; then it starts anew.
 COUNTED = 200_000
@@ -212,7 +212,7 @@ def _unreachable(ranks: dict[bytes, int]) -> list[bytes]:
     return [b for b, i in ranks.items() if len(b) > 1 and not any(b[:k] in ranks and b[k:] in ranks and max(ranks[b[:k]], ranks[b[k:]]) < i for k in range(1, len(b)))]
 
 
-def dictionary(docs: DataFrame, text_col: str, ranks: dict[bytes, int], pattern: str, most: int = DICTIONARY) -> tuple[list[str], bytes, np.ndarray]:
+def dictionary(docs: DataFrame, text_col: str, ranks: dict[bytes, int], pattern: str, most: int = DICTIONARY) -> tuple[pa.Array, bytes, np.ndarray]:
     """Words that a task finds twice in runs that it finds twice (if over `most`, the most frequent of them); their ids as 16-bit integers, and where each word's end.
 
     Results don't depend on the choice: tasks fold the words outside.
@@ -245,16 +245,17 @@ def dictionary(docs: DataFrame, text_col: str, ranks: dict[bytes, int], pattern:
     got = counts.select("word", F.get(folded_all(F.array("word"), ranks), F.lit(0)).alias("ids")).toArrow()
     ids = pa.concat_arrays(got["ids"].chunks) if got.num_rows else pa.array([], pa.list_(pa.int32()))
     ends = ids.offsets.to_numpy().astype(np.int64)
-    return got["word"].to_pylist(), ids.flatten().to_numpy(zero_copy_only=False).astype("<u2").tobytes(), ends - ends[0]
+    words = pa.concat_arrays(got["word"].chunks) if got.num_rows else pa.array([], pa.string())
+    return words, ids.flatten().to_numpy(zero_copy_only=False).astype("<u2").tobytes(), ends - ends[0]
 
 
 class _Runs(dict):
     """Ids of runs as 16-bit integers, worked out when first asked for; of runs not met lately they are forgotten."""
 
-    def __init__(self, words: list[str], raw: bytes, ends: np.ndarray, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, words: pa.Array, raw: bytes, ends: np.ndarray, ranks: dict[bytes, int], pattern: str):
         super().__init__()
         at = (2 * ends).tolist()
-        self.known = dict(zip(words, map(lambda a, z: raw[a:z], at, at[1:]), strict=True))
+        self.known = dict(zip(words.to_pylist(), map(lambda a, z: raw[a:z], at, at[1:]), strict=True))
         self.old, self.fold, self.find = {}, Fold(ranks), compiled(pattern).findall
 
     def __missing__(self, run: str) -> bytes:

@@ -28,8 +28,6 @@ from seqloom.llm.shingles import mixed, shingle_sets
 RARE_FRAGMENTS, MAGNITUDES = 4, (1, 3, 6, 10)
 #: Keys of a member that are compared to find the one group in which a pair is made.
 SKETCH = 8
-#: Rows with a sketch up to which they are broadcast: some 25 MB.
-SKETCHES = 200_000
 #: Rounds in which members of a group are compared with its first one: whether members with few n-grams of their own come first (the text that near copies
 #: were made from), and in how many orders by keys, so that copies that share many keys meet several members.
 ORDERS = ((True, 8), (False, 1 << 40))
@@ -180,7 +178,7 @@ def classes(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100, id_c
     facts = facts.select("y", "n", (F.col("n") - F.size("prefix") + F.size("keys")).alias("common"), F.slice("keys", 1, SKETCH).alias("sketch"))
     facts = saved(facts, "facts")
     nodes = lambda comp: facts.select("y", (F.col("n") - F.col("common")).alias("rare")).join(comp.toDF("y", "c"), "y", "left").withColumn("c", F.coalesce("c", "y"))
-    where = lambda df, comp: df.select("key", "class", "y", "own").join(sized(nodes(comp)), "y")
+    where = lambda df, comp: df.select("key", "class", "y", "own").join(nodes(comp), "y")
     comp = members.select(F.col("y").alias("node"), F.col("y").alias("component")).limit(0)
     tried = []
     for common_first, orders in ORDERS:
@@ -205,7 +203,7 @@ def classes(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100, id_c
     largest = rest.groupBy("key", "class", "c").count().groupBy("key", "class").agg(F.max(F.struct("count", "c"))["c"].alias("largest"))
     # A pair is made in one group: that of the least key that both sketches have. Pairs whose sketches share none are made in each group that both are in.
     opened = rest
-    rest = saved(rest.join(largest, ["key", "class"]).join(sized(facts, SKETCHES), "y").select("key", "class", "y", "own", "n", "common", "c", "sketch", (F.col("c") != F.col("largest")).alias("out")), "rest")
+    rest = saved(rest.join(largest, ["key", "class"]).join(facts, "y").select("key", "class", "y", "own", "n", "common", "c", "sketch", (F.col("c") != F.col("largest")).alias("out")), "rest")
     forget(opened)
     a = rest.where("out").select("key", "class", *[F.col(x).alias(f"{x}_a") for x in ("y", "own", "n", "common", "c", "sketch")])
     b = rest.select("key", "class", *[F.col(x).alias(f"{x}_b") for x in ("y", "own", "n", "common", "c", "out", "sketch")])
