@@ -15,30 +15,35 @@ that Spark writes to can hold and whose commits survive lost tasks.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seqloom.llm.bpe import SPACE, words_of
+from seqloom.llm.bpe import _MARK, SPACE, words_of
 from seqloom.llm.common import column, forget, saved, shared_folder, sized, table
 
 END = 2
 SCALE_BITS = 20
-LANES = 512
+LANES = 2048
 CHECKPOINT = 128
 #: Ids of a block, about; a document longer than this has a block of its own.
 BLOCK = 1 << 20
 #: Runs whose ids a Python worker keeps; then it forgets those that it hasn't met lately.
-KEPT = 600_000
+KEPT = 1_000_000
+#: Bytes of text that a Python worker cuts at a time, about; a longer text is cut by itself.
+CUT_BYTES = 8 << 20
 #: ASCII characters that are neither letters, digits nor white space and may end a run.
 MARKS = ".,!?;:*#$%&|<>\"')]}"
 #: Runs that the library encodes as one text, with a line feed behind each.
 JOINED = 500
 
+_PLAIN = re.compile(f" ?[^{SPACE}]+\\Z").match
 _LOW = np.uint64(1 << 31)
 _32 = np.uint64(32)
 _MASK = np.uint64(0xFFFFFFFF)
@@ -177,11 +182,8 @@ class _Library:
             ask.discard(x)
         ask.update(alone)
         # A line feed is a match of its own unless white space other than one space follows.
-        plain, others = [], []
-        for x in ask:
-            words = x.split()
-            only = len(words) == 1 and (len(words[0]) == len(x) or len(words[0]) == len(x) - 1 and x[0] == " ")
-            (plain if only else others).append(x)
+        plain = list(filter(_PLAIN, ask))
+        others = ask.difference(plain) if len(plain) < len(ask) else ()
         joined = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
         for some, e in zip(joined, self.tokenizer.encode_batch_fast(["\n".join(some) + "\n" for some in joined], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, dtype=self.dtype)
@@ -197,16 +199,39 @@ class _Library:
         for run, head, marks in cut:
             kept[run] = kept[head] + kept[marks]
 
+    def _marked(self, texts: pa.Array) -> tuple[pa.Array, list[int]]:
+        """texts with a mark between their runs, and the places of those that the library takes whole (empty here)."""
+        whole = pc.match_substring(texts, _MARK)
+        for x in self.special:
+            whole = pc.or_(whole, pc.match_substring(texts, x))
+        spaced = pc.and_not(pc.match_substring_regex(texts, f"[{SPACE}]{{2}}"), whole)
+        # Without two white-space characters in a row, runs end before spaces and around line feeds.
+        out = pc.replace_substring(pc.replace_substring(texts, "\n", f"{_MARK}\n{_MARK}"), " ", f"{_MARK} ")
+        out = pc.if_else(whole, "", out)
+        if pc.any(spaced).as_py():
+            out = pc.replace_with_mask(out, spaced, pa.array([_MARK.join(words_of(t)) for t in texts.filter(spaced).to_pylist()], pa.large_string()))
+        return out, np.flatnonzero(whole.to_numpy(zero_copy_only=False)).tolist()
+
     def encode(self, texts) -> list[bytes]:
         """Ids of each text, the end id behind them."""
-        whole = [any(x in t for x in self.special) for t in texts]
-        cut = [[] if w else words_of(t) for t, w in zip(texts, whole, strict=True)]
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        marked, whole = self._marked(texts)
+        cut = pc.split_pattern(marked, _MARK)
+        runs = cut.values.dictionary_encode()
+        known = runs.dictionary.to_pylist()
         if len(self.kept) > KEPT // 2:
             self.kept, self.old = {}, self.kept
-        new = set().union(*cut).difference(self.kept)
+        self.kept[""] = b""
+        new = set(known).difference(self.kept)
         self._look_up(new)
-        ids_of = self.kept.__getitem__
-        out = [(self._ids(t) if w else b"".join(map(ids_of, runs))) + self.end for t, w, runs in zip(texts, whole, cut, strict=True)]
+        # The ids of all runs one after another, and where each text's begin.
+        ids = pa.array(list(map(self.kept.__getitem__, known)), pa.large_binary()).take(runs.indices)
+        raw = ids.buffers()[2]
+        raw = raw.to_pybytes() if raw else b""
+        ends = np.frombuffer(ids.buffers()[1], dtype="<i8")[cut.offsets.to_numpy()].tolist()
+        out = [raw[i:j] + self.end for i, j in zip(ends, ends[1:], strict=False)]
+        for i in whole:
+            out[i] = self._ids(texts[i].as_py()) + self.end
         for run in new:
             if len(run) > 1_000:
                 del self.kept[run]
@@ -246,30 +271,27 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = END,
         """A row a document, and in the end one of the counts of all ids."""
         library, total = _library(tokenizer_path, end_id), np.zeros(1 << 16, dtype=np.int64)
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
-                raw = library.encode([t or "" for t in part.column("text").to_pylist()])
+            text = pc.fill_null(b.column("text").cast(pa.large_string()), "")
+            at = np.cumsum(pc.binary_length(text).to_numpy()) // CUT_BYTES
+            edges = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), b.num_rows] if b.num_rows else []
+            for i, j in zip(edges, edges[1:], strict=False):
+                part = b.slice(i, j - i)
+                raw = library.encode(text.slice(i, j - i))
                 c = np.bincount(np.frombuffer(b"".join(raw), dtype=library.dtype))
                 if len(c) > len(total):
                     c, total = total, c.astype(np.int64)
                 total[: len(c)] += c
                 n = [len(x) // library.dtype.itemsize for x in raw]
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("tie"), pa.array(n, pa.int64()), pa.array(raw, pa.binary()), pa.nulls(len(raw), pa.binary())], TOKENS)
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("tie"), pa.array(n, pa.int64()), pa.array(raw, pa.binary()), *(pa.nulls(len(raw), pa.list_(pa.int64())) for _ in range(2))], TOKENS)
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([np.vstack((at, total[at])).astype("<i8").tobytes()])], TOKENS)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([at], pa.list_(pa.int64())), pa.array([total[at]], pa.list_(pa.int64()))], TOKENS)
 
     pure = docs.select(column(id_col).cast("long").alias("id"), F.xxhash64(column(text_col)).alias("tie"), column(text_col).alias("text"))
-    TOKENS = ["id", "tie", "n", "ids", "counts"]
-    tokens = saved(pure.mapInArrow(tokenize, "id long, tie long, n long, ids binary, counts binary"), "tokens", "zstd")
+    TOKENS = ["id", "tie", "n", "ids", "token", "c"]
+    tokens = saved(pure.mapInArrow(tokenize, "id long, tie long, n long, ids binary, token array<long>, c array<long>"), "tokens", "zstd")
     wide = _library(tokenizer_path, end_id).dtype
 
-    def added(batches):
-        for b in batches:
-            for raw in b["counts"]:
-                at, n = np.frombuffer(raw, dtype="<i8").reshape(2, -1)
-                yield pd.DataFrame({"token": at, "c": n})
-
-    counts = tokens.where("counts IS NOT NULL").select("counts").mapInPandas(added, "token long, c long").groupBy("token").agg(F.sum("c").alias("c")).toPandas()
+    counts = tokens.where("token IS NOT NULL").selectExpr("inline(arrays_zip(token, c))").groupBy("token").agg(F.sum("c").alias("c")).toPandas()
     size = int(counts["token"].max()) + 1 if len(counts) else 0
     total = np.zeros(size, dtype=np.int64)
     total[counts["token"].to_numpy()] = counts["c"].to_numpy()
@@ -279,7 +301,7 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = END,
 
     shared = spark.sparkContext.broadcast(Table(freq))
     parts = max(1, -(-int(total.sum()) // (BLOCK * 4)))
-    ordered = tokens.where("counts IS NULL").select("id", "tie", "ids").repartitionByRange(parts, F.col("id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("id").asc_nulls_first(), "tie")
+    ordered = tokens.where("token IS NULL").select("id", "tie", "ids").repartitionByRange(parts, F.col("id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("id").asc_nulls_first(), "tie")
     ordered = ordered.select("id", "ids", F.spark_partition_id().alias("part"))
 
     def block(part: int, number: int, docs_: list, raw: list) -> pd.DataFrame:
