@@ -35,11 +35,11 @@ CHECKPOINT = 128
 #: Ids of a block, about; a document longer than this has a block of its own.
 BLOCK = 1 << 20
 #: Runs whose ids a Python worker keeps; then it forgets those that it hasn't met lately.
-KEPT = 1_000_000
+KEPT = 1_300_000
 #: Bytes of text that a Python worker cuts at a time, about; a longer text is cut by itself.
 CUT_BYTES = 8 << 20
-#: ASCII characters that are neither letters, digits nor white space and may end a run.
-MARKS = ".,!?;:*#$%&|<>\"')]}"
+#: ASCII marks behind a Latin letter or an ASCII digit and up to the run's end are one match of the pattern.
+TAIL = r"([A-Za-z0-9\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}])([.,!?;:*#$%&|<>\"')\]}]+)" + _MARK
 #: Runs that the library encodes as one text, with a line feed behind each.
 JOINED = 500
 
@@ -81,13 +81,12 @@ class Table:
         """States, words and checkpoints of a block. Ids are coded from last to first, words stored from first to last."""
         turns = -(-len(ids) // LANES)
         state = np.full(LANES, _LOW, dtype=np.uint64)
-        freq, start = self.freq[ids], self.start[ids]
-        limit = freq << np.uint64(63 - SCALE_BITS)
+        freq, start, top = self.freq[ids], self.start[ids], np.uint64(63 - SCALE_BITS)
         words, marks, n = [], [], 0
         for t in range(turns - 1, -1, -1):
             f = freq[t * LANES : (t + 1) * LANES]
             s = state[: len(f)]
-            full = s >= limit[t * LANES : (t + 1) * LANES]
+            full = s >= f << top
             if full.any():
                 words.append((s[full] & _MASK).astype(np.uint32)[::-1])
                 n += len(words[-1])
@@ -166,21 +165,10 @@ class _Library:
 
     def _look_up(self, runs: set[str]) -> None:
         """Adds the ids of runs to those kept."""
-        kept, old, alone, cut = self.kept, self.old, [], []
-        # Marks behind a letter are one match of the pattern, so such a run is the run without them and the marks.
-        for run in runs:
-            ids = old.get(run)
-            if ids is not None:
-                kept[run] = ids
-            elif run[-1] in MARKS and (head := run.rstrip(MARKS)) and head[-1].isalpha():
-                cut.append((run, head, run[len(head) :]))
-            else:
-                alone.append(run)
-        ask = {x for parts in cut for x in parts[1:]}.difference(kept)
-        for x in ask & old.keys():
-            kept[x] = old[x]
-            ask.discard(x)
-        ask.update(alone)
+        kept, old = self.kept, self.old
+        met = list(filter(old.__contains__, runs))
+        kept.update(zip(met, map(old.__getitem__, met), strict=True))
+        ask = runs.difference(met)
         # A line feed is a match of its own unless white space other than one space follows.
         plain = list(filter(_PLAIN, ask))
         others = ask.difference(plain) if len(plain) < len(ask) else ()
@@ -196,8 +184,6 @@ class _Library:
                 kept[x] = raw[size * start : size * end]
                 start = end + 1
         kept.update((x, self._ids(x)) for x in others)
-        for run, head, marks in cut:
-            kept[run] = kept[head] + kept[marks]
 
     def _marked(self, texts: pa.Array) -> tuple[pa.Array, list[int]]:
         """texts with a mark between their runs, and the places of those that the library takes whole (empty here)."""
@@ -207,6 +193,7 @@ class _Library:
         spaced = pc.and_not(pc.match_substring_regex(texts, f"[{SPACE}]{{2}}"), whole)
         # Without two white-space characters in a row, runs end before spaces and around line feeds.
         out = pc.replace_substring(pc.replace_substring(texts, "\n", f"{_MARK}\n{_MARK}"), " ", f"{_MARK} ")
+        out = pc.replace_substring_regex(out, TAIL, rf"\1{_MARK}\2{_MARK}")
         out = pc.if_else(whole, "", out)
         if pc.any(spaced).as_py():
             out = pc.replace_with_mask(out, spaced, pa.array([_MARK.join(words_of(t)) for t in texts.filter(spaced).to_pylist()], pa.large_string()))
@@ -218,7 +205,7 @@ class _Library:
         marked, whole = self._marked(texts)
         cut = pc.split_pattern(marked, _MARK)
         runs = cut.values.dictionary_encode()
-        known = runs.dictionary.to_pylist()
+        known = runs.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.kept) > KEPT // 2:
             self.kept, self.old = {}, self.kept
         self.kept[""] = b""
@@ -271,12 +258,11 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = END,
         """A row a document, and in the end one of the counts of all ids."""
         library, total = _library(tokenizer_path, end_id), np.zeros(1 << 16, dtype=np.int64)
         for b in batches:
-            text = pc.fill_null(b.column("text").cast(pa.large_string()), "")
-            at = np.cumsum(pc.binary_length(text).to_numpy()) // CUT_BYTES
+            at = np.cumsum(pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(), dtype=np.int64) // CUT_BYTES
             edges = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), b.num_rows] if b.num_rows else []
             for i, j in zip(edges, edges[1:], strict=False):
                 part = b.slice(i, j - i)
-                raw = library.encode(text.slice(i, j - i))
+                raw = library.encode(pc.fill_null(part.column("text").cast(pa.large_string()), ""))
                 c = np.bincount(np.frombuffer(b"".join(raw), dtype=library.dtype))
                 if len(c) > len(total):
                     c, total = total, c.astype(np.int64)
