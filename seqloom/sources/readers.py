@@ -125,7 +125,7 @@ def read_fasta_ids(spark: SparkSession, path: str) -> DataFrame:
 
 
 def list_files(spark: SparkSession, folder: str, suffix: str = ".pdb") -> DataFrame:
-    """(path) of all files below folder whose names end with suffix in any case."""
+    """(path) of all files below folder whose names end with suffix in any case; Spark leaves empty files out."""
     glob = "*" + "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in suffix)
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(folder).select("path")
 
