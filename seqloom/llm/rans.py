@@ -35,9 +35,9 @@ CHECKPOINT = 128
 #: Ids of a block, about; a document longer than this has a block of its own.
 BLOCK = 1 << 20
 #: Runs whose ids a Python worker keeps; then it forgets those that it hasn't met lately.
-KEPT = 1_000_000
+KEPT = 600_000
 #: Bytes of text that a Python worker cuts at a time, about; a longer text is cut by itself.
-CUT_BYTES = 8 << 20
+CUT_BYTES = 4 << 20
 #: ASCII marks behind a Latin letter or an ASCII digit and up to the run's end are one match of the pattern.
 TAIL = r"([A-Za-z0-9\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}])([.,!?;:*#$%&|<>\"')\]}]+)" + _MARK
 #: Runs that the library encodes as one text, with a line feed behind each.
