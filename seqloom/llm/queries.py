@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from seqloom.llm.ann import op8_nearest
 from seqloom.llm.bpe import op2_bpe
+from seqloom.llm.centroids import OP13_SQL, op13_centroids
+from seqloom.llm.decontaminate import OP12_SQL, op12_decontaminate
 from seqloom.llm.line_dedup import op1_line_dedup
 from seqloom.llm.mixing import OP4_SQL, op4_mix_sources
 from seqloom.llm.ngram_join import op10_ngram_join
@@ -24,6 +26,8 @@ QUERIES = {
     "op8_nearest": op8_nearest,
     "op9_shards": op9_shards,
     "op10_ngram_join": op10_ngram_join,
+    "op12_decontaminate": op12_decontaminate,
+    "op13_centroids": op13_centroids,
 }
 
-SQL = {"op4_mix_sources": OP4_SQL, "op6_warc": OP6_SQL, "op7_url_filter": OP7_SQL, "op9_shards": OP9_SQL}
+SQL = {"op4_mix_sources": OP4_SQL, "op6_warc": OP6_SQL, "op7_url_filter": OP7_SQL, "op9_shards": OP9_SQL, "op12_decontaminate": OP12_SQL, "op13_centroids": OP13_SQL}

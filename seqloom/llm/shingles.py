@@ -34,18 +34,23 @@ def _powers(base: int, n: int) -> np.ndarray:
     return _POWERS[base][:n]
 
 
-def word_hashes(raw: bytes) -> np.ndarray:
-    """A 64-bit hash of every word of raw, in order: a polynomial in random codes of its bytes, mixed with its length."""
+def words(raw: bytes, apart: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes, starts and ends of the words of raw, in order: runs of bytes that apart (a mask of byte values) leaves. A hash is a polynomial in random codes of a word's bytes, mixed with its length."""
     b = np.frombuffer(raw, dtype=np.uint8)
     if not len(b):
-        return np.zeros(0, dtype=np.uint64)
-    edge = np.diff(np.concatenate(([True], _SPACE[b], [True])).astype(np.int8))
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    edge = np.diff(np.concatenate(([True], apart[b], [True])).astype(np.int8))
     start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     up = _powers(_BASE, len(b))
     down = _powers(_BACK, len(b))
     total = np.zeros(len(b) + 1, dtype=np.uint64)
     np.cumsum(_BYTE[b] * up, out=total[1:])
-    return mixed((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * _M2)
+    return mixed((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * _M2), start, end
+
+
+def word_hashes(raw: bytes) -> np.ndarray:
+    """The hashes of the words of raw that white space keeps apart."""
+    return words(raw)[0]
 
 
 def shingle_sets(texts, width: int):
