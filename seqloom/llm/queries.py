@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from seqloom.llm.alignment import op11_align
 from seqloom.llm.ann import op8_nearest
 from seqloom.llm.bpe import op2_bpe
 from seqloom.llm.centroids import OP13_SQL, op13_centroids
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_nearest": op8_nearest,
     "op9_shards": op9_shards,
     "op10_ngram_join": op10_ngram_join,
+    "op11_align": op11_align,
     "op12_decontaminate": op12_decontaminate,
     "op13_centroids": op13_centroids,
 }
