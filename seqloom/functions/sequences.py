@@ -55,9 +55,9 @@ def scale_map(scale: dict[str, float]) -> Column:
 
 
 def scale_values(sequence: Column, scale: dict[str, float], default: float | None = 0.0) -> Column:
-    """array<double>: the scale's value of each residue; unknown residues get the default."""
-    table = scale_map(scale)
-    return F.transform(letters(sequence), lambda c: F.coalesce(F.try_element_at(table, c), F.lit(default).cast("double")))
+    """array<double>: the scale's value of each residue; unknown residues get the default. A residue's value is one place of a literal array."""
+    place, table = F.lit("".join(scale)), F.array(F.lit(default).cast("double"), *[F.lit(float(v)) for v in scale.values()])
+    return F.transform(letters(sequence), lambda c: F.get(table, F.instr(place, c)))
 
 
 def total(values: Column) -> Column:

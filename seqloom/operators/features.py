@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.functions import sequences as S
+from seqloom.operators import moments as moments_of
 from seqloom.operators.integrate import LABEL_DOMAINS, has_domain
 
 STD_FLOOR = 1e-7
@@ -22,39 +23,38 @@ def protein_values(missing: float | None = None) -> list[Column]:
     return values + [has_domain(F.col("domains"), d).cast("double") for d in LABEL_DOMAINS]
 
 
-def moments(df: DataFrame, values: list[Column]) -> tuple[Column, Column]:
+def moments(values: list[Column]) -> tuple[Column, Column]:
     """Aggregates: arrays of means and population deviations, missing values skipped; no value gives 0, deviations are at least STD_FLOOR."""
-    del df
     mean = F.array(*[F.coalesce(F.avg(v), F.lit(0.0)) for v in values])
     std = F.array(*[F.greatest(F.coalesce(F.stddev_pop(v), F.lit(0.0)), F.lit(STD_FLOOR)) for v in values])
     return mean, std
 
 
 def protein_stats(df: DataFrame) -> DataFrame:
-    mean, std = moments(df, protein_values())
+    mean, std = moments(protein_values())
     return df.agg(mean.alias("protein_mean"), std.alias("protein_std"))
 
 
-def positions(df: DataFrame) -> DataFrame:
-    """A row a residue position below sequence_length, with the six residue values (NULL where missing)."""
-    details = F.get(F.col("structural_features"), F.lit(0))["dssp_residue_details"]
-    n = F.coalesce(F.col("sequence_length"), F.lit(0)).cast("int")
-    zipped = F.transform(
-        F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")),
-        lambda i: F.struct(*[F.get(F.col("residue_features"), i)[c].alias(c) for c in RESIDUE[:3]], *[F.get(details, i)[c].alias(c) for c in RESIDUE[3:]]),
-    )
-    return df.select("uniprot_id", F.posexplode(zipped).alias("pos", "r")).select("uniprot_id", "pos", *[S.finite(F.col("r")[c]).alias(c) for c in RESIDUE])
+def residue_states(df: DataFrame) -> DataFrame:
+    """df's rows as a state (moments.folded) of each residue value, over the positions below sequence_length; missing values are skipped."""
+    first = F.get(F.col("structural_features"), F.lit(0))
+    n = F.greatest(F.coalesce(F.col("sequence_length"), F.lit(0)).cast("int"), F.lit(0))
+    lists = {c: F.col("residue_features") for c in RESIDUE[:3]} | {c: first["dssp_residue_details"] for c in RESIDUE[3:]}
+    values = lambda c: F.transform(F.slice(lists[c], F.lit(1), n), lambda r: S.finite(r[c]))
+    return df.select(*[moments_of.folded(values(c)).alias(c) for c in RESIDUE])
 
 
 def residue_stats(df: DataFrame) -> DataFrame:
-    rows = positions(df)
-    mean, std = moments(rows, [F.col(c) for c in RESIDUE])
-    return rows.agg(mean.alias("residue_mean"), std.alias("residue_std"))
+    """One row of residue_mean and residue_std. Rows are folded in place and their states merged: no row a residue is made."""
+    one = moments_of.merge_rows(residue_states(df), list(RESIDUE))
+    mean = F.array(*[moments_of.mean_of(F.col(c), 0.0) for c in RESIDUE])
+    std = F.array(*[F.greatest(moments_of.deviation_of(F.col(c), 0.0), F.lit(STD_FLOOR)) for c in RESIDUE])
+    return one.select(mean.alias("residue_mean"), std.alias("residue_std"))
 
 
 def stats(df: DataFrame) -> DataFrame:
     """The one row of four arrays. Only the columns that it needs are read, nested fields included."""
-    return protein_stats(df).crossJoin(residue_stats(df))
+    return protein_stats(df).crossJoin(F.broadcast(residue_stats(df)))  # one row each
 
 
 def without_residues(df: DataFrame) -> DataFrame:

@@ -5,14 +5,12 @@ Sequences are documents.text, one-to-many hits are lineitem per order, vectors a
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from seqloom.functions import sequences as S
-from seqloom.operators import features, integrate, metrics, spatial
+from seqloom.operators import features, integrate, metrics, moments, spatial
 from seqloom.sources import readers, sinks
 
 QUERIES: dict = {}
@@ -99,14 +97,8 @@ WITH s AS ({_SEQ}), p AS (SELECT unnest(string_split(seq, '')) AS c FROM s WHERE
 SELECT count(*) AS n_positions, round(avg(coalesce({_KD}[c], 0.0::DOUBLE)), 6) AS mean_scale, round(stddev_pop(coalesce({_KD}[c], 0.0::DOUBLE)), 6) AS std_scale FROM p
 """)
 def residue_scale_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # A row's residues by kind, then one aggregate over rows: positions aren't exploded.
-    seq = F.col("seq")
-    counts = {r: S.count_of(seq, r) for r in S.HYDROPATHY}
-    total = lambda f: functools.reduce(lambda a, b: a + b, [counts[r] * F.lit(f(v)) for r, v in S.HYDROPATHY.items()])
-    v = _sequences(spark, sf_dir).select(F.length(seq).alias("n"), total(lambda x: x).alias("x"), total(lambda x: x * x).alias("xx"))
-    v = v.agg(F.sum("n").alias("n"), F.sum("x").alias("x"), F.sum("xx").alias("xx"))
-    mean = F.col("x") / F.col("n")
-    return v.select(F.col("n").alias("n_positions"), F.round(mean, 6).alias("mean_scale"), F.round(F.sqrt(F.col("xx") / F.col("n") - mean * mean), 6).alias("std_scale"))
+    one = moments.merge_rows(_sequences(spark, sf_dir).select(moments.folded(S.scale_values(F.col("seq"), S.HYDROPATHY)).alias("s")), ["s"])
+    return one.select(F.col("s.n").alias("n_positions"), F.round(moments.mean_of(F.col("s")), 6).alias("mean_scale"), F.round(moments.deviation_of(F.col("s")), 6).alias("std_scale"))
 
 
 _DI = "map([" + ", ".join(f"'{k}'" for k in DIPEPTIDES) + "], [" + ", ".join(f"{v}::DOUBLE" for v in DIPEPTIDES.values()) + "])"
@@ -242,7 +234,7 @@ _STATS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 def feature_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = _table(spark, sf_dir, "lineitem")
     values = [S.finite(F.col(c)) for c in _STATS] + [F.lit(5.0)]
-    mean, std = features.moments(li, values)
+    mean, std = features.moments(values)
     row = li.agg(mean.alias("m"), std.alias("s"))
     names = [*_STATS, "constant"]
     return row.select(*[F.round(F.get("m", F.lit(i)), 4).alias(f"{c}_mean") for i, c in enumerate(names)], *[(F.round(F.get("s", F.lit(i)), 4) if c != "constant" else F.get("s", F.lit(i))).alias(f"{c}_std") for i, c in enumerate(names)])
@@ -254,7 +246,7 @@ SELECT l_returnflag AS flag, count(*) AS n_rows, round(avg((l_quantity - m1) / s
 """)
 def zscore_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = _table(spark, sf_dir, "lineitem").select("l_returnflag", "l_quantity", "l_discount")
-    mean, std = features.moments(li, [F.col("l_quantity"), F.col("l_discount")])
+    mean, std = features.moments([F.col("l_quantity"), F.col("l_discount")])
     row = li.agg(mean.alias("m"), std.alias("s"))
     z = li.crossJoin(F.broadcast(row)).select("l_returnflag", features.zscore(F.array("l_quantity", "l_discount"), F.col("m"), F.col("s")).alias("z"))
     return z.groupBy(F.col("l_returnflag").alias("flag")).agg(F.count("*").alias("n_rows"), F.round(F.avg(F.get("z", F.lit(0))), 6).alias("z_quantity"), F.round(F.avg(F.get("z", F.lit(1))), 6).alias("z_discount"))

@@ -13,7 +13,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from seqloom import schemas
 from seqloom.functions import sequences as S
-from seqloom.operators.spatial import saved
+from seqloom.storage import free_name, is_small, saved
 
 _PDB = StructType([StructField("pdb_id", StringType())])
 
@@ -43,24 +43,51 @@ def tagged_fields(record: Column, tags: tuple[str, ...] = ("AC", "OS", "OX")) ->
 COMPRESSED = r"\.(gz|bz2|deflate|zst|lz4|snappy)$"
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """(uniprot_id, sequence, sequence_length, organism, taxonomy_id) of flat files whose records end with a line //.
+def _terminated(spark: SparkSession, path: str) -> DataFrame:
+    """(file, at, value): the texts of flat files that a line // ends, with \n, \r\n or \r at line ends folded to \n.
 
-    Records without an id or a sequence are left out; of records of one id the last counts; text after the
-    last // is no record.
+    A // line is one whose line ends right behind the slashes. Files are cut at line starts of two slashes; what
+    goes on behind them was no such line, and is joined to the text before.
     """
+    cut = "\n//"
     meta = {"file": "file_path", "size": "file_size", "block": "file_block_start"}
-    raw = spark.read.option("lineSep", "\n//\n").text(path).select("value", *[F.col(f"_metadata.{m}").alias(c) for c, m in meta.items()], F.monotonically_increasing_id().alias("n"))
+    raw = spark.read.option("lineSep", cut).text(path).select("value", *[F.col(f"_metadata.{m}").alias(c) for c, m in meta.items()], F.monotonically_increasing_id().alias("n"))
     # Blocks of a file may be read in any order; rows of one are numbered as they stand in it.
-    raw = raw.select("value", "file", "size", F.struct("block", "n").alias("at"))
-    # A file's last row is a record only if a separator ends it, which shows in the file's size; that of compressed files doesn't tell.
-    ends = raw.groupBy("file").agg(F.max("at").alias("last"), (F.sum(F.octet_length("value") + 4) == F.first("size")).alias("ended"))
+    raw = raw.select("value", "file", "size", F.struct("block", "n").alias("at"), F.col("value").rlike(r"\A(\r|\n|\z)").alias("starts"))
+    # A file's last text counts only if a // line ends it, which shows in the file's size; that of compressed files doesn't tell.
+    per = raw.groupBy("file").agg(
+        F.min("at").alias("first"), F.max("at").alias("last"), F.count_if(~F.col("starts")).alias("others"), F.min_by("starts", "at").alias("first_starts"),
+        (F.sum(F.octet_length("value") + len(cut)) == F.first("size")).alias("ended"),
+    )
     packed = F.col("file").rlike(COMPRESSED)
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("n")).where(packed & (F.trim("value") != ""))
     closed = lines.groupBy("file").agg((F.max_by("value", "n") == "//").alias("closed"))
-    ends = ends.join(closed, "file", "left").select("file", F.when(~F.coalesce(F.when(packed, F.col("closed")).otherwise(F.col("ended")), F.lit(False)), F.col("last")).alias("open"))
-    rows = raw.join(ends, "file").where("open IS NULL OR at <> open OR value LIKE '%\n//'")
-    rows = rows.select("file", "at", F.regexp_replace("value", r"\A(?://\n)+|\n//\z", "").alias("value"))
+    ended = F.coalesce(F.when(packed, F.col("closed")).otherwise(F.col("ended")), F.lit(False))
+    per = per.join(closed, "file", "left").select("file", "first", F.when(~ended, F.col("last")).alias("open"), (F.col("others") > F.when(F.col("first_starts"), 0).otherwise(1)).alias("odd"))
+    per = saved(per, "files")
+    per = F.broadcast(per) if is_small(per) else per
+    rows = raw.join(per, "file").withColumn("starts", F.col("starts") | (F.col("at") == F.col("first")))
+    # Texts of files with other lines that start with slashes: counted within blocks, and blocks within files.
+    some = rows.where("odd")
+    blocks = some.groupBy("file", "at.block").agg(F.count_if("starts").alias("texts"))
+    earlier = F.coalesce(F.sum("texts").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = blocks.select("file", "block", earlier.alias("earlier"))
+    within = F.sum(F.col("starts").cast("long")).over(Window.partitionBy("file", "block").orderBy("at"))
+    some = some.withColumn("block", F.col("at.block")).withColumn("within", within).join(blocks, ["file", "block"])
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda x: x["value"]), cut)
+    some = some.groupBy("file", (F.col("earlier") + F.col("within")).alias("text")).agg(F.min("at").alias("at"), F.max("at").alias("until"), F.first("open").alias("open"), joined.alias("value"))
+    whole = rows.where("NOT odd").select("file", "at", F.col("at").alias("until"), "open", "value").unionByName(some.drop("text"))
+    value = F.regexp_replace(F.regexp_replace(F.col("value"), r"\r\n?", "\n"), r"\A\n?(?://(?:\n|\z))*|\n\z", "")
+    return whole.where("open IS NULL OR until <> open OR value LIKE '%\n//'").select("file", "at", F.regexp_replace(value, r"\n//\z", "").alias("value"))
+
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """(uniprot_id, sequence, sequence_length, organism, taxonomy_id) of flat files whose records end with a line //.
+
+    Lines end with \n or \r\n; files may be compressed. Records without an id or a sequence are left out; of records of one id the
+    last counts; text after the last // is no record.
+    """
+    rows = _terminated(spark, path)
     f = tagged_fields(F.col("value"))
     out = rows.select(F.struct("file", "at").alias("at"), S.first_accession(f["AC"]).alias("uniprot_id"), f["SQ"].alias("sequence"), f["OS"].alias("os"), f["OX"].alias("ox"))
     out = out.where("uniprot_id <> '' AND sequence <> ''")
@@ -186,7 +213,7 @@ def numbered(df: DataFrame, key: list[str], name: str = "global_index") -> DataF
 
     The sorted partitions are written once with their numbers, so that counts and rows come from the same partitions.
     """
-    part, row, first = "__part", "__row", "__first"
+    part, row, first = (free_name(df, n) for n in ("__part", "__row", "__first"))
     ordered = df.repartitionByRange(*key).sortWithinPartitions(*key).withColumn(part, F.spark_partition_id()).withColumn(row, F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
     ordered = saved(ordered, "ordered")
     before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # a row a partition

@@ -57,7 +57,7 @@ def test_label(spark, accession, sheet, gravy, instability, want):
 
 def test_moments(spark):
     rows = spark.createDataFrame([(1.0, 5.0, None), (float("nan"), 5.0, None), (3.0, 5.0, None), (None, 5.0, None)], "a double, b double, c double")
-    m, s = features.moments(rows, [S.finite(F.col(c)) for c in "abc"])
+    m, s = features.moments([S.finite(F.col(c)) for c in "abc"])
     r = rows.agg(m.alias("m"), s.alias("s")).first()
     assert r["m"] == [2.0, 5.0, 0.0]
     assert r["s"] == [1.0, 1e-7, 1e-7]
@@ -138,3 +138,44 @@ def test_embedding_and_pooling(spark):
     assert [len(r["embedding"]) for r in got] == [16]
     h = spark.sql("SELECT 'P1' AS uniprot_id, 2L AS sequence_length, array(array(9D), array(1D), array(3D), array(9D)) AS states UNION ALL SELECT 'P2', 0L, array(array(9D))")
     assert {r["uniprot_id"]: r["embedding"] for r in metrics.mean_pooled(h).collect()} == {"P1": [2.0], "P2": [0.0]}
+
+
+def test_folded_states(spark):
+    """Folds and merges equal the exploded form, missing values skipped; values of one kind deviate by exactly 0."""
+    import random
+
+    from seqloom.operators import moments
+
+    rnd = random.Random(1)
+    rows = [(i, [None if rnd.random() < 0.2 else rnd.gauss(1e9, 1) for _ in range(rnd.randint(0, 30))]) for i in range(500)] + [(900, []), (901, None), (902, [None])]
+    df = spark.createDataFrame(rows, "id long, v array<double>").repartition(7)
+    one = moments.merge_rows(df.select(moments.folded(F.col("v")).alias("s"), F.struct(F.lit(1).cast("long").alias("n"), F.lit(2.5).alias("mean"), F.lit(0.0).alias("m2")).alias("same")), ["s", "same"]).first()
+    values = [x for _, v in rows for x in v or () if x is not None]
+    mean = sum(x - 1e9 for x in values) / len(values) + 1e9
+    assert one["s"]["n"] == len(values)
+    assert abs(one["s"]["mean"] - mean) < 1e-6
+    assert abs(one["s"]["m2"] / sum((x - mean) ** 2 for x in values) - 1) < 1e-6
+    assert tuple(one["same"]) == (503, 2.5, 0.0)
+    for v in ("AAAAAAA", "GGG", "GGGGGGG", "WWWWWWW"):
+        texts = spark.createDataFrame([(v,)] * 3, "s string").repartition(2)
+        state = moments.merge_rows(texts.select(moments.folded(S.scale_values(F.col("s"), S.HYDROPATHY)).alias("s")), ["s"])
+        assert state.select(moments.deviation_of(F.col("s"))).first()[0] == 0.0
+    none = moments.merge_rows(df.limit(0).select(moments.folded(F.col("v")).alias("s")), ["s"]).select(moments.mean_of(F.col("s")), moments.deviation_of(F.col("s"), 1.0)).first()
+    assert tuple(none) == (None, 1.0)
+
+
+def test_residue_stats_equal_the_exploded_form(spark):
+    details = [{"relative_accessibility": 0.5, "phi": -60.0, "psi": None}, {"relative_accessibility": None, "phi": float("nan"), "psi": 2.0}, {"relative_accessibility": 9.0, "phi": 9.0, "psi": 9.0}]
+    feats = [{"hydrophobicity": 1.0, "polarity": 2.0, "volume": None}, {"hydrophobicity": -1.5, "polarity": 2.0, "volume": 0.0}]
+    rows = [("a", 2, feats, [{"dssp_residue_details": details}]), ("b", 1, feats, []), ("c", None, feats, None), ("d", 0, feats, [{"dssp_residue_details": details}]), ("e", 9, None, [{"dssp_residue_details": None}])]
+    kind = "uniprot_id string, sequence_length long, residue_features array<struct<hydrophobicity:double,polarity:double,volume:double>>, structural_features array<struct<dssp_residue_details:array<struct<relative_accessibility:double,phi:double,psi:double>>>>"
+    df = spark.createDataFrame(rows, kind)
+    got = features.residue_stats(df)
+    assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
+    r = got.first()
+    want = {"hydrophobicity": [1.0, -1.5, 1.0], "polarity": [2.0, 2.0, 2.0], "volume": [0.0], "relative_accessibility": [0.5], "phi": [-60.0], "psi": [2.0]}
+    for i, c in enumerate(features.RESIDUE):
+        v = want[c]
+        m = sum(v) / len(v)
+        assert abs(r["residue_mean"][i] - m) < 1e-12
+        assert abs(r["residue_std"][i] - max(1e-7, (sum((x - m) ** 2 for x in v) / len(v)) ** 0.5)) < 1e-12

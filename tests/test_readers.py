@@ -203,3 +203,22 @@ def test_config_lists_and_strings(spark, tmp_path):
     assert (c.kernel_sizes, c.lr, c.epochs) == ([3, 9], 0.01, 3)
     assert readers._scalar("bare text") == "bare text"
     assert readers._scalar("[1, two]") == [1, "two"]
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+@pytest.mark.parametrize("packed", [False, True])
+def test_records_of_any_line_ends(spark, tmp_path, end, packed):
+    """CRLF files give what LF files give; lines that only start with slashes end no record; so for compressed files."""
+    text = RECORDS.replace("OS   Testus\n", "OS   Testus\n//no end\n")
+    for i, body in enumerate((text, text.replace("P22222", "P55555") + "//", "//\n//\n" + text.replace("P22222", "P66666") + "//\n")):
+        raw = body.replace("\n", end).encode()
+        (tmp_path / (f"{i}.dat.gz" if packed else f"{i}.dat")).write_bytes(gzip.compress(raw) if packed else raw)
+    got = {r["uniprot_id"]: r for r in readers.read_records(spark, str(tmp_path)).collect()}
+    assert set(got) == {"P11111", "P22222", "P55555", "P66666", "P44444"}
+    assert (got["P11111"]["sequence"], got["P22222"]["sequence"], got["P44444"]["sequence"]) == ("AAA", "WXYZ", "CCC")
+    first = text.split("//\n")[0] + "//\n"
+    raw = (first.replace("P11111", "P77777") + "ID   OPEN\nAC   P88888\nSQ   S\n     AC\n").replace("\n", end).encode()
+    (tmp_path / "o").mkdir()
+    (tmp_path / "o" / "x.dat").write_bytes(raw)
+    (r,) = readers.read_records(spark, str(tmp_path / "o")).collect()
+    assert (r["uniprot_id"], r["sequence"], r["organism"]) == ("P77777", "ACDEFG", "Testus plantus.")
