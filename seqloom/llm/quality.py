@@ -149,11 +149,14 @@ def fit(x: np.ndarray, y: np.ndarray, monotone: tuple[int, ...]) -> Trees:
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Trees:
     """Trees from at most fit_rows labelled documents (labels: doc_id, quality), whose statistics reach the driver.
 
-    Null labels and ids are left out. Without both kinds of label the trees say the share of good ones everywhere.
+    Null labels and ids are left out; repeated labels of an id count once, the largest. Of several rows of one id the text that is
+    smallest by hash is taken, so that never more than fit_rows rows are fitted on. Without both kinds of label the trees say the share of good ones everywhere.
     """
     chosen = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     chosen = chosen.orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(fit_rows)
     rows = docs.select(column(id_col).alias("doc_id"), column(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")
+    one = F.min_by("text", F.struct(F.xxhash64("text"), "text"))
+    rows = rows.groupBy("doc_id", "quality").agg(one.alias("text"))
 
     def scan(batches):
         for b in batches:
