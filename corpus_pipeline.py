@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqloom.llm import bpe, line_dedup, mixing, ngram_join, quality
-from seqloom.llm.common import saved, ship, table
+from seqloom.llm.common import saved, ship, sized, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -34,16 +34,20 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group of near duplicates: five-word shingles, Jaccard 0.8 or more.
 
-    Repeated rows count as one. Documents without words, and rows without an id, stay.
+    Rows that are equal in all columns count as one; rows of one id and text that differ elsewhere stay or go together. Rows of an id with
+    several texts aren't compared, and stay: the id doesn't say which text is meant. Documents without words stay, and so do all rows without an id.
     """
     ship(spark)
     docs = docs.select(*COLUMNS)
-    found = saved(ngram_join.classes(docs, width=5, num=80), "classes")
+    text = F.xxhash64(F.coalesce("text", F.lit("")), F.col("text").isNull())
+    per = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("rows"), F.min(text).alias("least"), F.max(text).alias("most"))
+    repeated = saved(per.where("rows > 1").select("doc_id", (F.col("least") != F.col("most")).alias("several")), "repeated")
+    several, repeated = sized(repeated.where("several").select("doc_id")), sized(repeated.select("doc_id"))
+    found = ngram_join.classes(docs.join(several, "doc_id", "left_anti"), width=5, num=80)
     gone = found.where("id <> component_id").select(F.col("id").alias("doc_id"))
     out = docs.join(gone, "doc_id", "left_anti")
-    if not found.where("id IS NOT NULL").groupBy("id").count().where("count > 1").isEmpty():
-        out = out.dropDuplicates(["doc_id", "text"])
-    return out.select(*COLUMNS)
+    again = out.join(repeated, "doc_id", "left_semi").dropDuplicates()
+    return out.join(repeated, "doc_id", "left_anti").select(*COLUMNS).unionByName(again.select(*COLUMNS))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
