@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from seqloom.operators import features, integrate, metrics, spatial, structures, training
 from seqloom.sources import readers, sinks
+from seqloom.storage import saved
 
 
 def write_integrated(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -42,11 +43,11 @@ def split(spark: SparkSession, a: argparse.Namespace) -> None:
         raise ValueError("max-len, eps and min-samples must be positive")
     table = readers.read_dataset(spark, a.input)
     cut = table.select("uniprot_id", F.substring("sequence", 1, a.max_len).alias("sequence"))
-    vectors = spatial.saved(readers.numbered(metrics.embed(cut), ["uniprot_id"], "vec_id"), "vectors")
+    vectors = saved(readers.numbered(metrics.embed(cut), ["uniprot_id"], "vec_id"), "vectors")
     if a.embeddings:
         sinks.write_embeddings(vectors, a.embeddings)
     sides = spatial.cluster_split(spatial.dbscan(vectors, a.eps, a.min_samples), a.test_ratio, a.seed)
-    sides = spatial.saved(vectors.select(F.col("vec_id").alias("id"), "uniprot_id").join(sides, "id"), "sides")
+    sides = saved(vectors.select(F.col("vec_id").alias("id"), "uniprot_id").join(sides, "id"), "sides")
     for side, path in (("train", a.train), ("test", a.test)):
         sinks.write_subset(table, sides.where(F.col("split") == side).select("uniprot_id"), path)
 

@@ -3,31 +3,16 @@
 from __future__ import annotations
 
 import math
-import os
-import tempfile
-import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-CONTACT_RADIUS = 8.0
-
-
-def _folder(spark: SparkSession, purpose: str) -> str:
-    """A new folder in the one that executors share; only a local session may go without."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.conf.get("spark.master", "local").startswith("local"):
-            raise ValueError("spark.checkpoint.dir, a folder that all executors share, is unset")
-        root = "file://" + os.path.join(tempfile.gettempdir(), "seqloom")
-    return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
-
+from seqloom.operators import balls
+from seqloom.operators.balls import dot
+from seqloom.storage import forget, is_small, saved
 
-def saved(df: DataFrame, purpose: str) -> DataFrame:
-    """df as a table in the folder that driver and executors share: cuts its lineage."""
-    path = _folder(df.sparkSession, purpose)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+CONTACT_RADIUS = 8.0
 
 
 def range_pairs(points: DataFrame, radius: float = CONTACT_RADIUS, group: str = "structure_id", index: str = "index") -> DataFrame:
@@ -48,10 +33,6 @@ def range_pairs(points: DataFrame, radius: float = CONTACT_RADIUS, group: str =
     return pairs.select(F.col("g").alias(group), F.col("ai").alias("idx1"), F.col("bi").alias("idx2"))
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-
-
 def units(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(id, u): vectors as doubles of length 1; null and zero vectors are left out."""
     v = F.col(vec_col).cast("array<double>")
@@ -59,68 +40,159 @@ def units(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
     return vectors.where(v.isNotNull()).select(F.col(id_col).alias("id"), v.alias("v"), n.alias("n")).where("n > 0").select("id", F.transform("v", lambda x: x / F.col("n")).alias("u"))
 
 
-def similarity_pairs(vectors: DataFrame, eps: float, id_col: str = "vec_id", vec_col: str = "embedding", pivots: int = 16) -> DataFrame:
+def _reach(eps: float) -> float:
+    """On unit vectors a cosine distance of eps is an angle of at most this."""
+    return math.acos(max(-1.0, min(1.0, 1 - eps)))
+
+
+def similarity_pairs(vectors: DataFrame, eps: float, id_col: str = "vec_id", vec_col: str = "embedding", pivots: int = balls.CHILDREN, leaf: int = balls.LEAF) -> DataFrame:
     """(a, b, distance): pairs a < b at cosine distance at most eps, exact.
 
-    On unit vectors a cosine distance of eps is an angle of at most acos(1 - eps). Each vector belongs to its
-    nearest pivot (a bounded, hash-chosen set), and visits only pivots whose angle to it is within that of
-    its own nearest plus twice the angle: others can't hold a partner (triangle inequality). Large pivots
-    are cut by a hash of the id. Where angles are wide the visits grow towards all blocks, but every pair
-    meets in one block only and no cross join is made.
+    Vectors lie in a tree of balls (pivots: children of a ball); only pairs of leaves whose bounds meet are compared, by matrix products.
+    A vector is copied once a leaf that its own leaf meets. Where angles are wide, in structureless vectors, that may be all.
     """
-    spark = vectors.sparkSession
-    u = saved(units(vectors, id_col, vec_col), "units")
-    chosen = u.orderBy(F.xxhash64("id"), "id").limit(pivots).select("u").collect()
-    if not chosen:
-        return spark.createDataFrame([], "a long, b long, distance double")
-    angle = F.array(*[F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(F.col("u"), F.array(*map(F.lit, r[0])))))) for r in chosen])
-    reach = 2 * math.acos(max(-1.0, min(1.0, 1 - eps))) + 1e-9
-    at = u.withColumn("angles", angle).withColumn("near", F.array_min("angles"))
-    at = at.withColumn("home", (F.array_position("angles", F.col("near")) - 1).cast("int"))
-    pieces = at.groupBy("home").count().select("home", F.greatest(F.ceil(F.col("count") / 2000), F.lit(1)).cast("int").alias("pieces"))
-    index = at.join(F.broadcast(pieces), "home").select(F.col("id").alias("b"), F.col("u").alias("v"), "home", F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int").alias("piece"))
-    visit = F.filter(F.transform("angles", lambda x, i: F.when(x <= F.col("near") + reach, i)), lambda i: i.isNotNull())
-    asks = at.select(F.col("id").alias("a"), "u", F.explode(visit).alias("home")).join(F.broadcast(pieces), "home")
-    asks = asks.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).drop("pieces")
-    both = asks.join(index, ["home", "piece"]).where("a < b").withColumn("distance", 1 - dot(F.col("u"), F.col("v")))
-    return both.where(F.col("distance") <= eps).select("a", "b", "distance")
+    found = balls.tree(units(vectors, id_col, vec_col), leaf, pivots)
+    if found is None:
+        return vectors.sparkSession.createDataFrame([], "a long, b long, distance double")
+    pairs = balls.pairs_within(found, _reach(eps))
+
+    def listed(x, y, same):
+        (i, u, _), (j, v, _) = x, y
+        distance, near = balls.hits(u, v, eps, same)
+        at, to = np.nonzero(near)
+        p, q = i[at], j[to]
+        yield balls.batch({"a": np.minimum(p, q), "b": np.maximum(p, q), "distance": distance[at, to]})
+
+    out = saved(balls.compared(found, pairs, found.members, leaf, [], "a long, b long, distance double", listed), "pairs")
+    found.forget()
+    forget(pairs)
+    return out
+
+
+def compared_pairs(vectors: DataFrame, eps: float, id_col: str = "vec_id", vec_col: str = "embedding", pivots: int = balls.CHILDREN, leaf: int = balls.LEAF) -> int:
+    """How many pairs of vectors similarity_pairs compares: those of leaves whose bounds meet."""
+    found = balls.tree(units(vectors, id_col, vec_col), leaf, pivots)
+    if found is None:
+        return 0
+    n = F.when(F.col("x") == F.col("y"), F.col("nx") * (F.col("nx") - 1) / 2).otherwise(F.col("nx") * F.col("ny"))
+    return int(balls.pairs_within(found, _reach(eps)).agg(F.sum(n)).first()[0] or 0)
 
 
 def components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(id, root): the smallest id of each node's connected component. Every round takes the least neighbouring root and jumps to the root's root."""
-    edges = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    """(id, root): the smallest id of each node's connected component; any 64-bit ids. Every round takes the least neighbouring root and jumps to the root's root."""
+    edges = saved(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
     state = saved(nodes.select("id", F.col("id").alias("root")), "roots")
-    before = None
     for _ in range(rounds):
         offer = edges.join(state.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("root").alias("offer"))
-        step = state.join(offer.withColumnRenamed("a", "id"), "id", "left").select("id", F.least("root", F.coalesce("offer", "root")).alias("root"))
+        step = state.join(offer.withColumnRenamed("a", "id"), "id", "left").select("id", F.col("root").alias("was"), F.least("root", F.coalesce("offer", "root")).alias("root"))
         jump = step.select(F.col("id").alias("root"), F.col("root").alias("above"))
-        state = saved(step.join(jump, "root", "left").select("id", F.least("root", F.coalesce("above", "root")).alias("root")), "roots")
-        now = state.agg(F.sum("root")).first()[0]
-        if now == before:
+        before, state = state, saved(step.join(jump, "root", "left").select("id", F.least("root", F.coalesce("above", "root")).alias("root"), "was"), "roots")
+        changed = state.where("root <> was").isEmpty()
+        forget(before)
+        state = _without(state, "was")
+        if changed:
+            forget(edges)
             return state
-        before = now
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def dbscan(vectors: DataFrame, eps: float = 0.5, min_samples: int = 5, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def _without(df: DataFrame, column: str) -> DataFrame:
+    out = df.drop(column)
+    out._saved_at = df._saved_at
+    return out
+
+
+def _forest(near: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (unit, smallest unit of its component) of the graph whose sides a and b are joined where near is true: as many as there are units, not as hits."""
+    rows, cols = near.any(axis=1), near.any(axis=0)
+    near, a, b = near[np.ix_(rows, cols)], a[rows], b[cols]
+    if not near.size:
+        return a[:0], a[:0]
+    top = np.iinfo(np.int64).max
+    root_a, root_b = a.copy(), b.copy()
+    while True:
+        new_a = np.minimum(root_a, np.where(near, root_b[None, :], top).min(axis=1))
+        new_b = np.minimum(root_b, np.where(near, new_a[:, None], top).min(axis=0))
+        if np.array_equal(new_a, root_a) and np.array_equal(new_b, root_b):
+            break
+        root_a, root_b = new_a, new_b
+    # A unit that stands in several rows has all of its roots joined through it.
+    unit, root = np.concatenate((a, b)), np.concatenate((root_a, root_b))
+    both = np.unique(np.stack((unit, root), axis=1), axis=0)
+    return both[:, 0], both[:, 1]
+
+
+def dbscan(vectors: DataFrame, eps: float = 0.5, min_samples: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", leaf: int = balls.LEAF) -> DataFrame:
     """(id, cluster): density clusters by cosine distance, named by their smallest core member; noise is -1.
 
-    A point counts among its own neighbours. A border point joins the smallest cluster among its core neighbours.
+    A point counts among its own neighbours. A border point joins the smallest cluster among its core neighbours. Null and zero vectors are left out.
+
+    A ball of min_samples members or more that are all within eps of each other is dense: its members are core and of one cluster by count alone, and no pair of
+    them is made. Two dense balls, and a dense ball and a leaf, whose bounds say that all pairs are near, are joined by that. Other pairs of leaves whose bounds meet are compared, once
+    for the neighbours of members of leaves, and again for the links of core points, of which a pair of leaves gives no more than it has points.
     """
     if eps <= 0 or min_samples <= 0:
         raise ValueError("eps and min_samples must be positive")
-    nodes = units(vectors, id_col, vec_col).select("id")
-    pairs = saved(similarity_pairs(vectors, eps, id_col, vec_col).select("a", "b"), "pairs")
-    both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    degree = both.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n"))
-    core = nodes.join(degree, "id", "left").where(F.coalesce("n", F.lit(0)) + 1 >= min_samples).select("id")
-    core = saved(core, "core")
-    inner = pairs.join(core.withColumnRenamed("id", "a"), "a", "left_semi").join(core.withColumnRenamed("id", "b"), "b", "left_semi")
-    root = components(core, inner)
-    border = both.join(root.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("root").alias("near"))
-    out = nodes.join(root, "id", "left").join(border.withColumnRenamed("a", "id"), "id", "left")
-    return out.select("id", F.coalesce("root", "near", F.lit(-1)).alias("cluster"))
+    reach = _reach(eps)
+    nodes = units(vectors, id_col, vec_col)
+    found = balls.tree(nodes, leaf, dense_radius=reach / 2 - balls.SLACK, dense=min_samples)
+    if found is None:
+        return vectors.sparkSession.createDataFrame([], "id long, cluster long")
+    facts = found.leaves.select("ball", "tight", "first", "n")
+    side = lambda df: F.broadcast(df) if is_small(df) else df
+    kinds = lambda k: side(facts.select(F.col("ball").alias(k), F.col("tight").alias(f"t{k}"), F.col("first").alias(f"f{k}")))
+    pairs = saved(balls.pairs_within(found, reach).join(kinds("x"), "x").join(kinds("y"), "y"), "pairs")
+    # Pairs with a dense side all of whose points are near need no look at their points.
+    full = pairs.where((F.col("most") <= reach) & (F.col("tx") | F.col("ty")) & (F.col("x") != F.col("y")))
+    open_ = pairs.where(~((F.col("x") == F.col("y")) & F.col("tx")) & ~((F.col("most") <= reach) & (F.col("tx") | F.col("ty"))))
+    covered = full.select(F.when(F.col("tx"), F.col("y")).otherwise(F.col("x")).alias("ball"), F.when(F.col("tx"), F.col("fx")).otherwise(F.col("fy")).alias("b"))
+    covered = covered.groupBy("ball").agg(F.min("b").alias("over"))
+    members = found.members.join(side(facts.select("ball", "tight", "first")), "ball").join(side(covered), "ball", "left")
+    known = F.when(F.col("tight"), F.col("first")).when(F.col("over").isNotNull(), F.col("id"))
+    members = saved(members.select("id", "u", "ball", "tight", "over", known.alias("unit")), "members")
+
+    def counted(x, y, same):
+        (i, u, mine), (j, v, other) = x, y
+        _, near = balls.hits(u, v, eps, same)
+        for ids, n, own in ((i, near.sum(axis=1), mine), (j, near.sum(axis=0), other)):
+            open_points = pa_null(own["unit"]) & (n > 0)
+            yield balls.batch({"id": ids[open_points], "n": n[open_points].astype(np.int64)})
+
+    # Neighbours are counted of points that aren't core by their ball already.
+    some = open_.where("NOT (tx AND ty)")
+    degree = balls.compared(found, some, members, leaf, ["unit"], "id long, n long", counted)
+    degree = saved(degree.groupBy("id").agg(F.sum("n").alias("n")), "degree")
+    core = members.join(degree, "id", "left").withColumn("unit", F.coalesce("unit", F.when(F.coalesce("n", F.lit(0)) + 1 >= min_samples, F.col("id"))))
+    core = saved(core.select("id", "u", "ball", "over", "unit"), "core")
+    forget(members)
+
+    def linked(x, y, same):
+        (i, u, mine), (j, v, other) = x, y
+        _, near = balls.hits(u, v, eps, same)
+        out_a, out_b = pa_null(mine["unit"]), pa_null(other["unit"])
+        a, b = mine["unit"].fill_null(0).to_numpy(zero_copy_only=False), other["unit"].fill_null(0).to_numpy(zero_copy_only=False)
+        unit, root = _forest(near & ~out_a[:, None] & ~out_b[None, :], a, b)
+        yield balls.batch({"a": unit, "b": root, "border": np.zeros(len(unit), dtype=bool)})
+        # A point that isn't core has less than min_samples neighbours.
+        for ids, of, hit in ((i, b, near & out_a[:, None] & ~out_b[None, :]), (j, a, (near & ~out_a[:, None] & out_b[None, :]).T)):
+            p, q = np.nonzero(hit)
+            yield balls.batch({"a": ids[p], "b": of[q], "border": np.ones(len(p), dtype=bool)})
+
+    links = saved(balls.compared(found, open_, core, leaf, ["unit"], "a long, b long, border boolean", linked).distinct(), "links")
+    by_ball = full.where("tx AND ty").select(F.col("fx").alias("a"), F.col("fy").alias("b")).unionByName(core.where("over IS NOT NULL").select(F.col("unit").alias("a"), F.col("over").alias("b")))
+    root = components(core.where("unit IS NOT NULL").select(F.col("unit").alias("id")).distinct(), links.where("NOT border").select("a", "b").unionByName(by_ball))
+    near = links.where("border").join(root.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("near"))
+    out = core.select("id", "unit").join(root.select(F.col("id").alias("unit"), "root"), "unit", "left").join(near, "id", "left")
+    out = saved(out.select("id", F.coalesce("root", "near", F.lit(-1)).alias("cluster")), "clusters")
+    found.forget()
+    for df in (pairs, degree, core, links, root):
+        forget(df)
+    return out
+
+
+def pa_null(column) -> np.ndarray:
+    """Where an Arrow column is null."""
+    return column.is_null().to_numpy(zero_copy_only=False)
 
 
 def cluster_split(clusters: DataFrame, test_ratio: float = 0.2, seed: int = 42) -> DataFrame:

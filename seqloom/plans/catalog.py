@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from seqloom import storage
 from seqloom.functions import sequences as S
 from seqloom.operators import features, integrate, metrics, moments, spatial
 from seqloom.sources import readers, sinks
@@ -382,7 +383,7 @@ def batch_pad_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
 def partition_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Written partitioned by the id's first character, and read back with string partitions."""
     part = _table(spark, sf_dir, "part").select(F.col("p_name").alias("id"), "p_retailprice")
-    path = spatial._folder(spark, "parts")
+    path = storage.folder(spark, "parts")
     schema = StructType([*part.schema.fields, StructField("id_prefix", StringType())])
     sinks.write_partitioned(part, path, schema, key="id", rows_per_task=5_000)
     return readers.read_dataset(spark, path).groupBy(F.col("id_prefix").alias("prefix")).agg(F.count("*").alias("n_rows"), F.round(F.sum("p_retailprice"), 2).alias("price"))
