@@ -174,23 +174,25 @@ def _encoded(texts: DataFrame, paths: tuple[str, str], marks: str) -> DataFrame:
 def groups(encoded: DataFrame) -> DataFrame:
     """(sid, g, a, b): the groups of each text, numbered from 0, with both sides' ids in order. encoded: sid, a, la, b, lb (ids and lengths in bytes).
 
-    Both sides of a text must cover the same bytes; then the last group ends with it.
+    Both sides of a text must cover the same bytes; then the last group ends with it. Everything runs on one partitioning, by text: windows, the
+    equi-join on (sid, end) in either direction, and the join of the sides' groups.
     """
     by_place = Window.partitionBy("sid").orderBy("pos")
+    before = Window.partitionBy("sid").orderBy("end").rowsBetween(Window.unboundedPreceding, -1)
 
     def side(ids: str, lengths: str) -> DataFrame:
-        exploded = encoded.select("sid", F.posexplode(F.arrays_zip(F.col(ids).alias("id"), F.col(lengths).alias("len"))).alias("pos", "t"))
-        return exploded.select("sid", F.sum("t.len").over(by_place).alias("end"), F.col("t.id").alias(f"{ids}_id"))
+        rows = encoded.select("sid", F.arrays_zip(F.col(ids).alias("id"), F.col(lengths).alias("len")).alias("tokens")).repartition("sid")
+        rows = rows.select("sid", F.posexplode("tokens").alias("pos", "t"))
+        return rows.select("sid", F.sum("t.len").over(by_place).alias("end"), F.col("t.id").alias("id"))
 
-    ends = side("a", "la").join(side("b", "lb"), ["sid", "end"], "full")
-    cut = (F.col("a_id").isNotNull() & F.col("b_id").isNotNull()).cast("long")
-    before = Window.partitionBy("sid").orderBy("end").rowsBetween(Window.unboundedPreceding, -1)
-    numbered = ends.withColumn("g", F.coalesce(F.sum(cut).over(before), F.lit(0)))
+    a, b = side("a", "la"), side("b", "lb")
 
-    def listed(c: str):
-        return F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("end", c)))), lambda x: x[c])
+    def listed(own: DataFrame, other: DataFrame, name: str) -> DataFrame:
+        cut = own.join(other.select("sid", "end", F.lit(1).cast("long").alias("cut")), ["sid", "end"], "left")
+        numbered = cut.select("sid", "end", "id", F.coalesce(F.sum("cut").over(before), F.lit(0)).alias("g"))
+        return numbered.groupBy("sid", "g").agg(F.transform(F.array_sort(F.collect_list(F.struct("end", "id"))), lambda x: x["id"]).alias(name))
 
-    return numbered.groupBy("sid", "g").agg(listed("a_id").alias("a"), listed("b_id").alias("b"))
+    return listed(a, b, "a").join(listed(b, a, "b"), ["sid", "g"])
 
 
 def links(grouped: DataFrame) -> DataFrame:
@@ -223,100 +225,144 @@ def _numbers(said: str) -> tuple[int, int, int, int]:
 
 
 class _Known:
-    """The dictionary in a worker: numbers and groups of the frequent pieces (None: a tokenizer doesn't give it back), their pairs when first asked for."""
+    """The dictionary: numbers and groups of the frequent pieces (None: a tokenizer doesn't give it back), and the numbers of their linked pairs, those of piece i in pairs[ends[i]:ends[i + 1]]."""
+
+    def __init__(self, said: list[str | None]):
+        self.said, self.fine = said, np.array([x is not None for x in said], dtype=bool)
+        each = [_pairs(x) if x is not None else np.zeros(0, np.int64) for x in said]
+        self.ends = np.cumsum([0] + [len(x) for x in each])
+        self.codes, self.pairs = np.unique(np.concatenate([np.zeros(0, np.int64), *each]), return_inverse=True)
 
-    def __init__(self, pieces: list[str], said: list[str | None], numbers: np.ndarray | None = None):
-        self.index, self.said, self.numbers = dict(zip(pieces, range(len(pieces)), strict=True)), said, numbers
-        self.pairs: dict[int, np.ndarray] = {}
 
-    def pairs_of(self, i: int) -> np.ndarray:
-        if i not in self.pairs:
-            self.pairs[i] = _pairs(self.said[i])
-        return self.pairs[i]
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... (size[0] numbers), start[1], ..."""
+    return np.repeat(start - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
 
 
-def _unknown(texts: DataFrame, sent, key: str, marks: str) -> DataFrame:
-    """(k1, k2, piece): the different pieces of each text outside the dictionary."""
+def _coded(texts: DataFrame, pieces: list[str], marks: str) -> DataFrame:
+    """(id, codes, rare): each text as numbers of its pieces in the dictionary, or -1 - k for the k-th of its rare ones. Null and empty texts have none."""
+    sent, key = texts.sparkSession.sparkContext.broadcast(pieces), uuid.uuid4().hex
 
-    def find(batches):
-        index = _kept(("known", key), lambda: _Known(*sent.value)).index
+    def code(batches):
+        index = _kept(("index", key), lambda: dict(zip(sent.value, range(len(sent.value)), strict=True)))
         for batch in batches:
             for part, some in _slices(batch):
-                at, found = [], []
-                for i, t in enumerate(some):
-                    if t:
-                        new = [p for p in set(pieces_of(t, marks)) if p not in index]
-                        found += new
-                        at += [i] * len(new)
-                take = pa.array(at, pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column("k1").take(take), part.column("k2").take(take), pa.array(found, pa.string())], ["k1", "k2", "piece"])
+                codes, rare = [], []
+                for t in some:
+                    own: dict[str, int] = {}
+                    said = pieces_of(t, marks) if t else []
+                    at = list(map(index.get, said))
+                    if None in at:
+                        at = [own.setdefault(p, -1 - len(own)) if i is None else i for p, i in zip(said, at, strict=True)]
+                    codes.append(np.array(at, dtype=np.int32))
+                    rare.append(list(own))
+                ends = np.cumsum([0] + [len(c) for c in codes])
+                values = pa.array(np.concatenate([np.zeros(0, np.int32), *codes]))
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values), pa.array(rare, pa.list_(pa.string()))], ["id", "codes", "rare"])
+
+    return texts.select("id", "text").mapInArrow(code, "id long, codes array<int>, rare array<string>")
+
+
+def _flat(part) -> tuple[np.ndarray, np.ndarray, list]:
+    """Codes of a batch's texts, one behind the other, where each text's end, and the groups of their rare pieces by place (None: there are none)."""
+    codes = part.column("codes")
+    ends = codes.offsets.to_numpy().astype(np.int64)
+    return codes.flatten().to_numpy(zero_copy_only=False).astype(np.int64), ends - ends[0], part.column("rare").to_pylist()
+
 
-    return texts.select("k1", "k2", "text").mapInArrow(find, "k1 long, k2 long, piece string").distinct()
+def _batches(batches, rows: int = 500):
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
 
 
-def _pair_counts(work: DataFrame, sent, key: str, marks: str) -> DataFrame:
+def _whole(codes: np.ndarray, ends: np.ndarray, rare: list, known: _Known) -> np.ndarray:
+    """Which texts both tokenizers give back, and have tokens."""
+    bad = np.zeros(len(codes) + 1, dtype=np.int64)
+    np.cumsum((codes >= 0) & ~known.fine[np.maximum(codes, 0)] if len(known.fine) else np.zeros(len(codes), bool), out=bad[1:])
+    return (ends[1:] > ends[:-1]) & (bad[ends[1:]] == bad[ends[:-1]]) & np.array([all(x["groups"] is not None for x in r or ()) for r in rare], dtype=bool)
+
+
+def _pair_counts(work: DataFrame, sent) -> DataFrame:
     """(code, n): in how many texts each pair of ids is linked."""
 
     def gather(batches):
-        known = _kept(("known", key), lambda: _Known(*sent.value))
-        held, size = [], 0
+        known = sent.value
+        count = np.zeros(len(known.codes), dtype=np.int64)
+        others = Counter()
 
         def flush():
-            codes, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-            return pa.RecordBatch.from_arrays([pa.array(codes), pa.array(n.astype(np.int64))], ["code", "n"])
-
-        for batch in batches:
-            for part, some in _slices(batch):
-                for t, rare in zip(some, part.column("rare").to_pylist(), strict=True):
-                    if not t:
-                        continue
-                    of = {r["piece"]: r["groups"] for r in rare or ()}
-                    at = [known.index.get(p, p) for p in set(pieces_of(t, marks))]
-                    if any((known.said[i] if type(i) is int else of[i]) is None for i in at):
-                        continue
-                    held.append(np.unique(np.concatenate([known.pairs_of(i) if type(i) is int else _pairs(of[i]) for i in at])))
-                    size += len(held[-1])
-                    if size >= GATHERED:
-                        yield flush()
-                        held, size = [], 0
+            return pa.RecordBatch.from_arrays([pa.array(others.keys(), pa.int64()), pa.array(others.values(), pa.int64())], ["code", "n"])
+
+        for part in _batches(batches):
+            codes, ends, rare = _flat(part)
+            fine = _whole(codes, ends, rare, known)
+            text = np.repeat(np.arange(len(fine)), np.diff(ends))
+            take = fine[text] & (codes >= 0)
+            wide = max(1, len(known.fine))
+            both = np.unique(text[take] * wide + codes[take])
+            text, piece = both // wide, both % wide
+            size = known.ends[piece + 1] - known.ends[piece]
+            pairs = [np.repeat(text, size) * len(known.codes) + known.pairs[_ranges(known.ends[piece], size)]] if len(piece) else []
+            for i in np.flatnonzero(fine).tolist():
+                if rare[i]:
+                    own = np.unique(np.concatenate([_pairs(x["groups"]) for x in rare[i]]))
+                    at = np.minimum(np.searchsorted(known.codes, own), max(0, len(known.codes) - 1))
+                    there = known.codes[at] == own if len(known.codes) else np.zeros(len(own), bool)
+                    pairs.append(i * len(known.codes) + at[there])
+                    others.update(own[~there].tolist())
+            if pairs:
+                count += np.bincount(np.unique(np.concatenate(pairs)) % max(1, len(known.codes)), minlength=len(known.codes))[: len(known.codes)]
+            if len(others) >= GATHERED:
+                yield flush()
+                others = Counter()
         yield flush()
+        there = np.flatnonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(known.codes[there]), pa.array(count[there])], ["code", "n"])
 
-    return work.select("text", "rare").mapInArrow(gather, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    return work.select("codes", "rare").mapInArrow(gather, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
-def _assembled(work: DataFrame, sent, key: str, marks: str, keep_groups: bool) -> DataFrame:
-    """(id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256, groups, rare): each text's numbers; n_best and count_sum without the pieces of rare (sid and times)."""
+def _assembled(work: DataFrame, sent, keep_groups: bool) -> DataFrame:
+    """(row, id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256, groups, rare): each text's numbers; n_best and count_sum without the pieces of rare (sid and times)."""
     names = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
     rare_kind = pa.list_(pa.struct([("sid", pa.int64()), ("times", pa.int64())]))
 
     def gather(batches):
-        known = _kept(("known", key), lambda: _Known(*sent.value))
-        for batch in batches:
-            for part, some in _slices(batch):
-                total, sha, said, others = np.zeros((len(some), 6), dtype=np.int64), [], [], []
-                for row, (t, rare) in enumerate(zip(some, part.column("rare").to_pylist(), strict=True)):
-                    of = {r["piece"]: r for r in rare or ()}
-                    at = [known.index.get(p, p) for p in pieces_of(t, marks)] if t else []
-                    texts = [known.said[i] if type(i) is int else of[i]["groups"] for i in at]
-                    if not t or None in texts:
-                        sha.append("")
-                        said.append("" if keep_groups else None)
-                        others.append([])
-                        continue
-                    numbers = [i for i in at if type(i) is int]
-                    total[row] = known.numbers[numbers].sum(axis=0) if numbers else 0
-                    times = Counter(i for i in at if type(i) is str)
-                    for p, n in times.items():
-                        total[row, :4] += n * np.array(_numbers(of[p]["groups"]), dtype=np.int64)
-                    joined = ";".join(texts)
-                    sha.append(hashlib.sha256(joined.encode()).hexdigest())
-                    said.append(joined if keep_groups else None)
-                    others.append([{"sid": of[p]["sid"], "times": n} for p, n in times.items()])
-                columns = [part.column("id"), *[pa.array(total[:, i]) for i in range(6)], pa.array(sha, pa.string()), pa.array(said, pa.string()), pa.array(others, rare_kind)]
-                yield pa.RecordBatch.from_arrays(columns, ["id", *names, "groups_sha256", "groups", "rare"])
-
-    schema = ", ".join(f"{n} long" for n in ("id", *names)) + ", groups_sha256 string, groups string, rare array<struct<sid:long,times:long>>"
-    return work.select("id", "text", "rare").mapInArrow(gather, schema)
+        known, numbers = sent.value
+        for part in _batches(batches):
+            codes, ends, rare = _flat(part)
+            fine = _whole(codes, ends, rare, known)
+            own = np.zeros((len(codes) + 1, 6), dtype=np.int64)
+            frequent = codes >= 0
+            if len(numbers):
+                np.cumsum(np.where(frequent[:, None], numbers[np.maximum(codes, 0)], 0), axis=0, out=own[1:])
+            total = np.where(fine[:, None], own[ends[1:]] - own[ends[:-1]], 0)
+            sha, said, others = [], [], []
+            for i in range(len(fine)):
+                if not fine[i]:
+                    sha.append("")
+                    said.append("" if keep_groups else None)
+                    others.append([])
+                    continue
+                at = codes[ends[i] : ends[i + 1]]
+                if rare[i]:
+                    of = {-1 - r["pos"]: r for r in rare[i]}
+                    joined = ";".join([known.said[c] if c >= 0 else of[c]["groups"] for c in at.tolist()])
+                    times = list(zip(*(x.tolist() for x in np.unique(at[at < 0], return_counts=True)), strict=True))
+                    for c, n in times:
+                        total[i, :4] += n * np.array(_numbers(of[c]["groups"]), dtype=np.int64)
+                    others.append([{"sid": of[c]["sid"], "times": n} for c, n in times])
+                else:
+                    joined = ";".join(map(known.said.__getitem__, at.tolist()))
+                    others.append([])
+                sha.append(hashlib.sha256(joined.encode()).hexdigest())
+                said.append(joined if keep_groups else None)
+            columns = [part.column("row"), part.column("id"), *[pa.array(np.ascontiguousarray(total[:, i])) for i in range(6)], pa.array(sha, pa.string()), pa.array(said, pa.string()), pa.array(others, rare_kind)]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "id", *names, "groups_sha256", "groups", "rare"])
+
+    schema = ", ".join(f"{n} long" for n in ("row", "id", *names)) + ", groups_sha256 string, groups string, rare array<struct<sid:long,times:long>>"
+    return work.mapInArrow(gather, schema)
 
 
 def aligned(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text", keep_groups: bool = True, dictionary: int = DICTIONARY) -> DataFrame:
@@ -334,9 +380,7 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", t
     ship(docs.sparkSession)
     context = docs.sparkSession.sparkContext
     marks = Tokenizers(a_path, b_path).marks
-    text = column(text_col)
-    # A text's key is made of its content, so that it is the same whenever Spark reads the table again.
-    texts = docs.select(column(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(17), text).alias("k2"))
+    texts = docs.select(column(id_col).cast("long").alias("id"), column(text_col).alias("text"))
 
     encoded = _encoded(texts.select("text"), (a_path, b_path), marks)
     grouped = saved(groups(encoded.where("ok").select("sid", "a", "la", "b", "lb")), "groups", "zstd")
@@ -346,16 +390,18 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", t
     forget(grouped)
 
     numbers = ("n_a", "n_b", "n_groups", "n_links")
-    chosen = most_counted(written.where(F.length("piece") <= LONGEST), "n", dictionary).select("sid", "piece", "groups", *numbers).toArrow().sort_by("sid")
-    of = chosen["piece"].to_pylist()
-    key = uuid.uuid4().hex
-    sent = context.broadcast((of, chosen["groups"].to_pylist()))
-    rare = _unknown(texts, sent, key, marks).join(written.select("piece", "sid", "groups"), "piece")
-    rare = rare.groupBy("k1", "k2").agg(F.collect_list(F.struct("piece", "sid", "groups")).alias("rare"))
-    work = saved(texts.join(rare, ["k1", "k2"], "left").select("id", "text", "rare"), "work", "zstd")
+    chosen = most_counted(written.where(F.length("piece") <= LONGEST), "n", dictionary).select("sid", "n", "piece", "groups", *numbers).toArrow()
+    chosen = chosen.sort_by([("n", "descending"), ("piece", "ascending")])
+    known = _Known(chosen["groups"].to_pylist())
+    sent = context.broadcast(known)
+    coded = saved(_coded(texts, chosen["piece"].to_pylist(), marks).select(F.monotonically_increasing_id().alias("row"), "*"), "coded", "zstd")
+    rare = coded.select("row", F.posexplode("rare").alias("pos", "piece")).join(written.select("piece", "sid", "groups"), "piece")
+    rare = rare.groupBy("row").agg(F.collect_list(F.struct("pos", "sid", "groups")).alias("rare"))
+    work = saved(coded.drop("rare").join(rare, "row", "left"), "work", "zstd")
+    forget(coded)
     forget(written)
 
-    counts = saved(_pair_counts(work, sent, key, marks).withColumn("a", F.shiftright("code", 32)), "pairs", "zstd")
+    counts = saved(_pair_counts(work, sent).withColumn("a", F.shiftright("code", 32)), "pairs", "zstd")
     top = counts.groupBy("a").agg(F.max("n").alias("top"))  # a row an entry of A's vocabulary
     pairs = counts.join(sized(top), "a").select("code", "n", (F.col("n") == F.col("top")).alias("best"))
     linked_code = linked.select("sid", F.shiftleft(F.col("a").cast("long"), 32).bitwiseOR(F.col("b").cast("long")).alias("code"), F.col("n").alias("times"))
@@ -364,19 +410,16 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", t
     forget(counts)
     forget(linked)
 
-    sids = chosen["sid"].to_numpy()
-    frequent = docs.sparkSession.createDataFrame(chosen.select(["sid"])) if len(sids) else None
-    got = sums.join(sized(frequent, dictionary), "sid").toArrow().sort_by("sid") if len(sids) else None
-    table_ = np.zeros((len(sids), 6), dtype=np.int64)
-    for i, c in enumerate(numbers):
-        table_[:, i] = chosen[c].fill_null(0).to_numpy() if len(sids) else 0
-    if got is not None and got.num_rows:
-        table_[np.searchsorted(sids, got["sid"].to_numpy()), 4:] = np.stack((got["n_best"].to_numpy(), got["count_sum"].to_numpy()), axis=1)
-    sent.destroy()
-    key = uuid.uuid4().hex
-    sent = context.broadcast((of, chosen["groups"].to_pylist(), table_))
-    out = _assembled(work, sent, key, marks, keep_groups).select(F.monotonically_increasing_id().alias("row"), "*")
-    out = saved(out, "aligned", "zstd")
+    of = np.zeros((chosen.num_rows, 6), dtype=np.int64)
+    if chosen.num_rows:
+        for i, c in enumerate(numbers):
+            of[:, i] = chosen[c].fill_null(0).to_numpy()
+        got = sums.join(sized(docs.sparkSession.createDataFrame(chosen.select(["sid"])), dictionary), "sid").toArrow()
+        sids = chosen["sid"].to_numpy()
+        order = np.argsort(sids)
+        of[order[np.searchsorted(sids, got["sid"].to_numpy(), sorter=order)], 4:] = np.stack((got["n_best"].to_numpy(), got["count_sum"].to_numpy()), axis=1)
+    sent = context.broadcast((known, of))
+    out = saved(_assembled(work, sent, keep_groups), "aligned", "zstd")
     forget(work)
     more = out.select("row", F.explode("rare").alias("r")).join(sums, F.col("r.sid") == F.col("sid"))
     more = more.groupBy("row").agg(F.sum(F.col("r.times") * F.col("n_best")).alias("more_best"), F.sum(F.col("r.times") * F.col("count_sum")).alias("more_sum"))
