@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import argparse
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.operators import features, integrate, metrics, spatial, structures, training
+from seqloom.operators import descent, features, integrate, metrics, spatial, structures, training
 from seqloom.sources import readers, sinks
 from seqloom.storage import saved
 
@@ -53,26 +54,45 @@ def split(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def train(spark: SparkSession, a: argparse.Namespace) -> str:
-    """Fits, writes the best checkpoint and returns its path. With --model, that checkpoint's settings and statistics are taken up again."""
+    """Fits, writes checkpoints and returns the path of the best one.
+
+    --kind network: the network, each epoch a checkpoint; with --model the run of that checkpoint goes on from its epoch, to the epochs of --config if given.
+    --kind pooled: a logistic regression on pooled vectors; with --model that checkpoint's settings and statistics are taken up again.
+    """
+    if not (a.model or a.stats):
+        raise ValueError("train needs --stats or --model")
+    tables: list[DataFrame] = [readers.read_dataset(spark, p) for p in (a.train, a.val)]
+    given = readers.load_config(a.config) if a.config else None
+    if a.kind == "network":
+        if a.model:
+            run = descent.load(spark, a.model)
+            run = replace(run, config=replace(run.config, epochs=given.epochs)) if given else run
+        else:
+            run = descent.start(given or readers.Config(), readers.read_stats(spark, a.stats), a.seed)
+        best = descent.fit(*tables, run, a.output, a.patience or None)
+        return descent.path_of(a.output, best)
+    if a.kind != "pooled":
+        raise ValueError("kind is network or pooled")
     if a.model:
         old = training.load(spark, a.model)
         stats, config = old.stats, old.config
-    elif a.stats:
-        stats, config = readers.read_stats(spark, a.stats), readers.load_config(a.config) if a.config else readers.Config()
     else:
-        raise ValueError("train needs --stats or --model")
-    tables: list[DataFrame] = [readers.read_dataset(spark, p) for p in (a.train, a.val)]
+        stats, config = readers.read_stats(spark, a.stats), given or readers.Config()
     model, history = training.train(*tables, stats, config)
     best = min(history, key=lambda h: (h["val_loss"], h["epoch"]))
     return training.save(training.Checkpoint(model, stats, config), a.output, best["epoch"], best["step"])
 
 
 def evaluate(spark: SparkSession, a: argparse.Namespace) -> None:
-    sinks.write_report(training.evaluate(readers.read_dataset(spark, a.test), training.load(spark, a.model)), a.results)
+    table = readers.read_dataset(spark, a.test)
+    scores = descent.evaluate(table, descent.load(spark, a.model)) if descent.is_run(spark, a.model) else training.evaluate(table, training.load(spark, a.model))
+    sinks.write_report(scores, a.results)
 
 
 def predict(spark: SparkSession, a: argparse.Namespace) -> None:
-    sinks.write_predictions(training.predict(readers.read_dataset(spark, a.input), training.load(spark, a.model)), a.results)
+    table = readers.read_dataset(spark, a.input)
+    scores = descent.scores(table, descent.load(spark, a.model)) if descent.is_run(spark, a.model) else training.predict(table, training.load(spark, a.model))
+    sinks.write_predictions(scores, a.results)
 
 
 #: command: (function, required flags, optional flags with their defaults)
@@ -82,7 +102,7 @@ COMMANDS = {
     "extract": (extract, ("folder", "fasta", "output"), {"suffix": ".pdb.gz"}),
     "stats": (calculate_stats, ("input", "output"), {}),
     "split": (split, ("input", "train", "test"), {"embeddings": "", "max_len": 1022, "eps": 0.01, "min_samples": 10, "test_ratio": 0.2, "seed": 42}),
-    "train": (train, ("train", "val", "output"), {"stats": "", "config": "", "model": ""}),
+    "train": (train, ("train", "val", "output"), {"stats": "", "config": "", "model": "", "kind": "network", "seed": 0, "patience": 0}),
     "evaluate": (evaluate, ("test", "model", "results"), {}),
     "predict": (predict, ("input", "model", "results"), {}),
 }

@@ -1,14 +1,11 @@
-"""Losses, evaluation metrics and the network's forward pass."""
+"""Losses and evaluation metrics."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqloom.operators.network import Network, predict  # noqa: F401
 
 #: Ranges of scores that are ranked apart.
 RANGES = 1_024
@@ -63,65 +60,6 @@ def best_so_far(history: DataFrame, epoch: str = "epoch", loss: str = "val_loss"
     return out.withColumn("waited", F.col(epoch) - set_at)
 
 
-@dataclass
-class Network:
-    """Weights of the sequence network: embedding, convolutions and protein layers, each with weights, bias, and the scale and shift of its normalisation, and the head's dense layers."""
-
-    embedding: np.ndarray
-    convolutions: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
-    protein: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
-    head: list[tuple[np.ndarray, np.ndarray]]
-
-    @classmethod
-    def random(cls, seed: int = 0, embed: int = 64, filters: int = 64, kernels: tuple[int, ...] = (3, 5, 7), protein: int = 32) -> Network:
-        r = np.random.default_rng(seed)
-        w = lambda *shape: r.standard_normal(shape) / np.sqrt(np.prod(shape[:-1]))
-        layer = lambda *shape: (w(*shape), np.zeros(shape[-1]), np.ones(shape[-1]), np.zeros(shape[-1]))
-        convolutions = [layer(k, embed + 14, filters) for k in kernels]
-        wide = filters * len(kernels) + protein
-        return cls(w(22, embed), convolutions, [layer(13, 64), layer(64, protein)], [(w(wide, 128), np.zeros(128)), (w(128, 1), np.zeros(1))])
-
-    def parameters(self) -> int:
-        arrays = [self.embedding, *[a for c in self.convolutions for a in c], *[a for layer in self.protein + self.head for a in layer]]
-        return sum(a.size for a in arrays)
-
-    def logit(self, tokens: np.ndarray, residues: np.ndarray, protein: np.ndarray) -> float:
-        """One row, alone: sequences shorter than the widest kernel are padded, others aren't."""
-        least = max(c[0].shape[0] for c in self.convolutions)
-        short = max(0, least - len(tokens))
-        x = np.hstack([self.embedding[np.pad(tokens, (0, short))], np.pad(residues, ((0, short), (0, 0)))])
-        pooled = []
-        for k, bias, scale, shift in self.convolutions:
-            windows = np.lib.stride_tricks.sliding_window_view(x, k.shape[0], axis=0)
-            pooled.append((np.maximum(np.einsum("nck,kcf->nf", windows, k) + bias, 0) * scale + shift).max(axis=0))
-        h = protein
-        for w, b, scale, shift in self.protein:
-            h = np.maximum(h @ w + b, 0) * scale + shift
-        h = np.concatenate([*pooled, h])
-        (w1, b1), (w2, b2) = self.head
-        return float((np.maximum(h @ w1 + b1, 0) @ w2 + b2)[0])
-
-
-def predict(features: DataFrame, network: Network) -> DataFrame:
-    """(uniprot_id, logit, probability) of featurised rows; every row is scored alone, so batches don't matter."""
-    sent = features.sparkSession.sparkContext.broadcast(network)
-
-    def scan(batches):
-        net = sent.value
-        for b in batches:
-            z = np.array([net.logit(np.asarray(t), np.stack(r).astype(float), np.asarray(p, dtype=float)) for t, r, p in zip(b["sequence"], b["residue_features"], b["protein_features"], strict=True)], dtype=float)
-            yield pd.DataFrame({"uniprot_id": b["uniprot_id"], "logit": z, "probability": 1 / (1 + np.exp(-z))})
-
-    return features.mapInPandas(scan, "uniprot_id string, logit double, probability double")
-
-
-def train_substitute(vectors: DataFrame, features: str = "features", label: str = "label"):
-    """A logistic regression of Spark ML on pooled vectors: stands in for the network's training, which needs another library."""
-    from pyspark.ml.classification import LogisticRegression
-
-    return LogisticRegression(featuresCol=features, labelCol=label, maxIter=50).fit(vectors)
-
-
 def embed(sequences: DataFrame, width: int = 64, k: int = 3) -> DataFrame:
     """(uniprot_id, embedding): signed counts of hashed k-letter pieces, divided by their number; the default where no encoder's vectors are at hand."""
     seq = F.col("sequence")

@@ -1,8 +1,4 @@
-"""Training, checkpoints, and scoring with what they hold.
-
-A logistic regression of Spark ML on pooled vectors stands in for the network's training, which needs a library that
-isn't at hand. Its optimiser has no gradients to clip; the choice of the best model by validation loss is kept.
-"""
+"""A small model beside the network: a logistic regression of Spark ML on pooled vectors, chosen by validation loss, with its checkpoints."""
 
 from __future__ import annotations
 

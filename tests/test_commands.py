@@ -68,7 +68,7 @@ def test_train_save_load_evaluate_predict(spark, tmp_path):
     cli.main(["stats", "--input", at["train"], "--output", at["stats"]], spark)
     config = tmp_path / "config.yaml"
     config.write_text("epochs: 2\nbatch_size: 16\n")
-    path = cli.main(["train", "--train", at["train"], "--val", at["val"], "--output", at["out"], "--stats", at["stats"], "--config", str(config)], spark)
+    path = cli.main(["train", "--train", at["train"], "--val", at["val"], "--output", at["out"], "--stats", at["stats"], "--config", str(config), "--kind", "pooled"], spark)
     assert path.startswith(at["out"])
     assert path.endswith(("epoch=0-step=3.ckpt", "epoch=1-step=6.ckpt"))
     held = training.load(spark, path)
@@ -83,7 +83,7 @@ def test_train_save_load_evaluate_predict(spark, tmp_path):
     want = {r["uniprot_id"]: f"{r['probability']:.6f}" for r in training.predict(table, held).collect()}
     assert len(lines) == 40
     assert dict(lines) == want
-    again = cli.main(["train", "--train", at["train"], "--val", at["val"], "--output", at["out"], "--model", path], spark)
+    again = cli.main(["train", "--train", at["train"], "--val", at["val"], "--output", at["out"], "--model", path, "--kind", "pooled"], spark)
     assert again == path
     assert training.load(spark, again).model.coefficients == held.model.coefficients
 
