@@ -8,7 +8,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqloom.operators import descent, features, integrate, metrics, spatial, structures, training
+from seqloom.operators import descent, encoding, features, integrate, metrics, spatial, structures, training
 from seqloom.sources import readers, sinks
 from seqloom.storage import saved
 
@@ -43,8 +43,17 @@ def split(spark: SparkSession, a: argparse.Namespace) -> None:
     if min(a.max_len, a.min_samples) < 1 or a.eps <= 0:
         raise ValueError("max-len, eps and min-samples must be positive")
     table = readers.read_dataset(spark, a.input)
-    cut = table.select("uniprot_id", F.substring("sequence", 1, a.max_len).alias("sequence"))
-    vectors = saved(readers.numbered(metrics.embed(cut), ["uniprot_id"], "vec_id"), "vectors")
+    if a.encoder:
+        made = saved(encoding.encode(table, encoding.find(a.encoder), longest=a.max_len), "encoded")
+        failed = made.where("error IS NOT NULL").select("uniprot_id", "error")
+        if a.errors:
+            failed.write.mode("overwrite").json(a.errors)
+        elif not failed.isEmpty():
+            raise ValueError(f"the encoder failed: {failed.first()['error']}; with --errors the other sequences are split")
+        made = made.where("error IS NULL").select("uniprot_id", "embedding")
+    else:
+        made = metrics.embed(table.select("uniprot_id", F.substring("sequence", 1, a.max_len).alias("sequence")))
+    vectors = saved(readers.numbered(made, ["uniprot_id"], "vec_id"), "vectors")
     if a.embeddings:
         sinks.write_embeddings(vectors, a.embeddings)
     sides = spatial.cluster_split(spatial.dbscan(vectors, a.eps, a.min_samples), a.test_ratio, a.seed)
@@ -101,7 +110,7 @@ COMMANDS = {
     "check": (check, ("input",), {"rows": 5}),
     "extract": (extract, ("folder", "fasta", "output"), {"suffix": ".pdb.gz"}),
     "stats": (calculate_stats, ("input", "output"), {}),
-    "split": (split, ("input", "train", "test"), {"embeddings": "", "max_len": 1022, "eps": 0.01, "min_samples": 10, "test_ratio": 0.2, "seed": 42}),
+    "split": (split, ("input", "train", "test"), {"encoder": "", "errors": "", "embeddings": "", "max_len": 1022, "eps": 0.01, "min_samples": 10, "test_ratio": 0.2, "seed": 42}),
     "train": (train, ("train", "val", "output"), {"stats": "", "config": "", "model": "", "kind": "network", "seed": 0, "patience": 0}),
     "evaluate": (evaluate, ("test", "model", "results"), {}),
     "predict": (predict, ("input", "model", "results"), {}),

@@ -6,10 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.operators.network import Network, predict  # noqa: F401
-
-#: Ranges of scores that are ranked apart.
-RANGES = 1_024
-
+from seqloom.storage import saved
 
 def sigmoid(z: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
@@ -27,17 +24,17 @@ def bce(z: Column, y: Column) -> Column:
 def auc(df: DataFrame, score: str, label: str) -> DataFrame:
     """One row (auc, positives, negatives): exact area under the ROC curve by mid-ranks; NULL if a class is missing.
 
-    Scores are counted first, so ranks run over different scores only.
+    Scores are counted first, so ranks run over different scores only. These are ranked within ranges of about as many scores each, whose
+    bounds Spark takes from a bounded sample, so that near scores don't meet in one task. Infinite scores rank first and last; rows of a NULL or NaN
+    score or a NULL label are left out.
     """
-    per = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.count("*").alias("n"), F.sum(F.when(F.col(label) > 0, 1).otherwise(0)).alias("p"))
-    # Ranks run within ranges of scores; the ranges' totals, RANGES rows, are added up before.
-    bounds = per.agg(F.min("s").alias("low"), F.max("s").alias("high"))
-    part = F.when(F.col("high") > F.col("low"), F.floor((F.col("s") - F.col("low")) / (F.col("high") - F.col("low")) * RANGES)).otherwise(0)
-    per = per.crossJoin(F.broadcast(bounds)).select("s", "n", "p", part.alias("part"))
+    s, y = F.col(score).cast("double"), F.col(label)
+    per = df.where(s.isNotNull() & ~F.isnan(s) & y.isNotNull()).groupBy(s.alias("s")).agg(F.count("*").alias("n"), F.sum(F.when(y > 0, 1).otherwise(0)).alias("p"))
+    per = saved(per.repartitionByRange("s").withColumn("part", F.spark_partition_id()), "scores")
     earlier = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parts = per.groupBy("part").agg(F.sum("n").alias("n")).select("part", earlier(Window.orderBy("part")).alias("first"))
-    per = per.select("part", "n", "p", earlier(Window.partitionBy("part").orderBy("s")).alias("within")).join(F.broadcast(parts), "part")
-    ranked = per.select("n", "p", (F.col("first") + F.col("within") + (F.col("n") + 1) / 2).alias("mid"))
+    parts = per.groupBy("part").agg(F.sum("n").alias("n")).select("part", earlier(Window.orderBy("part")).alias("first"))  # a row a range
+    ranked = per.select("part", "n", "p", earlier(Window.partitionBy("part").orderBy("s")).alias("within")).join(F.broadcast(parts), "part")
+    ranked = ranked.select("n", "p", (F.col("first") + F.col("within") + (F.col("n") + 1) / 2).alias("mid"))
     totals = ranked.agg(F.sum(F.col("mid") * F.col("p")).alias("r"), F.sum("p").alias("positives"), (F.sum("n") - F.sum("p")).alias("negatives"))
     value = (F.col("r") - F.col("positives") * (F.col("positives") + 1) / 2) / (F.col("positives") * F.col("negatives"))
     return totals.select(F.when((F.col("positives") > 0) & (F.col("negatives") > 0), value).alias("auc"), "positives", "negatives")

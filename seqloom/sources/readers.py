@@ -178,13 +178,9 @@ def read_keyed_json(spark: SparkSession, path: str, schema: StructType = schemas
 
 
 def read_dataset(spark: SparkSession, path: str, columns: list[str] | None = None, uniprot_id: str | None = None) -> DataFrame:
-    """A Parquet dataset, with the named columns that it has. An id also prunes the partitions of its prefix."""
-    inferred = spark.conf.get("spark.sql.sources.partitionColumnTypeInference.enabled")
-    spark.conf.set("spark.sql.sources.partitionColumnTypeInference.enabled", "false")
-    try:
-        df = spark.read.parquet(path)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionColumnTypeInference.enabled", inferred)
+    """A Parquet dataset, with the named columns that it has; prefixes that it is partitioned by are strings. An id also prunes the partitions of its prefix."""
+    found = spark.read.parquet(path).schema
+    df = spark.read.schema(StructType([StructField(f.name, StringType()) if f.name.endswith("_prefix") else f for f in found])).parquet(path)
     if uniprot_id is not None:
         df = df.where(F.col("uniprot_id") == uniprot_id)
         if "uniprot_id_prefix" in df.columns:
@@ -193,19 +189,63 @@ def read_dataset(spark: SparkSession, path: str, columns: list[str] | None = Non
 
 
 def file_counts(spark: SparkSession, path: str) -> DataFrame:
-    """(file, rows, before): rows of each data file and of all files earlier by path. Unreadable files count 0."""
+    """(file, rows, before): rows of each data file, from its footer, and of all files earlier by path. Unreadable files count 0."""
     df = spark.read.option("ignoreCorruptFiles", "true").parquet(path)
     per = df.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("rows"))
-    w = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    w = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # a row a file
     return per.withColumn("before", F.coalesce(F.sum("rows").over(w), F.lit(0)))
 
 
 def global_index(spark: SparkSession, path: str) -> DataFrame:
-    """The dataset with a column global_index, counted over files by path and rows in file order, without a global sort."""
-    df = spark.read.parquet(path)
-    df = df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
-    starts = file_counts(spark, path).select(F.col("file").alias("__file"), "before")
-    return df.join(F.broadcast(starts), "__file").withColumn("global_index", F.col("before") + F.col("__row")).drop("__file", "__row", "before")
+    """The dataset with a column global_index, counted over files by path and rows in file order, without a global sort. Unreadable files have no rows."""
+    df = spark.read.option("ignoreCorruptFiles", "true").parquet(path)
+    file, row, before, name = (free_name(df, n) for n in ("__file", "__row", "__before", "global_index"))
+    df = df.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(row))
+    starts = file_counts(spark, path).select(F.col("file").alias(file), F.col("before").alias(before))
+    return df.join(F.broadcast(starts), file).withColumn(name, F.col(before) + F.col(row)).drop(file, row, before)
+
+
+#: Files up to which only those that hold wanted rows are listed for a look-up; beyond them all are scanned.
+LOOKUP_FILES = 10_000
+
+
+def places(counts: DataFrame, wanted: DataFrame, index: str = "global_index") -> DataFrame:
+    """(index, file, row): where each different number of wanted is, by file_counts; numbers out of range give no rows.
+
+    Numbers and files meet in ranges as long as a file is on average, so that each is compared with few.
+    """
+    total, files = counts.agg(F.sum("rows"), F.count("*")).first()
+    size = max(1, (total or 0) // max(1, files))
+    spans = counts.where("rows > 0").withColumn("end", F.col("before") + F.col("rows"))
+    spans = spans.withColumn("range", F.explode(F.sequence(F.floor(F.col("before") / size).cast("long"), F.floor((F.col("end") - 1) / size).cast("long"))))
+    numbers = wanted.select(F.col(index).cast("long").alias("number")).where("number >= 0").distinct().withColumn("range", F.floor(F.col("number") / size).cast("long"))
+    found = numbers.join(spans, "range").where("number >= before AND number < end")
+    return found.select(F.col("number").alias(index), "file", (F.col("number") - F.col("before")).alias("row"))
+
+
+def rows_at(spark: SparkSession, path: str, wanted: DataFrame, index: str = "global_index", missing: str = "raise") -> DataFrame:
+    """The dataset's rows at the numbers of wanted (by global_index), with that column; only files that hold one are read.
+
+    A number that is wanted several times gives its row as often. Null, negative or too large numbers raise an IndexError, or
+    (missing="skip") give no rows. Unreadable files have no rows.
+    """
+    if missing not in ("raise", "skip"):
+        raise ValueError("missing is raise or skip")
+    counts = saved(file_counts(spark, path), "counts")
+    at = saved(places(counts, wanted, index), "places")
+    if missing == "raise":
+        lost = wanted.select(F.col(index).cast("long").alias(index)).join(at, index, "left_anti").head(1)
+        if lost:
+            raise IndexError(f"no row has the number {lost[0][0]}")
+    reader = spark.read.option("ignoreCorruptFiles", "true")
+    held = [r["file"] for r in at.select("file").distinct().limit(LOOKUP_FILES + 1).collect()]
+    df = reader.parquet(path)
+    if len(held) <= LOOKUP_FILES:
+        df = df.where(F.col("_metadata.file_path").isin(held))
+    file, row, number = (free_name(df, n) for n in ("__file", "__row", index))
+    df = df.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(row))
+    asked = wanted.select(F.col(index).cast("long").alias(index)).join(at, index).select(F.col("file").alias(file), F.col("row").alias(row), F.col(index).alias(number))
+    return df.join(F.broadcast(asked) if is_small(asked) else asked, [file, row]).drop(file, row)
 
 
 def numbered(df: DataFrame, key: list[str], name: str = "global_index") -> DataFrame:
@@ -248,6 +288,17 @@ def object_store_options(endpoint: str, key: str, secret: str) -> dict[str, str]
     return {"fs.s3a.endpoint": endpoint, "fs.s3a.access.key": key, "fs.s3a.secret.key": secret, "fs.s3a.path.style.access": "true"}
 
 
+def check_store(spark: SparkSession, path: str) -> None:
+    """Raises a ConnectionError unless Spark reaches the store and folder of path."""
+    from py4j.protocol import Py4JJavaError
+
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    try:
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where)
+    except Py4JJavaError as e:
+        raise ConnectionError(f"{path}: {e.java_exception.toString()}") from None
+
+
 @dataclass
 class Config:
     """Hyper-parameters with their defaults; unknown keys in a file raise."""
