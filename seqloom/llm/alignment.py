@@ -171,34 +171,45 @@ def _encoded(texts: DataFrame, paths: tuple[str, str], marks: str) -> DataFrame:
     return saved(out.select(F.monotonically_increasing_id().alias("sid"), "*"), "pieces", "zstd")
 
 
+#: Links of a group that is joined within its row; larger groups count equal ids before their sides are joined.
+SMALL_GROUP = 1_024
+
+
 def groups(encoded: DataFrame) -> DataFrame:
     """(sid, g, a, b): the groups of each text, numbered from 0, with both sides' ids in order. encoded: sid, a, la, b, lb (ids and lengths in bytes).
 
-    Both sides of a text must cover the same bytes; then the last group ends with it. Everything runs on one partitioning, by text: windows, the
-    equi-join on (sid, end) in either direction, and the join of the sides' groups.
+    Both sides of a text must cover the same bytes; then the last group ends with it. Rows are partitioned by text before they are exploded, for windows and join alike.
     """
     by_place = Window.partitionBy("sid").orderBy("pos")
-    before = Window.partitionBy("sid").orderBy("end").rowsBetween(Window.unboundedPreceding, -1)
 
     def side(ids: str, lengths: str) -> DataFrame:
         rows = encoded.select("sid", F.arrays_zip(F.col(ids).alias("id"), F.col(lengths).alias("len")).alias("tokens")).repartition("sid")
         rows = rows.select("sid", F.posexplode("tokens").alias("pos", "t"))
-        return rows.select("sid", F.sum("t.len").over(by_place).alias("end"), F.col("t.id").alias("id"))
+        return rows.select("sid", F.sum("t.len").over(by_place).cast("int").alias("end"), F.col("t.id").alias(f"{ids}_id"))
+
+    ends = side("a", "la").join(side("b", "lb"), ["sid", "end"], "full")
+    cut = (F.col("a_id").isNotNull() & F.col("b_id").isNotNull()).cast("int")
+    before = Window.partitionBy("sid").orderBy("end").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = ends.withColumn("g", F.coalesce(F.sum(cut).over(before), F.lit(0)))
 
-    a, b = side("a", "la"), side("b", "lb")
+    def listed(c: str):
+        return F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("end", c)))), lambda x: x[c])
 
-    def listed(own: DataFrame, other: DataFrame, name: str) -> DataFrame:
-        cut = own.join(other.select("sid", "end", F.lit(1).cast("long").alias("cut")), ["sid", "end"], "left")
-        numbered = cut.select("sid", "end", "id", F.coalesce(F.sum("cut").over(before), F.lit(0)).alias("g"))
-        return numbered.groupBy("sid", "g").agg(F.transform(F.array_sort(F.collect_list(F.struct("end", "id"))), lambda x: x["id"]).alias(name))
+    return numbered.groupBy("sid", "g").agg(listed("a_id").alias("a"), listed("b_id").alias("b"))
 
-    return listed(a, b, "a").join(listed(b, a, "b"), ["sid", "g"])
+
+def _linked(grouped: DataFrame) -> DataFrame:
+    """(sid, a, b, n): pairs of ids that are linked in a group of a text, n times; a pair may have several rows."""
+    size = F.size("a").cast("long") * F.size("b")
+    small = grouped.where(size <= SMALL_GROUP).select("sid", F.explode("a").alias("a"), "b").select("sid", "a", F.explode("b").alias("b"), F.lit(1).cast("long").alias("n"))
+    large = grouped.where(size > SMALL_GROUP)
+    one = lambda c: large.select("sid", "g", F.explode(c).alias(c)).groupBy("sid", "g", c).agg(F.count("*").alias(f"n_{c}"))
+    return small.unionByName(one("a").join(one("b"), ["sid", "g"]).select("sid", "a", "b", (F.col("n_a") * F.col("n_b")).alias("n")))
 
 
 def links(grouped: DataFrame) -> DataFrame:
-    """(sid, a, b, n): how often each pair of ids is linked in each text. Equal ids of a group are counted before its sides are joined."""
-    one = lambda c: grouped.select("sid", "g", F.explode(c).alias(c)).groupBy("sid", "g", c).agg(F.count("*").alias(f"n_{c}"))
-    return one("a").join(one("b"), ["sid", "g"]).groupBy("sid", "a", "b").agg(F.sum(F.col("n_a") * F.col("n_b")).alias("n"))
+    """(sid, a, b, n): how often each pair of ids is linked in each text."""
+    return _linked(grouped).groupBy("sid", "a", "b").agg(F.sum("n").alias("n"))
 
 
 def _written(grouped: DataFrame) -> DataFrame:
@@ -209,6 +220,13 @@ def _written(grouped: DataFrame) -> DataFrame:
     return rows.groupBy("sid").agg(F.sum("a").alias("n_a"), F.sum("b").alias("n_b"), F.count("*").alias("n_groups"), F.sum(F.col("a") * F.col("b")).alias("n_links"), joined.alias("groups"))
 
 
+def _again(written: DataFrame) -> DataFrame:
+    """(sid, g, a, b) of what _written() says."""
+    ids = lambda x: F.split(x, ",").cast("array<int>")
+    rows = written.where("groups IS NOT NULL").select("sid", F.posexplode(F.split("groups", ";")).alias("g", "said"))
+    return rows.select("sid", "g", ids(F.substring_index("said", "|", 1)).alias("a"), ids(F.substring_index("said", "|", -1)).alias("b"))
+
+
 def _parsed(said: str) -> list[tuple[list[int], list[int]]]:
     return [tuple(list(map(int, side.split(","))) for side in g.split("|")) for g in said.split(";")]
 
@@ -383,11 +401,9 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", t
     texts = docs.select(column(id_col).cast("long").alias("id"), column(text_col).alias("text"))
 
     encoded = _encoded(texts.select("text"), (a_path, b_path), marks)
-    grouped = saved(groups(encoded.where("ok").select("sid", "a", "la", "b", "lb")), "groups", "zstd")
-    written = saved(encoded.select("sid", "piece", "n").join(_written(grouped), "sid", "left"), "written", "zstd")
+    written = _written(groups(encoded.where("ok").select("sid", "a", "la", "b", "lb")))
+    written = saved(encoded.select("sid", "piece", "n").join(written, "sid", "left"), "written", "zstd")
     forget(encoded)
-    linked = saved(links(grouped), "links", "zstd")
-    forget(grouped)
 
     numbers = ("n_a", "n_b", "n_groups", "n_links")
     chosen = most_counted(written.where(F.length("piece") <= LONGEST), "n", dictionary).select("sid", "n", "piece", "groups", *numbers).toArrow()
@@ -399,16 +415,15 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", t
     rare = rare.groupBy("row").agg(F.collect_list(F.struct("pos", "sid", "groups")).alias("rare"))
     work = saved(coded.drop("rare").join(rare, "row", "left"), "work", "zstd")
     forget(coded)
-    forget(written)
 
     counts = saved(_pair_counts(work, sent).withColumn("a", F.shiftright("code", 32)), "pairs", "zstd")
     top = counts.groupBy("a").agg(F.max("n").alias("top"))  # a row an entry of A's vocabulary
     pairs = counts.join(sized(top), "a").select("code", "n", (F.col("n") == F.col("top")).alias("best"))
-    linked_code = linked.select("sid", F.shiftleft(F.col("a").cast("long"), 32).bitwiseOR(F.col("b").cast("long")).alias("code"), F.col("n").alias("times"))
+    linked_code = _linked(_again(written)).select("sid", F.shiftleft(F.col("a").cast("long"), 32).bitwiseOR(F.col("b").cast("long")).alias("code"), F.col("n").alias("times"))
     sums = linked_code.join(pairs, "code").groupBy("sid").agg(F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("n_best"), F.sum(F.col("times") * F.col("n")).alias("count_sum"))
     sums = saved(sums, "sums", "zstd")
     forget(counts)
-    forget(linked)
+    forget(written)
 
     of = np.zeros((chosen.num_rows, 6), dtype=np.int64)
     if chosen.num_rows:
