@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 
 from pyspark.sql import Column
@@ -66,7 +67,13 @@ def total(values: Column) -> Column:
 
 def count_of(sequence: Column, residues: str) -> Column:
     """How many characters of the sequence are in residues."""
-    return F.length(sequence) - F.length(F.translate(sequence, residues, ""))
+    rest = F.replace(sequence, F.lit(residues), F.lit("")) if len(residues) == 1 else F.translate(sequence, residues, "")
+    return F.length(sequence) - F.length(rest)
+
+
+def scale_total(sequence: Column, scale: dict[str, float]) -> Column:
+    """The summed values of a sequence's residues, from how many there are of each; unknown ones count 0."""
+    return functools.reduce(lambda a, b: a + b, [count_of(sequence, r) * F.lit(float(v)) for r, v in scale.items()])
 
 
 def standard(sequence: Column) -> Column:
@@ -79,11 +86,11 @@ def aromaticity(sequence: Column) -> Column:
 
 
 def gravy(sequence: Column) -> Column:
-    return total(scale_values(sequence, HYDROPATHY)) / F.length(sequence)
+    return scale_total(sequence, HYDROPATHY) / F.length(sequence)
 
 
 def molecular_weight(sequence: Column) -> Column:
-    return total(scale_values(sequence, MASS)) + F.lit(WATER)
+    return scale_total(sequence, MASS) + F.lit(WATER)
 
 
 def dipeptide_index(sequence: Column, weights: dict[str, float], default: float = 1.0) -> Column:
@@ -144,9 +151,9 @@ def isoelectric_point(sequence: Column, steps: int = 40) -> Column:
 
 
 def finite(value: Column) -> Column:
-    """value as a double, NULL unless it is a finite number (unparsable text too)."""
-    x = value.try_cast("double")
-    return F.when(F.isnan(x) | (F.abs(x) == float("inf")), None).otherwise(x)
+    """value as a double, NULL unless it is a finite number (unparsable text too). The value is worked out once."""
+    number = lambda x: F.when(F.abs(x) < float("inf"), x)  # noqa: E731 - NaN is greater than all numbers
+    return F.get(F.transform(F.array(value.try_cast("double")), number), F.lit(0))
 
 
 def imputed(value: Column, default: float = 0.0) -> Column:

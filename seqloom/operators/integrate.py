@@ -15,8 +15,7 @@ SHEET_PERCENT, GRAVY, INSTABILITY = 30.0, 0.0, 40.0
 def as_lists(rows: DataFrame, key: str, order: list[str], name: str) -> DataFrame:
     """(key, name): the other columns of each key's rows as a list of structs, ordered by `order` and then all values."""
     rest = [c for c in rows.columns if c != key]
-    first = [F.col(c).alias(f"__{i}") for i, c in enumerate(order)]
-    packed = F.array_sort(F.collect_list(F.struct(*first, F.struct(*rest).alias("r"))))
+    packed = F.array_sort(F.collect_list(F.struct(F.struct(*order).alias("o"), F.struct(*rest).alias("r"))))
     return rows.groupBy(key).agg(F.transform(packed, lambda x: x["r"]).alias(name))
 
 
@@ -52,8 +51,9 @@ def integrate(proteins: DataFrame, domains: DataFrame, structures: DataFrame, we
     hits = as_lists(domains, "uniprot_id", ["start"], "domains").withColumn("domains", F.expr("CAST(domains AS array<struct<" + ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in domains.schema if f.name != "uniprot_id") + ">>)"))
     shapes = as_lists(structures, "uniprot_id", ["pdb_id"], "structural_features")
     seq = F.col("sequence")
-    out = proteins.withColumn("physicochemical_properties", S.properties(seq, weights)).withColumn("residue_features", S.residue_features(seq, volume))
-    out = left_lists(left_lists(out, hits, "uniprot_id", "domains"), shapes, "uniprot_id", "structural_features")
+    # Lists are joined first: a row a residue of values doesn't go through a shuffle.
+    out = left_lists(left_lists(proteins, hits, "uniprot_id", "domains"), shapes, "uniprot_id", "structural_features")
+    out = out.withColumn("physicochemical_properties", S.properties(seq, weights)).withColumn("residue_features", S.residue_features(seq, volume))
     p = F.col("physicochemical_properties")
     out = out.withColumn("gelation", label(F.col("domains"), F.col("structural_features"), p["gravy"], p["instability_index"]))
     return out.withColumn("uniprot_id_prefix", S.prefix_key(F.col("uniprot_id")))

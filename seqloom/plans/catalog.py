@@ -127,7 +127,40 @@ def net_charge_closed_form(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sequences(spark, sf_dir).select("doc_id", F.round(S.net_charge(F.col("seq")), 6).alias("charge"))
 
 
-@query()
+def _count(r: str) -> str:
+    return f"(length(seq) - length(replace(seq, '{r}', '')))"
+
+
+def _charge_at(ph: str) -> str:
+    """The charge at a pH, of the counts n_<residue> of a row."""
+    up = lambda pk: f"1.0::DOUBLE / (pow(10.0::DOUBLE, {ph} - {pk}::DOUBLE) + 1)"
+    down = lambda pk: f"1.0::DOUBLE / (pow(10.0::DOUBLE, {pk}::DOUBLE - {ph}) + 1)"
+    out = f"{up(S.PK_N_TERM)} - {down(S.PK_C_TERM)}"
+    return out + "".join(f" + n_{r} * {up(pk)}" for r, pk in S.PK_POSITIVE.items()) + "".join(f" - n_{r} * {down(pk)}" for r, pk in S.PK_NEGATIVE.items())
+
+
+_MIDDLE = "(low + high) / 2"
+# Properties of the standard letters of whole texts, 0 where there are none; the isoelectric point by 40 halvings.
+_PROPERTIES = f"""
+s AS MATERIALIZED (SELECT doc_id, regexp_replace({_CLEAN}, '[^{S.RESIDUES}]', '', 'g') AS seq FROM documents WHERE {_CLEAN} <> ''),
+n AS MATERIALIZED (SELECT doc_id, seq, length(seq) AS length, {", ".join(f"{_count(r)} AS n_{r}" for r in S.RESIDUES)} FROM s),
+halves(doc_id, step, low, high) AS (
+  SELECT doc_id, 0, 0.0::DOUBLE, 14.0::DOUBLE FROM n
+  UNION ALL SELECT doc_id, step + 1, CASE WHEN {_charge_at(_MIDDLE)} > 0 THEN {_MIDDLE} ELSE low END, CASE WHEN {_charge_at(_MIDDLE)} > 0 THEN high ELSE {_MIDDLE} END
+  FROM halves JOIN n USING (doc_id) WHERE step < 40
+),
+letters AS (SELECT doc_id, string_split(seq, '') AS l FROM s WHERE length(seq) > 1),
+pairs AS (SELECT doc_id, 10.0::DOUBLE / len(l) * list_sum(list_transform(list_zip(l[:-2], l[2:]), lambda p: coalesce({_DI}[p[1] || p[2]], 1.0::DOUBLE))) AS instability FROM letters),
+known AS (SELECT doc_id, (n_F + n_W + n_Y)::DOUBLE / length AS aromaticity, {_charge_at("7.0::DOUBLE")} AS charge, ({" + ".join(f"n_{r} * {v}::DOUBLE" for r, v in S.HYDROPATHY.items())}) / length AS gravy,
+  {" + ".join(f"n_{r} * {v}::DOUBLE" for r, v in S.MASS.items())} + {S.WATER}::DOUBLE AS weight, {_MIDDLE} AS point FROM n JOIN halves USING (doc_id) WHERE step = 40 AND length > 0),
+properties AS MATERIALIZED (SELECT doc_id, seq, length, {", ".join(f"coalesce({c}, 0.0::DOUBLE) AS {c}" for c in ("aromaticity", "charge", "gravy", "instability", "point", "weight"))}
+  FROM n LEFT JOIN known USING (doc_id) LEFT JOIN pairs USING (doc_id))"""
+
+
+@query(f"""
+WITH RECURSIVE {_PROPERTIES}
+SELECT doc_id, round(aromaticity, 6) AS aromaticity, round(charge, 6) AS "charge_at_pH_7", round(gravy, 6) AS gravy, round(instability, 6) AS instability_index, round(point, 6) AS isoelectric_point, round(weight, 6) AS molecular_weight FROM properties
+""")
 def physicochemical_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All six properties, the isoelectric point by bisection, of the standard letters of each whole sequence."""
     only = F.regexp_replace("seq", f"[^{S.RESIDUES}]", "")
@@ -400,7 +433,21 @@ def fasta_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sequences(spark, sf_dir).select(F.col("doc_id").cast("string").alias("uniprot_id"), F.col("seq").alias("sequence")).select(sinks.fasta_entry())
 
 
-@query()
+_RAW = ("length", "weight", "aromaticity", "instability", "point", "gravy", "charge", "helix", "sheet", "coil", "has_0", "has_1", "has_2")
+
+
+@query(f"""
+WITH RECURSIVE {_PROPERTIES},
+hits AS (SELECT l_orderkey, {", ".join(f"bool_or(l_partkey % 4 = {i}) AS has_{i}" for i in range(3))} FROM lineitem WHERE l_linenumber % 2 = 1 GROUP BY 1),
+shapes AS (SELECT l_orderkey, max(l_quantity) > {integrate.SHEET_PERCENT} AS much, arg_min(l_quantity, {{'id': l_suppkey::VARCHAR, 'q': l_quantity}}) AS first FROM lineitem WHERE l_linenumber % 2 = 0 GROUP BY 1),
+raw AS MATERIALIZED (SELECT doc_id, length::DOUBLE AS length, weight, aromaticity, instability, point, gravy, charge,
+  CASE WHEN first IS NOT NULL THEN 20.0::DOUBLE END AS helix, first::DOUBLE AS sheet, 80.0::DOUBLE - first AS coil, {", ".join(f"CASE WHEN coalesce(has_{i}, false) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS has_{i}" for i in range(3))},
+  coalesce(has_0 OR has_1 OR has_2, false) OR coalesce(much, false) OR (gravy > {integrate.GRAVY} AND instability > {integrate.INSTABILITY}) AS yes
+  FROM properties LEFT JOIN hits ON hits.l_orderkey = doc_id LEFT JOIN shapes ON shapes.l_orderkey = doc_id WHERE seq <> ''),
+m AS (SELECT {", ".join(f"coalesce(avg({c}), 0.0::DOUBLE) AS m_{c}, greatest(coalesce(stddev_pop({c}), 0.0::DOUBLE), {features.STD_FLOOR}::DOUBLE) AS s_{c}" for c in _RAW)} FROM raw)
+SELECT doc_id::VARCHAR AS uniprot_id, length::INTEGER AS n, length::INTEGER AS n_residues, CASE WHEN yes THEN 1.0::FLOAT ELSE 0.0::FLOAT END AS gelation,
+  {", ".join(f"round(((coalesce({c}, 0.0::DOUBLE) - m_{c}) / s_{c})::FLOAT::DOUBLE, 4) AS p{i}" for i, c in enumerate(_RAW))} FROM raw, m
+""")
 def integrated_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole chain: documents as sequences, line items as hits, integrated, labelled, normalised, featurised."""
     table = integrated_table(spark, sf_dir)

@@ -8,7 +8,7 @@ from seqloom.plans import catalog
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: Compared at sf0.01 by the driver only: their quadratic SQL or loops are slow here.
-SLOW = {"integrated_features", "model_predictions", "cluster_split", "physicochemical_properties"}
+SLOW = {"cluster_split"}
 
 
 @pytest.fixture(scope="module")
@@ -31,7 +31,7 @@ def test_equals_sql(spark, duck, name):
 
 
 def test_every_query_has_sql_or_a_reason():
-    assert set(catalog.QUERIES) - set(catalog.SQL) == {"integrated_features", "model_predictions", "physicochemical_properties"}
+    assert set(catalog.QUERIES) - set(catalog.SQL) == {"model_predictions"}
 
 
 def test_entry_has_rows(spark):
