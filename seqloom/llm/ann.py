@@ -92,27 +92,27 @@ def _packed(rows: DataFrame) -> DataFrame:
 
 
 def _best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> pd.DataFrame:
-    """The k best of x for each q, by exact scores that don't depend on where a row stands."""
-    out = []
+    """The k best ids of x for each q, by exact scores that don't depend on where a row stands; an id of several vectors counts once, with its best."""
+    out, most = [], k + len(ids) - len(np.unique(ids))
     for at in range(0, len(q), 256):
         score = q[at : at + 256] @ x.T
         score[q_ids[at : at + 256, None] == ids[None]] = -np.inf
-        if score.shape[1] > k:
-            edge = np.partition(score, score.shape[1] - k, axis=1)[:, -k]
+        if score.shape[1] > most:
+            edge = np.partition(score, score.shape[1] - most, axis=1)[:, -most]
         else:
             edge = np.full(len(score), -np.inf)
         slack = 1e-9 * np.maximum(1.0, np.abs(edge))
         r, c = np.nonzero((score >= (edge - np.where(np.isfinite(slack), slack, 0))[:, None]) & (score > -np.inf))
         exact = np.einsum("ij,ij->i", q[at + r], x[c])
-        p = pd.DataFrame({"query_id": q_ids[at + r], "vec_id": ids[c], "score": exact}).drop_duplicates()
-        p = p.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True], kind="stable")
+        p = pd.DataFrame({"query_id": q_ids[at + r], "vec_id": ids[c], "score": exact})
+        p = p.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True], kind="stable").drop_duplicates(["query_id", "vec_id"])
         out.append(p[p.groupby("query_id").cumcount() < k])
     return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
 
 def _top(pairs: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return pairs.dropDuplicates(["query_id", "vec_id"]).withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k)
+    return pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k)
 
 
 def _scan(queries: DataFrame, index: DataFrame, n_queries: int, n_index: int, dim: int, k: int) -> DataFrame:
@@ -137,7 +137,7 @@ def nearest(vectors: DataFrame, k: int = 20, query_every: int = 20, id_col: str
 
     Queries are the rows whose id query_every divides; candidates all rows of another id. Unusable vectors
     (see usable) and those whose width isn't the most frequent one take no part. Rows of one id and vector
-    count once. Ties go to the smaller id. A query with fewer than k finds is searched again exactly, in
+    count once; an id of several vectors is as near as the nearest of them, as query and as candidate. Ties go to the smaller id. A query with fewer than k finds is searched again exactly, in
     blocks. The number of probes is fitted on at most FIT_QUERIES queries, whose true neighbours are
     searched among all rows; all rows are indexed. If no number of probes reaches FIT_RECALL there, all
     queries are searched exactly. Which way was taken is logged. An empty table gives an empty result.
@@ -189,7 +189,12 @@ def nearest(vectors: DataFrame, k: int = 20, query_every: int = 20, id_col: str
     visits = visits.withColumn("bucket", F.filter("bucket", lambda c: zone(c) == F.col("zone")))
     most = large.groupBy("t", zone("bucket").alias("zone")).agg(F.max("pieces").alias("pieces"))
     visits = visits.join(F.broadcast(most), ["t", "zone"], "left").withColumn("piece", F.explode(F.sequence(F.lit(0), F.coalesce("pieces", F.lit(1)) - 1)))
-    visits = visits.select("t", "zone", "piece", "bucket", "vec_id", "v")
+    # A zone's queries are cut into blocks, too; its rows go to each of them once.
+    blocks = visits.groupBy("t", "zone").agg(F.ceil(F.count_distinct("vec_id") / QUERY_BLOCK).cast("int").alias("blocks"))
+    blocks = F.broadcast(saved(blocks, "blocks"))  # a row a zone and table: fewer than n * TABLES / PIECE and TABLES
+    visits = visits.join(blocks, ["t", "zone"]).withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(5)), F.col("blocks")).cast("int"))
+    visits = visits.select("t", "zone", "piece", "block", "bucket", "vec_id", "v")
+    left = left.join(blocks, ["t", "zone"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
 
     def group(a, b):
         """Of a zone: each bucket's rows against the queries that visit it."""
@@ -211,10 +216,11 @@ def nearest(vectors: DataFrame, k: int = 20, query_every: int = 20, id_col: str
                 out.append(_best(q_ids[who[lo:hi]], q[who[lo:hi]], ids[rows_], x[rows_], k))
         if not out:
             return empty
-        p = pd.concat(out).drop_duplicates().sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
+        p = pd.concat(out).sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).drop_duplicates(["query_id", "vec_id"])
         return p[p.groupby("query_id").cumcount() < k]
 
-    pairs = visits.groupBy("t", "zone", "piece").cogroup(left.groupBy("t", "zone", "piece")).applyInPandas(group, "query_id long, vec_id long, score double")
+    key = ["t", "zone", "piece", "block"]
+    pairs = visits.groupBy(*key).cogroup(left.groupBy(*key)).applyInPandas(group, "query_id long, vec_id long, score double")
     found = saved(_top(pairs, k), "found")
     full = found.groupBy("query_id").count().where(F.col("count") >= min(k, n)).select(F.col("query_id").alias("vec_id"))
     short = queries.join(full, "vec_id", "left_anti")

@@ -35,7 +35,7 @@ LONGEST = 64
 #: Distinct runs that a task counts at a time; then it starts anew.
 COUNTED = 200_000
 #: Runs whose ids a Python worker keeps; then it forgets those that it hasn't met lately.
-KEPT = 400_000
+KEPT = 200_000
 #: Buckets of the literal rank map.
 BUCKETS = 1 << 15
 _NONE, _TOKEN = 1 << 30, 1 << 25

@@ -17,6 +17,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Rows up to which a side of fixed-width rows is broadcast; larger sides are shuffled.
 BROADCAST_ROWS = 500_000
 
+#: Bytes of texts up to which a side that has them is broadcast.
+BROADCAST_BYTES = 32 << 20
+
 #: Partitions of a graph whose nodes are few enough to be broadcast.
 SMALL_GRAPH_PARTS = 16
 
@@ -76,6 +79,12 @@ def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def sized_texts(df: DataFrame, text: str, rows: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> DataFrame:
+    """df marked for broadcast if it has at most `rows` rows, whose texts in the column named text have at most `most` bytes; otherwise unchanged."""
+    got = df.agg(F.count("*"), F.sum(F.octet_length(text))).first()
+    return F.broadcast(df) if got[0] <= rows and (got[1] or 0) <= most else df
+
+
 def most_counted(counts: DataFrame, name: str, most: int) -> DataFrame:
     """The rows of counts with the largest values of the column name (1 or more), at most `most`; rows of near values stay or go together.
 

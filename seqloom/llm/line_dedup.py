@@ -15,10 +15,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import column, free_name, saved, sized, table
+from seqloom.llm.common import column, free_name, most_counted, saved, sized, table
 
 #: Shorter lines, without the white space around them, take no part in one-edit matches.
 LEAST_CHARS = 20
+#: Lines that are so often there, at most this many of them, are looked up at their places instead of joined by shuffle.
+HOT_TIMES, HOT_LINES = 100, 100_000
 LARGE, SMALL = 256, 16
 #: Suffix lengths are whole multiples of this, so that lines whose lengths differ by one mostly share them.
 STEP = 8
@@ -116,7 +118,7 @@ def dropped(docs: DataFrame, least: int = LEAST_CHARS, id_col: str = "doc_id", t
     # Pass one has gates and hashes only; lines of shared gates are cut again, with their texts.
     places = saved(lines.select("k", "k2", "pos", F.array_distinct(at.getField("gate")).alias("gates")), "lines")
     # Equal lines: of each the first place, and how many there are.
-    first = places.groupBy("k", "k2").agg(F.min("pos").alias("first"), F.max("pos").alias("last")).select("k", "k2", "first", (F.col("first") < F.col("last")).alias("many"))
+    first = places.groupBy("k", "k2").agg(F.min("pos").alias("first"), F.max("pos").alias("last"), F.count("*").alias("times")).select("k", "k2", "first", (F.col("first") < F.col("last")).alias("many"), "times")
     gates = places.select(F.explode("gates").alias("gate"), "k")
     shared = saved(_shared(gates), "shared")
     again = sized(saved(gates.join(sized(shared), "gate", "left_semi").select("k").distinct(), "again"))
@@ -146,8 +148,13 @@ def dropped(docs: DataFrame, least: int = LEAST_CHARS, id_col: str = "doc_id", t
     near = v.join(heads, ["v", "replace", "whole"]).where("head.first < first AND head.gate = gate")
     near = near.where(F.levenshtein(F.col("text"), F.col("head.text"), 1) == 1).select("k", "k2").distinct()
 
-    go = first.join(near.withColumn("near", F.lit(True)), ["k", "k2"], "left").where("many OR near").select("k", "k2", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    gone = places.select("k", "k2", "pos").join(go, ["k", "k2"]).where("near OR pos > first")
+    go = first.join(near.withColumn("near", F.lit(True)), ["k", "k2"], "left").where("many OR near").select("k", "k2", "first", F.coalesce("near", F.lit(False)).alias("near"), "times")
+    # The most frequent lines, a bounded number, are sent to all places; only the others meet their places by shuffle, so that no line brings all its places to one task.
+    go = saved(go, "go")
+    hot = F.broadcast(most_counted(go.where(F.col("times") >= HOT_TIMES), "times", HOT_LINES).select("k", "k2", "first", "near"))
+    at = places.select("k", "k2", "pos")
+    cold = at.join(hot.select("k", "k2"), ["k", "k2"], "left_anti").join(go.drop("times"), ["k", "k2"])
+    gone = at.join(hot, ["k", "k2"]).unionByName(cold).where("near OR pos > first")
     return gone.groupBy(F.col("pos.id").alias("id"), F.col("pos.row").alias("row")).agg(F.collect_set(F.col("pos.line")).alias("lines"))
 
 

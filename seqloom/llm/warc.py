@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import column, saved, shared_folder, sized, table
+from seqloom.llm.common import column, saved, shared_folder, sized, sized_texts, table
 
 VERSION = "WARC/1.1"
 DATE = "2024-01-01T00:00:00Z"
@@ -157,7 +157,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
     rest = inner.groupBy("file", "start").agg(F.array_join(body, "").alias("rest"))
     first = at.where("start = offset").join(rest, ["file", "start"], "left").select("row", "rest")
     r = cut.select("row", "head", "body").join(sized(at.where("start = offset").select("row")), "row", "left_semi")
-    r = r.join(sized(first.where("rest IS NOT NULL"), 1_000), "row", "left")
+    r = r.join(sized_texts(first.where("rest IS NOT NULL"), "rest", 1_000), "row", "left")
     r = r.withColumn("payload", F.concat(F.expr("substr(body, length(head) + 1)"), F.coalesce("rest", F.lit(""))))
     r = r.withColumn("payload", F.expr(f"substr(payload, 1, length(payload) - {2 * len(_LINE)})"))
     kind = F.lower(_field("WARC-Type"))
