@@ -227,19 +227,32 @@ def _again(written: DataFrame) -> DataFrame:
     return rows.select("sid", "g", ids(F.substring_index("said", "|", 1)).alias("a"), ids(F.substring_index("said", "|", -1)).alias("b"))
 
 
-def _parsed(said: str) -> list[tuple[list[int], list[int]]]:
-    return [tuple(list(map(int, side.split(","))) for side in g.split("|")) for g in said.split(";")]
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... (size[0] numbers), start[1], ..."""
+    return np.repeat(start - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
 
 
-def _pairs(said: str) -> np.ndarray:
-    """The different linked pairs of groups, as a * 2**32 + b."""
-    found = {a << 32 | b for x, y in _parsed(said) for a in set(x) for b in set(y)}
-    return np.fromiter(found, dtype=np.int64, count=len(found))
+_TO_SPACE = bytes.maketrans(b",|;\n", b"    ")
 
 
-def _numbers(said: str) -> tuple[int, int, int, int]:
-    sizes = [(g.count(",", 0, cut) + 1, g.count(",", cut) + 1) for g in said.split(";") for cut in (g.index("|"),)]
-    return sum(a for a, _ in sizes), sum(b for _, b in sizes), len(sizes), sum(a * b for a, b in sizes)
+def _parsed(said: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of written groups: the text and the code (a * 2**32 + b) of each link, and of each text (n_a, n_b, n_groups, n_links)."""
+    if not said:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 4), np.int64)
+    raw = "\n".join(said).encode()
+    ids = np.fromstring(raw.translate(_TO_SPACE), dtype=np.int64, sep=" ")
+    mark = np.frombuffer(raw, dtype=np.uint8)
+    mark = mark[(mark < 48) | (mark > 57)]  # the sign between each two ids
+    new_text = mark == 10
+    text, group = (np.concatenate(([0], np.cumsum(x))) for x in (new_text, new_text | (mark == 59)))
+    of_b = np.concatenate(([0], np.cumsum(mark == 124))) > group
+    text_of = text[np.concatenate(([True], group[1:] != group[:-1]))]
+    n_a, n_b = np.bincount(group[~of_b], minlength=len(text_of)), np.bincount(group[of_b], minlength=len(text_of))
+    a, b, g = ids[~of_b], ids[of_b], group[~of_b]
+    first_b = np.concatenate(([0], np.cumsum(n_b)[:-1]))
+    codes = np.repeat(a, n_b[g]) << 32 | b[_ranges(first_b[g], n_b[g])]
+    sums = [np.bincount(text_of, x, len(said)).astype(np.int64) for x in (n_a, n_b, np.ones(len(text_of)), n_a * n_b)]
+    return np.repeat(text_of[g], n_b[g]), codes, np.stack(sums, axis=1)
 
 
 class _Known:
@@ -247,14 +260,12 @@ class _Known:
 
     def __init__(self, said: list[str | None]):
         self.said, self.fine = said, np.array([x is not None for x in said], dtype=bool)
-        each = [_pairs(x) if x is not None else np.zeros(0, np.int64) for x in said]
-        self.ends = np.cumsum([0] + [len(x) for x in each])
-        self.codes, self.pairs = np.unique(np.concatenate([np.zeros(0, np.int64), *each]), return_inverse=True)
-
-
-def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """start[0], start[0] + 1, ... (size[0] numbers), start[1], ..."""
-    return np.repeat(start - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
+        piece, codes, _ = _parsed([x for x in said if x is not None])
+        piece = np.flatnonzero(self.fine)[piece]
+        self.codes, number = np.unique(codes, return_inverse=True)
+        both = np.unique(piece * max(1, len(self.codes)) + number)
+        self.pairs = both % max(1, len(self.codes))
+        self.ends = np.concatenate(([0], np.cumsum(np.bincount(both // max(1, len(self.codes)), minlength=len(said)))))
 
 
 def _coded(texts: DataFrame, pieces: list[str], marks: str) -> DataFrame:
@@ -322,13 +333,16 @@ def _pair_counts(work: DataFrame, sent) -> DataFrame:
             text, piece = both // wide, both % wide
             size = known.ends[piece + 1] - known.ends[piece]
             pairs = [np.repeat(text, size) * len(known.codes) + known.pairs[_ranges(known.ends[piece], size)]] if len(piece) else []
-            for i in np.flatnonzero(fine).tolist():
-                if rare[i]:
-                    own = np.unique(np.concatenate([_pairs(x["groups"]) for x in rare[i]]))
-                    at = np.minimum(np.searchsorted(known.codes, own), max(0, len(known.codes) - 1))
-                    there = known.codes[at] == own if len(known.codes) else np.zeros(len(own), bool)
-                    pairs.append(i * len(known.codes) + at[there])
-                    others.update(own[~there].tolist())
+            own = [(i, x["groups"]) for i in np.flatnonzero(fine).tolist() for x in rare[i] or ()]
+            if own:
+                of, found, _ = _parsed([x for _, x in own])
+                row = np.array([i for i, _ in own])[of]
+                at = np.minimum(np.searchsorted(known.codes, found), max(0, len(known.codes) - 1))
+                there = known.codes[at] == found if len(known.codes) else np.zeros(len(found), bool)
+                pairs.append(row[there] * len(known.codes) + at[there])
+                # Pairs that the dictionary has nowhere: each once a text.
+                other = np.unique(np.stack((row[~there], found[~there]), axis=1), axis=0)[:, 1] if not there.all() else found[:0]
+                others.update(other.tolist())
             if pairs:
                 count += np.bincount(np.unique(np.concatenate(pairs)) % max(1, len(known.codes)), minlength=len(known.codes))[: len(known.codes)]
             if len(others) >= GATHERED:
@@ -351,11 +365,14 @@ def _assembled(work: DataFrame, sent, keep_groups: bool) -> DataFrame:
         for part in _batches(batches):
             codes, ends, rare = _flat(part)
             fine = _whole(codes, ends, rare, known)
-            own = np.zeros((len(codes) + 1, 6), dtype=np.int64)
-            frequent = codes >= 0
-            if len(numbers):
-                np.cumsum(np.where(frequent[:, None], numbers[np.maximum(codes, 0)], 0), axis=0, out=own[1:])
-            total = np.where(fine[:, None], own[ends[1:]] - own[ends[:-1]], 0)
+            total = np.zeros((len(fine), 6), dtype=np.int64)
+            own = np.zeros(len(codes) + 1, dtype=np.int64)
+            at_ = np.where(codes >= 0, codes, len(numbers) - 1)  # the last row is that of rare pieces: zeros
+            for i in range(6):
+                np.cumsum(numbers[:, i][at_], out=own[1:])
+                total[:, i] = np.where(fine, own[ends[1:]] - own[ends[:-1]], 0)
+            _, _, of_rare = _parsed([x["groups"] for i in np.flatnonzero(fine).tolist() for x in rare[i] or ()])
+            used = 0
             sha, said, others = [], [], []
             for i in range(len(fine)):
                 if not fine[i]:
@@ -368,8 +385,10 @@ def _assembled(work: DataFrame, sent, keep_groups: bool) -> DataFrame:
                     of = {-1 - r["pos"]: r for r in rare[i]}
                     joined = ";".join([known.said[c] if c >= 0 else of[c]["groups"] for c in at.tolist()])
                     times = list(zip(*(x.tolist() for x in np.unique(at[at < 0], return_counts=True)), strict=True))
+                    place = {-1 - r["pos"]: used + j for j, r in enumerate(rare[i])}
+                    used += len(rare[i])
                     for c, n in times:
-                        total[i, :4] += n * np.array(_numbers(of[c]["groups"]), dtype=np.int64)
+                        total[i, :4] += n * of_rare[place[c]]
                     others.append([{"sid": of[c]["sid"], "times": n} for c, n in times])
                 else:
                     joined = ";".join(map(known.said.__getitem__, at.tolist()))
@@ -425,10 +444,10 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", t
     forget(counts)
     forget(written)
 
-    of = np.zeros((chosen.num_rows, 6), dtype=np.int64)
+    of = np.zeros((chosen.num_rows + 1, 6), dtype=np.int64)
     if chosen.num_rows:
         for i, c in enumerate(numbers):
-            of[:, i] = chosen[c].fill_null(0).to_numpy()
+            of[:-1, i] = chosen[c].fill_null(0).to_numpy()
         got = sums.join(sized(docs.sparkSession.createDataFrame(chosen.select(["sid"])), dictionary), "sid").toArrow()
         sids = chosen["sid"].to_numpy()
         order = np.argsort(sids)
