@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from seqloom.functions import sequences as S
 from seqloom.operators import moments as moments_of
 from seqloom.operators.integrate import LABEL_DOMAINS, has_domain
-from seqloom.storage import free_name
+from seqloom.storage import free_name, is_small, saved
 
 STD_FLOOR = 1e-7
 PROPERTIES = ("molecular_weight", "aromaticity", "instability_index", "isoelectric_point", "gravy", "charge_at_pH_7")
@@ -100,14 +100,17 @@ def featurised(df: DataFrame, stats_row: DataFrame, keep_empty: bool = False) ->
     return out if keep_empty else out.where(F.size("sequence") > 0)
 
 
-def batches(df: DataFrame, index: str, size: int, length: str = "sequence") -> DataFrame:
-    """df with batch (index div size) and the batch's greatest list length."""
+def batches(df: DataFrame, index: str, size: int, length: str | Column = "sequence") -> DataFrame:
+    """df with batch (index div size) and batch_length, the greatest length in the batch: of the list column named by length, or a column that says it.
+
+    Only lengths are aggregated, a row a batch; these are broadcast if they are few by a count.
+    """
     if size < 1:
         raise ValueError("a batch has at least one row")
-    out = df.withColumn("batch", F.floor(F.col(index) / size).cast("long"))
-    # Only lengths are shuffled, then joined back.
-    longest = df.groupBy(F.floor(F.col(index) / size).cast("long").alias("batch")).agg(F.max(F.size(length)).alias("batch_length"))
-    return out.join(longest, "batch")
+    batch = F.floor(F.col(index) / size).cast("long")
+    n = F.size(length) if isinstance(length, str) else length
+    longest = saved(df.groupBy(batch.alias("batch")).agg(F.max(n).alias("batch_length")), "lengths")
+    return df.withColumn("batch", batch).join(F.broadcast(longest) if is_small(longest) else longest, "batch")
 
 
 def collated(df: DataFrame, least: int = 7) -> DataFrame:

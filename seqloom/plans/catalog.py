@@ -406,9 +406,8 @@ WITH s AS ({_SEQ}), b AS (SELECT doc_id, doc_id // 32 AS batch, length(seq) AS n
 SELECT doc_id, CAST(batch AS BIGINT) AS batch, CAST(max(n) OVER (PARTITION BY batch) AS BIGINT) AS batch_length, CAST(max(n) OVER (PARTITION BY batch) - n AS BIGINT) AS padding FROM b
 """)
 def batch_pad_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = _sequences(spark, sf_dir).select("doc_id", S.tokens(F.col("seq")).alias("sequence"))
-    b = features.batches(t, "doc_id", 32)
-    padded = features.repaired(F.col("sequence"), F.col("batch_length"), F.lit(S.PAD))
+    b = features.batches(_sequences(spark, sf_dir).select("doc_id", "seq"), "doc_id", 32, F.length("seq"))
+    padded = features.repaired(S.tokens(F.col("seq")), F.col("batch_length"), F.lit(S.PAD))
     return b.select("doc_id", "batch", F.col("batch_length").cast("long").alias("batch_length"), F.size(F.filter(padded, lambda x: x == S.PAD)).cast("long").alias("padding"))
 
 

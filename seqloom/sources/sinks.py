@@ -8,6 +8,7 @@ from pyspark.sql.types import StructType
 
 from seqloom import schemas
 from seqloom.functions import sequences as S
+from seqloom.storage import free_name
 
 
 #: Rows of a prefix that one task writes, about.
@@ -17,10 +18,11 @@ ROWS_PER_TASK = 1_000_000
 def write_partitioned(df: DataFrame, path: str, schema: StructType = schemas.INTEGRATED, mode: str = "overwrite", key: str = "uniprot_id", rows_per_task: int = ROWS_PER_TASK) -> None:
     """Parquet partitioned by the first character of the id (<key>_prefix). A prefix of many rows is dealt to as many tasks as its rows need, by a hash of the id."""
     prefix = f"{key}_prefix"
+    tasks, spread = free_name(df, "__tasks"), free_name(df, "__spread")
     out = schemas.aligned(schemas.clean(df).withColumn(prefix, S.prefix_key(F.col(key))), schema)
-    sizes = df.groupBy(S.prefix_key(F.col(key)).alias(prefix)).agg(F.ceil(F.count("*") / rows_per_task).alias("__tasks"))
-    out = out.join(F.broadcast(sizes), prefix).withColumn("__spread", F.pmod(F.xxhash64(key), F.col("__tasks")))
-    out.repartition(prefix, "__spread").drop("__spread", "__tasks").select(*schema.names).write.mode(mode).partitionBy(prefix).parquet(path)
+    sizes = df.groupBy(S.prefix_key(F.col(key)).alias(prefix)).agg(F.ceil(F.count("*") / rows_per_task).alias(tasks))
+    out = out.join(F.broadcast(sizes), prefix).withColumn(spread, F.pmod(F.xxhash64(key), F.col(tasks)))
+    out.repartition(prefix, spread).drop(spread, tasks).select(*schema.names).write.mode(mode).partitionBy(prefix).parquet(path)
 
 
 def subset(df: DataFrame, ids: DataFrame, key: str = "uniprot_id") -> DataFrame:
