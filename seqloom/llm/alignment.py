@@ -38,6 +38,9 @@ _RUN = re.compile(f"([{SPACE}]{{2,}})")
 #: Letters and digits behind which marks at a piece's end are cut off, and these marks, as far as the second vocabulary never joins the two.
 _ALNUM = frozenset("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz" + "".join(map(chr, [*range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x250)])))
 _MARKS = ".,!?;:*#$%&|<>\"')]}"
+#: Pieces that are encoded as one text: without white space but one space at their start.
+_PLAIN = re.compile(f" ?[^{SPACE}]+\\Z").match
+JOINED = 500
 
 
 def _byte_of_char() -> dict[str, int]:
@@ -68,37 +71,56 @@ class Tokenizers:
         self.marks = "".join(m for m in _MARKS if not any(x in _ALNUM and y == m for p in own for x, y in zip(p, p[1:])))  # noqa: B905
         # B puts a space before what it encodes: a line feed between keeps that apart.
         self.before = len(self.b.encode("\n"))
+        self.ends = self.a.encode("\n", add_special_tokens=False).ids, [self.b.piece_to_id("<0x0A>")]
+        size = max(self.a_bytes) + 1
+        self.a_sizes = np.array([len(self.a_bytes.get(i, b"")) for i in range(size)], dtype=np.int32)
+        self.b_sizes = np.array([len(x) for x in self.b_bytes], dtype=np.int32)
 
     def encode(self, pieces: list[str]) -> list[tuple[list[int], list[int], list[int], list[int], bool]]:
         """Of each piece A's ids and their lengths in bytes, B's, and whether both give its bytes back."""
-        out = []
-        a_all = [e.ids for e in self.a.encode_batch(pieces, add_special_tokens=False)]
-        b_all = self.b.encode(["\n" + p for p in pieces], num_threads=1)
-        for p, a, b in zip(pieces, a_all, b_all, strict=True):
+        out: list = [None] * len(pieces)
+        plain = [i for i, p in enumerate(pieces) if _PLAIN(p)]
+        for at in range(0, len(plain), JOINED):
+            some = plain[at : at + JOINED]
+            for i, got in zip(some, self._joined([pieces[i] for i in some]) or (), strict=False):
+                out[i] = got
+        rest = [i for i, got in enumerate(out) if got is None]
+        a_all = [e.ids for e in self.a.encode_batch([pieces[i] for i in rest], add_special_tokens=False)]
+        b_all = self.b.encode(["\n" + pieces[i] for i in rest], num_threads=1)
+        for i, a, b in zip(rest, a_all, b_all, strict=True):
             b = b[self.before :]
-            raw = p.encode("utf-8", "surrogatepass")
-            x, y = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-            out.append((a, list(map(len, x)), b, list(map(len, y)), b"".join(x) == raw == b"".join(y)))
+            raw = pieces[i].encode("utf-8", "surrogatepass")
+            x, y = [self.a_bytes[j] for j in a], [self.b_bytes[j] for j in b]
+            out[i] = a, list(map(len, x)), b, list(map(len, y)), b"".join(x) == raw == b"".join(y)
         return out
 
-
-def pieces_of(text: str, marks: str) -> list[str]:
-    """A space and text, cut where both tokenizers end a token; joined again they are that.
-
-    Such places are before a space or line feed behind something else, around a line feed between two others, and before marks at such an end that
-    follow a Latin letter or digit.
-    """
+    def _joined(self, pieces: list[str]) -> list | None:
+        """encode() of pieces without inner white space, as one text with a line feed between two, where both tokenizers end a token; None if it isn't given back byte for byte."""
+        text = "\n".join(pieces)
+        raw, sides = text.encode("utf-8", "surrogatepass"), []
+        a, b = self.a.encode(text, add_special_tokens=False).ids, self.b.encode("\n" + text)[self.before :]
+        for ids, of, sizes, end in ((a, self.a_bytes, self.a_sizes, self.ends[0]), (b, self.b_bytes, self.b_sizes, self.ends[1])):
+            found = np.array(ids, dtype=np.int64)
+            cuts = np.flatnonzero(found == end[0]) if len(end) == 1 else found[:0]
+            if len(cuts) != len(pieces) - 1 or b"".join([of[i] for i in ids]) != raw:
+                return None
+            lengths = sizes[found].tolist()
+            begin, stop = [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)]
+            sides.append(([ids[x:y] for x, y in zip(begin, stop, strict=True)], [lengths[x:y] for x, y in zip(begin, stop, strict=True)]))
+        return [(*x, *y, True) for x, y in zip(zip(*sides[0], strict=True), zip(*sides[1], strict=True), strict=True)]
+
+
+def words_of(text: str) -> list[str]:
+    """A space and text, cut before a space or line feed behind something else, and around a line feed between two others; joined again they are that."""
     text = " " + text
     if _MARK in text:
         return [text]
-    parts = _RUN.split(text) if _RUN.search(text) else [text]
+    if not _RUN.search(text):
+        return [w for w in text.replace("\n", _MARK + "\n" + _MARK).replace(" ", _MARK + " ").split(_MARK) if w]
     out, head = [], ""
-    for i, part in enumerate(parts):
+    for i, part in enumerate(_RUN.split(text)):
         if i % 2:
-            if part[0] in " \n" or not out:
-                head = part
-            else:
-                head = out.pop() + part
+            head = part if part[0] in " \n" or not out else out.pop() + part
             continue
         cut = part.replace("\n", _MARK + "\n" + _MARK).replace(" ", _MARK + " ").split(_MARK)
         if head:
@@ -107,17 +129,21 @@ def pieces_of(text: str, marks: str) -> list[str]:
         out += cut
     if head:
         out.append(head)
-    done = []
-    for p in out:
-        if p:
-            if p[-1] in marks:
-                stem = p.rstrip(marks)
-                if stem and stem[-1] in _ALNUM:
-                    done.append(stem)
-                    done.append(p[len(stem) :])
-                    continue
-            done.append(p)
-    return done
+    return [w for w in out if w]
+
+
+def parted(word: str, marks: str) -> tuple[str, ...]:
+    """A word, and apart from it the marks at its end that follow a Latin letter or digit."""
+    if word[-1] in marks and _MARK not in word:
+        stem = word.rstrip(marks)
+        if stem and stem[-1] in _ALNUM:
+            return stem, word[len(stem) :]
+    return (word,)
+
+
+def pieces_of(text: str, marks: str) -> list[str]:
+    """A space and text, cut where both tokenizers end a token; joined again they are that."""
+    return [p for w in words_of(text) for p in parted(w, marks)]
 
 
 #: What a Python worker keeps for its next tasks.
@@ -146,15 +172,23 @@ def _encoded(texts: DataFrame, paths: tuple[str, str], marks: str) -> DataFrame:
 
     def count(batches):
         held = Counter()
+
+        def flush():
+            pieces = Counter()
+            for word, n in held.items():
+                for p in parted(word, marks):
+                    pieces[p] += n
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(pieces.keys(), pa.string()), pa.array(pieces.values(), pa.int64())], ["piece", "n"])
+
         for batch in batches:
             for _, some in _slices(batch):
                 for t in some:
                     if t:
-                        held.update(pieces_of(t, marks))
+                        held.update(words_of(t))
                 if len(held) >= COUNTED:
-                    yield pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], ["piece", "n"])
-                    held = Counter()
-        yield pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], ["piece", "n"])
+                    yield flush()
+        yield flush()
 
     def encode(batches):
         both = _kept(("tokenizers", paths), lambda: Tokenizers(*paths))
@@ -279,10 +313,19 @@ def _coded(texts: DataFrame, pieces: list[str], marks: str) -> DataFrame:
                 codes, rare = [], []
                 for t in some:
                     own: dict[str, int] = {}
-                    said = pieces_of(t, marks) if t else []
+                    said = words_of(t) if t else []
                     at = list(map(index.get, said))
+                    # Words that aren't pieces of the dictionary are parted; what it lacks then is rare.
                     if None in at:
-                        at = [own.setdefault(p, -1 - len(own)) if i is None else i for p, i in zip(said, at, strict=True)]
+                        more = []
+                        for w, i in zip(said, at, strict=True):
+                            if i is None:
+                                for p in parted(w, marks):
+                                    i = index.get(p)
+                                    more.append(own.setdefault(p, -1 - len(own)) if i is None else i)
+                            else:
+                                more.append(i)
+                        at = more
                     codes.append(np.array(at, dtype=np.int32))
                     rare.append(list(own))
                 ends = np.cumsum([0] + [len(c) for c in codes])
