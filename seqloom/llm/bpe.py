@@ -35,7 +35,7 @@ LONGEST = 64
 #: Distinct runs that a task counts at a time; then it starts anew.
 COUNTED = 200_000
 #: Runs whose ids a Python worker keeps; then it forgets those that it hasn't met lately.
-KEPT = 200_000
+KEPT = 300_000
 #: Buckets of the literal rank map.
 BUCKETS = 1 << 15
 _NONE, _TOKEN = 1 << 30, 1 << 25
@@ -71,7 +71,7 @@ def words_of(text: str) -> list[str]:
             head = "" if last else part[-1]
         else:
             out += (head + part).replace("\n", _MARK + "\n" + _MARK).replace(" ", _MARK + " ").split(_MARK)
-    return [w for w in out if w]
+    return list(filter(None, out))
 
 
 def pair_ranks(ranks: dict[bytes, int]) -> dict[int, int]:
