@@ -116,7 +116,7 @@ def words_of(text: str) -> list[str]:
     if _MARK in text:
         return [text]
     if not _RUN.search(text):
-        return [w for w in text.replace("\n", _MARK + "\n" + _MARK).replace(" ", _MARK + " ").split(_MARK) if w]
+        return list(filter(None, text.replace("\n", _MARK + "\n" + _MARK).replace(" ", _MARK + " ").split(_MARK)))
     out, head = [], ""
     for i, part in enumerate(_RUN.split(text)):
         if i % 2:
@@ -129,7 +129,7 @@ def words_of(text: str) -> list[str]:
         out += cut
     if head:
         out.append(head)
-    return [w for w in out if w]
+    return list(filter(None, out))
 
 
 def parted(word: str, marks: str) -> tuple[str, ...]:
