@@ -115,22 +115,25 @@ def dipeptide_index(sequence: Column, weights: dict[str, float], default: float
     return F.lit(10.0) / F.length(sequence) * F.when(F.length(sequence) > 1, value).otherwise(0.0)
 
 
-def net_charge(sequence: Column, ph: Column | float = 7.0) -> Column:
-    """Charge by Henderson and Hasselbalch: closed form in residue counts."""
-    ph = F.lit(ph) if isinstance(ph, float) else ph
+def _charge(count, ph: Column) -> Column:
+    """net_charge, of a function that gives the count of a residue."""
     up = lambda pk: F.lit(1.0) / (F.pow(F.lit(10.0), ph - F.lit(pk)) + 1.0)
     down = lambda pk: F.lit(1.0) / (F.pow(F.lit(10.0), F.lit(pk) - ph) + 1.0)
     charge = up(PK_N_TERM) - down(PK_C_TERM)
     for residue, pk in PK_POSITIVE.items():
-        charge = charge + count_of(sequence, residue) * up(pk)
+        charge = charge + count(residue) * up(pk)
     for residue, pk in PK_NEGATIVE.items():
-        charge = charge - count_of(sequence, residue) * down(pk)
+        charge = charge - count(residue) * down(pk)
     return charge
 
 
-def isoelectric_point(sequence: Column, steps: int = 40) -> Column:
-    """The pH in 0 to 14 of no net charge, by a fixed number of halvings."""
-    counts = F.struct(*[count_of(sequence, r).alias(r) for r in (*PK_POSITIVE, *PK_NEGATIVE)])
+def net_charge(sequence: Column, ph: Column | float = 7.0) -> Column:
+    """Charge by Henderson and Hasselbalch: closed form in residue counts."""
+    return _charge(lambda r: count_of(sequence, r), F.lit(ph) if isinstance(ph, float) else ph)
+
+
+def _point(counts: Column, steps: int = 40) -> Column:
+    """isoelectric_point, of a struct of residue counts."""
 
     def charge(ph: Column, n: Column) -> Column:
         term = F.lit(1.0) / (F.pow(F.lit(10.0), ph - PK_N_TERM) + 1.0) - F.lit(1.0) / (F.pow(F.lit(10.0), F.lit(PK_C_TERM) - ph) + 1.0)
@@ -150,6 +153,11 @@ def isoelectric_point(sequence: Column, steps: int = 40) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve, lambda s: (s["low"] + s["high"]) / 2)
 
 
+def isoelectric_point(sequence: Column, steps: int = 40) -> Column:
+    """The pH in 0 to 14 of no net charge, by a fixed number of halvings."""
+    return _point(F.struct(*[count_of(sequence, r).alias(r) for r in (*PK_POSITIVE, *PK_NEGATIVE)]), steps)
+
+
 def finite(value: Column) -> Column:
     """value as a double, NULL unless it is a finite number (unparsable text too). The value is worked out once."""
     number = lambda x: F.when(F.abs(x) < float("inf"), x)  # noqa: E731 - NaN is greater than all numbers
@@ -162,23 +170,34 @@ def imputed(value: Column, default: float = 0.0) -> Column:
 
 
 def properties(sequence: Column, weights: dict[str, float]) -> Column:
-    """struct of the six properties; all 0.0 for sequences with other than standard residues, NULL where not finite."""
-    values = {
-        "aromaticity": aromaticity(sequence),
-        "charge_at_pH_7": net_charge(sequence),
-        "gravy": gravy(sequence),
-        "instability_index": dipeptide_index(sequence, weights),
-        "isoelectric_point": isoelectric_point(sequence),
-        "molecular_weight": molecular_weight(sequence),
-    }
-    return F.struct(*[F.when(standard(sequence), finite(v)).otherwise(F.lit(0.0)).alias(k) for k, v in values.items()])
+    """struct of the six properties; all 0.0 for sequences with other than standard residues, NULL where not finite. A row's residues are counted once."""
+    known = standard(sequence)
+    counts = [count_of(sequence, r).alias(r) for r in RESIDUES]
+    pairs = F.when(known, dipeptide_index(sequence, weights))
+    facts = F.struct(*counts, F.length(sequence).alias("length"), pairs.alias("pairs"), known.alias("known"))
+
+    def of(n: Column) -> Column:
+        summed = lambda scale: functools.reduce(lambda a, b: a + b, [n[r] * F.lit(float(v)) for r, v in scale.items()])
+        values = {
+            "aromaticity": (n["F"] + n["W"] + n["Y"]) / n["length"],
+            "charge_at_pH_7": _charge(lambda r: n[r], F.lit(7.0)),
+            "gravy": summed(HYDROPATHY) / n["length"],
+            "instability_index": n["pairs"],
+            "isoelectric_point": _point(n),
+            "molecular_weight": summed(MASS) + F.lit(WATER),
+        }
+        return F.struct(*[F.when(n["known"], finite(v)).otherwise(F.lit(0.0)).alias(k) for k, v in values.items()])
+
+    return F.get(F.transform(F.array(facts), of), F.lit(0))
 
 
 def residue_features(sequence: Column, volume: dict[str, float] | None = None) -> Column:
-    """array<struct<hydrophobicity, polarity, volume>>, one a residue; unknown residues are 0.0. The volume scale is an input."""
-    h, p, v = scale_map(HYDROPATHY), scale_map(POLARITY), scale_map(volume or {"A": 0.0})
-    get = lambda t, c: F.coalesce(F.try_element_at(t, c), F.lit(0.0))
-    return F.transform(letters(sequence), lambda c: F.struct(get(h, c).alias("hydrophobicity"), get(p, c).alias("polarity"), get(v, c).alias("volume")))
+    """array<struct<hydrophobicity, polarity, volume>>, one a residue; unknown residues are 0.0. The volume scale is an input. A residue's values are places of literal arrays."""
+    scales = {"hydrophobicity": HYDROPATHY, "polarity": POLARITY, "volume": volume or {"A": 0.0}}
+    alphabet = sorted({r for scale in scales.values() for r in scale if len(r) == 1})
+    table = lambda scale: F.array(F.lit(0.0), *[F.lit(float(scale.get(r, 0.0))) for r in alphabet])
+    place = F.transform(letters(sequence), lambda c: F.instr(F.lit("".join(alphabet)), c))
+    return F.transform(place, lambda i: F.struct(*[F.get(table(scale), i).alias(k) for k, scale in scales.items()]))
 
 
 def tokens(sequence: Column) -> Column:

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType, IntegerType, NumericType, StructField, StructType
 
 from seqloom.functions import sequences as S
 from seqloom.operators import moments as moments_of
 from seqloom.operators.integrate import LABEL_DOMAINS, has_domain
-from seqloom.storage import free_name, is_small, saved
+from seqloom.storage import free_name, is_small, saved, ship
 
 STD_FLOOR = 1e-7
 PROPERTIES = ("molecular_weight", "aromaticity", "instability_index", "isoelectric_point", "gravy", "charge_at_pH_7")
@@ -36,17 +40,23 @@ def protein_stats(df: DataFrame) -> DataFrame:
     return df.agg(mean.alias("protein_mean"), std.alias("protein_std"))
 
 
-def residue_states(df: DataFrame) -> DataFrame:
-    """df's rows as a state (moments.folded) of each residue value, over the positions below sequence_length; missing values are skipped."""
+def _residue_lists(df: DataFrame) -> list[Column]:
+    """The six lists of residue values of a row, as doubles; texts that aren't numbers are NULL."""
     first = F.get(F.col("structural_features"), F.lit(0))
+    lists = [F.col("residue_features")[c] for c in RESIDUE[:3]] + [first["dssp_residue_details"][c] for c in RESIDUE[3:]]
+    kinds = df.select(*[c.alias(str(i)) for i, c in enumerate(lists)]).schema
+    number = lambda f: isinstance(f.dataType.elementType, NumericType)
+    return [c.cast("array<double>") if number(f) else F.transform(c, S.finite) for c, f in zip(lists, kinds, strict=True)]
+
+
+def residue_states(df: DataFrame) -> DataFrame:
+    """Batches of df's rows as a state (moments.list_states) of each residue value, over the positions below sequence_length; missing values are skipped."""
     n = F.greatest(F.coalesce(F.col("sequence_length"), F.lit(0)).cast("int"), F.lit(0))
-    lists = {c: F.col("residue_features") for c in RESIDUE[:3]} | {c: first["dssp_residue_details"] for c in RESIDUE[3:]}
-    values = lambda c: F.transform(F.slice(lists[c], F.lit(1), n), lambda r: S.finite(r[c]))
-    return df.select(*[moments_of.folded(values(c)).alias(c) for c in RESIDUE])
+    return moments_of.list_states(df.select(*[F.slice(c, F.lit(1), n).alias(name) for name, c in zip(RESIDUE, _residue_lists(df), strict=True)]))
 
 
 def residue_stats(df: DataFrame) -> DataFrame:
-    """One row of residue_mean and residue_std. Rows are folded in place and their states merged: no row a residue is made."""
+    """One row of residue_mean and residue_std. Batches of rows are folded to states and these merged: no row a residue is made."""
     one = moments_of.merge_rows(residue_states(df), list(RESIDUE))
     mean = F.array(*[moments_of.mean_of(F.col(c), 0.0) for c in RESIDUE])
     std = F.array(*[F.greatest(moments_of.deviation_of(F.col(c), 0.0), F.lit(STD_FLOOR)) for c in RESIDUE])
@@ -71,33 +81,81 @@ def repaired(rows: Column, n: Column, pad: Column) -> Column:
     return F.concat(F.slice(rows, F.lit(1), n), F.array_repeat(pad, F.greatest(n - F.size(rows), F.lit(0))))
 
 
+#: Positions whose features are made at a time, or one row's.
+POSITIONS = 1 << 19
+#: Token by code point; all from 128 on are unknown.
+TOKENS = np.array([S.RESIDUES.find(chr(i)) + 1 or S.UNKNOWN for i in range(129)], dtype=np.int32)
+
+
+def _laid(values: np.ndarray, sizes: np.ndarray, n: np.ndarray, missing: float) -> np.ndarray:
+    """Lists of the given sizes, one after another, cut or filled with `missing` to n elements each."""
+    if np.array_equal(sizes, n):
+        return values
+    k = np.minimum(sizes, n)
+    row, within = np.repeat(np.arange(len(k)), k), np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+    out = np.full(n.sum(), missing, dtype=values.dtype)
+    out[(np.cumsum(n) - n)[row] + within] = values[(np.cumsum(sizes) - sizes)[row] + within]
+    return out
+
+
+def _sizes(column: pa.ListArray) -> np.ndarray:
+    return pc.fill_null(pc.list_value_length(column), 0).to_numpy().astype(np.int64)
+
+
+def _featurised_part(b: pa.RecordBatch, n: np.ndarray, names: list[str]) -> pa.RecordBatch:
+    """The features of some rows of n residues each."""
+    codes = np.frombuffer("".join(b.column("letters").to_pylist()).encode("utf-32-le"), dtype=np.uint32)
+    mean, std = (moments_of.numbers_of(b.column(c).slice(0, 1)) for c in ("residue_mean", "residue_std"))
+    out = np.zeros((n.sum(), len(RESIDUE) + len(S.STRUCTURE_CLASSES)), dtype=np.float32)
+    with np.errstate(over="ignore"):
+        for i, c in enumerate(RESIDUE):
+            x = _laid(moments_of.numbers_of(b.column(c)), _sizes(b.column(c)), n, 0.0)
+            out[:, i] = (np.where(np.isfinite(x), x, 0.0) - mean[i]) / std[i]
+    kinds = b.column("kinds")
+    kind = pc.fill_null(pc.index_in(kinds.flatten(), value_set=pa.array(S.STRUCTURE_CLASSES)), -1).to_numpy(zero_copy_only=False)
+    kind = _laid(kind, _sizes(kinds), n, S.STRUCTURE_CLASSES.index("-"))
+    known = np.flatnonzero(kind >= 0)
+    out[known, len(RESIDUE) + kind[known]] = 1.0
+    ends = pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32))
+    rows = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1, dtype=np.int32) * out.shape[1]), pa.array(out.ravel()))
+    tokens = pa.ListArray.from_arrays(ends, pa.array(TOKENS[np.minimum(codes, 128)]))
+    return pa.RecordBatch.from_arrays([b.column("uniprot_id"), tokens, pa.ListArray.from_arrays(ends, rows), b.column("protein_features"), b.column("gelation")], names)
+
+
 def featurised(df: DataFrame, stats_row: DataFrame, keep_empty: bool = False) -> DataFrame:
     """(uniprot_id, sequence array<int>, residue_features L x 14, protein_features 13, gelation 0/1).
 
     Missing values are 0.0 before they are normalised. Rows without a sequence are left out, or (keep_empty)
-    have empty lists, zero vectors and label 0.
+    have empty lists, zero vectors and label 0. Values of residues are put side by side in numpy, some rows at a time.
     """
+    ship(df.sparkSession)
     seq = F.coalesce(F.col("sequence"), F.lit(""))
-    joined = df.crossJoin(F.broadcast(stats_row))  # one row
-    details = F.get(F.col("structural_features"), F.lit(0))["dssp_residue_details"]
-
-    def at(i: Column) -> Column:
-        r, d = F.get(F.col("residue_features"), i), F.get(details, i)
-        continuous = F.array(*[S.imputed(r[c]) for c in RESIDUE[:3]], *[S.imputed(d[c]) for c in RESIDUE[3:]])
-        kind = F.when(d.isNull(), F.lit("-")).otherwise(d["secondary_structure"])
-        return F.concat(zscore(continuous, F.col("residue_mean"), F.col("residue_std")), S.one_hot(kind).cast("array<double>")).cast("array<float>")
-
     n = F.length(seq)
-    index = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    joined = (df if keep_empty else df.where(n > 0)).crossJoin(F.broadcast(stats_row))  # one row
+    details = F.get(F.col("structural_features"), F.lit(0))["dssp_residue_details"]
+    kinds = F.transform(details, lambda d: F.when(d.isNull(), F.lit("-")).otherwise(d["secondary_structure"]))
     protein = zscore(F.array(*protein_values(0.0)), F.col("protein_mean"), F.col("protein_std")).cast("array<float>")
-    out = joined.select(
-        "uniprot_id",
-        S.tokens(seq).alias("sequence"),
-        F.transform(index, at).alias("residue_features"),
+    flat = joined.select(
+        "uniprot_id", seq.alias("letters"), *[c.alias(name) for name, c in zip(RESIDUE, _residue_lists(df), strict=True)], kinds.cast("array<string>").alias("kinds"), "residue_mean", "residue_std",
         F.when(n > 0, protein).otherwise(F.array_repeat(F.lit(0.0).cast("float"), 13)).alias("protein_features"),
         F.when((F.col("gelation") == "yes") & (n > 0), 1.0).otherwise(0.0).cast("float").alias("gelation"),
-    )
-    return out if keep_empty else out.where(F.size("sequence") > 0)
+    )
+    floats = ArrayType(FloatType())
+    schema = StructType([df.schema["uniprot_id"], StructField("sequence", ArrayType(IntegerType())), StructField("residue_features", ArrayType(floats)), StructField("protein_features", floats), StructField("gelation", FloatType())])
+
+    def scan(batches):
+        for b in batches:
+            sizes = pc.utf8_length(b.column("letters")).to_numpy().astype(np.int64)
+            start, held = 0, 0
+            for i, size in enumerate(sizes):
+                if i > start and held + size > POSITIONS:
+                    yield _featurised_part(b.slice(start, i - start), sizes[start:i], schema.names)
+                    start, held = i, 0
+                held += size
+            if len(sizes):
+                yield _featurised_part(b.slice(start), sizes[start:], schema.names)
+
+    return flat.mapInArrow(scan, schema)
 
 
 def batches(df: DataFrame, index: str, size: int, length: str | Column = "sequence") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.functions import sequences as S
+from seqloom.storage import is_small
 
 # The domains and thresholds of the label rule.
 LABEL_DOMAINS = ("PF00190", "PF04702", "PF00234")
@@ -42,23 +43,36 @@ def label(domains: Column, structures: Column, gravy: Column, instability: Colum
     return F.when(by_domain | by_sheet | by_values, "yes").otherwise("no")
 
 
-def integrate(proteins: DataFrame, domains: DataFrame, structures: DataFrame, weights: dict[str, float], volume: dict[str, float] | None = None) -> DataFrame:
-    """The integrated table: proteins (read_records) with properties, residue features, lists and label.
-
-    domains: a row a hit, with uniprot_id; structures: a row a (uniprot_id, structure). Lists are ordered, so
-    that "the first structure" means the one of the smallest pdb_id.
-    """
+def joined(proteins: DataFrame, domains: DataFrame, structures: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """The integrated table without its residue features. Lists are made only of rows that have a protein."""
+    ids = proteins.select("uniprot_id").distinct()
+    ids = F.broadcast(ids) if is_small(ids) else ids
+    domains, structures = (df.join(ids, "uniprot_id", "left_semi") for df in (domains, structures))
     hits = as_lists(domains, "uniprot_id", ["start"], "domains").withColumn("domains", F.expr("CAST(domains AS array<struct<" + ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in domains.schema if f.name != "uniprot_id") + ">>)"))
     shapes = as_lists(structures, "uniprot_id", ["pdb_id"], "structural_features")
-    seq = F.col("sequence")
     # Lists are joined first: a row a residue of values doesn't go through a shuffle.
     out = left_lists(left_lists(proteins, hits, "uniprot_id", "domains"), shapes, "uniprot_id", "structural_features")
-    out = out.withColumn("physicochemical_properties", S.properties(seq, weights)).withColumn("residue_features", S.residue_features(seq, volume))
+    out = out.withColumn("physicochemical_properties", S.properties(F.col("sequence"), weights))
     p = F.col("physicochemical_properties")
     out = out.withColumn("gelation", label(F.col("domains"), F.col("structural_features"), p["gravy"], p["instability_index"]))
     return out.withColumn("uniprot_id_prefix", S.prefix_key(F.col("uniprot_id")))
 
 
+def integrate(proteins: DataFrame, domains: DataFrame, structures: DataFrame, weights: dict[str, float], volume: dict[str, float] | None = None) -> DataFrame:
+    """The integrated table: proteins (read_records) with properties, residue features, lists and label.
+
+    domains: a row a hit, with uniprot_id; structures: a row a (uniprot_id, structure). Lists are ordered, so
+    that "the first structure" means the one of the smallest pdb_id.
+    """
+    return with_residues(joined(proteins, domains, structures, weights), volume)
+
+
+def with_residues(table: DataFrame, volume: dict[str, float] | None = None) -> DataFrame:
+    """joined's table with the residue features, in the columns' usual order."""
+    out = table.withColumn("residue_features", S.residue_features(F.col("sequence"), volume))
+    return out.select(*table.columns[:-2], "residue_features", *table.columns[-2:])
+
+
 def summary(integrated: DataFrame) -> DataFrame:
     """One row: rows, rows without a structure, rows labelled yes."""
     return integrated.agg(

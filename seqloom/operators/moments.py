@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqloom.storage import free_name
+from seqloom.storage import free_name, ship
 
 _PARTS = ("n", "mean", "m2")
 
@@ -64,6 +64,7 @@ def merge_rows(df: DataFrame, states: list[str]) -> DataFrame:
 
     A task merges its rows to one; these, a row a task, are merged in the order of tasks.
     """
+    ship(df.sparkSession)
     flat = df.select(*[F.col(s)[p].alias(f"{s}_{p}") for s in states for p in _PARTS])
     names, kinds = flat.columns, {"n": "long", "mean": "double", "m2": "double"}
 
@@ -84,6 +85,35 @@ def merge_rows(df: DataFrame, states: list[str]) -> DataFrame:
     return one.select(*[F.aggregate(of(s), _empty(), merged).alias(s) for s in states])
 
 
+def numbers_of(column: pa.ListArray) -> np.ndarray:
+    """All elements of a column of lists of doubles, one after another; null ones as NaN."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+
+
+def _state_of(x: np.ndarray) -> tuple[int, float, float]:
+    """The state of the finite values of x; distances are taken from the first, so that equal values give 0."""
+    x = x[np.isfinite(x)]
+    if not len(x):
+        return 0, 0.0, 0.0
+    d = x - x[0]
+    mean = d.mean()
+    return len(x), x[0] + mean, float(np.square(d - mean).sum())
+
+
+def list_states(df: DataFrame) -> DataFrame:
+    """df's columns, lists of doubles, as states of all their elements, in numpy: a row a batch of rows. Missing, NaN and infinite ones are skipped."""
+    ship(df.sparkSession)
+    names = df.columns
+
+    def fold(batches):
+        for b in batches:
+            states = [_state_of(numbers_of(b.column(i))) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays([pa.array([v]) for s in states for v in s], [f"{c}_{p}" for c in names for p in _PARTS])
+
+    rows = df.mapInArrow(fold, ", ".join(f"`{c}_n` long, `{c}_mean` double, `{c}_m2` double" for c in names))
+    return rows.select(*[_state(*(F.col(f"{c}_{p}") for p in _PARTS)).alias(c) for c in names])
+
+
 def mean_of(state: Column, empty: float | None = None) -> Column:
     """The mean; `empty` where there is no value."""
     return F.when(state["n"] > 0, state["mean"]).otherwise(F.lit(empty).cast("double"))

@@ -476,4 +476,8 @@ def integrated_table(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_orderkey").cast("string").alias("uniprot_id"), F.col("l_suppkey").cast("string").alias("pdb_id"), F.lit(20.0).alias("helix_percentage"),
         F.col("l_quantity").alias("sheet_percentage"), (F.lit(80.0) - F.col("l_quantity")).alias("coil_percentage"), F.array(shape, shape).alias("dssp_residue_details"),
     )
-    return integrate.integrate(proteins, hits, structures, DIPEPTIDES)
+    # Statistics and features read what is cleaned, listed and counted once; residue features are made from it where they are read.
+    proteins = storage.saved(proteins, "proteins")
+    table = storage.saved(integrate.joined(proteins, hits, structures, DIPEPTIDES), "integrated")
+    storage.forget(proteins)
+    return integrate.with_residues(table)
