@@ -234,6 +234,20 @@ def query_id(name: Column) -> Column:
     return F.when((F.size(parts) >= 3) & F.get(parts, F.lit(0)).isin("sp", "tr"), F.get(parts, F.lit(1))).otherwise(name)
 
 
+def number_text(value: Column) -> Column:
+    """A double as SQL writes it: its shortest digits, with a point from 0.0001 up to below 1e16 and as 1e+16 beyond; the sign of -0.0 stays."""
+    java = value.cast("double").cast("string")
+    size = F.abs(value.cast("double"))
+    sign = F.when(java.startswith("-"), "-").otherwise("")
+    # 17 digits before the point and 21 behind it hold all digits of doubles in this range.
+    digits = F.regexp_replace(F.ltrim(java, F.lit("-")).try_cast("decimal(38,21)").cast("string"), r"0+$", "")
+    plain = F.concat(sign, digits, F.when(digits.endswith("."), "0").otherwise(""))
+    power = F.substring_index(java, "E", -1).try_cast("int")
+    two = F.lpad(F.abs(power).cast("string"), 2, "0")
+    short = F.concat(F.regexp_replace(F.substring_index(java, "E", 1), r"\.0$", ""), F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.when(F.abs(power) < 100, two).otherwise(F.abs(power).cast("string")))
+    return F.when(F.isnan(value) | (size == float("inf")), F.replace(F.lower(java), F.lit("infinity"), F.lit("inf"))).when((size == 0) | (size >= 1e-4) & (size < 1e16), plain).otherwise(short)
+
+
 def accession_root(accession: Column) -> Column:
     return F.substring_index(accession, ".", 1)
 
