@@ -180,7 +180,7 @@ def id_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("c_custkey").alias("id"), S.first_accession(F.concat(name, F.lit(";x"))).alias("first_part"),
         S.taxonomy_id(F.concat(F.lit("NCBI_TaxID="), F.col("c_custkey").cast("string"), F.lit(" x"))).alias("tax"),
         S.query_id(F.concat(F.lit("sp|"), name, F.lit("|y"))).alias("query_id"),
-        S.accession_root(F.col("c_acctbal").cast("decimal(12,2)").cast("string")).alias("root"), S.prefix_key(F.col("c_mktsegment")).alias("prefix"),
+        S.accession_root(S.number_text(F.col("c_acctbal"))).alias("root"), S.prefix_key(F.col("c_mktsegment")).alias("prefix"),
     )
 
 
@@ -466,7 +466,9 @@ def model_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def integrated_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in the integrated schema; an order's line items stand for domain hits (odd numbers) and structures (even ones)."""
     only = F.regexp_replace("sequence", f"[^{S.RESIDUES}]", "")
-    proteins = integrate.from_documents(_table(spark, sf_dir, "documents")).select("uniprot_id", only.alias("sequence")).where("sequence <> ''")
+    # Texts are spread first, as one file of a few groups of rows would keep few tasks busy.
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id")
+    proteins = integrate.from_documents(documents).select("uniprot_id", only.alias("sequence")).where("sequence <> ''")
     proteins = proteins.select("uniprot_id", "sequence", F.length("sequence").cast("long").alias("sequence_length"), F.lit("Unknown").alias("organism"), F.lit(None).cast("string").alias("taxonomy_id"))
     li = _table(spark, sf_dir, "lineitem")
     name = F.element_at(F.array(*map(F.lit, integrate.LABEL_DOMAINS), F.lit("PF00001")), (F.col("l_partkey") % 4 + 1).cast("int"))
