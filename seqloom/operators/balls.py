@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.storage import forget, is_small, saved, ship
@@ -24,7 +24,9 @@ CHILDREN, LEAF, LEVELS = 16, 2_000, 12
 SLACK = 1e-6
 #: Bytes of vectors, or of centres, up to which they are broadcast; more are shuffled.
 BROADCAST_BYTES = 64 << 20
-#: Pairs of vectors that a task compares, about.
+#: Groups of leaves whose pairs are tiles, at least, and vectors of a group, at most about.
+GROUPS, GROUP_MEMBERS = 24, 100_000
+#: Pairs of vectors that a task compares, about, where blocks are broadcast.
 WORK = 50_000_000
 
 
@@ -150,34 +152,77 @@ def blocks(members: DataFrame, leaves: DataFrame, leaf: int, columns: list[str])
     return at.groupBy("ball", "piece").agg(F.collect_list(F.struct("id", "u", *columns)).alias("rows"))
 
 
+def _tiles(balls: Balls, pairs: DataFrame) -> DataFrame:
+    """pairs (x, y) of leaves with a tile: leaves are put in the tree's order into groups of like numbers of members, and a tile is a pair of groups.
+
+    A vector is copied once a tile, so no more often than there are groups: GROUPS of them, and more only where a group would be too large for a task.
+    """
+    total = balls.leaves.agg(F.sum("n")).first()[0] or 1
+    groups = max(GROUPS, -(-total // GROUP_MEMBERS))
+    order = Window.orderBy("ball").rowsBetween(Window.unboundedPreceding, -1)  # a row a leaf
+    group = F.floor(F.coalesce(F.sum("n").over(order), F.lit(0)) * F.lit(groups) / F.lit(total)).cast("long")
+    of = saved(balls.leaves.select("ball", group.alias("g")), "groups")
+    side = lambda k: (lambda df: F.broadcast(df) if is_small(of) else df)(of.select(F.col("ball").alias(k), F.col("g").alias(f"g{k}")))
+    tile = F.least("gx", "gy") * F.lit(groups + 1) + F.greatest("gx", "gy")
+    return pairs.select("x", "y").join(side("x"), "x").join(side("y"), "y").select(tile.alias("tile"), "x", "y")
+
+
 def compared(balls: Balls, pairs: DataFrame, members: DataFrame, leaf: int, columns: list[str], schema: str, f: Callable) -> DataFrame:
     """f's record batches for each pair of blocks of the leaves in pairs (x, y, nx, ny).
 
     f takes (ids, units, columns' values) of both sides, and whether they are one block. members: id, u, ball and columns. Blocks are broadcast if all of them are
-    small, otherwise joined by shuffle; a vector is copied once a pair of blocks that its own is in.
+    small; otherwise a task gets the pairs of a tile (_tiles) and each of its blocks once.
     """
     ship(members.sparkSession)
-    work = pairs.agg(F.sum(F.col("nx").cast("double") * F.col("ny"))).first()[0] or 0.0
     packed = saved(blocks(members, balls.leaves, leaf, columns), "blocks")
-    small = _small(balls.leaves.agg(F.sum("n")).first()[0] or 0, balls.width)
-    side = lambda k: (lambda df: F.broadcast(df) if small else df)(packed.select(F.col("ball").alias(k), F.col("piece").alias(f"p{k}"), F.col("rows").alias(f"r{k}")))
-    parts = int(min(10_000, max(1, work // WORK + 1)))
-    spread = pairs.select("x", "y").repartition(max(parts, members.sparkSession.sparkContext.defaultParallelism), F.xxhash64("x", "y"))
-    both = spread.join(side("x"), "x").join(side("y"), "y").where("x <> y OR px <= py")
-    both = both.select("rx", "ry", ((F.col("x") == F.col("y")) & (F.col("px") == F.col("py"))).alias("same"))
     width = balls.width
 
     def side_of(rows):
         u = rows.field("u").flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
         return rows.field("id").to_numpy(zero_copy_only=False), u, {c: rows.field(c) for c in columns}
 
-    def compare(batches):
+    if _small(balls.leaves.agg(F.sum("n")).first()[0] or 0, width):
+        work = pairs.agg(F.sum(F.col("nx").cast("double") * F.col("ny"))).first()[0] or 0.0
+        side = lambda k: F.broadcast(packed.select(F.col("ball").alias(k), F.col("piece").alias(f"p{k}"), F.col("rows").alias(f"r{k}")))
+        parts = int(min(10_000, max(1, work // WORK + 1)))
+        spread = pairs.select("x", "y").repartition(max(parts, members.sparkSession.sparkContext.defaultParallelism), F.xxhash64("x", "y"))
+        both = spread.join(side("x"), "x").join(side("y"), "y").where("x <> y OR px <= py")
+        both = both.select("rx", "ry", ((F.col("x") == F.col("y")) & (F.col("px") == F.col("py"))).alias("same"))
+
+        def compare(batches):
+            for b in batches:
+                for i in range(b.num_rows):
+                    x, y = (side_of(b.column(c).slice(i, 1).flatten()) for c in ("rx", "ry"))
+                    yield from f(x, y, b.column("same")[i].as_py())
+
+        out = both.mapInArrow(compare, schema)
+        out._blocks = packed
+        return out
+
+    tiles = saved(_tiles(balls, pairs), "tiles")
+    wanted = tiles.select("tile", F.explode(F.array("x", "y")).alias("ball")).distinct()
+    # The blocks of a tile come before its pairs.
+    first = wanted.join(packed, "ball").select("tile", F.lit(0).alias("kind"), F.col("ball").alias("x"), F.col("piece").cast("long").alias("y"), "rows")
+    both = first.unionByName(tiles.select("tile", F.lit(1).alias("kind"), "x", "y"), allowMissingColumns=True)
+    parts = max(tiles.select("tile").distinct().count(), 1)
+    both = both.repartition(min(parts, 10_000), "tile").sortWithinPartitions("tile", "kind")
+
+    def compare_tiles(batches):
+        tile, held = None, {}
         for b in batches:
+            of, kind, x, y = (b.column(c).to_pylist() for c in ("tile", "kind", "x", "y"))
             for i in range(b.num_rows):
-                x, y = (side_of(b.column(c).slice(i, 1).flatten()) for c in ("rx", "ry"))
-                yield from f(x, y, b.column("same")[i].as_py())
-
-    out = both.mapInArrow(compare, schema)
+                if of[i] != tile:
+                    tile, held = of[i], {}
+                if kind[i] == 0:
+                    held.setdefault(x[i], []).append((y[i], side_of(b.column("rows").slice(i, 1).flatten())))
+                    continue
+                for p, one in held[x[i]]:
+                    for q, other in held[y[i]]:
+                        if x[i] != y[i] or p <= q:
+                            yield from f(one, other, x[i] == y[i] and p == q)
+
+    out = both.mapInArrow(compare_tiles, schema)
     out._blocks = packed
     return out
 
