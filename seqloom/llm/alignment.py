@@ -30,6 +30,8 @@ DICTIONARY = 300_000
 LONGEST = 48
 #: Distinct pieces that a task counts, and pairs that it gathers, at a time.
 COUNTED, GATHERED = 300_000, 4_000_000
+#: Written groups that the driver parses at a time.
+PARSED = 20_000
 #: Characters of text that a task takes at a time, about; a longer text is taken by itself.
 SLICE = 1 << 20
 
@@ -50,6 +52,22 @@ def _byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def _marks(model) -> str:
+    """The marks that a sentencepiece model's entries never join to a letter or digit before them; one with entries over the places where texts are cut is refused."""
+    # Two characters that no entry has side by side are never merged: between them B's tokens end.
+    own = [model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))]
+    if any("\n" in p or any(x != "▁" and y == "▁" for x, y in zip(p, p[1:])) for p in own):  # noqa: B905
+        raise ValueError("the second vocabulary has entries over a line feed or the end of a word")
+    return "".join(m for m in _MARKS if not any(x in _ALNUM and y == m for p in own for x, y in zip(p, p[1:])))  # noqa: B905
+
+
+def marks_of(b_path: str) -> str:
+    """_marks() of a model's file; the driver loads neither tokenizer whole."""
+    from sentencepiece import SentencePieceProcessor
+
+    return _marks(SentencePieceProcessor(model_file=b_path))
+
+
 class Tokenizers:
     """A byte-level tokenizer (A: a file of the tokenizers library) and one of pieces (B: a sentencepiece model), for pieces of texts."""
 
@@ -64,11 +82,7 @@ class Tokenizers:
         self.a_bytes = {i: bytes(byte_of[c] for c in t) if all(c in byte_of for c in t) else t.encode() for t, i in self.a.get_vocab(with_added_tokens=True).items()}
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        # Two characters that no entry has side by side are never merged: between them B's tokens end.
-        own = [p for i, p in enumerate(pieces) if not (self.b.is_byte(i) or self.b.is_control(i) or self.b.is_unknown(i))]
-        if any("\n" in p or any(x != "▁" and y == "▁" for x, y in zip(p, p[1:])) for p in own):  # noqa: B905
-            raise ValueError("the second vocabulary has entries over a line feed or the end of a word")
-        self.marks = "".join(m for m in _MARKS if not any(x in _ALNUM and y == m for p in own for x, y in zip(p, p[1:])))  # noqa: B905
+        self.marks = _marks(self.b)
         # B puts a space before what it encodes: a line feed between keeps that apart.
         self.before = len(self.b.encode("\n"))
         self.ends = self.a.encode("\n", add_special_tokens=False).ids, [self.b.piece_to_id("<0x0A>")]
@@ -290,24 +304,28 @@ def _parsed(said: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class _Known:
-    """The dictionary: numbers and groups of the frequent pieces (None: a tokenizer doesn't give it back), and the numbers of their linked pairs, those of piece i in pairs[ends[i]:ends[i + 1]]."""
-
-    def __init__(self, said: list[str | None]):
-        self.said, self.fine = said, np.array([x is not None for x in said], dtype=bool)
-        piece, codes, _ = _parsed([x for x in said if x is not None])
-        piece = np.flatnonzero(self.fine)[piece]
-        self.codes, number = np.unique(codes, return_inverse=True)
-        both = np.unique(piece * max(1, len(self.codes)) + number)
-        self.pairs = both % max(1, len(self.codes))
-        self.ends = np.concatenate(([0], np.cumsum(np.bincount(both // max(1, len(self.codes)), minlength=len(said)))))
-
-
-def _coded(texts: DataFrame, pieces: list[str], marks: str) -> DataFrame:
+    """The dictionary: groups of the frequent pieces (null: a tokenizer doesn't give it back), and the numbers of their linked pairs, those of piece i in pairs[ends[i]:ends[i + 1]]."""
+
+    def __init__(self, said: pa.Array):
+        self.said, self.fine = said, said.is_valid().to_numpy(zero_copy_only=False)
+        pieces, codes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for at in range(0, len(said), PARSED):
+            piece, code, _ = _parsed(said.slice(at, PARSED).drop_null().to_pylist())
+            piece, code = _distinct(piece, code)
+            pieces.append((at + np.flatnonzero(self.fine[at : at + PARSED])[piece]).astype(np.int32))
+            codes.append(code)
+        found = np.concatenate(codes)
+        self.codes = np.unique(found)
+        self.pairs = np.searchsorted(self.codes, found).astype(np.int32)
+        self.ends = np.concatenate(([0], np.cumsum(np.bincount(np.concatenate(pieces), minlength=len(said)))))
+
+
+def _coded(texts: DataFrame, pieces: pa.ChunkedArray, marks: str) -> DataFrame:
     """(id, codes, rare): each text as numbers of its pieces in the dictionary, or -1 - k for the k-th of its rare ones. Null and empty texts have none."""
     sent, key = texts.sparkSession.sparkContext.broadcast(pieces), uuid.uuid4().hex
 
     def code(batches):
-        index = _kept(("index", key), lambda: dict(zip(sent.value, range(len(sent.value)), strict=True)))
+        index = _kept(("index", key), lambda: dict(zip(sent.value.to_pylist(), range(len(sent.value)), strict=True)))
         for batch in batches:
             for part, some in _slices(batch):
                 codes, rare = [], []
@@ -317,15 +335,15 @@ def _coded(texts: DataFrame, pieces: list[str], marks: str) -> DataFrame:
                     at = list(map(index.get, said))
                     # Words that aren't pieces of the dictionary are parted; what it lacks then is rare.
                     if None in at:
-                        more = []
-                        for w, i in zip(said, at, strict=True):
-                            if i is None:
-                                for p in parted(w, marks):
-                                    i = index.get(p)
-                                    more.append(own.setdefault(p, -1 - len(own)) if i is None else i)
-                            else:
-                                more.append(i)
-                        at = more
+                        more, done = [], 0
+                        for _ in range(at.count(None)):
+                            next_ = at.index(None, done)
+                            more += at[done:next_]
+                            for p in parted(said[next_], marks):
+                                i = index.get(p)
+                                more.append(own.setdefault(p, -1 - len(own)) if i is None else i)
+                            done = next_ + 1
+                        at = more + at[done:]
                     codes.append(np.array(at, dtype=np.int32))
                     rare.append(list(own))
                 ends = np.cumsum([0] + [len(c) for c in codes])
@@ -335,11 +353,25 @@ def _coded(texts: DataFrame, pieces: list[str], marks: str) -> DataFrame:
     return texts.select("id", "text").mapInArrow(code, "id long, codes array<int>, rare array<string>")
 
 
-def _flat(part) -> tuple[np.ndarray, np.ndarray, list]:
-    """Codes of a batch's texts, one behind the other, where each text's end, and the groups of their rare pieces by place (None: there are none)."""
+class _Rare:
+    """The rare pieces of a batch's texts, those of text i in rows ends[i]:ends[i + 1], the k-th at place k: sid, groups (None: there are none) and text."""
+
+    def __init__(self, column: pa.Array):
+        size = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.ends = np.concatenate(([0], np.cumsum(size)))
+        self.text = np.repeat(np.arange(len(size)), size)
+        rows = column.flatten()
+        pos, sid, groups = (rows.field(c) for c in ("pos", "sid", "groups"))
+        by = np.lexsort((pos.to_numpy(), self.text))
+        self.sid, self.groups = sid.to_numpy()[by], groups.take(pa.array(by)).to_pylist()
+        self.none = np.array([x is None for x in self.groups], dtype=bool)
+
+
+def _flat(part) -> tuple[np.ndarray, np.ndarray, _Rare]:
+    """Codes of a batch's texts, one behind the other, where each text's end, and its texts' rare pieces."""
     codes = part.column("codes")
     ends = codes.offsets.to_numpy().astype(np.int64)
-    return codes.flatten().to_numpy(zero_copy_only=False).astype(np.int64), ends - ends[0], part.column("rare").to_pylist()
+    return codes.flatten().to_numpy(zero_copy_only=False).astype(np.int64), ends - ends[0], _Rare(part.column("rare"))
 
 
 def _batches(batches, rows: int = 500):
@@ -348,11 +380,20 @@ def _batches(batches, rows: int = 500):
             yield b.slice(at, rows)
 
 
-def _whole(codes: np.ndarray, ends: np.ndarray, rare: list, known: _Known) -> np.ndarray:
+def _whole(codes: np.ndarray, ends: np.ndarray, rare: _Rare, known: _Known) -> np.ndarray:
     """Which texts both tokenizers give back, and have tokens."""
     bad = np.zeros(len(codes) + 1, dtype=np.int64)
     np.cumsum((codes >= 0) & ~known.fine[np.maximum(codes, 0)] if len(known.fine) else np.zeros(len(codes), bool), out=bad[1:])
-    return (ends[1:] > ends[:-1]) & (bad[ends[1:]] == bad[ends[:-1]]) & np.array([all(x["groups"] is not None for x in r or ()) for r in rare], dtype=bool)
+    return (ends[1:] > ends[:-1]) & (bad[ends[1:]] == bad[ends[:-1]]) & (np.bincount(rare.text[rare.none], minlength=len(ends) - 1) == 0)
+
+
+def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different pairs (a[i], b[i]), in order."""
+    by = np.lexsort((b, a))
+    a, b = a[by], b[by]
+    new = np.ones(len(a), dtype=bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return a[new], b[new]
 
 
 def _pair_counts(work: DataFrame, sent) -> DataFrame:
@@ -360,7 +401,8 @@ def _pair_counts(work: DataFrame, sent) -> DataFrame:
 
     def gather(batches):
         known = sent.value
-        count = np.zeros(len(known.codes), dtype=np.int64)
+        width = len(known.codes)
+        count, slot = np.zeros(width, dtype=np.int64), np.zeros(width, dtype=np.int64)
         others = Counter()
 
         def flush():
@@ -371,23 +413,28 @@ def _pair_counts(work: DataFrame, sent) -> DataFrame:
             fine = _whole(codes, ends, rare, known)
             text = np.repeat(np.arange(len(fine)), np.diff(ends))
             take = fine[text] & (codes >= 0)
-            wide = max(1, len(known.fine))
-            both = np.unique(text[take] * wide + codes[take])
-            text, piece = both // wide, both % wide
+            text, piece = text[take], codes[take]
             size = known.ends[piece + 1] - known.ends[piece]
-            pairs = [np.repeat(text, size) * len(known.codes) + known.pairs[_ranges(known.ends[piece], size)]] if len(piece) else []
-            own = [(i, x["groups"]) for i in np.flatnonzero(fine).tolist() for x in rare[i] or ()]
-            if own:
-                of, found, _ = _parsed([x for _, x in own])
-                row = np.array([i for i, _ in own])[of]
-                at = np.minimum(np.searchsorted(known.codes, found), max(0, len(known.codes) - 1))
-                there = known.codes[at] == found if len(known.codes) else np.zeros(len(found), bool)
-                pairs.append(row[there] * len(known.codes) + at[there])
+            texts, pairs = [np.repeat(text, size)], [known.pairs[_ranges(known.ends[piece], size)] if len(piece) else known.pairs[:0]]
+            own = np.flatnonzero(fine[rare.text])
+            if len(own):
+                of, found, _ = _parsed([rare.groups[i] for i in own.tolist()])
+                row = rare.text[own][of]
+                at = np.minimum(np.searchsorted(known.codes, found), max(0, width - 1))
+                there = known.codes[at] == found if width else np.zeros(len(found), bool)
+                texts.append(row[there])
+                pairs.append(at[there])
                 # Pairs that the dictionary has nowhere: each once a text.
-                other = np.unique(np.stack((row[~there], found[~there]), axis=1), axis=0)[:, 1] if not there.all() else found[:0]
-                others.update(other.tolist())
-            if pairs:
-                count += np.bincount(np.unique(np.concatenate(pairs)) % max(1, len(known.codes)), minlength=len(known.codes))[: len(known.codes)]
+                others.update(_distinct(row[~there], found[~there])[1].tolist())
+            # Each text's pairs count once: of equal ones, that whose place is in the slot.
+            text, pair = np.concatenate(texts), np.concatenate(pairs)
+            pair = pair[np.argsort(text, kind="stable")] if len(texts) > 1 else pair
+            stops = np.cumsum(np.bincount(text, minlength=len(fine))).tolist()
+            place = np.arange(len(pair))
+            for a, z in zip([0, *stops], stops, strict=False):
+                some = pair[a:z]
+                slot[some] = place[a:z]
+                count[some[slot[some] == place[a:z]]] += 1
             if len(others) >= GATHERED:
                 yield flush()
                 others = Counter()
@@ -401,44 +448,40 @@ def _pair_counts(work: DataFrame, sent) -> DataFrame:
 def _assembled(work: DataFrame, sent, keep_groups: bool) -> DataFrame:
     """(row, id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256, groups, rare): each text's numbers; n_best and count_sum without the pieces of rare (sid and times)."""
     names = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
-    rare_kind = pa.list_(pa.struct([("sid", pa.int64()), ("times", pa.int64())]))
 
     def gather(batches):
         known, numbers = sent.value
+        groups = known.said.to_pylist()
         for part in _batches(batches):
             codes, ends, rare = _flat(part)
             fine = _whole(codes, ends, rare, known)
+            text = np.repeat(np.arange(len(fine)), np.diff(ends))
+            # A code below 0 stands for a row of rare, whose numbers follow those of the dictionary; its n_best and count_sum come later.
+            row = np.where(codes < 0, rare.ends[text] - 1 - codes, 0)
+            own = np.flatnonzero(fine[rare.text])
+            of_rare = np.zeros((len(rare.sid), 6), dtype=np.int64)
+            of_rare[own, :4] = _parsed([rare.groups[i] for i in own.tolist()])[2]
+            at_ = np.where(codes >= 0, codes, len(numbers) + row)
             total = np.zeros((len(fine), 6), dtype=np.int64)
-            own = np.zeros(len(codes) + 1, dtype=np.int64)
-            at_ = np.where(codes >= 0, codes, len(numbers) - 1)  # the last row is that of rare pieces: zeros
+            sums = np.zeros(len(codes) + 1, dtype=np.int64)
             for i in range(6):
-                np.cumsum(numbers[:, i][at_], out=own[1:])
-                total[:, i] = np.where(fine, own[ends[1:]] - own[ends[:-1]], 0)
-            _, _, of_rare = _parsed([x["groups"] for i in np.flatnonzero(fine).tolist() for x in rare[i] or ()])
-            used = 0
-            sha, said, others = [], [], []
-            for i in range(len(fine)):
-                if not fine[i]:
-                    sha.append("")
-                    said.append("" if keep_groups else None)
-                    others.append([])
-                    continue
-                at = codes[ends[i] : ends[i + 1]]
-                if rare[i]:
-                    of = {-1 - r["pos"]: r for r in rare[i]}
-                    joined = ";".join([known.said[c] if c >= 0 else of[c]["groups"] for c in at.tolist()])
-                    times = list(zip(*(x.tolist() for x in np.unique(at[at < 0], return_counts=True)), strict=True))
-                    place = {-1 - r["pos"]: used + j for j, r in enumerate(rare[i])}
-                    used += len(rare[i])
-                    for c, n in times:
-                        total[i, :4] += n * of_rare[place[c]]
-                    others.append([{"sid": of[c]["sid"], "times": n} for c, n in times])
-                else:
-                    joined = ";".join(map(known.said.__getitem__, at.tolist()))
-                    others.append([])
-                sha.append(hashlib.sha256(joined.encode()).hexdigest())
-                said.append(joined if keep_groups else None)
-            columns = [part.column("row"), part.column("id"), *[pa.array(np.ascontiguousarray(total[:, i])) for i in range(6)], pa.array(sha, pa.string()), pa.array(said, pa.string()), pa.array(others, rare_kind)]
+                np.cumsum(np.concatenate((numbers[:, i], of_rare[:, i]))[at_], out=sums[1:])
+                total[:, i] = np.where(fine, sums[ends[1:]] - sums[ends[:-1]], 0)
+            sha, said = [""] * len(fine), ["" if keep_groups else None] * len(fine)
+            for i in np.flatnonzero(fine).tolist():
+                # Codes below 0 index from the end.
+                few = rare.groups[rare.ends[i] : rare.ends[i + 1]]
+                groups += few[::-1]
+                joined = ";".join(map(groups.__getitem__, codes[ends[i] : ends[i + 1]].tolist()))
+                if few:
+                    del groups[-len(few) :]
+                sha[i] = hashlib.sha256(joined.encode()).hexdigest()
+                if keep_groups:
+                    said[i] = joined
+            times = np.bincount(row[codes < 0], minlength=len(rare.sid))
+            stops = np.concatenate(([0], np.cumsum(np.bincount(rare.text[own], minlength=len(fine)))))
+            others = pa.StructArray.from_arrays([pa.array(rare.sid[own]), pa.array(times[own])], ["sid", "times"])
+            columns = [part.column("row"), part.column("id"), *[pa.array(np.ascontiguousarray(total[:, i])) for i in range(6)], pa.array(sha, pa.string()), pa.array(said, pa.string()), pa.ListArray.from_arrays(pa.array(stops, pa.int32()), others)]
             yield pa.RecordBatch.from_arrays(columns, ["row", "id", *names, "groups_sha256", "groups", "rare"])
 
     schema = ", ".join(f"{n} long" for n in ("row", "id", *names)) + ", groups_sha256 string, groups string, rare array<struct<sid:long,times:long>>"
@@ -459,7 +502,7 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", t
     """
     ship(docs.sparkSession)
     context = docs.sparkSession.sparkContext
-    marks = Tokenizers(a_path, b_path).marks
+    marks = marks_of(b_path)
     texts = docs.select(column(id_col).cast("long").alias("id"), column(text_col).alias("text"))
 
     encoded = _encoded(texts.select("text"), (a_path, b_path), marks)
@@ -470,9 +513,12 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", t
     numbers = ("n_a", "n_b", "n_groups", "n_links")
     chosen = most_counted(written.where(F.length("piece") <= LONGEST), "n", dictionary).select("sid", "n", "piece", "groups", *numbers).toArrow()
     chosen = chosen.sort_by([("n", "descending"), ("piece", "ascending")])
-    known = _Known(chosen["groups"].to_pylist())
+    # Which pieces were chosen shows by their number and length.
+    often = (F.length("piece") <= LONGEST) & (F.col("n") >= chosen["n"][-1].as_py()) if chosen.num_rows else F.lit(False)
+    known = _Known(pa.concat_arrays(chosen["groups"].chunks) if chosen.num_rows else pa.array([], pa.string()))
+    pieces, chosen = chosen["piece"], chosen.select(["sid", *numbers])
     sent = context.broadcast(known)
-    coded = saved(_coded(texts, chosen["piece"].to_pylist(), marks).select(F.monotonically_increasing_id().alias("row"), "*"), "coded", "zstd")
+    coded = saved(_coded(texts, pieces, marks).select(F.monotonically_increasing_id().alias("row"), "*"), "coded", "zstd")
     rare = coded.select("row", F.posexplode("rare").alias("pos", "piece")).join(written.select("piece", "sid", "groups"), "piece")
     rare = rare.groupBy("row").agg(F.collect_list(F.struct("pos", "sid", "groups")).alias("rare"))
     work = saved(coded.drop("rare").join(rare, "row", "left"), "work", "zstd")
@@ -481,9 +527,11 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", t
     counts = saved(_pair_counts(work, sent).withColumn("a", F.shiftright("code", 32)), "pairs", "zstd")
     top = counts.groupBy("a").agg(F.max("n").alias("top"))  # a row an entry of A's vocabulary
     pairs = counts.join(sized(top), "a").select("code", "n", (F.col("n") == F.col("top")).alias("best"))
-    linked_code = _linked(_again(written)).select("sid", F.shiftleft(F.col("a").cast("long"), 32).bitwiseOR(F.col("b").cast("long")).alias("code"), F.col("n").alias("times"))
+    # Beside its number, a piece's lowest bit says whether the dictionary has it: the driver takes the sums of those without a join.
+    marked = written.select((F.shiftleft("sid", 1) + often.cast("long")).alias("sid"), "groups")
+    linked_code = _linked(_again(marked)).select("sid", F.shiftleft(F.col("a").cast("long"), 32).bitwiseOR(F.col("b").cast("long")).alias("code"), F.col("n").alias("times"))
     sums = linked_code.join(pairs, "code").groupBy("sid").agg(F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("n_best"), F.sum(F.col("times") * F.col("n")).alias("count_sum"))
-    sums = saved(sums, "sums", "zstd")
+    sums = saved(sums.select(F.shiftright("sid", 1).alias("sid"), F.col("sid").bitwiseAND(1).cast("boolean").alias("often"), "n_best", "count_sum"), "sums", "zstd")
     forget(counts)
     forget(written)
 
@@ -491,7 +539,7 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", t
     if chosen.num_rows:
         for i, c in enumerate(numbers):
             of[:-1, i] = chosen[c].fill_null(0).to_numpy()
-        got = sums.join(sized(docs.sparkSession.createDataFrame(chosen.select(["sid"])), dictionary), "sid").toArrow()
+        got = sums.where("often").select("sid", "n_best", "count_sum").toArrow()
         sids = chosen["sid"].to_numpy()
         order = np.argsort(sids)
         of[order[np.searchsorted(sids, got["sid"].to_numpy(), sorter=order)], 4:] = np.stack((got["n_best"].to_numpy(), got["count_sum"].to_numpy()), axis=1)

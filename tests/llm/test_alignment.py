@@ -3,9 +3,11 @@
 import collections
 import hashlib
 import itertools
+import os
 import random
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from seqloom.llm import alignment as A
@@ -86,3 +88,27 @@ def test_groups_of_one_text(spark):
     grouped = A.groups(df)
     assert sorted(tuple(r) for r in grouped.collect()) == [(7, 0, [1, 2], [4]), (7, 1, [3], [5, 6])]
     assert sorted(tuple(r) for r in A.links(grouped).collect()) == [(7, 1, 4, 1), (7, 2, 4, 1), (7, 3, 5, 1), (7, 3, 6, 1)]
+
+
+def test_the_driver_loads_no_tokenizers_and_ships_no_rows(spark, monkeypatch):
+    df, want = spark.createDataFrame([(1, "a b, c"), (2, "a b")], "doc_id long, text string"), brute(["a b, c", "a b"])
+
+    real, driver = A.Tokenizers, os.getpid()
+
+    def in_tasks(*paths):
+        assert os.getpid() != driver
+        return real(*paths)
+
+    def refused(*_, **__):
+        raise AssertionError("rows from the driver")
+
+    monkeypatch.setattr(A, "Tokenizers", in_tasks)
+    monkeypatch.setattr(type(spark), "createDataFrame", refused)
+    assert {r["id"]: tuple(r)[1:] for r in A.aligned(df, *PATHS, dictionary=2).collect()} == dict(enumerate(want, 1))
+
+
+def test_rare_pieces_in_any_order():
+    rare = pa.array([None, [{"pos": 1, "sid": 8, "groups": None}, {"pos": 0, "sid": 9, "groups": "1|2"}], [], [{"pos": 0, "sid": 7, "groups": "3|4"}]])
+    for found, ends in ((A._Rare(rare), [0, 0, 2, 2, 3]), (A._Rare(rare.slice(1, 3)), [0, 2, 2, 3])):
+        assert found.ends.tolist() == ends and found.sid.tolist() == [9, 8, 7]
+        assert found.groups == ["1|2", None, "3|4"] and found.none.tolist() == [False, True, False]
