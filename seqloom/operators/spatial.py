@@ -18,50 +18,61 @@ CONTACT_RADIUS = 8.0
 #: Pairs of points that one task compares in a cube, about; slabs that a cube with more is cut into, at most, before slabs are cut by a hash.
 PAIRS, SLABS = 4_000_000, 64
 
+#: A cube itself and one of each two neighbours that face each other over it: two cubes meet once.
+AHEAD = [(x, y, z) for x in (0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1) if (x, y, z) >= (0, 0, 0)]
 
-def range_pairs(points: DataFrame, radius: float = CONTACT_RADIUS, group: str = "structure_id", index: str = "index", most: int = PAIRS) -> DataFrame:
-    """(group, idx1, idx2): pairs idx1 < idx2 of a group at most radius apart (points: group, index, x, y, z).
 
-    Points are put in cubes of the radius' size; a point meets those of its own and the 26 neighbouring cubes, so
-    the join is on equal cubes and no pair of far points is made. Cubes in which more than `most` pairs would meet are cut
-    by quantiles of x (a bounded sketch) into slabs of like counts, and a point visits only slabs that its radius reaches. NULL and NaN coordinates take no part.
-    """
+def visits(points: DataFrame, radius: float, group: str, index: str, most: int = PAIRS) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Visitors (with own: whether in their own cube), the points they visit, and the columns on which they meet; see range_pairs."""
     p = points.where(" AND ".join(f"{c} IS NOT NULL AND NOT isnan({c})" for c in "xyz")).select(F.col(group).alias("g"), F.col(index).alias("i"), "x", "y", "z")
     cube = ["g", "cx", "cy", "cz"]
     cell = [F.floor(F.col(c) / radius).alias(f"c{c}") for c in "xyz"]
-    near = F.sequence(F.lit(-1), F.lit(1))
-    left = p.select("g", *[F.col(c).alias(f"a{c}") for c in "ixyz"], *cell)
-    for c in "xyz":
-        left = left.withColumn(f"d{c}", F.explode(near)).withColumn(f"c{c}", F.col(f"c{c}") + F.col(f"d{c}")).drop(f"d{c}")
+    ahead = F.explode(F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip("xyz", d, strict=True)]) for d in AHEAD]))
+
+    def visiting(df: DataFrame) -> DataFrame:
+        df = df.withColumn("d", ahead).withColumn("own", (F.col("d.x") == 0) & (F.col("d.y") == 0) & (F.col("d.z") == 0))
+        return df.withColumns({f"c{c}": F.col(f"c{c}") + F.col(f"d.{c}") for c in "xyz"}).drop("d")
+
+    left = visiting(p.select("g", *[F.col(c).alias(f"a{c}") for c in "ixyz"], *cell))
     right = p.select("g", *[F.col(c).alias(f"b{c}") for c in "ixyz"], *cell)
-    # Cubes with much work, from counts of cubes and their neighbours.
+    # Cubes with much work, from counts of cubes and their visitors.
     homes = right.groupBy(*cube).agg(F.count("*").alias("n"))
-    around = homes.withColumnRenamed("n", "v")
-    for c in "xyz":
-        around = around.withColumn("d", F.explode(near)).withColumn(f"c{c}", F.col(f"c{c}") + F.col("d")).drop("d")
-    hot = homes.join(around.groupBy(*cube).agg(F.sum("v").alias("v")), cube)
+    hot = homes.join(visiting(homes.withColumnRenamed("n", "v")).groupBy(*cube).agg(F.sum("v").alias("v")), cube)
     work = F.ceil(F.col("n").cast("double") * F.col("v") / most)
-    hot = saved(hot.where(work > 1).select(*cube, F.greatest(F.ceil(work / SLABS), F.lit(1)).cast("int").alias("times")), "hot")
-    keys = cube
-    if not hot.isEmpty():
-        side = lambda df: F.broadcast(df) if is_small(df) else df
-        # Where slabs begin, the first at the least x, and how often each is cut by a hash.
-        quantiles = [i / SLABS for i in range(1, SLABS)]
-        cuts = right.join(side(hot), cube).groupBy(*cube, "times").agg(F.percentile_approx("bx", quantiles, 1_000).alias("cuts"))
-        cuts = saved(cuts, "cuts")
-        begins, none = F.concat(F.array(F.lit(float("-inf"))), "cuts"), F.col("cuts").isNull()
-        right = right.join(side(cuts), cube, "left")
-        slab = F.when(none, 0).otherwise(F.size(F.filter("cuts", lambda c: c <= F.col("bx"))))
-        right = right.withColumn("slab", slab.cast("int")).withColumn("piece", F.when(none, 0).otherwise(F.pmod(F.xxhash64("bi"), F.col("times"))).cast("int")).drop("cuts", "times")
-        left = left.join(side(cuts), cube, "left")
-        reaches = lambda i: (F.get(begins, i) <= F.col("ax") + radius) & (F.coalesce(F.get(begins, i + 1), F.lit(float("inf"))) >= F.col("ax") - radius)
-        reached = F.filter(F.sequence(F.lit(0), F.lit(SLABS - 1)), reaches)
-        left = left.withColumn("slab", F.explode(F.when(none, F.array(F.lit(0))).otherwise(reached)))
-        left = left.withColumn("piece", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("times"), F.lit(1)) - 1))).drop("cuts", "times")
-        keys = [*cube, "slab", "piece"]
+    slabs = F.least(work, F.lit(SLABS)).cast("int").alias("slabs")
+    hot = saved(hot.where(work > 1).select(*cube, slabs, F.greatest(F.ceil(work / SLABS), F.lit(1)).cast("int").alias("times")), "hot")
+    if hot.isEmpty():
+        return left, right, cube
+    side = lambda df: F.broadcast(df) if is_small(df) else df
+    # Where slabs begin, the first at the least x, and how often each is cut by a hash. A cube has no more slabs than its work asks for.
+    quantiles = [i / SLABS for i in range(1, SLABS)]
+    cuts = right.join(side(hot), cube).groupBy(*cube, "slabs", "times").agg(F.percentile_approx("bx", quantiles, 1_000).alias("all"))
+    at = lambda i: F.get("all", F.floor(i * SLABS / F.col("slabs")).cast("int") - 1)
+    cuts = saved(cuts.select(*cube, "times", F.transform(F.sequence(F.lit(1), F.col("slabs") - 1), at).alias("cuts")), "cuts")
+    begins, none = F.concat(F.array(F.lit(float("-inf"))), "cuts"), F.col("cuts").isNull()
+    right = right.join(side(cuts), cube, "left")
+    slab = F.when(none, 0).otherwise(F.size(F.filter("cuts", lambda c: c <= F.col("bx"))))
+    right = right.withColumn("slab", slab.cast("int")).withColumn("piece", F.when(none, 0).otherwise(F.pmod(F.xxhash64("bi"), F.col("times"))).cast("int")).drop("cuts", "times")
+    left = left.join(side(cuts), cube, "left")
+    reaches = lambda i: (F.get(begins, i) <= F.col("ax") + radius) & (F.coalesce(F.get(begins, i + 1), F.lit(float("inf"))) >= F.col("ax") - radius)
+    reached = F.filter(F.sequence(F.lit(0), F.size("cuts")), reaches)
+    left = left.withColumn("slab", F.explode(F.when(none, F.array(F.lit(0))).otherwise(reached)))
+    left = left.withColumn("piece", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("times"), F.lit(1)) - 1))).drop("cuts", "times")
+    return left, right, [*cube, "slab", "piece"]
+
+
+def range_pairs(points: DataFrame, radius: float = CONTACT_RADIUS, group: str = "structure_id", index: str = "index", most: int = PAIRS) -> DataFrame:
+    """(group, idx1, idx2): pairs idx1 < idx2 of a group at most radius apart (points: group, index, x, y, z).
+
+    Points are put in cubes of the radius' size; a point meets those of its own and of 13 of the 26 neighbouring cubes, those of the others meet it, so
+    the join is on equal cubes and no pair of far points is made. Cubes in which more than `most` pairs would meet are cut
+    by quantiles of x (a bounded sketch) into slabs of like counts, as many as that takes, and a point visits only slabs that its radius reaches. NULL and NaN coordinates take no part.
+    """
+    left, right, keys = visits(points, radius, group, index, most)
     square = sum(((F.col(f"a{c}") - F.col(f"b{c}")) * (F.col(f"a{c}") - F.col(f"b{c}")) for c in "xyz"), F.lit(0.0))
-    pairs = left.join(right, keys).where((F.col("ai") < F.col("bi")) & (square <= radius * radius))
-    return pairs.select(F.col("g").alias(group), F.col("ai").alias("idx1"), F.col("bi").alias("idx2"))
+    once = F.when(F.col("own"), F.col("ai") < F.col("bi")).otherwise(F.col("ai") != F.col("bi"))
+    pairs = left.join(right, keys).where(once & (square <= radius * radius))
+    return pairs.select(F.col("g").alias(group), F.least("ai", "bi").alias("idx1"), F.greatest("ai", "bi").alias("idx2"))
 
 
 def units(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
