@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -74,6 +75,15 @@ def forget(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Has the driver collect its garbage between the steps of a long operator.
+
+    Only then does Spark drop broadcasts and shuffle files that no later step reads, and does the driver's heap shrink to what lives.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df marked for broadcast if it has at most limit rows, otherwise unchanged (Spark then shuffles)."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

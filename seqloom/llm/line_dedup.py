@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import column, free_name, most_counted, saved, sized, table
+from seqloom.llm.common import column, free_name, most_counted, saved, sized, table, tidy
 
 #: Shorter lines, without the white space around them, take no part in one-edit matches.
 LEAST_CHARS = 20
@@ -122,11 +122,13 @@ def dropped(docs: DataFrame, least: int = LEAST_CHARS, id_col: str = "doc_id", t
     gates = places.select(F.explode("gates").alias("gate"), "k")
     shared = saved(_shared(gates), "shared")
     again = sized(saved(gates.join(sized(shared), "gate", "left_semi").select("k").distinct(), "again"))
+    tidy(docs.sparkSession)
     large = lines.join(again, "k", "left_semi").select("k", "k2", "text", "n", F.explode(at).alias("at"))
     large = large.select("k", "k2", "at.gate", F.substring("text", F.col("at.a") + 1, F.col("n") - F.col("at.a") - F.col("at.b")).alias("text"))
     kept = saved(large.join(sized(shared), "gate", "left_semi").dropDuplicates(["gate", "k", "k2"]), "blocks")
     # Until here a gate was shared by large blocks; now by small ones within them.
     small = saved(_cut(kept, ["k", "k2"], SMALL), "small")
+    tidy(docs.sparkSession)
     small = small.join(sized(_shared(small)), "gate", "left_semi").dropDuplicates(["gate", "k", "k2", "text"])
 
     # Variants: a replaced character leaves the same rest at the same place; an inserted one leaves the shorter line.
@@ -151,6 +153,7 @@ def dropped(docs: DataFrame, least: int = LEAST_CHARS, id_col: str = "doc_id", t
     go = first.join(near.withColumn("near", F.lit(True)), ["k", "k2"], "left").where("many OR near").select("k", "k2", "first", F.coalesce("near", F.lit(False)).alias("near"), "times")
     # The most frequent lines, a bounded number, are sent to all places; only the others meet their places by shuffle, so that no line brings all its places to one task.
     go = saved(go, "go")
+    tidy(docs.sparkSession)
     hot = F.broadcast(most_counted(go.where(F.col("times") >= HOT_TIMES), "times", HOT_LINES).select("k", "k2", "first", "near"))
     at = places.select("k", "k2", "pos")
     cold = at.join(hot.select("k", "k2"), ["k", "k2"], "left_anti").join(go.drop("times"), ["k", "k2"])

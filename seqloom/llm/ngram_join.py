@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from seqloom.llm.common import column, components, forget, free_name, most_counted, saved, sized, table
+from seqloom.llm.common import column, components, forget, free_name, most_counted, saved, sized, table, tidy
 from seqloom.llm.shingles import mixed, shingle_sets
 
 #: Fragments of the global order: of n-grams outside the list of frequent ones, by hash, and of those in it, from these magnitudes on.
@@ -155,8 +155,9 @@ def classes(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100, id_c
     own component. Rows of a null id get the smallest id of their set, or null. Repeated rows are one set. Clashing column names of docs stay,
     ours get an underscore. Shingles are compared by 64-bit hashes.
     """
+    spark = docs.sparkSession
     pure = docs.select(column(id_col).cast("long").alias("id"), column(text_col).alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(_frequent(pure, width))
+    shared = spark.sparkContext.broadcast(_frequent(pure, width))
     p = saved(_prefixes(pure, shared, width, num, den), "prefixes")
     sets = saved(p.where("n > 0").groupBy("sid").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.min_by(F.struct("prefix", "counts"), "id").alias("s")).select("sid", "rep", "n", "s.prefix", "s.counts").where("rep IS NOT NULL"), "sets")
 
@@ -177,15 +178,24 @@ def classes(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100, id_c
     facts = sets.withColumnRenamed("rep", "y").join(others, "y")
     facts = facts.select("y", "n", (F.col("n") - F.size("prefix") + F.size("keys")).alias("common"), F.slice("keys", 1, SKETCH).alias("sketch"))
     facts = saved(facts, "facts")
+    tidy(spark)
     nodes = lambda comp: facts.select("y", (F.col("n") - F.col("common")).alias("rare")).join(comp.toDF("y", "c"), "y", "left").withColumn("c", F.coalesce("c", "y"))
     where = lambda df, comp: df.select("key", "class", "y", "own").join(nodes(comp), "y")
+
+    def opened(members: DataFrame, comp: DataFrame) -> DataFrame:
+        # Both sides of _open() read the members' components: they are looked up once.
+        placed = saved(where(members, comp), "placed")
+        forget(members)
+        out = saved(_open(placed), "open")
+        forget(placed)
+        return out
+
     comp = members.select(F.col("y").alias("node"), F.col("y").alias("component")).limit(0)
     tried = []
     for common_first, orders in ORDERS:
         # Only groups of more than one component; their members are compared with the first one, if that is in another.
-        open_ = saved(_open(where(members, comp)), "open")
+        open_ = opened(members, comp)
         # Components only grow: groups that aren't open any more stay so.
-        forget(members)
         members = open_
         order = [*(["rare"] if common_first else []), F.xxhash64("y", F.pmod("key", F.lit(orders))), "y"]
         group = Window.partitionBy("key", "class").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -193,18 +203,20 @@ def classes(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100, id_c
         pairs = stars.where("c <> cx").select("x", "y").distinct()
         pairs = saved(_possible(pairs, sets, num, den), "pairs")
         tried.append(pairs.select("x", "y"))
+        tidy(spark)
         found = _overlaps(pure, pairs.where("near").select("x", "y"), shared, width)
         links = found.where(linked).select(F.col("x").alias("a"), F.col("y").alias("b"))
-        comp = components(links.union(comp))  # a component's stars stand for its links
+        comp = saved(components(links.union(comp)), "components")  # a component's stars stand for its links
+        tidy(spark)
 
     # What is left: members outside their group's largest component, with all others of the group that are in another.
-    rest = saved(_open(where(members, comp)), "rest")
-    forget(members)
+    rest = opened(members, comp)
     largest = rest.groupBy("key", "class", "c").count().groupBy("key", "class").agg(F.max(F.struct("count", "c"))["c"].alias("largest"))
     # A pair is made in one group: that of the least key that both sketches have. Pairs whose sketches share none are made in each group that both are in.
-    opened = rest
+    whole = rest
     rest = saved(rest.join(largest, ["key", "class"]).join(facts, "y").select("key", "class", "y", "own", "n", "common", "c", "sketch", (F.col("c") != F.col("largest")).alias("out")), "rest")
-    forget(opened)
+    forget(whole)
+    tidy(spark)
     a = rest.where("out").select("key", "class", *[F.col(x).alias(f"{x}_a") for x in ("y", "own", "n", "common", "c", "sketch")])
     b = rest.select("key", "class", *[F.col(x).alias(f"{x}_b") for x in ("y", "own", "n", "common", "c", "out", "sketch")])
     one = (F.col("c_a") != F.col("c_b")) & (~F.col("out_b") | (F.col("y_a") < F.col("y_b"))) & (F.col("own_a") | F.col("own_b"))
@@ -214,12 +226,17 @@ def classes(docs: DataFrame, width: int = 4, num: int = 85, den: int = 100, id_c
     one &= F.coalesce(F.get(F.array_intersect("sketch_a", "sketch_b"), F.lit(0)), F.col("key")) == F.col("key")
     more = a.join(b, ["key", "class"]).where(one).select(F.least("y_a", "y_b").alias("x"), F.greatest("y_a", "y_b").alias("y")).distinct()
     before = functools.reduce(DataFrame.union, tried).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-    more = more.join(before, ["x", "y"], "left_anti")
-    more = saved(_possible(more, sets, num, den).where("near").select("x", "y"), "more")
+    untried = saved(more.join(before, ["x", "y"], "left_anti"), "untried")
     forget(rest)
+    tidy(spark)
+    more = saved(_possible(untried, sets, num, den).where("near").select("x", "y"), "more")
+    forget(untried)
+    tidy(spark)
     if not more.isEmpty():
         again = _overlaps(pure, more, shared, width).where(linked)
-        comp = components(again.select(F.col("x").alias("a"), F.col("y").alias("b")).union(comp))
+        comp = saved(components(again.select(F.col("x").alias("a"), F.col("y").alias("b")).union(comp)), "components")
+    shared.destroy()
+    tidy(spark)
 
     ids = sets.select("sid", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("sid", F.coalesce("component", "rep").alias("component"))
     n_name, c_name = free_name(docs, "n_shingles"), free_name(docs, "component_id")
