@@ -2,7 +2,7 @@
 
 Words are matches of the pattern. They are counted over the whole corpus, and the distinct ones that recur are
 encoded by Spark's higher-order functions: a fold over the word's bytes merges, at each step, the adjacent
-pair of least rank, looked up in a literal rank map. Their ids make a dictionary of a fixed size bound, sent to
+pair of least rank, looked up in a rank map. Their ids make a dictionary of a fixed size bound, sent to
 all tasks. Tasks then encode whole texts by look-ups, and fold the words outside the dictionary, most of which the
 corpus has once, by the same rule. Decoding concatenates the ids' byte strings, in Spark.
 
@@ -15,7 +15,6 @@ from __future__ import annotations
 import base64
 import collections
 import heapq
-import json
 import re
 import uuid
 from array import array
@@ -36,7 +35,7 @@ LONGEST = 64
 COUNTED = 200_000
 #: Runs whose ids a Python worker keeps; then it forgets those that it hasn't met lately.
 KEPT = 300_000
-#: Buckets of the literal rank map.
+#: Buckets of the rank map.
 BUCKETS = 1 << 15
 _NONE, _TOKEN = 1 << 30, 1 << 25
 
@@ -152,8 +151,13 @@ class Coder:
         return b"".join(map(self.of_id.__getitem__, digits.split(b","))) if digits else b""
 
 
+def _sent(value: pa.Array) -> Column:
+    """The one element of value, read by a subquery: plans, whose descriptions the driver keeps, don't spell it out as they would a literal."""
+    return SparkSession.active().createDataFrame(pa.table({"value": value})).scalar()
+
+
 def rank_map(ranks: dict[bytes, int]) -> Column:
-    """The ranks of pairs of ids as a literal array of buckets: each _NONE, then keys, a rank behind each.
+    """The ranks of pairs of ids as an array of buckets: each _NONE, then keys, a rank behind each.
 
     Keys are (left + 1) * 2**16 + right as 32-bit integers, which no rank of a vocabulary under 2**16 equals.
     """
@@ -162,7 +166,7 @@ def rank_map(ranks: dict[bytes, int]) -> Column:
         left, right = pair >> 16, pair & 0xFFFF
         key = (left + 1) << 16 | right
         buckets[(left * 40503 + right) % BUCKETS] += [key - (1 << 32) if key >= 1 << 31 else key, rank]
-    return F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"))), "array<array<int>>")
+    return _sent(pa.array([buckets], pa.list_(pa.list_(pa.int32()))))
 
 
 def _bound(value: Column, f) -> Column:
@@ -200,10 +204,10 @@ def folded(word: Column, maps: Column, of_byte: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(2), F.greatest(F.octet_length(word), F.lit(2))), _bound(raw, start), step, ids)
 
 
-def folded_all(words: Column, ranks: dict[bytes, int]) -> Column:
-    """array<array<int>>: folded() of each word of an array; the plan has the rank map once."""
+def folded_all(words: Column, maps: Column, ranks: dict[bytes, int]) -> Column:
+    """array<array<int>>: folded() of each word of an array. maps: rank_map(), as a column of its own, since higher-order functions take no subquery."""
     of_byte = F.array(*[F.lit(ranks[bytes([i])]) for i in range(256)])
-    literals = F.struct(rank_map(ranks).alias("maps"), of_byte.alias("bytes"))
+    literals = F.struct(maps.alias("maps"), of_byte.alias("bytes"))
     return _bound(literals, lambda x: F.transform(words, lambda w: folded(w, x["maps"], x["bytes"])))
 
 
@@ -242,7 +246,8 @@ def dictionary(docs: DataFrame, text_col: str, ranks: dict[bytes, int], pattern:
 
     counts = docs.select(column(text_col).alias("text")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     counts = most_counted(saved(counts, "words"), "n", most)
-    got = counts.select("word", F.get(folded_all(F.array("word"), ranks), F.lit(0)).alias("ids")).toArrow()
+    counts = counts.select("word", rank_map(ranks).alias("maps"))
+    got = counts.select("word", F.get(folded_all(F.array("word"), F.col("maps"), ranks), F.lit(0)).alias("ids")).toArrow()
     ids = pa.concat_arrays(got["ids"].chunks) if got.num_rows else pa.array([], pa.list_(pa.int32()))
     ends = ids.offsets.to_numpy().astype(np.int64)
     words = pa.concat_arrays(got["word"].chunks) if got.num_rows else pa.array([], pa.string())
@@ -314,20 +319,25 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     out = _encoded(docs.select(column(id_col).alias("id"), text.alias("text"), *check), ranks, pattern)
     ids = F.col("ids")
     if decode:
-        same = F.xxhash64(_decoded(ids, ranks).cast("string")) == F.col("check")
+        out = out.withColumn("pieces", _pieces(ranks))
+        same = F.xxhash64(_decoded(ids, F.col("pieces")).cast("string")) == F.col("check")
         ids = F.when(same, ids).otherwise(F.raise_error(F.lit("the decoded ids don't give the text back")).cast("array<int>"))
     named = out.select(F.col("id").alias(id_col))
     n_name, ids_name = free_name(named, "n_tokens"), free_name(named, "ids")
     return out.select(F.col("id").alias(id_col), ids.alias("ids_")).select(column(id_col), F.size("ids_").cast("long").alias(n_name), F.col("ids_").alias(ids_name))
 
 
-def _decoded(ids: Column, ranks: dict[bytes, int]) -> Column:
-    """The concatenated byte strings of an array of ids."""
+def _decoded(ids: Column, pieces: Column) -> Column:
+    """The concatenated byte strings of an array of ids. pieces: _pieces(), as a column of its own."""
+    return _bound(pieces, lambda p: F.unhex(F.array_join(F.transform(ids, lambda i: F.element_at(p, i + 1)), "")))
+
+
+def _pieces(ranks: dict[bytes, int]) -> Column:
+    """The byte string of each id, in hex."""
     of_id = [""] * (max(ranks.values()) + 1)
     for b, i in ranks.items():
         of_id[i] = b.hex()
-    pieces = F.from_json(F.lit(json.dumps(of_id, separators=(",", ":"))), "array<string>")
-    return _bound(pieces, lambda p: F.unhex(F.array_join(F.transform(ids, lambda i: F.element_at(p, i + 1)), "")))
+    return _sent(pa.array([of_id], pa.list_(pa.string())))
 
 
 def decode_documents(encoded: DataFrame, ids_col: str = "ids", ranks_path: str | None = None) -> DataFrame:
@@ -337,7 +347,9 @@ def decode_documents(encoded: DataFrame, ids_col: str = "ids", ranks_path: str |
     a column decoded, it stays and ours gets an underscore.
     """
     ranks = load_ranks(ranks_path or default_vocabulary()[0])
-    return encoded.withColumn(free_name(encoded, "decoded"), _decoded(column(ids_col), ranks))
+    name, pieces = free_name(encoded, "decoded"), free_name(encoded, "__pieces")
+    out = encoded.withColumn(pieces, _pieces(ranks))
+    return out.withColumn(name, _decoded(column(ids_col), F.col(pieces))).drop(pieces)
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

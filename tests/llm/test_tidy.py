@@ -3,7 +3,7 @@
 from pyspark import SparkContext
 from pyspark.sql import functions as F
 
-from seqloom.llm import line_dedup, ngram_join
+from seqloom.llm import bpe, line_dedup, ngram_join
 
 
 def collections(spark):
@@ -34,3 +34,15 @@ def test_line_dedup_collects_between_steps(spark):
     out = line_dedup.deduped(rows(spark).withColumn("text", F.concat("text", F.lit("\nthe same line in all of them"))), exact=1)
     assert collections(spark) - before >= 3
     assert out.where("text LIKE '%the same line%'").count() == 1
+
+
+def test_plans_spell_no_vocabulary_out(spark):
+    docs = spark.createDataFrame([(1, "some words and some words"), (2, None)], "doc_id long, text string")
+    store = spark._jsparkSession.sharedState().statusStore()
+    known = {e.executionId() for e in (store.executionsList().apply(i) for i in range(store.executionsList().size()))}
+    out = bpe.encode_documents(docs, decode=True)
+    assert [r["n_tokens"] > 0 for r in out.orderBy("doc_id").collect()] == [True, False]
+    assert bpe.decode_documents(out).where("doc_id = 1").first()["decoded"].decode() == "some words and some words"
+    done = store.executionsList()
+    kept = [len(e.physicalPlanDescription()) for e in (done.apply(i) for i in range(done.size())) if e.executionId() not in known]
+    assert kept and max(kept) < 100_000
