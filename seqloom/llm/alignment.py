@@ -5,7 +5,8 @@ exploded with their positions, cumulative lengths give their ends, an equi-join
 count of cuts numbers the groups, and a join on (text, group) makes the links.
 
 Texts are cut first, at places where both tokenizers end a token whatever surrounds them, so that every such place
-ends a group. Each different piece is aligned once, and a text's alignment is that of its pieces in order. Aligned pieces get back to
+ends a group, and a text's alignment is that of its pieces in order. Only the tokens' lengths decide where groups end, so that pieces whose
+tokens have the same lengths on both sides, in order, are aligned as one text, and each puts its own ids into its groups. Aligned pieces get back to
 their texts in two ways: the most frequent ones, a bounded number, are sent to all tasks; the others are joined by shuffle.
 """
 
@@ -16,9 +17,11 @@ import os
 import re
 import uuid
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,12 +31,14 @@ from seqloom.llm.common import column, forget, most_counted, saved, ship, sized,
 #: Pieces sent to all tasks, at most, and their longest: a fixed bound. Others are joined by shuffle; results don't depend on it.
 DICTIONARY = 300_000
 LONGEST = 48
-#: Distinct pieces that a task counts, and pairs that it gathers, at a time.
-COUNTED, GATHERED = 300_000, 4_000_000
+#: Distinct words that a task counts, and pairs that it gathers, at a time.
+COUNTED, GATHERED = 500_000, 4_000_000
+#: Lists of lengths are sent to all tasks up to so many lengths; more are joined by shuffle.
+SHAPES = 4_000_000
 #: Written groups that the driver parses at a time.
 PARSED = 20_000
-#: Characters of text that a task takes at a time, about; a longer text is taken by itself.
-SLICE = 1 << 20
+#: Bytes of text that a task takes at a time, about; a longer text is taken by itself.
+SLICE = 1 << 22
 
 _MARK = "\x01"
 _RUN = re.compile(f"([{SPACE}]{{2,}})")
@@ -173,35 +178,79 @@ def _kept(key, make):
 
 
 def _slices(batch, name: str = "text"):
-    """Parts of a batch of about SLICE characters, with their texts."""
-    texts = batch.column(name).to_pylist()
-    at = np.cumsum([len(t) if t else 0 for t in texts]) // SLICE
-    cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(texts)] if texts else [0]
+    """Parts of a batch of about SLICE bytes of text."""
+    at = np.cumsum(pc.binary_length(batch.column(name)).fill_null(0).to_numpy().astype(np.int64)) // SLICE
+    cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(at)] if len(at) else [0]
     for a, z in zip(cuts, cuts[1:], strict=False):
-        yield batch.slice(a, z - a), texts[a:z]
+        yield batch.slice(a, z - a)
+
+
+def _strings(found: pa.Array) -> list[str | None]:
+    """to_pylist() of strings, in a fraction of its time."""
+    return found.to_numpy(zero_copy_only=False).tolist()
+
+
+def _cut(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words_of() all texts, one text's behind another's, and the place of each one's text. Null and empty texts have none."""
+    texts = texts.cast(pa.string())
+    empty = pc.equal(pc.binary_length(texts).fill_null(0), 0)
+    texts = pc.if_else(empty, "", pc.binary_join_element_wise(" ", texts, ""))
+    # Texts with runs of white space or the mark are cut one by one.
+    odd = pc.or_(pc.match_substring_regex(texts, _RUN.pattern), pc.match_substring(texts, _MARK))
+    plain = pc.replace_substring(pc.replace_substring(pc.if_else(odd, "", texts), "\n", f"{_MARK}\n{_MARK}"), " ", f"{_MARK} ")
+    cut = pc.split_pattern(plain, _MARK)
+    words, text = cut.flatten(), np.repeat(np.arange(len(cut)), cut.value_lengths().to_numpy())
+    there = pc.greater(pc.binary_length(words), 0)
+    words, text = words.filter(there), text[there.to_numpy(zero_copy_only=False)]
+    if places := np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist():
+        more = [words_of(t[1:]) for t in texts.take(pa.array(places)).to_pylist()]
+        text = np.concatenate((text, np.repeat(places, [len(x) for x in more])))
+        by = np.argsort(text, kind="stable")
+        words, text = pa.concat_arrays([words, pa.array([w for x in more for w in x], pa.string())]).take(pa.array(by)), text[by]
+    return words, text
+
+
+def _marked(words: pa.Array, marks: str) -> tuple[np.ndarray, pa.Array, pa.Array]:
+    """Which words parted() cuts in two, and both parts of these."""
+    if not marks:
+        return np.zeros(len(words), bool), words[:0], words[:0]
+    stem, tail = f"[{''.join(sorted(_ALNUM))}]", f"[{''.join(map(re.escape, marks))}]+"
+    which = pc.and_not(pc.match_substring_regex(words, rf"{stem}{tail}\z"), pc.match_substring(words, _MARK))
+    both = pc.extract_regex(words.filter(which), rf"(?s)\A(?P<stem>.*{stem})(?P<tail>{tail})\z")
+    return which.to_numpy(zero_copy_only=False), both.field("stem"), both.field("tail")
+
+
+def _summed(counts: list[tuple[pa.Array, pa.Array]]) -> tuple[pa.Array, pa.Array]:
+    """Different strings and the sums of their numbers."""
+    both = pa.table([pa.chunked_array([x for x, _ in counts], pa.string()), pa.chunked_array([n for _, n in counts], pa.int64())], ["piece", "n"])
+    both = both.group_by("piece", use_threads=False).aggregate([("n", "sum")]).combine_chunks()
+    return tuple(pa.concat_arrays(both[c].chunks) if len(both) else pa.array([], both[c].type) for c in ("piece", "n_sum"))
 
 
 def _encoded(texts: DataFrame, paths: tuple[str, str], marks: str) -> DataFrame:
     """(sid, piece, n, ok, a, la, b, lb): every different piece of the texts, how often it is there, its ids and their lengths."""
 
     def count(batches):
-        held = Counter()
+        held, rows = [], 0
 
         def flush():
-            pieces = Counter()
-            for word, n in held.items():
-                for p in parted(word, marks):
-                    pieces[p] += n
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(pieces.keys(), pa.string()), pa.array(pieces.values(), pa.int64())], ["piece", "n"])
+            words, n = _summed(held)
+            which, stems, tails = _marked(words, marks)
+            which = pa.array(which)
+            rest, cut = pc.invert(which), n.filter(which)
+            return pa.RecordBatch.from_arrays(list(_summed([(words.filter(rest), n.filter(rest)), (stems, cut), (tails, cut)])), ["piece", "n"])
 
         for batch in batches:
-            for _, some in _slices(batch):
-                for t in some:
-                    if t:
-                        held.update(words_of(t))
-                if len(held) >= COUNTED:
-                    yield flush()
+            for part in _slices(batch):
+                got = pc.value_counts(_cut(part.column("text"))[0])
+                held.append((got.field("values"), got.field("counts")))
+                rows += len(got)
+                if rows >= 2 * COUNTED:
+                    held, rows = [_summed(held)], 0
+                    rows = len(held[0][0])
+                    if rows >= COUNTED:
+                        yield flush()
+                        held, rows = [], 0
         yield flush()
 
     def encode(batches):
@@ -209,7 +258,7 @@ def _encoded(texts: DataFrame, paths: tuple[str, str], marks: str) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 2_000):
                 part = batch.slice(at, 2_000)
-                got = list(zip(*both.encode(part.column("piece").to_pylist()), strict=True))
+                got = list(zip(*both.encode(_strings(part.column("piece"))), strict=True))
                 ids = pa.list_(pa.int32())
                 yield pa.RecordBatch.from_arrays([part.column("piece"), part.column("n"), pa.array(got[4]), *[pa.array(x, ids) for x in got[:4]]], ["piece", "n", "ok", "a", "la", "b", "lb"])
 
@@ -260,12 +309,63 @@ def links(grouped: DataFrame) -> DataFrame:
     return _linked(grouped).groupBy("sid", "a", "b").agg(F.sum("n").alias("n"))
 
 
-def _written(grouped: DataFrame) -> DataFrame:
-    """(sid, n_a, n_b, n_groups, n_links, groups): numbers of each text and its groups as a1,a2|b1;a3|b2,b3."""
-    text = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
-    rows = grouped.select("sid", "g", F.size("a").cast("long").alias("a"), F.size("b").cast("long").alias("b"), F.concat(text("a"), F.lit("|"), text("b")).alias("said"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("g", "said"))), lambda x: x["said"]), ";")
-    return rows.groupBy("sid").agg(F.sum("a").alias("n_a"), F.sum("b").alias("n_b"), F.count("*").alias("n_groups"), F.sum(F.col("a") * F.col("b")).alias("n_links"), joined.alias("groups"))
+def _shapes(encoded: DataFrame) -> DataFrame:
+    """(la, lb, na, nb): of all different lengths of both sides' tokens, how many tokens of each side the groups have, in order."""
+    lengths = saved(encoded.where("ok").select("la", "lb").distinct().select(F.monotonically_increasing_id().alias("sid"), "la", "lb"), "lengths", "zstd")
+    place = lambda c: F.transform(c, lambda _, i: i)
+    grouped = groups(lengths.select("sid", place("la").alias("a"), "la", place("lb").alias("b"), "lb"))
+    sizes = grouped.groupBy("sid").agg(F.sort_array(F.collect_list(F.struct("g", F.size("a").alias("na"), F.size("b").alias("nb")))).alias("sizes"))
+    out = saved(lengths.join(sizes, "sid").select("la", "lb", F.col("sizes.na").alias("na"), F.col("sizes.nb").alias("nb")), "shapes", "zstd")
+    forget(lengths)
+    return out
+
+
+def _filled(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, ends: np.ndarray) -> list[str]:
+    """The groups of texts as a1,a2|b1;a3|b2,b3. a, b: ids of all texts; na, nb: how many of them each group has; ends: where each text's groups end."""
+    start = np.cumsum(na + nb) - na - nb
+    ids, sign = np.empty(len(a) + len(b), dtype=np.int64), np.zeros(len(a) + len(b), dtype=np.int8)
+    ids[_ranges(start, na)], ids[_ranges(start + na, nb)] = a, b
+    sign[start + na - 1] = 1
+    sign[start + na + nb - 1] = 2
+    sign[(start + na + nb - 1)[ends - 1]] = 3
+    said = [""] * (2 * len(ids))
+    said[::2], said[1::2] = map(str, ids.tolist()), map(",|;\n".__getitem__, sign.tolist())
+    return "".join(said)[:-1].split("\n") if len(ends) else []
+
+
+def _crossed(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    """The code (a * 2**32 + b) of each link of groups."""
+    first, times = np.repeat(np.cumsum(nb) - nb, na), np.repeat(nb, na)
+    return np.repeat(a, times) << 32 | b[_ranges(first, times)]
+
+
+def _written(encoded: DataFrame, shapes: DataFrame) -> DataFrame:
+    """(sid, piece, n, n_a, n_b, n_groups, n_links, groups, codes, large): numbers of each text, its groups as a1,a2|b1;a3|b2,b3, and the codes of its links; null for one that isn't ok.
+
+    large: some group has more than SMALL_GROUP links; then there are no codes.
+    """
+    few = (shapes.agg(F.sum(F.size("la") + F.size("lb"))).first()[0] or 0) <= SHAPES
+    most = SMALL_GROUP
+
+    def write(batches):
+        for part in _batches(batches, 10_000):
+            fine = pc.and_(part.column("ok"), part.column("na").is_valid())
+            rows, fine = part.filter(fine), fine.to_numpy(zero_copy_only=False)
+            a, b, na, nb = (rows.column(c).flatten().to_numpy().astype(np.int64) for c in ("a", "b", "na", "nb"))
+            size = rows.column("na").value_lengths().to_numpy()
+            ends = np.cumsum(size)
+            sums = [np.add.reduceat(x, ends - size) if len(ends) else na for x in (na, nb, np.ones(len(na), np.int64), na * nb)]
+            large = np.maximum.reduceat(na * nb, ends - size) > most if len(ends) else np.zeros(0, bool)
+            small = np.repeat(~large, size)
+            codes = _crossed(a[np.repeat(small, na)], b[np.repeat(small, nb)], na[small], nb[small])
+            stops = np.concatenate(([0], np.cumsum(np.where(large, 0, sums[3]))))
+            columns = [*map(pa.array, sums), pa.array(_filled(a, b, na, nb, ends), pa.string()), pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.array(codes)), pa.array(large)]
+            place = pa.array(np.cumsum(fine) - 1, mask=~fine)
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names[:3]], *[c.take(place) for c in columns]], names)
+
+    names = ["sid", "piece", "n", "n_a", "n_b", "n_groups", "n_links", "groups", "codes", "large"]
+    rows = encoded.join(F.broadcast(shapes) if few else shapes, ["la", "lb"], "left").select("sid", "piece", "n", "ok", "a", "b", "na", "nb")
+    return rows.mapInArrow(write, "sid long, piece string, n long, n_a long, n_b long, n_groups long, n_links long, groups string, codes array<long>, large boolean")
 
 
 def _again(written: DataFrame) -> DataFrame:
@@ -310,7 +410,7 @@ class _Known:
         self.said, self.fine = said, said.is_valid().to_numpy(zero_copy_only=False)
         pieces, codes = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
         for at in range(0, len(said), PARSED):
-            piece, code, _ = _parsed(said.slice(at, PARSED).drop_null().to_pylist())
+            piece, code, _ = _parsed(_strings(said.slice(at, PARSED).drop_null()))
             piece, code = _distinct(piece, code)
             pieces.append((at + np.flatnonzero(self.fine[at : at + PARSED])[piece]).astype(np.int32))
             codes.append(code)
@@ -325,30 +425,44 @@ def _coded(texts: DataFrame, pieces: pa.ChunkedArray, marks: str) -> DataFrame:
     sent, key = texts.sparkSession.sparkContext.broadcast(pieces), uuid.uuid4().hex
 
     def code(batches):
-        index = _kept(("index", key), lambda: dict(zip(sent.value.to_pylist(), range(len(sent.value)), strict=True)))
+        index = _kept(("index", key), lambda: dict(zip(_strings(sent.value), range(len(sent.value)), strict=True)))
+
+        def numbers(found: pa.Array) -> np.ndarray:
+            return np.fromiter(map(index.get, _strings(found), repeat(-1)), np.int64, len(found))
+
         for batch in batches:
-            for part, some in _slices(batch):
-                codes, rare = [], []
-                for t in some:
-                    own: dict[str, int] = {}
-                    said = words_of(t) if t else []
-                    at = list(map(index.get, said))
-                    # Words that aren't pieces of the dictionary are parted; what it lacks then is rare.
-                    if None in at:
-                        more, done = [], 0
-                        for _ in range(at.count(None)):
-                            next_ = at.index(None, done)
-                            more += at[done:next_]
-                            for p in parted(said[next_], marks):
-                                i = index.get(p)
-                                more.append(own.setdefault(p, -1 - len(own)) if i is None else i)
-                            done = next_ + 1
-                        at = more + at[done:]
-                    codes.append(np.array(at, dtype=np.int32))
-                    rare.append(list(own))
-                ends = np.cumsum([0] + [len(c) for c in codes])
-                values = pa.array(np.concatenate([np.zeros(0, np.int32), *codes]))
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values), pa.array(rare, pa.list_(pa.string()))], ["id", "codes", "rare"])
+            for part in _slices(batch):
+                words, text = _cut(part.column("text"))
+                words = words.dictionary_encode()
+                first = numbers(words.dictionary)
+                second = np.full(len(first), -1, dtype=np.int64)
+                # Words that aren't pieces of the dictionary are parted; what it lacks then is rare.
+                lacked = np.flatnonzero(first < 0)
+                more = words.dictionary.take(pa.array(lacked))
+                which, stems, tails = _marked(more, marks)
+                parts = pa.concat_arrays([more.filter(pa.array(~which)), stems, tails]).dictionary_encode()
+                own = numbers(parts.dictionary)
+                rare = np.flatnonzero(own < 0)
+                own[rare] = -1 - np.arange(len(rare))
+                said, has_two = own[parts.indices.to_numpy()], np.zeros(len(first), bool)
+                n, has_two[lacked[which]] = len(lacked) - len(stems), True
+                first[lacked[~which]], first[lacked[which]], second[lacked[which]] = said[:n], said[n : n + len(stems)], said[n + len(stems) :]
+
+                at = words.indices.to_numpy()
+                two = has_two[at]
+                size = 1 + two
+                codes, text = np.repeat(first[at], size), np.repeat(text, size)
+                codes[np.cumsum(size)[two] - 1] = second[at[two]]
+                # Each text numbers its own rare pieces.
+                few = np.flatnonzero(codes < 0)
+                pairs, back = np.unique(text[few] * max(1, len(rare)) - 1 - codes[few], return_inverse=True)
+                of, piece = np.divmod(pairs, max(1, len(rare)))
+                ends = np.concatenate(([0], np.cumsum(np.bincount(of, minlength=part.num_rows))))
+                codes[few] = -1 - (np.arange(len(pairs)) - ends[of])[back]
+                stops = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=part.num_rows))))
+                listed = pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.array(codes.astype(np.int32)))
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), parts.dictionary.take(pa.array(rare[piece])))
+                yield pa.RecordBatch.from_arrays([part.column("id"), listed, lists], ["id", "codes", "rare"])
 
     return texts.select("id", "text").mapInArrow(code, "id long, codes array<int>, rare array<string>")
 
@@ -363,7 +477,7 @@ class _Rare:
         rows = column.flatten()
         pos, sid, groups = (rows.field(c) for c in ("pos", "sid", "groups"))
         by = np.lexsort((pos.to_numpy(), self.text))
-        self.sid, self.groups = sid.to_numpy()[by], groups.take(pa.array(by)).to_pylist()
+        self.sid, self.groups = sid.to_numpy()[by], _strings(groups.take(pa.array(by)))
         self.none = np.array([x is None for x in self.groups], dtype=bool)
 
 
@@ -451,7 +565,7 @@ def _assembled(work: DataFrame, sent, keep_groups: bool) -> DataFrame:
 
     def gather(batches):
         known, numbers = sent.value
-        groups = known.said.to_pylist()
+        groups, by_number = _strings(known.said), np.ascontiguousarray(numbers.T)
         for part in _batches(batches):
             codes, ends, rare = _flat(part)
             fine = _whole(codes, ends, rare, known)
@@ -465,7 +579,7 @@ def _assembled(work: DataFrame, sent, keep_groups: bool) -> DataFrame:
             total = np.zeros((len(fine), 6), dtype=np.int64)
             sums = np.zeros(len(codes) + 1, dtype=np.int64)
             for i in range(6):
-                np.cumsum(np.concatenate((numbers[:, i], of_rare[:, i]))[at_], out=sums[1:])
+                np.cumsum(np.concatenate((by_number[i], of_rare[:, i]))[at_], out=sums[1:])
                 total[:, i] = np.where(fine, sums[ends[1:]] - sums[ends[:-1]], 0)
             sha, said = [""] * len(fine), ["" if keep_groups else None] * len(fine)
             for i in np.flatnonzero(fine).tolist():
@@ -506,9 +620,10 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", t
     texts = docs.select(column(id_col).cast("long").alias("id"), column(text_col).alias("text"))
 
     encoded = _encoded(texts.select("text"), (a_path, b_path), marks)
-    written = _written(groups(encoded.where("ok").select("sid", "a", "la", "b", "lb")))
-    written = saved(encoded.select("sid", "piece", "n").join(written, "sid", "left"), "written", "zstd")
+    shapes = _shapes(encoded)
+    written = saved(_written(encoded, shapes), "written", "zstd")
     forget(encoded)
+    forget(shapes)
 
     numbers = ("n_a", "n_b", "n_groups", "n_links")
     chosen = most_counted(written.where(F.length("piece") <= LONGEST), "n", dictionary).select("sid", "n", "piece", "groups", *numbers).toArrow()
@@ -528,8 +643,9 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", t
     top = counts.groupBy("a").agg(F.max("n").alias("top"))  # a row an entry of A's vocabulary
     pairs = counts.join(sized(top), "a").select("code", "n", (F.col("n") == F.col("top")).alias("best"))
     # Beside its number, a piece's lowest bit says whether the dictionary has it: the driver takes the sums of those without a join.
-    marked = written.select((F.shiftleft("sid", 1) + often.cast("long")).alias("sid"), "groups")
-    linked_code = _linked(_again(marked)).select("sid", F.shiftleft(F.col("a").cast("long"), 32).bitwiseOR(F.col("b").cast("long")).alias("code"), F.col("n").alias("times"))
+    marked = written.select((F.shiftleft("sid", 1) + often.cast("long")).alias("sid"), "groups", "codes", "large")
+    large = _linked(_again(marked.where("large"))).select("sid", F.shiftleft(F.col("a").cast("long"), 32).bitwiseOR(F.col("b").cast("long")).alias("code"), F.col("n").alias("times"))
+    linked_code = marked.where("NOT large").select("sid", F.explode("codes").alias("code"), F.lit(1).cast("long").alias("times")).unionByName(large)
     sums = linked_code.join(pairs, "code").groupBy("sid").agg(F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("n_best"), F.sum(F.col("times") * F.col("n")).alias("count_sum"))
     sums = saved(sums.select(F.shiftright("sid", 1).alias("sid"), F.col("sid").bitwiseAND(1).cast("boolean").alias("often"), "n_best", "count_sum"), "sums", "zstd")
     forget(counts)

@@ -6,6 +6,7 @@ import itertools
 import os
 import random
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
@@ -112,3 +113,48 @@ def test_rare_pieces_in_any_order():
     for found, ends in ((A._Rare(rare), [0, 0, 2, 2, 3]), (A._Rare(rare.slice(1, 3)), [0, 2, 2, 3])):
         assert found.ends.tolist() == ends and found.sid.tolist() == [9, 8, 7]
         assert found.groups == ["1|2", None, "3|4"] and found.none.tolist() == [False, True, False]
+
+
+def test_texts_of_equal_lengths_are_aligned_once(spark, monkeypatch):
+    """The relational alignment gets a row for each pair of lists of lengths, not for each piece."""
+    both, seen, real = A.Tokenizers(*PATHS), [], A.groups
+    docs = ["ab cd ef gh", "ij kl, mn op", "a\x01b"]
+    pieces = sorted({p for t in docs for p in A.pieces_of(t, both.marks)})
+    shapes = {(tuple(la), tuple(lb)) for _, la, _, lb, ok in both.encode(pieces) if ok}
+    assert len(shapes) < len(pieces)
+    monkeypatch.setattr(A, "groups", lambda df: (seen.append(df.count()), real(df))[1])
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    for most in (A.SHAPES, 0):  # sent to all tasks, or joined by shuffle
+        monkeypatch.setattr(A, "SHAPES", most)
+        assert {r["id"]: tuple(r)[1:] for r in A.aligned(df, *PATHS).collect()} == dict(enumerate(brute(docs)))
+    assert seen == [len(shapes)] * 2
+
+
+def test_groups_of_many_links_beside_small_ones(spark, monkeypatch):
+    docs = ["w" * 300 + " ab", "漢字かな 😀😀", None, "w" * 300]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    for most in (0, 1, 3):
+        monkeypatch.setattr(A, "SMALL_GROUP", most)
+        assert {r["id"]: tuple(r)[1:] for r in A.aligned(df, *PATHS).collect()} == dict(enumerate(brute(docs)))
+
+
+def test_words_cut_at_once_are_those_of_each_text():
+    marks = A.Tokenizers(*PATHS).marks
+    docs = AWKWARD + texts(200, 5)
+    words, text = A._cut(pa.array(docs, pa.string()))
+    assert list(zip(text.tolist(), words.to_pylist(), strict=True)) == [(i, w) for i, t in enumerate(docs) if t for w in A.words_of(t)]
+    which, stems, tails = A._marked(words, marks)
+    want = [A.parted(w, marks) for w in words.to_pylist()]
+    assert which.tolist() == [len(p) == 2 for p in want]
+    assert list(zip(stems.to_pylist(), tails.to_pylist(), strict=True)) == [p for p in want if len(p) == 2]
+    for none in ([], [None, ""]):
+        words, text = A._cut(pa.array(none, pa.string()))
+        assert len(words) == len(text) == 0 and not len(A._marked(words, marks)[0])
+
+
+def test_groups_filled_with_ids():
+    a, b, na, nb, ends = (np.array(x) for x in ([1, 2, 3, 7], [4, 5, 6, 8], [2, 1, 1], [1, 2, 1], [2, 3]))
+    assert A._filled(a, b, na, nb, ends) == ["1,2|4;3|5,6", "7|8"]
+    assert [(c >> 32, c & 0xFFFFFFFF) for c in A._crossed(a, b, na, nb).tolist()] == [(1, 4), (2, 4), (3, 5), (3, 6), (7, 8)]
+    none = np.zeros(0, np.int64)
+    assert A._filled(none, none, none, none, none) == [] and not len(A._crossed(none, none, none, none))
