@@ -26,15 +26,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seqloom.llm.bpe import SPACE
-from seqloom.llm.common import column, forget, most_counted, saved, ship, sized, table
+from seqloom.llm.common import column, forget, most_counted, saved, ship, sized, table, tidy
 
 #: Pieces sent to all tasks, at most, and their longest: a fixed bound. Others are joined by shuffle; results don't depend on it.
 DICTIONARY = 300_000
 LONGEST = 48
 #: Distinct words that a task counts, and pairs that it gathers, at a time.
 COUNTED, GATHERED = 500_000, 4_000_000
-#: Lists of lengths are sent to all tasks up to so many lengths; more are joined by shuffle.
-SHAPES = 4_000_000
+#: Lists of lengths are sent to all tasks up to so many lengths (some 30 MB); more are joined by shuffle.
+SHAPES = 1_000_000
 #: Written groups that the driver parses at a time.
 PARSED = 20_000
 #: Bytes of text that a task takes at a time, about; a longer text is taken by itself.
@@ -624,6 +624,7 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", t
     written = saved(_written(encoded, shapes), "written", "zstd")
     forget(encoded)
     forget(shapes)
+    tidy(docs.sparkSession)
 
     numbers = ("n_a", "n_b", "n_groups", "n_links")
     chosen = most_counted(written.where(F.length("piece") <= LONGEST), "n", dictionary).select("sid", "n", "piece", "groups", *numbers).toArrow()
@@ -638,6 +639,7 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", t
     rare = rare.groupBy("row").agg(F.collect_list(F.struct("pos", "sid", "groups")).alias("rare"))
     work = saved(coded.drop("rare").join(rare, "row", "left"), "work", "zstd")
     forget(coded)
+    tidy(docs.sparkSession)
 
     counts = saved(_pair_counts(work, sent).withColumn("a", F.shiftright("code", 32)), "pairs", "zstd")
     top = counts.groupBy("a").agg(F.max("n").alias("top"))  # a row an entry of A's vocabulary
@@ -650,6 +652,7 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", t
     sums = saved(sums.select(F.shiftright("sid", 1).alias("sid"), F.col("sid").bitwiseAND(1).cast("boolean").alias("often"), "n_best", "count_sum"), "sums", "zstd")
     forget(counts)
     forget(written)
+    tidy(docs.sparkSession)
 
     of = np.zeros((chosen.num_rows + 1, 6), dtype=np.int64)
     if chosen.num_rows:

@@ -138,6 +138,13 @@ def test_groups_of_many_links_beside_small_ones(spark, monkeypatch):
         assert {r["id"]: tuple(r)[1:] for r in A.aligned(df, *PATHS).collect()} == dict(enumerate(brute(docs)))
 
 
+def test_words_counted_a_few_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(A, "COUNTED", 5)
+    docs = texts(30, 6) + [None, "", "  two  runs\n\n"]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(2)
+    assert {r["id"]: tuple(r)[1:] for r in A.aligned(df, *PATHS, dictionary=40).collect()} == dict(enumerate(brute(docs)))
+
+
 def test_words_cut_at_once_are_those_of_each_text():
     marks = A.Tokenizers(*PATHS).marks
     docs = AWKWARD + texts(200, 5)
