@@ -174,7 +174,11 @@ def properties(sequence: Column, weights: dict[str, float]) -> Column:
     known = standard(sequence)
     counts = [count_of(sequence, r).alias(r) for r in RESIDUES]
     pairs = F.when(known, dipeptide_index(sequence, weights))
-    facts = F.struct(*counts, F.length(sequence).alias("length"), pairs.alias("pairs"), known.alias("known"))
+    return properties_of(F.struct(*counts, F.length(sequence).alias("length"), pairs.alias("pairs"), known.alias("known")))
+
+
+def properties_of(facts: Column) -> Column:
+    """properties, of a struct of the residues' counts, the length, the pairs' index and whether all are standard."""
 
     def of(n: Column) -> Column:
         summed = lambda scale: functools.reduce(lambda a, b: a + b, [n[r] * F.lit(float(v)) for r, v in scale.items()])
@@ -191,9 +195,13 @@ def properties(sequence: Column, weights: dict[str, float]) -> Column:
     return F.get(F.transform(F.array(facts), of), F.lit(0))
 
 
+def residue_scales(volume: dict[str, float] | None = None) -> dict[str, dict[str, float]]:
+    return {"hydrophobicity": HYDROPATHY, "polarity": POLARITY, "volume": volume or {"A": 0.0}}
+
+
 def residue_features(sequence: Column, volume: dict[str, float] | None = None) -> Column:
     """array<struct<hydrophobicity, polarity, volume>>, one a residue; unknown residues are 0.0. The volume scale is an input. A residue's values are places of literal arrays."""
-    scales = {"hydrophobicity": HYDROPATHY, "polarity": POLARITY, "volume": volume or {"A": 0.0}}
+    scales = residue_scales(volume)
     alphabet = sorted({r for scale in scales.values() for r in scale if len(r) == 1})
     table = lambda scale: F.array(F.lit(0.0), *[F.lit(float(scale.get(r, 0.0))) for r in alphabet])
     place = F.transform(letters(sequence), lambda c: F.instr(F.lit("".join(alphabet)), c))

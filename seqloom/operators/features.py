@@ -40,32 +40,50 @@ def protein_stats(df: DataFrame) -> DataFrame:
     return df.agg(mean.alias("protein_mean"), std.alias("protein_std"))
 
 
+def _by_letter(df: DataFrame) -> bool:
+    """Whether df is integrate.joined's table: the first three residue values are those of the letters, by the scales."""
+    return "residue_features" not in df.columns
+
+
+def _scale_tables(volume: dict[str, float] | None = None) -> dict[str, np.ndarray]:
+    """Each scale's values by code point; the last one, 0, is for all beyond."""
+    scales = S.residue_scales(volume)
+    most = max(ord(r) for scale in scales.values() for r in (*scale, S.RESIDUES[-1]) if len(r) == 1)
+    return {name: np.array([float(scale.get(chr(i), 0.0)) for i in range(max(most, 127) + 2)]) for name, scale in scales.items()}
+
+
 def _residue_lists(df: DataFrame) -> list[Column]:
-    """The six lists of residue values of a row, as doubles; texts that aren't numbers are NULL."""
+    """The six lists of residue values of a row (three where the letters say the others), as doubles; texts that aren't numbers are NULL."""
     first = F.get(F.col("structural_features"), F.lit(0))
-    lists = [F.col("residue_features")[c] for c in RESIDUE[:3]] + [first["dssp_residue_details"][c] for c in RESIDUE[3:]]
+    lists = [] if _by_letter(df) else [F.col("residue_features")[c] for c in RESIDUE[:3]]
+    lists += [first["dssp_residue_details"][c] for c in RESIDUE[3:]]
     kinds = df.select(*[c.alias(str(i)) for i, c in enumerate(lists)]).schema
     number = lambda f: isinstance(f.dataType.elementType, NumericType)
     return [c.cast("array<double>") if number(f) else F.transform(c, S.finite) for c, f in zip(lists, kinds, strict=True)]
 
 
-def residue_states(df: DataFrame) -> DataFrame:
+def residue_states(df: DataFrame, volume: dict[str, float] | None = None) -> DataFrame:
     """Batches of df's rows as a state (moments.list_states) of each residue value, over the positions below sequence_length; missing values are skipped."""
     n = F.greatest(F.coalesce(F.col("sequence_length"), F.lit(0)).cast("int"), F.lit(0))
-    return moments_of.list_states(df.select(*[F.slice(c, F.lit(1), n).alias(name) for name, c in zip(RESIDUE, _residue_lists(df), strict=True)]))
+    lists = _residue_lists(df)
+    cut = [F.slice(c, F.lit(1), n).alias(name) for name, c in zip(RESIDUE[-len(lists) :], lists, strict=True)]
+    if not _by_letter(df):
+        return moments_of.list_states(df.select(*cut))
+    seq = F.col("sequence")
+    return moments_of.list_states(df.select(F.when(F.length(seq) <= n, seq).otherwise(F.substring(seq, F.lit(1), n)).alias("letters"), *cut), _scale_tables(volume))
 
 
-def residue_stats(df: DataFrame) -> DataFrame:
+def residue_stats(df: DataFrame, volume: dict[str, float] | None = None) -> DataFrame:
     """One row of residue_mean and residue_std. Batches of rows are folded to states and these merged: no row a residue is made."""
-    one = moments_of.merge_rows(residue_states(df), list(RESIDUE))
+    one = moments_of.merge_rows(residue_states(df, volume), list(RESIDUE))
     mean = F.array(*[moments_of.mean_of(F.col(c), 0.0) for c in RESIDUE])
     std = F.array(*[F.greatest(moments_of.deviation_of(F.col(c), 0.0), F.lit(STD_FLOOR)) for c in RESIDUE])
     return one.select(mean.alias("residue_mean"), std.alias("residue_std"))
 
 
-def stats(df: DataFrame) -> DataFrame:
-    """The one row of four arrays. Only the columns that it needs are read, nested fields included."""
-    return protein_stats(df).crossJoin(F.broadcast(residue_stats(df)))  # one row each
+def stats(df: DataFrame, volume: dict[str, float] | None = None) -> DataFrame:
+    """The one row of four arrays. Only the columns that it needs are read, nested fields included. volume: the scale for a table without residue features."""
+    return protein_stats(df).crossJoin(F.broadcast(residue_stats(df, volume)))  # one row each
 
 
 def without_residues(df: DataFrame) -> DataFrame:
@@ -102,13 +120,16 @@ def _sizes(column: pa.ListArray) -> np.ndarray:
     return pc.fill_null(pc.list_value_length(column), 0).to_numpy().astype(np.int64)
 
 
-def _featurised_part(b: pa.RecordBatch, n: np.ndarray, names: list[str]) -> pa.RecordBatch:
-    """The features of some rows of n residues each."""
-    codes = np.frombuffer("".join(b.column("letters").to_pylist()).encode("utf-32-le"), dtype=np.uint32)
+def _rows_of(b: pa.RecordBatch, codes: np.ndarray, n: np.ndarray, scales: dict[str, np.ndarray]) -> np.ndarray:
+    """The values of the first n residues of each row, whose letters have these codes: 14 a residue."""
     mean, std = (moments_of.numbers_of(b.column(c).slice(0, 1)) for c in ("residue_mean", "residue_std"))
     out = np.zeros((n.sum(), len(RESIDUE) + len(S.STRUCTURE_CLASSES)), dtype=np.float32)
     with np.errstate(over="ignore"):
         for i, c in enumerate(RESIDUE):
+            if c in scales:
+                values = np.where(np.isfinite(scales[c]), scales[c], 0.0)
+                out[:, i] = ((values - mean[i]) / std[i]).astype(np.float32)[np.minimum(codes, len(values) - 1)]
+                continue
             x = _laid(moments_of.numbers_of(b.column(c)), _sizes(b.column(c)), n, 0.0)
             out[:, i] = (np.where(np.isfinite(x), x, 0.0) - mean[i]) / std[i]
     kinds = b.column("kinds")
@@ -116,46 +137,90 @@ def _featurised_part(b: pa.RecordBatch, n: np.ndarray, names: list[str]) -> pa.R
     kind = _laid(kind, _sizes(kinds), n, S.STRUCTURE_CLASSES.index("-"))
     known = np.flatnonzero(kind >= 0)
     out[known, len(RESIDUE) + kind[known]] = 1.0
+    return out
+
+
+def _featurised_part(b: pa.RecordBatch, n: np.ndarray, names: list[str], scales: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """The features of some rows of n residues each."""
+    codes = moments_of.text_codes(b.column("letters"))
+    out = _rows_of(b, codes, n, scales)
     ends = pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32))
     rows = pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1, dtype=np.int32) * out.shape[1]), pa.array(out.ravel()))
     tokens = pa.ListArray.from_arrays(ends, pa.array(TOKENS[np.minimum(codes, 128)]))
     return pa.RecordBatch.from_arrays([b.column("uniprot_id"), tokens, pa.ListArray.from_arrays(ends, rows), b.column("protein_features"), b.column("gelation")], names)
 
 
-def featurised(df: DataFrame, stats_row: DataFrame, keep_empty: bool = False) -> DataFrame:
-    """(uniprot_id, sequence array<int>, residue_features L x 14, protein_features 13, gelation 0/1).
+def kinds_of_residues(b: pa.RecordBatch, n: np.ndarray, scales: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows of n residues each: the kind of each residue, and of each kind its token and its 14 values.
 
-    Missing values are 0.0 before they are normalised. Rows without a sequence are left out, or (keep_empty)
-    have empty lists, zero vectors and label 0. Values of residues are put side by side in numpy, some rows at a time.
+    Residues that no list has a value for are of their letter's kind; every other one is a kind by itself.
     """
-    ship(df.sparkSession)
+    codes = moments_of.text_codes(b.column("letters"))
+    most = len(next(iter(scales.values()))) if scales else 129  # code points of kinds; the last one is for all beyond
+    letters = np.arange(most)
+    empty = pa.RecordBatch.from_arrays([pa.array([[]], c.type) if name in (*RESIDUE, "kinds") else c.slice(0, 1) for name, c in zip(b.schema.names, b.columns, strict=True)], b.schema.names)
+    plain = _rows_of(empty, letters, np.array([most]), scales)
+    place = np.minimum(codes, most - 1).astype(np.intp)
+    listed = np.minimum(n, np.max([_sizes(b.column(c)) for c in (*RESIDUE, "kinds") if c not in scales], axis=0))
+    own = np.repeat(np.cumsum(n) - n, listed) + np.arange(listed.sum()) - np.repeat(np.cumsum(listed) - listed, listed)
+    values = _rows_of(b, codes[own], listed, scales)
+    tokens = TOKENS[np.minimum(np.concatenate((letters, codes[own])), 128)]
+    place[own] = most + np.arange(len(own))
+    return place, tokens, np.concatenate((plain, values))
+
+
+def flat(df: DataFrame, stats_row: DataFrame, keep_empty: bool = False) -> DataFrame:
+    """df with what the features of its residues are made from, a row a sequence."""
     seq = F.coalesce(F.col("sequence"), F.lit(""))
     n = F.length(seq)
     joined = (df if keep_empty else df.where(n > 0)).crossJoin(F.broadcast(stats_row))  # one row
     details = F.get(F.col("structural_features"), F.lit(0))["dssp_residue_details"]
     kinds = F.transform(details, lambda d: F.when(d.isNull(), F.lit("-")).otherwise(d["secondary_structure"]))
     protein = zscore(F.array(*protein_values(0.0)), F.col("protein_mean"), F.col("protein_std")).cast("array<float>")
-    flat = joined.select(
-        "uniprot_id", seq.alias("letters"), *[c.alias(name) for name, c in zip(RESIDUE, _residue_lists(df), strict=True)], kinds.cast("array<string>").alias("kinds"), "residue_mean", "residue_std",
+    lists = _residue_lists(df)
+    return joined.select(
+        "uniprot_id", seq.alias("letters"), *[c.alias(name) for name, c in zip(RESIDUE[-len(lists) :], lists, strict=True)], kinds.cast("array<string>").alias("kinds"), "residue_mean", "residue_std",
         F.when(n > 0, protein).otherwise(F.array_repeat(F.lit(0.0).cast("float"), 13)).alias("protein_features"),
         F.when((F.col("gelation") == "yes") & (n > 0), 1.0).otherwise(0.0).cast("float").alias("gelation"),
     )
+
+
+def parts(batches):
+    """Batches of flat's rows in parts of at most POSITIONS residues, or one row, with each row's residues."""
+    for b in batches:
+        sizes = pc.utf8_length(b.column("letters")).to_numpy().astype(np.int64)
+        start, held = 0, 0
+        for i, size in enumerate(sizes):
+            if i > start and held + size > POSITIONS:
+                yield b.slice(start, i - start), sizes[start:i]
+                start, held = i, 0
+            held += size
+        if len(sizes):
+            yield b.slice(start), sizes[start:]
+
+
+def scales_of(df: DataFrame, volume: dict[str, float] | None = None) -> dict[str, np.ndarray]:
+    """The residue values that df's letters say, by code point; none if it has residue features."""
+    return _scale_tables(volume) if _by_letter(df) else {}
+
+
+def featurised(df: DataFrame, stats_row: DataFrame, keep_empty: bool = False, volume: dict[str, float] | None = None) -> DataFrame:
+    """(uniprot_id, sequence array<int>, residue_features L x 14, protein_features 13, gelation 0/1).
+
+    Missing values are 0.0 before they are normalised. Rows without a sequence are left out, or (keep_empty)
+    have empty lists, zero vectors and label 0. Values of residues are put side by side in numpy, some rows at a time.
+    volume: the scale for a table without residue features (integrate.joined).
+    """
+    ship(df.sparkSession)
+    scales = scales_of(df, volume)
     floats = ArrayType(FloatType())
     schema = StructType([df.schema["uniprot_id"], StructField("sequence", ArrayType(IntegerType())), StructField("residue_features", ArrayType(floats)), StructField("protein_features", floats), StructField("gelation", FloatType())])
 
     def scan(batches):
-        for b in batches:
-            sizes = pc.utf8_length(b.column("letters")).to_numpy().astype(np.int64)
-            start, held = 0, 0
-            for i, size in enumerate(sizes):
-                if i > start and held + size > POSITIONS:
-                    yield _featurised_part(b.slice(start, i - start), sizes[start:i], schema.names)
-                    start, held = i, 0
-                held += size
-            if len(sizes):
-                yield _featurised_part(b.slice(start), sizes[start:], schema.names)
-
-    return flat.mapInArrow(scan, schema)
+        for b, sizes in parts(batches):
+            yield _featurised_part(b, sizes, schema.names, scales)
+
+    return flat(df, stats_row, keep_empty).mapInArrow(scan, schema)
 
 
 def batches(df: DataFrame, index: str, size: int, length: str | Column = "sequence") -> DataFrame:

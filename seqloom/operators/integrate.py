@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StructField, StructType
 
 from seqloom.functions import sequences as S
-from seqloom.storage import is_small
+from seqloom.operators.moments import text_bytes
+from seqloom.storage import free_name, is_small, ship
 
 # The domains and thresholds of the label rule.
 LABEL_DOMAINS = ("PF00190", "PF04702", "PF00234")
@@ -43,6 +47,42 @@ def label(domains: Column, structures: Column, gravy: Column, instability: Colum
     return F.when(by_domain | by_sheet | by_values, "yes").otherwise("no")
 
 
+def counted(proteins: DataFrame, weights: dict[str, float], name: str = "facts") -> DataFrame:
+    """proteins with what S.properties_of takes of their sequences, in numpy, a batch of rows at a time; counts are those of standard sequences."""
+    ship(proteins.sparkSession)
+    n = len(S.RESIDUES)
+    place = np.full(256, n, dtype=np.uint8)
+    place[[ord(r) for r in S.RESIDUES]] = np.arange(n)
+    table = np.ones(n * n)
+    for (a, b), w in ((pair, w) for pair, w in weights.items() if set(pair) <= set(S.RESIDUES)):
+        table[S.RESIDUES.index(a) * n + S.RESIDUES.index(b)] = w
+    whole, number, yes = IntegerType(), DoubleType(), BooleanType()
+    fields = [*[StructField(r, whole) for r in S.RESIDUES], StructField("length", whole), StructField("pairs", number), StructField("known", yes)]
+    schema = StructType([*proteins.schema.fields, StructField(name, StructType(fields))])
+    names = schema.names
+
+    def scan(batches):
+        for b in batches:
+            data, ends = text_bytes(b.column("sequence"))
+            data, counts = place[data], np.zeros((b.num_rows, n + 1), dtype=np.int32)
+            pairs = np.zeros(b.num_rows)
+            for i, (start, end) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+                row = data[start:end]
+                counts[i] = np.bincount(row, minlength=n + 1)
+                if end - start > 1 and not counts[i, n]:
+                    at = row[:-1].astype(np.intp) * n
+                    at += row[1:]
+                    # One after another, as the expression adds them.
+                    pairs[i] = 10.0 / (end - start) * np.add.accumulate(table[at])[-1]
+            length = counts.sum(axis=1, dtype=np.int32)
+            known = (length > 0) & (counts[:, n] == 0)
+            columns = [*[pa.array(counts[:, i]) for i in range(n)], pa.array(length), pa.array(pairs, mask=~known), pa.array(known)]
+            facts = pa.StructArray.from_arrays(columns, [*S.RESIDUES, "length", "pairs", "known"])
+            yield pa.RecordBatch.from_arrays([*b.columns, facts], names)
+
+    return proteins.mapInArrow(scan, schema)
+
+
 def joined(proteins: DataFrame, domains: DataFrame, structures: DataFrame, weights: dict[str, float]) -> DataFrame:
     """The integrated table without its residue features. Lists are made only of rows that have a protein."""
     ids = proteins.select("uniprot_id").distinct()
@@ -51,8 +91,9 @@ def joined(proteins: DataFrame, domains: DataFrame, structures: DataFrame, weigh
     hits = as_lists(domains, "uniprot_id", ["start"], "domains").withColumn("domains", F.expr("CAST(domains AS array<struct<" + ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in domains.schema if f.name != "uniprot_id") + ">>)"))
     shapes = as_lists(structures, "uniprot_id", ["pdb_id"], "structural_features")
     # Lists are joined first: a row a residue of values doesn't go through a shuffle.
-    out = left_lists(left_lists(proteins, hits, "uniprot_id", "domains"), shapes, "uniprot_id", "structural_features")
-    out = out.withColumn("physicochemical_properties", S.properties(F.col("sequence"), weights))
+    facts = free_name(proteins, "facts")
+    out = left_lists(left_lists(counted(proteins, weights, facts), hits, "uniprot_id", "domains"), shapes, "uniprot_id", "structural_features")
+    out = out.withColumn("physicochemical_properties", S.properties_of(F.col(facts))).drop(facts)
     p = F.col("physicochemical_properties")
     out = out.withColumn("gelation", label(F.col("domains"), F.col("structural_features"), p["gravy"], p["instability_index"]))
     return out.withColumn("uniprot_id_prefix", S.prefix_key(F.col("uniprot_id")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seqloom.operators.network import Network, predict  # noqa: F401
+from seqloom.operators.network import Network, predict, scored  # noqa: F401
 from seqloom.storage import saved
 
 def sigmoid(z: Column) -> Column:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -90,6 +91,31 @@ def numbers_of(column: pa.ListArray) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
 
 
+def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of a column of texts, one after another, and where each begins and the last ends; null ones are empty."""
+    column = pc.fill_null(column, "").cast(pa.large_string())
+    _, offsets, data = column.buffers()
+    ends = np.frombuffer(offsets, dtype=np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, dtype=np.int64)
+    return np.frombuffer(data or b"", dtype=np.uint8)[ends[0] : ends[-1]], ends - ends[0]
+
+
+def text_codes(column: pa.Array) -> np.ndarray:
+    """The code points of a column of texts, one after another."""
+    data, _ = text_bytes(column)
+    return data if not len(data) or data.max() < 128 else np.frombuffer(data.tobytes().decode().encode("utf-32-le"), dtype=np.uint32)
+
+
+def _counted_state(x: np.ndarray, counts: np.ndarray) -> tuple[int, float, float]:
+    """_state_of the values x, each as often as counts say."""
+    keep = np.isfinite(x) & (counts > 0)
+    x, counts = x[keep], counts[keep]
+    if not len(x):
+        return 0, 0.0, 0.0
+    n, d = int(counts.sum()), x - x[0]
+    mean = float((d * counts).sum() / n)
+    return n, x[0] + mean, float((np.square(d - mean) * counts).sum())
+
+
 def _state_of(x: np.ndarray) -> tuple[int, float, float]:
     """The state of the finite values of x; distances are taken from the first, so that equal values give 0."""
     x = x[np.isfinite(x)]
@@ -100,14 +126,23 @@ def _state_of(x: np.ndarray) -> tuple[int, float, float]:
     return len(x), x[0] + mean, float(np.square(d - mean).sum())
 
 
-def list_states(df: DataFrame) -> DataFrame:
-    """df's columns, lists of doubles, as states of all their elements, in numpy: a row a batch of rows. Missing, NaN and infinite ones are skipped."""
+def list_states(df: DataFrame, scales: dict[str, np.ndarray] | None = None) -> DataFrame:
+    """df's columns, lists of doubles, as states of all their elements, in numpy: a row a batch of rows. Missing, NaN and infinite ones are skipped.
+
+    scales: df's first column is texts, and these stand for as many lists before the others: values by code point, the last one for all beyond.
+    """
     ship(df.sparkSession)
-    names = df.columns
+    texts, lists = (df.columns[:1], df.columns[1:]) if scales else ([], df.columns)
+    names = [*(scales or {}), *lists]
 
     def fold(batches):
         for b in batches:
-            states = [_state_of(numbers_of(b.column(i))) for i in range(len(names))]
+            states = []
+            if texts:
+                most = len(next(iter(scales.values())))
+                counts = np.bincount(np.minimum(text_codes(b.column(0)), most - 1), minlength=most)
+                states = [_counted_state(values, counts) for values in scales.values()]
+            states += [_state_of(numbers_of(b.column(c))) for c in lists]
             yield pa.RecordBatch.from_arrays([pa.array([v]) for s in states for v in s], [f"{c}_{p}" for c in names for p in _PARTS])
 
     rows = df.mapInArrow(fold, ", ".join(f"`{c}_n` long, `{c}_mean` double, `{c}_m2` double" for c in names))

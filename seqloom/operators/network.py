@@ -12,11 +12,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+from seqloom.operators import features as features_of
 from seqloom.storage import ship
 
 #: Positions of a pack, padding included, at a time; longer rows are passed over in parts of this size.
 CELLS = 1 << 15
 RESIDUES = 14
+#: Windows worked on at a time where residues are of kinds, kinds whose products with the kernels are held at once, and runs of kinds.
+WINDOWS, KINDS, RUNS = 1 << 12, 1 << 12, 1 << 17
 
 
 @dataclass
@@ -118,6 +121,67 @@ class Network:
             out[rows] = self._top([p for p, _ in self._pooled(t, r, n)], protein[rows], 1.0)[0]
         return out
 
+    def logits_of_kinds(self, place: np.ndarray, tokens: np.ndarray, residues: np.ndarray, sizes: np.ndarray, protein: np.ndarray) -> np.ndarray:
+        """logits of rows that stand one after another, of these sizes: each position's kind, and of each kind its token and residue values.
+
+        A kind is multiplied by the kernels once; where kinds are few, so are runs of up to three. Windows add up what their runs have.
+        """
+        short, pad = np.maximum(self._least - sizes, 0), len(tokens)
+        place = np.insert(place, np.repeat(np.cumsum(sizes), short), pad) if short.any() else place
+        ends = np.cumsum(sizes + short)
+        values = np.concatenate((np.append(tokens, 0)[:, None], np.concatenate((residues, np.zeros((1, RESIDUES))))), axis=1)
+        seen = np.flatnonzero(np.bincount(place, minlength=pad + 1))
+        tables = None
+        if len(seen) <= KINDS:
+            values, of = np.unique(values[seen], axis=0, return_inverse=True)
+            at = np.zeros(pad + 1, dtype=np.intp)
+            at[seen] = of.ravel()
+            place, tables = at[place], self._tables(values)
+        best = [np.full((len(sizes), c[1].size), -np.inf) for c in self.convolutions]
+        for i, (start, end) in enumerate(zip(ends - sizes - short, ends, strict=True)):
+            for s in range(start, end - min(c[0].shape[0] for c in self.convolutions) + 1, WINDOWS):
+                self._most(place[s : min(end, s + WINDOWS + self._least - 1)], values, tables, [b[i] for b in best])
+        # Units rise with their sums, or fall where the scale is below 0.
+        pooled = [np.maximum(b * np.where(c[2] < 0, -1.0, 1.0) + c[1], 0) * c[2] + c[3] for b, c in zip(best, self.convolutions, strict=True)]
+        return self._top(pooled, protein, 1.0)[0]
+
+    def _tables(self, values: np.ndarray) -> list[list[np.ndarray]]:
+        """Of each kernel, for runs of its offsets: the summed products of each run of kinds. Signs are turned where the scale is below 0."""
+        x = np.concatenate((self.embedding[values[:, 0].astype(np.intp)], values[:, 1:]), axis=1)
+        run = next(n for n in (3, 2, 1) if n == 1 or len(x) ** n <= RUNS)
+        out = []
+        for k, _, scale, _ in self.convolutions:
+            products = [x @ (k[j] * np.where(scale < 0, -1.0, 1.0)) for j in range(k.shape[0])]
+            runs = [products[j : j + run] for j in range(0, len(products), run)]
+            for r in runs:
+                while len(r) > 1:
+                    r[:2] = [(r[0][:, None, :] + r[1][None, :, :]).reshape(-1, r[0].shape[1])]
+            out.append([r[0] for r in runs])
+        return out
+
+    def _most(self, at: np.ndarray, values: np.ndarray, tables: list | None, best: list[np.ndarray]) -> None:
+        """Raises best, of each kernel, to the greatest sums of the windows of some positions of one row."""
+        if tables is None:
+            seen, at = np.unique(at, return_inverse=True)
+            values, tables = values[seen], self._tables(values[seen])
+        kinds, codes = len(values), [at]
+        run = next(n for n in (3, 2, 1) if n == 1 or kinds**n <= RUNS)
+        for n in range(1, run):
+            codes.append(codes[-1][:-1] * kinds + at[n:])
+        for (k, *_), parts, b in zip(self.convolutions, tables, best, strict=True):
+            m = min(WINDOWS, len(at) - k.shape[0] + 1)
+            if m < 1:
+                continue
+            y = None
+            for j, table in zip(range(0, k.shape[0], run), parts, strict=True):
+                more = table.take(codes[min(run, k.shape[0] - j) - 1][j : j + m], axis=0)
+                y = more if y is None else np.add(y, more, out=y)
+            even = m // 8 * 8  # eight windows side by side, which numpy compares faster
+            if even:
+                np.maximum(b, y[:even].reshape(even // 8, -1).max(axis=0).reshape(8, -1).max(axis=0), out=b)
+            if even < m:
+                np.maximum(b, y[even:].max(axis=0), out=b)
+
     def logit(self, tokens: np.ndarray, residues: np.ndarray, protein: np.ndarray) -> float:
         """Of one row."""
         return float(self.logits([tokens], [residues], np.asarray(protein, dtype=float)[None, :])[0])
@@ -193,3 +257,21 @@ def predict(features: DataFrame, network: Network, keep: tuple[str, ...] = ()) -
 
     schema = StructType([StructField("uniprot_id", StringType()), StructField("logit", DoubleType()), StructField("probability", DoubleType()), *[wanted.schema[c] for c in keep]])
     return wanted.mapInArrow(scan, schema)
+
+
+def scored(table: DataFrame, stats_row: DataFrame, network: Network, volume: dict[str, float] | None = None) -> DataFrame:
+    """predict of features.featurised, in one pass: (uniprot_id, logit, probability) of the integrated table, or integrate.joined's.
+
+    Features of residues stay in the task that makes them.
+    """
+    ship(table.sparkSession)
+    sent, scales = table.sparkSession.sparkContext.broadcast(network), features_of.scales_of(table, volume)
+
+    def scan(batches):
+        net = sent.value
+        for b, sizes in features_of.parts(batches):
+            protein = b.column("protein_features").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
+            z = net.logits_of_kinds(*features_of.kinds_of_residues(b, sizes, scales), sizes, protein)
+            yield pa.RecordBatch.from_arrays([b.column("uniprot_id"), pa.array(z), pa.array(1 / (1 + np.exp(-z)))], ["uniprot_id", "logit", "probability"])
+
+    return features_of.flat(table, stats_row).drop("gelation").mapInArrow(scan, "uniprot_id string, logit double, probability double")

@@ -459,16 +459,16 @@ def integrated_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 def model_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The network's forward pass, with random weights of a fixed seed, over featurised rows."""
     table = integrated_table(spark, sf_dir)
-    out = metrics.predict(features.featurised(table, features.stats(table)), metrics.Network.random(0, embed=16, filters=16, protein=8))
+    out = metrics.scored(table, features.stats(table), metrics.Network.random(0, embed=16, filters=16, protein=8))
     return out.select("uniprot_id", F.round("probability", 6).alias("probability"))
 
 
 def integrated_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents in the integrated schema; an order's line items stand for domain hits (odd numbers) and structures (even ones)."""
-    only = F.regexp_replace("sequence", f"[^{S.RESIDUES}]", "")
+    """Documents in the integrated schema, without residue features, which letters say; an order's line items stand for domain hits (odd numbers) and structures (even ones)."""
+    only = F.regexp_replace(F.upper("text"), f"[^{S.RESIDUES}]+", "")
     # Texts are spread first, as one file of a few groups of rows would keep few tasks busy.
     documents = _table(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id")
-    proteins = integrate.from_documents(documents).select("uniprot_id", only.alias("sequence")).where("sequence <> ''")
+    proteins = documents.select(F.col("doc_id").cast("string").alias("uniprot_id"), only.alias("sequence"))
     proteins = proteins.select("uniprot_id", "sequence", F.length("sequence").cast("long").alias("sequence_length"), F.lit("Unknown").alias("organism"), F.lit(None).cast("string").alias("taxonomy_id"))
     li = _table(spark, sf_dir, "lineitem")
     name = F.element_at(F.array(*map(F.lit, integrate.LABEL_DOMAINS), F.lit("PF00001")), (F.col("l_partkey") % 4 + 1).cast("int"))
@@ -478,8 +478,8 @@ def integrated_table(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_orderkey").cast("string").alias("uniprot_id"), F.col("l_suppkey").cast("string").alias("pdb_id"), F.lit(20.0).alias("helix_percentage"),
         F.col("l_quantity").alias("sheet_percentage"), (F.lit(80.0) - F.col("l_quantity")).alias("coil_percentage"), F.array(shape, shape).alias("dssp_residue_details"),
     )
-    # Statistics and features read what is cleaned, listed and counted once; residue features are made from it where they are read.
+    # Statistics and features read what is cleaned, listed and counted once. Empty sequences go behind that, or texts would be cleaned for the filter too.
     proteins = storage.saved(proteins, "proteins")
-    table = storage.saved(integrate.joined(proteins, hits, structures, DIPEPTIDES), "integrated")
+    table = storage.saved(integrate.joined(proteins.where("sequence <> ''"), hits, structures, DIPEPTIDES), "integrated")
     storage.forget(proteins)
-    return integrate.with_residues(table)
+    return table
